@@ -129,3 +129,147 @@ places AS (
     row_number() OVER (PARTITION BY c_custkey // 10 ORDER BY c_custkey) AS n
   FROM customer)
 """
+
+
+# --- directory: suppliers as geocoded places ---------------------------------------------------
+
+def directory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The geocoded directory in the layout of the linked records."""
+    key = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").select(
+        key.alias("ID"), F.col("s_name").alias("Restaurant"),
+        F.concat(F.lit("www.place"), key, F.lit(".com")).alias("URL"),
+        F.concat((key + 1).cast("string"), F.lit(" Main St.")).alias("Address"),
+        F.concat(F.when(key % 4 == 0, "Port ").otherwise(""), F.lit("Town"),
+                 (key % 40).cast("string")).alias("City"),
+        pick(STATES, F.col("s_nationkey")).alias("State"),
+        pick(REGIONS, F.col("s_nationkey") % 8).alias("Region"),
+        F.when(key % 3 != 0, F.lit("555-010-0000")).alias("phone"),
+        F.lit("LD").alias("hours"),
+        F.when(key % 3 == 1, "n").when(key % 3 == 2, "y").alias("Crossout"),
+        F.when(key % 5 == 0, "y").when(key % 5 == 1, "n").alias("Honor Roll"),
+        F.when(key % 4 == 0, "y").when(key % 4 == 1, "n").alias("Recommend"),
+        (F.col("s_acctbal") / 64).alias("long"), (F.col("s_acctbal") / 128).alias("lat"),
+        F.substring(F.md5(key.cast("string")), 1, 6).alias("geohash"),
+        F.when(key % 6 != 0, F.concat(F.lit("dish no. "), key)).alias("sig_item"),
+        F.concat(F.lit("Known for plate "), key, F.lit(".\nOpen since "), key + 1000)
+        .alias("content"))
+
+
+SQL_DIRECTORY = f"""
+directory AS (
+  SELECT s_suppkey AS "ID", s_name AS "Restaurant", 'www.place' || s_suppkey || '.com' AS "URL",
+    (s_suppkey + 1) || ' Main St.' AS "Address",
+    CASE WHEN s_suppkey % 4 = 0 THEN 'Port ' ELSE '' END || 'Town' || s_suppkey % 40 AS "City",
+    {sql_pick(STATES, 's_nationkey')} AS "State",
+    {sql_pick(REGIONS, 's_nationkey % 8')} AS "Region",
+    CASE WHEN s_suppkey % 3 <> 0 THEN '555-010-0000' END AS phone, 'LD' AS hours,
+    CASE s_suppkey % 3 WHEN 1 THEN 'n' WHEN 2 THEN 'y' END AS "Crossout",
+    CASE s_suppkey % 5 WHEN 0 THEN 'y' WHEN 1 THEN 'n' END AS "Honor Roll",
+    CASE s_suppkey % 4 WHEN 0 THEN 'y' WHEN 1 THEN 'n' END AS "Recommend",
+    s_acctbal / 64 AS long, s_acctbal / 128 AS lat,
+    substr(md5(s_suppkey::VARCHAR), 1, 6) AS geohash,
+    CASE WHEN s_suppkey % 6 <> 0 THEN 'dish no. ' || s_suppkey END AS sig_item,
+    'Known for plate ' || s_suppkey || '.' || chr(10) || 'Open since ' || (s_suppkey + 1000)
+      AS content
+  FROM supplier)
+"""
+
+
+# --- search log: events as searches ------------------------------------------------------------
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Finished search requests with 1 to 10 results each."""
+    key = F.col("event_id")
+    found = F.col("found")
+    events = table(spark, sf_dir, "events").select(
+        "event_id", F.col("ts").cast("timestamp").alias("timestamp"),
+        F.col("user_id").cast("string").alias("user_id"), F.col("props").alias("query"),
+        F.concat(F.lit("run-"), key).alias("langsmith_run_id"),
+        F.when(key % 3 == 0, '{"State":{"$in":["TX"]}}').alias("filter_applied"),
+        (key % 2 == 0).alias("article"), "event_type", "value",
+        (F.get_json_object("props", "$.k").cast("int") % 10 + 1).alias("found"))
+    places = directory(spark, sf_dir)
+    hits = events.select(
+        "event_id", "value", F.explode(F.sequence(F.lit(1), found)).alias("rank")).withColumn(
+        "ID", (key * 7 + F.col("rank") * 13) % places.count())
+    results = (hits.join(places, "ID").groupBy("event_id").agg(F.array_sort(F.collect_list(
+        F.struct("rank", *places.columns,
+                 (F.abs("value") + F.col("rank") / 64).alias("similarity_score"))))
+        .alias("results")))
+    return events.drop("value", "found").join(results, "event_id")
+
+
+SQL_REQUESTS = SQL_DIRECTORY + """,
+requests AS (
+  SELECT event_id, ts::TIMESTAMP AS "timestamp", user_id::VARCHAR AS user_id, props AS query,
+    'run-' || event_id AS langsmith_run_id,
+    CASE WHEN event_id % 3 = 0 THEN '{"State":{"$in":["TX"]}}' END AS filter_applied,
+    event_id % 2 = 0 AS article, event_type, value,
+    (props->>'$.k')::INT % 10 + 1 AS found
+  FROM events),
+hits AS (
+  SELECT event_id, "timestamp", value, unnest(range(1, found + 1))::INT AS rank FROM requests),
+results AS (
+  SELECT h.event_id, h."timestamp", h.rank, abs(value) + h.rank / 64.0::DOUBLE AS similarity_score, d.*
+  FROM hits h JOIN directory d ON d."ID" = (event_id * 7 + h.rank * 13) % (SELECT count(*) FROM supplier))
+"""
+
+
+def search_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search rows under readable ids, with feedback by event type."""
+    key = F.col("event_id")
+    return table(spark, sf_dir, "events").select(
+        F.md5(F.concat(F.lit("s"), key)).alias("id"),
+        F.md5(key.cast("string")).alias("search_id"), F.col("props").alias("query"),
+        F.col("ts").cast("timestamp").alias("timestamp"),
+        F.col("user_id").cast("string").alias("user_id"),
+        F.concat(F.lit("run-"), key).alias("langsmith_run_id"),
+        F.when(key % 3 == 0, '{"State":{"$in":["TX"]}}').alias("filter_applied"),
+        (F.get_json_object("props", "$.k").cast("int") % 10 + 1).alias("num_results"),
+        F.when(key % 2 == 0, "summary").otherwise("detailed").alias("search_type"),
+        F.when(F.col("event_type") == "purchase", "y").when(F.col("event_type") == "error", "n")
+        .alias("feedback_success"),
+        F.when(F.col("event_type") == "error", "slow").alias("feedback_reason"),
+        F.col("ts").cast("timestamp").alias("created_at"))
+
+
+def score_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hit rows for lineitems: each line is a hit of the search with its order's number."""
+    n = table(spark, sf_dir, "events").count()
+    lines = table(spark, sf_dir, "lineitem")
+    places = directory(spark, sf_dir)
+    return lines.join(places, F.col("l_suppkey") == F.col("ID")).select(
+        F.md5(F.concat_ws("-", "l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice",
+                          F.col("l_shipdate").cast("string"))).alias("id"),
+        F.md5((F.col("l_orderkey") % (n + 7)).cast("string")).alias("search_id"),
+        F.col("ID").cast("string").alias("restaurant_id"),
+        F.col("Restaurant").alias("restaurant_name"), F.col("City").alias("city"),
+        F.col("State").alias("state"), F.col("Region").alias("region"),
+        F.col("Honor Roll").alias("honor_roll"), F.col("Recommend").alias("recommend"),
+        F.lit(None).cast("string").alias("relevant"),
+        F.lit(None).cast("double").alias("adjusted_score"), F.col("long").alias("longitude"),
+        F.col("lat").alias("latitude"), "sig_item", F.col("URL").alias("url"),
+        F.col("l_discount").alias("similarity_score"), F.col("l_linenumber").alias("rank"),
+        F.lit("{}").alias("metadata"),
+        F.col("l_shipdate").cast("timestamp").alias("created_at"))
+
+
+SQL_LOG = SQL_DIRECTORY + """,
+search_log AS (
+  SELECT md5('s' || event_id) AS id, md5(event_id::VARCHAR) AS search_id, props AS query,
+    ts::TIMESTAMP AS "timestamp", user_id::VARCHAR AS user_id, 'run-' || event_id AS langsmith_run_id,
+    CASE WHEN event_id % 3 = 0 THEN '{"State":{"$in":["TX"]}}' END AS filter_applied,
+    (props->>'$.k')::INT % 10 + 1 AS num_results,
+    CASE WHEN event_id % 2 = 0 THEN 'summary' ELSE 'detailed' END AS search_type,
+    CASE event_type WHEN 'purchase' THEN 'y' WHEN 'error' THEN 'n' END AS feedback_success,
+    CASE event_type WHEN 'error' THEN 'slow' END AS feedback_reason
+  FROM events),
+score_log AS (
+  SELECT md5((l_orderkey % ((SELECT count(*) FROM events) + 7))::VARCHAR) AS search_id,
+    l_orderkey, "ID"::VARCHAR AS restaurant_id, "Restaurant" AS restaurant_name, "City" AS city,
+    "State" AS state, "Region" AS region, "Honor Roll" AS honor_roll, "Recommend" AS recommend,
+    NULL::VARCHAR AS relevant, NULL::DOUBLE AS adjusted_score, long AS longitude, lat AS latitude,
+    sig_item, l_discount AS similarity_score, l_linenumber AS rank
+  FROM lineitem JOIN directory ON l_suppkey = "ID")
+"""
