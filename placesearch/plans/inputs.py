@@ -273,3 +273,79 @@ score_log AS (
     sig_item, l_discount AS similarity_score, l_linenumber AS rank
   FROM lineitem JOIN directory ON l_suppkey = "ID")
 """
+
+
+# --- linkage: parts as guidebook rows and as a directory -----------------------------------------
+
+def guide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Guidebook rows: exact, reordered, misspelt and unknown names by key; some lack a state."""
+    key = F.col("p_partkey")
+    words = F.split("p_name", " ")
+    turned = F.concat(F.get(words, F.lit(1)), F.lit(" "), F.get(words, F.lit(0)))
+    title = (F.when(key % 4 == 0, F.concat(F.substring(turned, 1, 2), F.substring(turned, 4, 99)))
+             .when(key % 4 == 1, F.concat(F.lit(" \t"), F.upper("p_name"), F.lit("  ")))
+             .when(key % 4 == 2, turned)
+             .otherwise(F.concat(F.lit("Zq "), F.lower("p_type"))))
+    state = pick(STATES, F.regexp_extract("p_brand", r"\d+", 0).cast("int") % 25)
+    town = F.concat((key + 1).cast("string"), F.lit(" Main St. Town"))
+    return table(spark, sf_dir, "part").select(
+        key.alias("row_id"), title.alias("title"), F.lit("www.part.com").alias("URL"),
+        F.when(key % 17 == 0, town).when(key % 5 == 0, F.concat(town, F.lit(", "), state,
+                                                                F.lit(" 02920")))
+        .when(key % 5 == 1, F.concat(town, F.lit(", "), state, F.lit(" (rear)")))
+        .otherwise(F.concat(town, F.lit(", "), state)).alias("address"),
+        F.lit("555-010-0000").alias("phone"), F.lit("LD").alias("hours"),
+        F.lit("$").alias("cost"), F.col("p_type").alias("content"))
+
+
+def sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The directory sheet of the same parts; a third of the names carry an extra word."""
+    key = F.col("p_partkey")
+    state = pick(STATES, F.regexp_extract("p_brand", r"\d+", 0).cast("int") % 25)
+    return table(spark, sf_dir, "part").select(
+        key.alias("row_no"), (key * 10).alias("ID"),
+        F.when(key % 3 == 0, F.concat(F.initcap("p_name"), F.lit(" "), F.initcap("p_type")))
+        .otherwise(F.initcap("p_name")).alias("Restaurant"),
+        F.when(key % 17 != 0, state).alias("State"),
+        F.concat(F.lit("Town"), key % 40).alias("City"),
+        F.concat(key + 1, F.lit(" Main St.")).alias("Address"),
+        F.when(key % 7 != 0, pick(REGIONS, key % 8)).alias("Region"),
+        F.when(key % 3 == 1, "n").when(key % 3 == 2, "y").alias("Crossout"),
+        F.when(key % 5 == 0, "y").alias("Honor Roll"),
+        F.when(key % 4 == 0, "y").alias("Recommend"),
+        F.col("p_retailprice").alias("long"), (F.col("p_retailprice") / 2).alias("lat"),
+        F.substring(F.md5(key.cast("string")), 1, 6).alias("geohash"),
+        F.when(F.col("p_size") % 3 != 0, "y").when(F.col("p_size") % 2 == 0, "n")
+        .alias("10th Ed."))
+
+
+_STATE_OF_BRAND = sql_pick(STATES, "regexp_extract(p_brand, '[0-9]+')::INT % 25")
+
+SQL_LINKAGE = f"""
+guide AS (
+  SELECT p_partkey AS row_id, CASE p_partkey % 4
+      WHEN 0 THEN substr(turned, 1, 2) || substr(turned, 4)
+      WHEN 1 THEN ' ' || chr(9) || upper(p_name) || '  '
+      WHEN 2 THEN turned ELSE 'Zq ' || lower(p_type) END AS title,
+    'www.part.com' AS "URL", (p_partkey + 1) || ' Main St. Town'
+      || CASE WHEN p_partkey % 17 = 0 THEN '' ELSE ', ' || st || CASE p_partkey % 5
+        WHEN 0 THEN ' 02920' WHEN 1 THEN ' (rear)' ELSE '' END END AS address_full,
+    '555-010-0000' AS phone, 'LD' AS hours, '$' AS cost, p_type AS content,
+    CASE WHEN p_partkey % 17 <> 0 THEN st END AS "State"
+  FROM (SELECT *, string_split(p_name, ' ')[2] || ' ' || string_split(p_name, ' ')[1] AS turned,
+    {_STATE_OF_BRAND} AS st FROM part)),
+sheet AS (
+  SELECT p_partkey AS row_no, p_partkey * 10 AS "ID", list_aggregate(list_transform(string_split(
+      CASE WHEN p_partkey % 3 = 0 THEN p_name || ' ' || lower(p_type) ELSE p_name END, ' '),
+      lambda w: upper(w[1]) || w[2:]), 'string_agg', ' ') AS "Restaurant",
+    CASE WHEN p_partkey % 17 <> 0 THEN {_STATE_OF_BRAND} END AS "State",
+    'Town' || p_partkey % 40 AS "City", (p_partkey + 1) || ' Main St.' AS "Address",
+    CASE WHEN p_partkey % 7 <> 0 THEN {sql_pick(REGIONS, 'p_partkey % 8')} END AS "Region",
+    CASE p_partkey % 3 WHEN 1 THEN 'n' WHEN 2 THEN 'y' END AS "Crossout",
+    CASE WHEN p_partkey % 5 = 0 THEN 'y' END AS "Honor Roll",
+    CASE WHEN p_partkey % 4 = 0 THEN 'y' END AS "Recommend",
+    p_retailprice AS long, p_retailprice / 2 AS lat,
+    substr(md5(p_partkey::VARCHAR), 1, 6) AS geohash,
+    CASE WHEN p_size % 3 <> 0 THEN 'y' WHEN p_size % 2 = 0 THEN 'n' END AS "10th Ed."
+  FROM part)
+"""
