@@ -15,6 +15,7 @@ DEFAULT_K = 4          # fixed values: results per query
 MAX_K = 10
 BROADCAST_NUMBERS = 2_000_000     # query vectors are broadcast up to 16 MB of doubles
 _ROWS_AT_ONCE = 256
+_NUMBERS_AT_ONCE = 4_000_000
 _FOUND = "query_id long, doc_id long, distance double"
 
 
@@ -66,19 +67,24 @@ def _nearest(query_ids: np.ndarray, queries: np.ndarray, docs: pd.DataFrame,
     """
     ids, vectors = docs["doc_id"].to_numpy(), _matrix(docs["embedding"])
     lengths, found = (vectors ** 2).sum(axis=1), []
+    last = min(k, len(ids)) - 1
     for at in range(0, len(queries), _ROWS_AT_ONCE):
         part = queries[at:at + _ROWS_AT_ONCE]
         rough = (part ** 2).sum(axis=1)[:, None] + lengths - 2 * part @ vectors.T
-        limit = np.partition(rough, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
-        slack = 1e-9 * (1 + np.abs(rough).max(axis=1))
-        for row, query in enumerate(part):
-            near = np.flatnonzero(rough[row] <= limit[row] + slack[row])
-            exact = ((vectors[near] - query) ** 2).sum(axis=1)
-            first = np.lexsort((ids[near], exact))[:k]
-            found.append(pd.DataFrame({"query_id": query_ids[at + row],
-                                       "doc_id": ids[near][first], "distance": exact[first]}))
-    return pd.concat(found) if found else pd.DataFrame(
-        {"query_id": [], "doc_id": [], "distance": []})
+        limit = np.partition(rough, last, axis=1)[:, last] + 1e-9 * (1 + np.abs(rough).max(axis=1))
+        # every row within the limit is looked at, however many share one distance
+        most = int((rough <= limit[:, None]).sum(axis=1).max())
+        near = np.argpartition(rough, most - 1, axis=1)[:, :most]
+        step = max(1, _NUMBERS_AT_ONCE // (most * vectors.shape[1]))
+        for row in range(0, len(part), step):
+            cells = near[row:row + step]
+            exact = ((vectors[cells] - part[row:row + step, None, :]) ** 2).sum(axis=-1)
+            first = np.lexsort((ids[cells], exact), axis=-1)[:, :k]
+            found.append((np.repeat(query_ids[at + row:at + row + len(cells)], first.shape[1]),
+                          np.take_along_axis(ids[cells], first, 1).ravel(),
+                          np.take_along_axis(exact, first, 1).ravel()))
+    columns = [np.concatenate(c) for c in zip(*found)] or [[], [], []]
+    return pd.DataFrame(dict(zip(("query_id", "doc_id", "distance"), columns)))
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:

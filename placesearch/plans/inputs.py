@@ -349,3 +349,92 @@ sheet AS (
     CASE WHEN p_size % 3 <> 0 THEN 'y' WHEN p_size % 2 = 0 THEN 'n' END AS "10th Ed."
   FROM part)
 """
+
+
+# --- records with derived fields, and answers to the questions about them -------------------------
+
+def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as records; some derived fields are filled, some empty, some null."""
+    key = F.col("doc_id")
+    return table(spark, sf_dir, "documents").select(
+        key.alias("row_id"), F.concat(F.lit("Place "), key).alias("Restaurant"),
+        F.col("text").alias("content"),
+        F.when(key % 4 == 0, F.concat(F.lit("old dish "), key)).when(key % 4 == 1, "")
+        .alias("sig_item"),
+        F.when(key % 8 == 0, F.concat(F.lit("old question "), key)).alias("summary_q"))
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An answer per document: fenced, bare, broken, without a key, or no object."""
+    key = F.col("doc_id")
+    both = F.concat(F.lit('{"signature_item": "dish '), key,
+                    F.lit(' \\"x\\"", "summary_question": "Where, '), "lang", F.lit('?"}'))
+    text = (F.when(key % 10 == 3, F.substring(both, 1, 20))
+            .when(key % 10 == 5, F.concat(F.lit('{"signature_item": "only '), key, F.lit('"}')))
+            .when(key % 10 == 7, F.concat(F.lit("["), both, F.lit("]")))
+            .otherwise(both))
+    return table(spark, sf_dir, "documents").select(
+        key.alias("row_id"), F.when(key % 2 == 0, F.concat(F.lit(" ```json\n"), text,
+                                                           F.lit("\n``` \n")))
+        .otherwise(text).alias("answer"))
+
+
+SQL_ENRICHED = """
+enriched AS (
+  SELECT doc_id AS row_id, 'Place ' || doc_id AS "Restaurant", text AS content, lang,
+    CASE doc_id % 4 WHEN 0 THEN 'old dish ' || doc_id WHEN 1 THEN '' END AS sig_item,
+    CASE WHEN doc_id % 8 = 0 THEN 'old question ' || doc_id END AS summary_q FROM documents),
+parsed AS (
+  SELECT doc_id AS row_id, doc_id % 10 NOT IN (3, 7) AS parsed,
+    CASE WHEN doc_id % 10 IN (3, 7) THEN NULL WHEN doc_id % 10 = 5 THEN 'only ' || doc_id
+      ELSE 'dish ' || doc_id || ' "x"' END AS sig_item,
+    CASE WHEN doc_id % 10 IN (3, 7) THEN NULL WHEN doc_id % 10 = 5 THEN ''
+      ELSE 'Where, ' || lang || '?' END AS summary_q FROM documents)
+"""
+
+
+# --- training examples: turns and the turns after them --------------------------------------------
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn as a row with its successor as the completion."""
+    talk = table(spark, sf_dir, "conversations")
+    after = talk.select("conv_id", (F.col("turn") - 1).alias("turn"),
+                        F.col("text").alias("content"), F.col("role").alias("next_role"))
+    key = F.col("conv_id") * 1000 + F.col("turn")
+    return talk.join(after, ["conv_id", "turn"], "left").select(
+        key.alias("example_id"), F.col("text").alias("summary_q"), "content", "role", "next_role",
+        F.when(key % 3 == 1, "n").when(key % 3 == 2, "y").alias("Crossout"))
+
+
+def chat_lines(spark: SparkSession, sf_dir: str, defects: bool = True) -> DataFrame:
+    """One JSON line per turn: system, the turn and its successor; defects by key, or none."""
+    def message(role, text):
+        return F.to_json(F.struct(role.alias("role"), text.alias("content")))
+
+    kind = F.col("example_id") % 13 if defects else F.lit(0)
+    first = (F.when(kind == 1, '{"role":"user","content":"a b","mood":"sad"}')
+             .when(kind == 2, '{"role":"robot","content":"a"}')
+             .when(kind == 3, '{"role":"user","content":5}')
+             .when(kind == 7, '{"role":"user"}')
+             .when(kind == 8, '{"role":"function","content":"","function_call":{"name":"f"}}')
+             .when(kind == 9, '{"role":"user","content":"","name":"bob"}')
+             .when(kind == 10, '{"role":null,"content":null}')
+             .otherwise('{"role":"system","content":"Be brief, please."}'))
+    messages = F.concat_ws(",", first, message(F.col("role"), F.col("summary_q")),
+                           F.when(F.col("content").isNotNull(),
+                                  message(F.col("next_role"), F.col("content"))),
+                           F.lit(None if defects else
+                                 '{"role":"assistant","content":"Enjoy!"}').cast("string"))
+    line = (F.when(kind == 4, '{"messages":[]}').when(kind == 5, "[1, 2]")
+            .when(kind == 6, '{"message":"hi"}').when(kind == 11, '{"messages":')
+            .otherwise(F.concat(F.lit('{"messages":['), messages, F.lit("]}"))))
+    return turns(spark, sf_dir).select("example_id", line.alias("value"))
+
+
+SQL_TURNS = """
+turns AS (
+  SELECT c.conv_id * 1000 + c.turn AS example_id, c.text AS summary_q, n.text AS content, c.role,
+    n.role AS next_role, CASE (c.conv_id * 1000 + c.turn) % 3 WHEN 1 THEN 'n' WHEN 2 THEN 'y' END
+      AS "Crossout", (c.conv_id * 1000 + c.turn) % 13 AS kind
+  FROM conversations c LEFT JOIN conversations n ON n.conv_id = c.conv_id AND n.turn = c.turn + 1)
+"""
