@@ -438,3 +438,94 @@ turns AS (
       AS "Crossout", (c.conv_id * 1000 + c.turn) % 13 AS kind
   FROM conversations c LEFT JOIN conversations n ON n.conv_id = c.conv_id AND n.turn = c.turn + 1)
 """
+
+
+# --- queries in words, and documents with places ----------------------------------------------------
+
+PHRASES = (
+    "West Virginia", "la", "Hawaii", "OK", "the Lone Star State", "the Pacific Northwest",
+    "the Southeast and the south", "New England and the South", "the Mid-Atlantic", "NY state",
+    "the Mid-West", "Washington DC", "the East Coast", "the Deep South", "the Northeast",
+    "Southern States", "Kansas or Arkansas", "Massachusetts", "my home town", "New York and Ohio",
+    "the Pacific Coast", "jersey", "in or me hi", "Show Me State", "Eastern Seaboard", "WA and OR",
+    "South Dakota, ND", "the great plains", "mid south", "good old cheesehead country")
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question per event, with a vector and a stored classifier answer."""
+    key, user = F.col("event_id"), F.col("user_id")
+    phrase = pick(PHRASES, key % len(PHRASES))
+    town = F.concat(F.lit("Town"), user % 45)
+    text = (F.when(key % 3 == 0, F.concat(F.lit("Best pie in "), phrase, F.lit(" near "), town,
+                                          F.lit("?")))
+            .when(key % 3 == 1, F.concat(phrase, F.lit(" BBQ ftw")))
+            .otherwise(F.concat(F.lit("Where to eat? "), phrase, F.lit(" or Port "), town,
+                                F.lit(", "), pick(STATES, user % 25))))
+    vectors = table(spark, sf_dir, "embeddings")
+    answer = (F.when(key % 5 == 0, "IN_SCOPE").when(key % 5 == 1, " in_scope, surely")
+              .when(key % 5 == 2, "OUT_OF_SCOPE").when(key % 5 == 3, "Error"))
+    n = vectors.count()
+    return table(spark, sf_dir, "events").select(
+        key.alias("query_id"), text.alias("text"), answer.alias("answer"),
+        (key % n).alias("vec_id")).join(
+            vectors.select("vec_id", F.col("embedding").alias("vector")), "vec_id").drop("vec_id")
+
+
+def placed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("vec_id")
+    return table(spark, sf_dir, "embeddings").select(
+        key.alias("doc_id"), "embedding",
+        F.concat(F.when(key % 4 == 0, "Port ").otherwise(""), F.lit("Town"), key % 40)
+        .alias("City"),
+        F.when(key % 29 != 0, pick(STATES, key % 25)).alias("State"),
+        pick(REGIONS, key % 8).alias("Region"))
+
+
+SQL_ASKED = f"""
+asked AS (
+  SELECT event_id AS query_id, CASE event_id % 3
+    WHEN 0 THEN 'Best pie in ' || phrase || ' near Town' || user_id % 45 || '?'
+    WHEN 1 THEN phrase || ' BBQ ftw'
+    ELSE 'Where to eat? ' || phrase || ' or Port Town' || user_id % 45 || ', '
+      || {sql_pick(STATES, 'user_id % 25')} END AS text,
+    CASE event_id % 5 WHEN 0 THEN 'IN_SCOPE' WHEN 1 THEN ' in_scope, surely'
+      WHEN 2 THEN 'OUT_OF_SCOPE' WHEN 3 THEN 'Error' END AS answer,
+    event_id % (SELECT count(*) FROM embeddings) AS vec_id
+  FROM (SELECT *, {sql_pick(PHRASES, f'event_id % {len(PHRASES)}')} AS phrase FROM events)),
+placed AS (
+  SELECT vec_id AS doc_id, embedding,
+    CASE WHEN vec_id % 4 = 0 THEN 'Port ' ELSE '' END || 'Town' || vec_id % 40 AS "City",
+    CASE WHEN vec_id % 29 <> 0 THEN {sql_pick(STATES, 'vec_id % 25')} END AS "State",
+    {sql_pick(REGIONS, 'vec_id % 8')} AS "Region"
+  FROM embeddings)
+"""
+
+
+def city_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of cities as a caller may pass them: empty, repeated, without a state."""
+    key = F.col("event_id")
+    town = F.concat(F.lit("Town"), F.col("user_id"))
+
+    def city(name, state=None):
+        return F.struct(name.alias("city"), F.lit(state).cast("string").alias("state"))
+
+    cities = (F.when(key % 5 == 0, F.array().cast("array<struct<city:string,state:string>>"))
+              .when(key % 5 == 1, F.array(city(town, "TX")))
+              .when(key % 5 == 2, F.array(city(town, "TX"), city(F.upper(town), "tx"),
+                                          city(F.lit("Port"))))
+              .when(key % 5 == 3, F.array(city(town), city(F.lower(town), ""), city(town, "MD"))))
+    return table(spark, sf_dir, "events").select(key.alias("query_id"), cities.alias("cities"))
+
+
+def condition_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extracted conditions with repeats that differ in key order only."""
+    key = F.col("event_id")
+    town = F.concat(F.lit('"Town'), F.col("user_id"), F.lit('"'))
+    a = F.concat(F.lit('{"State": "TX", "City": '), town, F.lit("}"))
+    b = F.concat(F.lit('{"City":'), town, F.lit(',"State":"TX"}'))
+    c, d = F.lit('{"Region":{"$in":["b","a"]}}'), F.lit('{"Region": {"$in": ["a", "b"]}}')
+    conditions = (F.when(key % 4 == 0, F.array().cast("array<string>"))
+                  .when(key % 4 == 1, F.array(a, b)).when(key % 4 == 2, F.array(c, a, c, b))
+                  .otherwise(F.array(d, c, d)))
+    return table(spark, sf_dir, "events").select(key.alias("query_id"),
+                                                 conditions.alias("conditions"))
