@@ -9,6 +9,7 @@ from itertools import chain
 from pyspark.sql import Column, functions as F
 
 from placesearch.functions.lexicon import BROAD_REGIONS, REGION_ALIASES, state_aliases
+from placesearch.functions.text import bind
 
 CITY = "struct<city:string,state:string>"
 
@@ -131,12 +132,12 @@ def words(text: Column) -> Column:
 
 def phrases(text: Column, longest: int) -> Column:
     """All runs of 1 to ``longest`` words of a text, each once."""
-    w = words(text)
-    size = F.size(w)
+    def all_runs(w: Column) -> Column:
+        def runs(n: int) -> Column:
+            starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(w), F.lit(1))),
+                              lambda i: i + (n - 1) <= F.size(w))
+            return F.transform(starts, lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
 
-    def runs(n: int) -> Column:
-        starts = F.filter(F.sequence(F.lit(1), F.greatest(size, F.lit(1))),
-                          lambda i: i + (n - 1) <= size)
-        return F.transform(starts, lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
+        return F.array_distinct(F.concat(*[runs(n) for n in range(1, longest + 1)]))
 
-    return F.array_distinct(F.concat(*[runs(n) for n in range(1, longest + 1)]))
+    return bind(words(text), all_runs)

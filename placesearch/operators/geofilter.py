@@ -25,8 +25,10 @@ def city_lookup(queries: DataFrame, directory: DataFrame) -> DataFrame:
     cities = (directory.select("City", "State").dropna().distinct()
               .withColumn("phrase", F.array_join(geo.words(F.col("City")), " ")))
     longest = cities.agg(F.max(F.size(geo.words(F.col("City")))).alias("n")).first().n or 1
-    asked = queries.select("query_id", geo.state_codes(F.col("text")).alias("named"),
-                           F.explode(geo.phrases(F.col("text"), longest)).alias("phrase"))
+    # read each text once, before its phrases become rows
+    read = queries.select("query_id", geo.state_codes(F.col("text")).alias("named"),
+                          geo.phrases(F.col("text"), longest).alias("phrases"))
+    asked = read.select("query_id", "named", F.explode("phrases").alias("phrase"))
     found = (asked.join(cities, "phrase").groupBy("query_id", "City", "named")
              .agg(F.collect_set("State").alias("states")))       # at most one per state
     both = F.array_intersect("states", "named")
