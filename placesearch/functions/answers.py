@@ -29,7 +29,7 @@ def _entries(hits: Column) -> Column:
 
 
 def _pattern(name: Column) -> Column:
-    edge = F.when(F.size(F.split(strip(name), rf"(?U){SPACE}+")) == 1, r"\b").otherwise("")
+    edge = F.when(F.size(F.split(strip(name), rf"{SPACE}+")) == 1, r"\b").otherwise("")
     return F.concat(F.lit(r"(?<!\*\*)"), edge, quoted(name), edge, F.lit(r"(?!\*\*)"))
 
 
@@ -62,8 +62,8 @@ def link_entities(text: Column, hits: Column) -> Column:
 
 
 def _clean_title(title: Column) -> Column:
-    bare = F.replace(gsub(title, rf"(?U)^#+{SPACE}+", ""), F.lit("**"), F.lit(""))
-    return gsub(bare, rf"(?iU)^(?:Title:|Catchy Title:|Headline:){SPACE}*", "")
+    bare = F.replace(gsub(title, rf"^#+{SPACE}+", ""), F.lit("**"), F.lit(""))
+    return gsub(bare, rf"(?i)^(?:Title:|Catchy Title:|Headline:){SPACE}*", "")
 
 
 def standardize_headline(text: Column) -> Column:
@@ -83,7 +83,7 @@ def standardize_headline(text: Column) -> Column:
             title = _clean_title(r["s"])
             header = F.startswith(r["s"], F.lit("# ")) | F.startswith(r["s"], F.lit("## "))
             return (F.when((r["i"] == start) & (title != ""), F.concat(F.lit("### "), title))
-                    .when((r["i"] > start) & header, gsub(r["line"], rf"(?U)^#+{SPACE}+", "### "))
+                    .when((r["i"] > start) & header, gsub(r["line"], rf"^#+{SPACE}+", "### "))
                     .otherwise(r["line"]))
 
         return unlines(F.transform(rows, fix))

@@ -55,7 +55,7 @@ def normalize_quotes(text: Column) -> Column:
 
 def left_trim_lines(text: Column) -> Column:
     """Cut leading whitespace of each line; empty lines stay."""
-    return gsub(text, rf"(?Udm)^{BLANK}+", "")
+    return gsub(text, rf"(?dm)^{BLANK}+", "")
 
 
 def drop_state_lines(text: Column) -> Column:
@@ -65,16 +65,16 @@ def drop_state_lines(text: Column) -> Column:
 
 def strip_question_prefix(text: Column) -> Column:
     """Remove a question mark before a line that starts with a capital."""
-    return gsub(text, rf"(?Udm)^\?{BLANK}*(?=[A-Z])", "")
+    return gsub(text, rf"(?dm)^\?{BLANK}*(?=[A-Z])", "")
 
 
 def mark_urls(text: Column) -> Column:
     """Tag the lines that are a web address."""
-    url = (rf"(?U)^{SPACE}*({NONSPACE}{{2,40}}\.(?:{URL_ENDINGS})"
+    url = (rf"^{SPACE}*({NONSPACE}{{2,40}}\.(?:{URL_ENDINGS})"
            rf"(?:/[\p{{L}}\p{{N}}_\-.#]+)*)/?{SPACE}*\z")
 
     def rule(line: Column) -> Column:
-        whole = F.concat(F.lit("|URL start| "), gsub(line, rf"(?U){SPACE}+", ""),
+        whole = F.concat(F.lit("|URL start| "), gsub(line, rf"{SPACE}+", ""),
                          F.lit(" |URL end|\n"))
         return (F.when(F.contains(line, F.lit(ALWAYS_URL)), whole)
                 .otherwise(gsub(line, url, tagged("URL") + "\n")))
@@ -90,16 +90,16 @@ def mark_addresses(text: Column) -> Column:
     of a word only and nothing after the last state code is searched: both give the same
     matches and keep the work near linear in the text length.
     """
-    for found, written in ALWAYS_ADDRESSES.items():
-        text = F.replace(text, F.lit(found), F.lit(f"\n{tagged('address', written)}\n"))
-    ending = rf",\s{_STATE}(?:\s*\([^)]+\))?"
-    capitals = r"(?:\G|(?<![^a-z\s]))[^A-Za-z\s]*+[A-Z][^A-Za-z\s]*+[A-Z][^a-z\s]*[A-Z\s]*?"
-    start = r"(?:Route\s+|Exit\s+|Hwy\.\s+|(?:[NSEW]\.\s+)?\d+)"
-    pattern = rf"(?U)(\|URL end\||{capitals})\s*(?<!US\s)({start}[^|]*?{ending})"
+    ending = rf",{SPACE}{_STATE}(?:{SPACE}*\([^)]+\))?"
+    capitals = (rf"(?:\G|(?<![^a-z{WS}]))[^A-Za-z{WS}]*+[A-Z][^A-Za-z{WS}]*+"
+                rf"[A-Z][^a-z{WS}]*[A-Z{WS}]*?")
+    start = (rf"(?:Route{SPACE}+|Exit{SPACE}+|Hwy\.{SPACE}+"
+             rf"|(?:[NSEW]\.{SPACE}+)?\p{{Nd}}+)")
+    pattern = rf"(\|URL end\||{capitals}){SPACE}*(?<!US{SPACE})({start}[^|]*?{ending})"
     opened, closed = "|address start|", "|address end|"
 
     def searched(whole: Column) -> Column:
-        reach = F.length(F.regexp_extract(whole, rf"(?Us)^.*{ending}", 0))
+        reach = F.length(F.regexp_extract(whole, rf"(?s)^.*{ending}", 0))
         marked = gsub(F.substring(whole, F.lit(1), reach), pattern,
                       rf"$1\n{opened} $2 {closed}\n".replace(r"\n", "\n"))
         return F.concat(marked, F.substring(whole, reach + 1, F.length(whole)))
@@ -110,25 +110,31 @@ def mark_addresses(text: Column) -> Column:
         return F.when(F.contains(part, F.lit(opened)),
                       F.concat(before, F.lit(" "), collapse(address), F.lit(" "))).otherwise(part)
 
-    # every part but the last is closed by an end tag
-    parts = F.split(bind(text, searched), r"\|address end\|", -1)
-    text = F.array_join(
-        bind(parts, lambda p: F.transform(
-            p, lambda part, i: F.when(i < F.size(p) - 1, one_line(part)).otherwise(part))),
-        closed)
-    text = gsub(text, r"(?U)\|address start\|\s+\|address start\|", opened)
-    return gsub(text, r"(?U)\|address end\|\s+\|address end\|", closed)
+    def marked(whole: Column) -> Column:
+        for found, written in ALWAYS_ADDRESSES.items():
+            whole = F.replace(whole, F.lit(found), F.lit(f"\n{tagged('address', written)}\n"))
+        # every part but the last is closed by an end tag
+        parts = bind(F.split(bind(whole, searched), r"\|address end\|", -1), lambda p: F.transform(
+            p, lambda part, i: F.when(i < F.size(p) - 1, one_line(part)).otherwise(part)))
+        joined = gsub(F.array_join(parts, closed),
+                      rf"\|address start\|{SPACE}+\|address start\|", opened)
+        return gsub(joined, rf"\|address end\|{SPACE}+\|address end\|", closed)
+
+    # a text without any state after a comma, or an earlier tag, stays as it is
+    possible = rf",{SPACE}(?:{_STATE}|Tennessee)|\|address "
+    return bind(text, lambda whole: F.when(F.rlike(whole, F.lit(possible)), marked(whole))
+                .otherwise(whole))
 
 
 def mark_phones(text: Column) -> Column:
     """Tag a phone number, or the note that there is none, at a line start."""
-    return gsub(text, rf"(?Udm)^{BLANK}*(\d{{3}}-\d{{3}}-\d{{4}}|No phone)",
+    return gsub(text, rf"(?dm)^{BLANK}*(\p{{Nd}}{{3}}-\p{{Nd}}{{3}}-\p{{Nd}}{{4}}|No phone)",
                 tagged("phone") + "\n")
 
 
 def mark_hours(text: Column) -> Column:
     """Tag opening hours: a meal code or a parenthesis up to the first run of dollar signs."""
-    return gsub(text, rf"(?Udm)^{BLANK}*((?:{MEAL_CODES}|\([^)\n]+\))[^\n]*?\${{1,3}})",
+    return gsub(text, rf"(?dm)^{BLANK}*((?:{MEAL_CODES}|\([^)\n]+\))[^\n]*?\${{1,3}})",
                 tagged("hours") + "\n")
 
 
@@ -138,15 +144,15 @@ def mark_titles(text: Column) -> Column:
     first_word = rf"(?={NONSPACE}*?[{_CAP}][^{WS}\p{{L}}{_CAP}]*[{_CAP}])"
     shape = rf"(?!{never}{BLANK}*$){first_word}(?=[^\n]*\p{{IsUppercase}})"
     body = rf"([^\p{{IsLowercase}}|\n]*[^\p{{IsLowercase}}|{WS}])"
-    return gsub(text, rf"(?Udm)^{BLANK}*(?:(?={always}{BLANK}*$)|{shape}){body}{BLANK}*$",
+    return gsub(text, rf"(?dm)^{BLANK}*(?:(?={always}{BLANK}*$)|{shape}){body}{BLANK}*$",
                 tagged("title"))
 
 
 def mark_cost(text: Column) -> Column:
     """Move dollar signs at the end of the hours, or alone on a line, to a field of their own."""
-    text = gsub(text, r"(?U)\|\s*(\${1,3})\s*\|hours end\|",
+    text = gsub(text, rf"\|{SPACE}*(\${{1,3}}){SPACE}*\|hours end\|",
                 f" |hours end|\n{tagged('cost')}\n")
-    return gsub(text, rf"(?Udm)^{BLANK}*(\${{1,3}}){BLANK}*$", tagged("cost"))
+    return gsub(text, rf"(?dm)^{BLANK}*(\${{1,3}}){BLANK}*$", tagged("cost"))
 
 
 def mark_remaining_content(text: Column) -> Column:
@@ -173,22 +179,24 @@ def title_spacing(text: Column) -> Column:
     return bind(gsub(text, r"(?<!\n)\n++\|title start\|", f"\n{mark}"), spread)
 
 
-RULES = (drop_state_lines, strip_question_prefix, mark_urls, mark_addresses, mark_phones,
-         mark_hours, mark_titles, mark_cost, mark_remaining_content)
+# the rules in order, and whether what a rule leaves behind a tag may start with blanks
+RULES = ((drop_state_lines, False), (strip_question_prefix, False), (mark_urls, False),
+         (mark_addresses, True), (mark_phones, True), (mark_hours, True), (mark_titles, False),
+         (mark_cost, True), (mark_remaining_content, False))
 
 
 def mark_document(text: Column) -> Column:
-    """All rules in their order, with the lines trimmed in between."""
+    """All rules in their order; lines are kept trimmed throughout."""
     text = left_trim_lines(normalize_quotes(text))
-    for rule in RULES:
-        text = left_trim_lines(rule(text))
+    for rule, leaves_blanks in RULES:
+        text = left_trim_lines(rule(text)) if leaves_blanks else rule(text)
     return title_spacing(text)
 
 
 def tagged_values(text: Column, field: str) -> Column:
     """All values between one tag pair on one line."""
     return F.regexp_extract_all(
-        text, F.lit(rf"(?Ud)\|{field} start\|\s*(.*?)\s*\|{field} end\|"), F.lit(1))
+        text, F.lit(rf"(?d)\|{field} start\|{SPACE}*(.*?){SPACE}*\|{field} end\|"), F.lit(1))
 
 
 def field_array(text: Column) -> Column:
@@ -198,5 +206,5 @@ def field_array(text: Column) -> Column:
         text, F.lit(rf"(?s)\|({names}) start\|.*?\|\1 end\|"), F.lit(0))
     return F.transform(whole, lambda m: F.struct(
         F.regexp_extract(m, r"^\|(\w+) start\|", 1).alias("field"),
-        F.regexp_extract(m, rf"(?Us)^\|\w+ start\|{SPACE}*(.*?){SPACE}*\|\w+ end\|\z", 1)
+        F.regexp_extract(m, rf"(?s)^\|\w+ start\|{SPACE}*(.*?){SPACE}*\|\w+ end\|\z", 1)
         .alias("value")))

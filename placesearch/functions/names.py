@@ -17,14 +17,14 @@ def merge_key(name: Column) -> Column:
 
 def extract_state(address: Column) -> Column:
     """Two capitals at the end or before a ZIP code, else two capitals after a comma."""
-    at_end = F.regexp_extract(address, r"(?U)([A-Z]{2})(?:(?d:$)|\s+\d{5})", 1)
-    after_comma = F.regexp_extract(address, r"(?U),\s*([A-Z]{2})(?:(?d:$)|\s)", 1)
+    at_end = F.regexp_extract(address, rf"([A-Z]{{2}})(?:(?d:$)|{SPACE}+\p{{Nd}}{{5}})", 1)
+    after_comma = F.regexp_extract(address, rf",{SPACE}*([A-Z]{{2}})(?:(?d:$)|{SPACE})", 1)
     return F.coalesce(F.nullif(at_end, F.lit("")), F.nullif(after_comma, F.lit("")))
 
 
 def token_sort(name: Column) -> Column:
     """The words of a name in order, joined by a blank."""
-    words = F.split(strip(name), rf"(?U){SPACE}+", -1)
+    words = F.split(strip(name), rf"{SPACE}+", -1)
     return F.array_join(F.array_sort(words), " ")
 
 

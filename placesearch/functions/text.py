@@ -10,9 +10,13 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
-WS = r"\s\x1C-\x1F"            # for use inside [...] under (?U)
-SPACE = rf"[{WS}]"             # any whitespace
-BLANK = rf"[{WS}&&[^\n]]"      # whitespace inside a line
+# Every whitespace character, as text and for use inside [...].
+WHITESPACE = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680,
+                               *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+_REST = r"\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+WS = rf"\t-\r{_REST}"
+SPACE = rf"[{WS}]"                       # any whitespace
+BLANK = rf"[\t\x0B-\r{_REST}]"          # whitespace inside a line
 NONSPACE = rf"[^{WS}]"
 
 
@@ -26,18 +30,18 @@ def gsub(text: Column, pattern: str, replacement: str) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return gsub(text, rf"(?U)^{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(text, F.lit(WHITESPACE))
 
 
 def collapse(text: Column) -> Column:
     """Strip, and turn every run of whitespace into one blank."""
-    return gsub(strip(text), rf"(?U){SPACE}+", " ")
+    return gsub(strip(text), rf"{SPACE}+", " ")
 
 
 def collapse_lines(text: Column) -> Column:
     """Collapse whitespace inside each line and drop empty lines."""
-    joined = gsub(text, rf"(?U)(?<!{BLANK}){BLANK}*+\n{SPACE}*+", "\n")
-    return strip(gsub(joined, rf"(?U){BLANK}+", " "))
+    joined = gsub(text, rf"(?<!{BLANK}){BLANK}*+\n{SPACE}*+", "\n")
+    return strip(gsub(joined, rf"{BLANK}+", " "))
 
 
 def lines(text: Column) -> Column:

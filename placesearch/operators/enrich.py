@@ -47,7 +47,7 @@ def build_prompts(records: DataFrame, template: str = PROMPT) -> DataFrame:
 
 def parse_answers(answers: DataFrame) -> DataFrame:
     """``row_id, answer`` -> derived fields and ``parsed``; a missing key gives an empty field."""
-    bare = gsub(strip(F.col("answer")), rf"(?U)^```json{SPACE}*|{SPACE}*```\z", "")
+    bare = gsub(strip(F.col("answer")), rf"^```json{SPACE}*|{SPACE}*```\z", "")
     loaded = answers.select("row_id", "answer", F.try_parse_json(bare).alias("v"))
     # only an object has the two keys
     is_object = F.coalesce(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")), F.lit(False))

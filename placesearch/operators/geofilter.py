@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from placesearch.functions import geo
 from placesearch.operators.blocks import BLOCK_ROWS
+from placesearch.operators.rows import explode_once
 from placesearch.operators.vectors import DEFAULT_K, knn_keyed
 
 NO_FILTER = "*"
@@ -25,10 +26,10 @@ def city_lookup(queries: DataFrame, directory: DataFrame) -> DataFrame:
     cities = (directory.select("City", "State").dropna().distinct()
               .withColumn("phrase", F.array_join(geo.words(F.col("City")), " ")))
     longest = cities.agg(F.max(F.size(geo.words(F.col("City")))).alias("n")).first().n or 1
-    # read each text once, before its phrases become rows
-    read = queries.select("query_id", geo.state_codes(F.col("text")).alias("named"),
-                          geo.phrases(F.col("text"), longest).alias("phrases"))
-    asked = read.select("query_id", "named", F.explode("phrases").alias("phrase"))
+    # each text is read once, before its phrases become rows
+    read = queries.select("query_id", geo.state_codes(F.col("text")).alias("named"), "text")
+    asked = explode_once(read, ["query_id", "named"], geo.phrases(F.col("text"), longest),
+                         "phrase").drop("pos")
     found = (asked.join(cities, "phrase").groupBy("query_id", "City", "named")
              .agg(F.collect_set("State").alias("states")))       # at most one per state
     both = F.array_intersect("states", "named")
@@ -61,7 +62,7 @@ def clauses(filters: DataFrame) -> DataFrame:
                          lambda c: F.concat_ws("|", c["city"], c["state"]))
     every = F.array_distinct(F.concat(rows("State", F.col("states")), rows("Region", F.col("regions")),
                                       rows("State", F.col("broad")), rows("City|State", cities)))
-    return filters.select("query_id", F.posexplode(every).alias("clause_no", "c")).select(
+    return explode_once(filters, ["query_id"], every, "c", "clause_no").select(
         "query_id", "clause_no", "c.field", "c.value")
 
 

@@ -114,7 +114,8 @@ def top_entities(scores: DataFrame, searches: DataFrame, n: int = 10) -> DataFra
             .agg(F.count_distinct("search_id").alias("search_count"),
                  F.avg("similarity_score").alias("avg_similarity_score"),
                  F.avg("rank").alias("avg_rank"))
-            .orderBy(F.col("search_count").desc(), *place).limit(n))
+            .orderBy(F.col("search_count").desc(), *[F.col(c).asc_nulls_last() for c in place])
+            .limit(n))
 
 
 def cascade_delete(searches: DataFrame, scores: DataFrame,

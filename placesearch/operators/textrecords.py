@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from placesearch.functions.marking import FIELDS, field_array, mark_document, tagged_values
 from placesearch.functions.text import bind, collapse, collapse_lines
+from placesearch.operators.rows import explode_once
 
 SINGLE_FIELDS = tuple(f for f in FIELDS if f != "content")
 
@@ -21,14 +22,13 @@ def mark_texts(books: DataFrame) -> DataFrame:
 
 def find_values(marked: DataFrame, field: str) -> DataFrame:
     """One row per tagged value of ``field``: ``doc_id, pos, value``."""
-    return marked.select("doc_id", F.posexplode(tagged_values(F.col("text"), field))
-                         .alias("pos", "value"))
+    return explode_once(marked, ["doc_id"], tagged_values(F.col("text"), field), "value")
 
 
 def field_stream(marked: DataFrame) -> DataFrame:
     """Every tagged field in document order: ``doc_id, pos, field, value``."""
-    return (marked.select("doc_id", F.posexplode(field_array(F.col("text"))).alias("pos", "f"))
-            .select("doc_id", "pos", "f.field", "f.value"))
+    return explode_once(marked, ["doc_id"], field_array(F.col("text")), "f").select(
+        "doc_id", "pos", "f.field", "f.value")
 
 
 def _title_positions(fields: Column) -> Column:
@@ -58,7 +58,7 @@ def _validation_starts(fields: Column) -> Column:
 def _sequences(marked: DataFrame, starts) -> DataFrame:
     cut = bind(field_array(F.col("text")), lambda fields: F.when(
         F.size(fields) > 0, bind(starts(fields), lambda s: _cut(fields, s))))
-    return marked.select("doc_id", F.posexplode(cut).alias("pos", "fields")).select(
+    return explode_once(marked, ["doc_id"], cut, "fields").select(
         "doc_id", (F.col("pos") + 1).alias("rec"), "fields")
 
 

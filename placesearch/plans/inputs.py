@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from placesearch.functions.lexicon import BOOK_STATES
+from placesearch.session import spread
 
 STATES = tuple(BOOK_STATES)[:25]            # one per nation key
 REGIONS = ("Deep South", "Great Plains", "Mid-Atlantic", "Mid-South", "Midwest", "New England",
@@ -465,7 +466,7 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     answer = (F.when(key % 5 == 0, "IN_SCOPE").when(key % 5 == 1, " in_scope, surely")
               .when(key % 5 == 2, "OUT_OF_SCOPE").when(key % 5 == 3, "Error"))
     n = vectors.count()
-    return table(spark, sf_dir, "events").select(
+    return spread(table(spark, sf_dir, "events").select("event_id", "user_id")).select(
         key.alias("query_id"), text.alias("text"), answer.alias("answer"),
         (key % n).alias("vec_id")).join(
             vectors.select("vec_id", F.col("embedding").alias("vector")), "vec_id").drop("vec_id")

@@ -10,6 +10,7 @@ from placesearch.plans.inputs import (
     SQL_LINE_TEXTS, SQL_PLACES, books, line_texts, sql_list, table,
 )
 from placesearch.functions.lexicon import STATE_LINES
+from placesearch.session import spread
 
 
 def _line_rule(rule):
@@ -55,7 +56,7 @@ QUERIES = {
     "record_ids": lambda spark, d: rec.record_ids(_marked(spark, d)),
     "extract_records": lambda spark, d: rec.extract_records(_marked(spark, d)),
     "validate_records": lambda spark, d: rec.validate_records(_marked(spark, d)),
-    "mark_document": lambda spark, d: table(spark, d, "documents").select(
+    "mark_document": lambda spark, d: spread(table(spark, d, "documents").select("doc_id", "text")).select(
         "doc_id", m.mark_document(F.col("text")).alias("text")),
 }
 
