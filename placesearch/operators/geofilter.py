@@ -8,6 +8,7 @@ from placesearch.functions import geo
 from placesearch.operators.blocks import BLOCK_ROWS
 from placesearch.operators.rows import explode_once
 from placesearch.operators.vectors import DEFAULT_K, knn_keyed
+from placesearch.session import cut_lineage
 
 NO_FILTER = "*"
 
@@ -82,7 +83,8 @@ def filtered_search(queries: DataFrame, docs: DataFrame, k: int = DEFAULT_K,
     Region``.  Queries and documents meet on the clause they share; queries that name no place
     share the open clause with every document.
     """
-    asked = clauses(query_filters(queries, docs)).select("query_id", "field", "value")
+    # texts are read once; counts and blocks then start from the short clause table
+    asked = cut_lineage(clauses(query_filters(queries, docs)).select("query_id", "field", "value"))
     keyed = queries.select("query_id", "vector").join(asked, "query_id", "left").fillna(
         NO_FILTER, ["field", "value"])
     return knn_keyed(_document_keys(docs), keyed, ["field", "value"], k, block_rows)

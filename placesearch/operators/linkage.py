@@ -126,6 +126,8 @@ def name_scores(names: DataFrame, candidates: DataFrame,
     """
     rights = (candidates.select("State", token_sort(F.col("name")).alias("right_key"), "position")
               .groupBy("State", "right_key").agg(F.min("position").alias("position")))
+    # both are short tables of distinct names, read several times below
+    rights, names = cut_lineage(rights), cut_lineage(names)
     same = names.join(rights.withColumnRenamed("right_key", "left_key"), ["State", "left_key"])
     rest = names.join(rights.select("State", F.col("right_key").alias("left_key")),
                       ["State", "left_key"], "left_anti")
@@ -189,8 +191,8 @@ def link(guide: DataFrame, directory: DataFrame, high: float = HIGH,
          low: float = LOW) -> Linkage:
     """All three passes; each table of matches is written out before the next pass reads it."""
     exact = exact_link(guide, directory)
-    unmatched = unmatched_rows(exact)
-    unused = edition_filter(unused_directory(directory, exact))
+    unmatched = cut_lineage(unmatched_rows(exact).select("row_id", "title", "State"))
+    unused = cut_lineage(edition_filter(unused_directory(directory, exact)))
     best_high = cut_lineage(best_match(unmatched, unused))
     accepted_high = accept(best_high, high)
     taken = accepted_high.select(F.col("candidate.ID").alias("ID")).distinct()
@@ -220,16 +222,18 @@ def unused_report(directory: DataFrame, linked: DataFrame) -> DataFrame:
 
 def pass_summary(guide: DataFrame, done: Linkage) -> DataFrame:
     """Matches of each pass, the match rate so far and the rows still unmatched."""
-    total = guide.agg(F.count("*").alias("total"))
-    parts = [done.exact.agg(F.count("Restaurant").alias("matches"),
-                            F.count_if(F.col("ID").isNull()).alias("open"))]
-    parts += [p.agg(F.count("*").alias("matches"), (-F.count("*")).alias("open"))
-              for p in (done.high, done.low)]
-    steps = reduce(DataFrame.unionByName, [
-        p.withColumns({"pass_no": F.lit(i + 1), "pass": F.lit(name), "_all": F.lit(1)})
-        for i, (p, name) in enumerate(zip(parts, ("exact", "high", "low")))])
-    so_far = Window.partitionBy("_all").orderBy("pass_no")        # three rows
-    return steps.join(total.withColumn("_all", F.lit(1)), "_all").select(
+    steps = [("all", guide.agg(F.count("*").alias("matches"), F.lit(0).alias("open"))),
+             ("exact", done.exact.agg(F.count("Restaurant").alias("matches"),
+                                      F.count_if(F.col("ID").isNull()).alias("open")))]
+    steps += [(name, p.agg(F.count("*").alias("matches"), (-F.count("*")).alias("open")))
+              for name, p in (("high", done.high), ("low", done.low))]
+    table = reduce(DataFrame.unionByName, [
+        p.withColumns({"pass_no": F.lit(i), "pass": F.lit(name), "_all": F.lit(1)})
+        for i, (name, p) in enumerate(steps)])                    # four rows
+    whole = Window.partitionBy("_all")
+    so_far = whole.orderBy("pass_no")
+    total = F.max(F.when(F.col("pass_no") == 0, F.col("matches"))).over(whole)
+    return table.select(
         "pass_no", "pass", "matches",
-        (F.sum("matches").over(so_far) / F.col("total") * 100).alias("match_rate"),
-        F.sum("open").over(so_far).alias("remaining"))
+        ((F.sum("matches").over(so_far) - total) / total * 100).alias("match_rate"),
+        F.sum("open").over(so_far).alias("remaining")).filter("pass_no > 0")

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Sizes, allowed keys and roles, billing rules.
 SAMPLE_SIZE, TEST_SHARE, SEED = 250, 0.2, 42
@@ -54,30 +53,26 @@ def to_messages(rows: DataFrame, prompt: str = "summary_q", completion: str = "c
         F.struct(F.lit(role).alias("role"), text.alias("content")) for role, text in said]))
 
 
-def _nth_order(rows: DataFrame, n: int) -> str | None:
-    """The ``n``-th smallest value of ``_order``, by way of counts per leading digits."""
-    counts = rows.groupBy(F.substring("_order", 1, 4).alias("head")).agg(F.count("*").alias("n"))
-    before = 0
-    for row in counts.orderBy("head").toLocalIterator():        # at most 16^4 rows
-        if before + row.n >= n:
-            inside = rows.filter(F.startswith("_order", F.lit(row["head"]))).select("_order")
-            last = inside.orderBy("_order").limit(n - before).agg(F.max("_order").alias("m"))
-            return last.first().m
-        before += row.n
-    return None
-
-
 def train_test_split(rows: DataFrame, row_id: str, test_share: float = TEST_SHARE,
                      seed: int = SEED) -> DataFrame:
     """Add ``split``: exactly the rounded-up share is ``test``, the rest ``train``.
 
-    The cut is one hash value, so the rows themselves are neither sorted nor shuffled.
+    The cut is one hash value, so the rows themselves are neither sorted nor shuffled.  It is
+    found from counts per leading digits, of which there are at most 16^4.
     """
     ordered = rows.withColumn("_order", hash_order(row_id, seed))
-    n_test = math.ceil(ordered.count() * test_share)
-    cut = _nth_order(ordered.select("_order"), n_test) if n_test else None
-    test = F.col("_order") <= cut if cut else F.lit(False)
-    return ordered.withColumn("split", F.when(test, "test").otherwise("train")).drop("_order")
+    heads = ordered.groupBy(F.substring("_order", 1, 4).alias("head")).agg(F.count("*").alias("n"))
+    whole = Window.partitionBy(F.lit(1))
+    n_test = F.ceil(F.sum("n").over(whole) * F.lit(test_share))
+    counted = heads.select("head", (n_test - F.sum("n").over(whole.orderBy("head")) + F.col("n"))
+                           .alias("wanted"), "n")
+    at = counted.filter("wanted BETWEEN 1 AND n").first()
+    if at is None:
+        return ordered.withColumn("split", F.lit("train")).drop("_order")
+    inside = ordered.filter(F.startswith("_order", F.lit(at["head"]))).select("_order")
+    cut = inside.orderBy("_order").limit(at.wanted).agg(F.max("_order").alias("m")).first().m
+    return ordered.withColumn(
+        "split", F.when(F.col("_order") <= cut, "test").otherwise("train")).drop("_order")
 
 
 def split_counts_ok(split: DataFrame, expected: int, test_share: float = TEST_SHARE) -> DataFrame:
@@ -271,7 +266,10 @@ def profile(examples: DataFrame, tokens: Callable[[Column], Column] = word_token
 
 def gated_profile(lines: DataFrame, tokens: Callable[[Column], Column] = word_tokens) -> DataFrame:
     """The profile, only if no line has a format error."""
-    clean = validate_format(lines).agg(F.sum("n").alias("errors")).filter("errors = 0").select(
-        F.lit(1).alias("_gate"))
-    return (profile(typed_examples(lines), tokens).withColumn("_gate", F.lit(1))
-            .join(clean, "_gate", "left_semi").drop("_gate"))
+    errors = validate_format(lines).agg(F.sum("n").cast("double").alias("value")).select(
+        F.lit("errors").alias("measure"), "value")
+    rows = profile(typed_examples(lines), tokens).unionByName(errors)     # a few rows
+    found = F.max(F.when(F.col("measure") == "errors", F.col("value"))).over(
+        Window.partitionBy(F.lit(1)))
+    return (rows.withColumn("_errors", found)
+            .filter((F.col("_errors") == 0) & (F.col("measure") != "errors")).drop("_errors"))

@@ -140,8 +140,7 @@ def knn_batch(docs: DataFrame, queries: DataFrame, k: int = DEFAULT_K,
     numbers = queries.agg(F.sum(F.size("vector"))).first()[0] or 0
     if numbers <= broadcast_numbers:
         return _knn_broadcast(docs, queries, k)
-    return _knn_blocks(docs.withColumn("key", F.lit(0)), queries.withColumn("key", F.lit(0)),
-                       ["key"], k, block_rows)
+    return _knn_blocks(docs, queries, [], k, block_rows)
 
 
 def knn_keyed(docs: DataFrame, queries: DataFrame, keys: list[str], k: int = DEFAULT_K,

@@ -63,9 +63,9 @@ def _chat(spark, d):
 def _log(spark, d):
     path = new_folder(spark)
     searches, scores = search_log(spark, d), score_log(spark, d)
-    early = F.col("timestamp") < "2024-01-15"
-    files.append_search_log(searches.filter(early), scores, path)
-    files.append_search_log(searches.filter(~early), scores.limit(0), path)
+    early, first = F.col("timestamp") < "2024-01-15", F.col("rank") < 4
+    files.append_search_log(searches.filter(early), scores.filter(first), path)
+    files.append_search_log(searches.filter(~early), scores.filter(~first), path)
     stored, hits = files.read_search_log(spark, path)
     return log.searches_with_scores(stored, hits).groupBy("search_id", "num_results").agg(
         F.count("rank").alias("hits"))

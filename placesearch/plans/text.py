@@ -56,6 +56,7 @@ QUERIES = {
     "record_ids": lambda spark, d: rec.record_ids(_marked(spark, d)),
     "extract_records": lambda spark, d: rec.extract_records(_marked(spark, d)),
     "validate_records": lambda spark, d: rec.validate_records(_marked(spark, d)),
+    "mark_books": _marked,
     "mark_document": lambda spark, d: spread(table(spark, d, "documents").select("doc_id", "text")).select(
         "doc_id", m.mark_document(F.col("text")).alias("text")),
 }
@@ -172,6 +173,10 @@ SQL = {
         OVER (PARTITION BY doc_id ORDER BY pos))::INT AS rec FROM stream)
       SELECT doc_id, rec, (row_number() OVER (PARTITION BY doc_id, rec ORDER BY pos) - 1)::INT AS pos,
         field, value FROM r""",
+    "mark_books": _FIELD_ROWS + """SELECT doc_id, string_agg(
+        CASE WHEN field = 'title' AND pos > 1 THEN chr(10) ELSE '' END || '|' || field || ' start| '
+        || CASE WHEN value = 'LD' THEN 'LD ' ELSE value END || ' |' || field || ' end|',
+        chr(10) ORDER BY pos) AS text FROM stream GROUP BY doc_id""",
     "extract_records": f"""WITH {SQL_PLACES}
       SELECT doc_id, n::INT AS rec, title, url AS "URL", address, phone,
         CASE WHEN key % 2 = 0 THEN 'LD' ELSE hours END AS hours, cost,

@@ -35,6 +35,15 @@ def _docs(spark, d):
     return searchdocs.build_documents(directory(spark, d))
 
 
+def _metadata(spark, d):
+    """The metadata object of each document, read back field by field."""
+    found = searchdocs.metadata_columns(_docs(spark, d))
+    return found.select("page_content", *[
+        F.get_json_object("metadata", f"$.{name}").alias(alias)
+        for name, alias in (("ID", "ID"), ("State Name", "state_name"), ("Honor Roll", "honor_roll"),
+                            ("sig_item", "sig_item"), ("content", "content"))])
+
+
 def _report(spark, d):
     docs = _docs(spark, d).select(F.col("ID").alias("doc_id"), "page_content", "Restaurant", "City")
     found = vectors.knn_batch(documents(spark, d), every_query(spark, d), 3)
@@ -50,7 +59,7 @@ QUERIES = {
         "ID", searchdocs.state_name(F.col("State")).alias("state_name"),
         searchdocs.state_name(F.substring("geohash", 1, 2)).alias("unknown_name")),
     "compose_document": lambda spark, d: _docs(spark, d).select("ID", "page_content"),
-    "metadata_columns": lambda spark, d: searchdocs.metadata_columns(_docs(spark, d)),
+    "metadata_columns": _metadata,
     "knn": lambda spark, d: _rounded(vectors.knn(documents(spark, d), centre(spark, d), 10)),
     "knn_filtered": lambda spark, d: _rounded(vectors.knn(
         documents(spark, d), centre(spark, d), 10, F.col("label").isin(1, 3))),
@@ -99,6 +108,8 @@ SQL = {
       SELECT "ID", name AS state_name, NULL::VARCHAR AS unknown_name
       FROM directory LEFT JOIN names ON code = "State" """,
     "compose_document": f'WITH {_DOCS} SELECT "ID", page_content FROM docs',
+    "metadata_columns": f"""WITH {_DOCS} SELECT page_content, "ID"::VARCHAR AS "ID",
+      "State Name" AS state_name, "Honor Roll" AS honor_roll, sig_item, NULL::VARCHAR AS content FROM docs""",
     "knn": f"WITH {_CENTRE} SELECT {_NEAR} FROM embeddings, centre QUALIFY rank <= 10",
     "knn_filtered": f"""WITH {_CENTRE} SELECT {_NEAR} FROM embeddings, centre
       WHERE label IN (1, 3) QUALIFY rank <= 10""",
