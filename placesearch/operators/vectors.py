@@ -30,6 +30,12 @@ def squared_distance(a: Column, b: Column) -> Column:
                        F.lit(0.0), lambda total, d: total + d * d)
 
 
+def _usable(docs: DataFrame, where: Column | None = None) -> DataFrame:
+    """Documents the filter keeps; one without a vector is near to nothing."""
+    docs = docs.filter(F.col("embedding").isNotNull())
+    return docs if where is None else docs.filter(where)
+
+
 def knn(docs: DataFrame, vector: list[float] | None, k: int = DEFAULT_K,
         where: Column | None = None) -> DataFrame:
     """The ``k`` documents nearest to one query vector, with rank and distance.
@@ -38,8 +44,7 @@ def knn(docs: DataFrame, vector: list[float] | None, k: int = DEFAULT_K,
     distance is computed; each task keeps its own ``k`` best.
     """
     check_k(k)
-    if where is not None:
-        docs = docs.filter(where)
+    docs = _usable(docs, where)
     if not vector:
         docs, vector = docs.filter(F.lit(False)), []
     query = F.array(*[F.lit(float(v)) for v in vector]).cast("array<double>")
@@ -134,9 +139,8 @@ def knn_batch(docs: DataFrame, queries: DataFrame, k: int = DEFAULT_K,
     they are broadcast and documents are not moved; beyond that both sides meet in blocks.
     """
     check_k(k)
-    if where is not None:
-        docs = docs.filter(where)
-    docs, queries = docs.select("doc_id", "embedding"), queries.select("query_id", "vector")
+    docs = _usable(docs, where).select("doc_id", "embedding")
+    queries = queries.filter(F.col("vector").isNotNull()).select("query_id", "vector")
     numbers = queries.agg(F.sum(F.size("vector"))).first()[0] or 0
     if numbers <= broadcast_numbers:
         return _knn_broadcast(docs, queries, k)
@@ -150,8 +154,9 @@ def knn_keyed(docs: DataFrame, queries: DataFrame, keys: list[str], k: int = DEF
     Both sides may list a row under several keys.
     """
     check_k(k)
-    return _knn_blocks(docs.select("doc_id", "embedding", *keys),
-                       queries.select("query_id", "vector", *keys), keys, k, block_rows)
+    asked = queries.filter(F.col("vector").isNotNull()).select("query_id", "vector", *keys)
+    return _knn_blocks(_usable(docs).select("doc_id", "embedding", *keys), asked, keys, k,
+                       block_rows)
 
 
 def _bucket_keys(dims: int, tables: int, hashes: int, width: float, seed: int):
@@ -173,10 +178,11 @@ def knn_approx(docs: DataFrame, queries: DataFrame, k: int = DEFAULT_K, tables:
                block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Approximate ``knn_batch``: only rows in a common random-projection bucket are compared."""
     check_k(k)
-    first = queries.select(F.size("vector").alias("n")).first()
+    first = queries.select(F.size("vector").alias("n")).filter("n > 0").first()
     if first is None:
         return _knn_broadcast(docs.select("doc_id", "embedding"), queries, k)
     keys = _bucket_keys(first.n, tables, hashes, width, seed)
+    docs, queries = _usable(docs), queries.filter(F.col("vector").isNotNull())
     return knn_keyed(docs.withColumn("bucket", F.explode(keys("embedding"))),
                      queries.withColumn("bucket", F.explode(keys("vector"))), ["bucket"], k,
                      block_rows)

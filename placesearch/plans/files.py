@@ -7,11 +7,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from placesearch.functions.marking import normalize_quotes
-from placesearch.operators import searchlog as log, trainset as tr
+from placesearch.operators import searchlog as log, textrecords as rec, trainset as tr
 from placesearch.plans.inputs import (
-    SQL_DIRECTORY, SQL_ENRICHED, SQL_LINE_TEXTS, SQL_LOG, SQL_PLACES, books, directory, enriched,
-    line_texts, score_log, search_log, turns,
+    SQL_DIRECTORY, SQL_ENRICHED, SQL_LINE_TEXTS, SQL_LOG, SQL_PLACES, SQL_TURNS, books, chat_lines,
+    directory, enriched, line_texts, score_log, search_log, turns,
 )
+from placesearch.plans.text import SQL as TEXT_SQL
 from placesearch.plans.training import SQL as TRAINING_SQL
 from placesearch.session import shared_folder
 from placesearch.sources import files
@@ -28,6 +29,21 @@ def _records_csv(spark, d):
         spark, path, "row_id long, Restaurant string, content string, sig_item string, summary_q string")
 
 
+def _extracted_csv(spark, d):
+    path = new_folder(spark)
+    records = rec.extract_records(rec.mark_texts(books(spark, d)))
+    files.write_records_csv(records.select("title", "URL", "address", "phone", "hours", "cost",
+                                           "content"), path)
+    return files.read_records_csv(spark, path)
+
+
+def _chat_lines(spark, d):
+    path = new_folder(spark)
+    chat_lines(spark, d).select("value").write.text(path)
+    return files.read_chat_jsonl(spark, path).groupBy("readable").agg(
+        F.count("*").alias("n"), F.count_if(F.col("value") == "[1, 2]").alias("lists"))
+
+
 def _directory(spark, d):
     path = new_folder(spark)
     wanted = directory(spark, d).withColumn("10th Ed.", F.when(F.col("ID") % 2 == 0, "y"))
@@ -80,6 +96,8 @@ def _index(spark, d):
 
 QUERIES = {
     "read_records_csv": _records_csv,
+    "write_records_csv": _extracted_csv,
+    "read_chat_jsonl": _chat_lines,
     "read_directory": _directory,
     "read_book_text": _book_text,
     "write_marked_text": _marked_text,
@@ -93,6 +111,10 @@ _CELL = "CASE WHEN {0} NOT IN (" + ", ".join(f"'{w}'" for w in files.NOTHING) +
 SQL = {
     "read_records_csv": f"""WITH {SQL_ENRICHED} SELECT row_id, "Restaurant",
       {_CELL.format('content')}, {_CELL.format('sig_item')}, {_CELL.format('summary_q')} FROM enriched""",
+    "write_records_csv": f"""SELECT title, "URL", address, phone, hours, cost,
+      nullif(content, '') AS content FROM ({TEXT_SQL['extract_records']})""",
+    "read_chat_jsonl": f"""WITH {SQL_TURNS} SELECT kind <> 11 AS readable, count(*) AS n,
+      count(*) FILTER (WHERE kind = 5) AS lists FROM turns GROUP BY kind <> 11""",
     "read_directory": f"""WITH {SQL_DIRECTORY} SELECT "ID", "Restaurant", "State", "City", "Address",
       "Region", "Crossout", "Honor Roll", "Recommend", long, lat, geohash,
       CASE WHEN "ID" % 2 = 0 THEN 'y' END AS "10th Ed." FROM directory""",

@@ -10,20 +10,25 @@ from placesearch.plans.inputs import (
 )
 
 
+def _as_text(df: DataFrame, column: str) -> DataFrame:
+    """Times as text, so that both engines write them alike."""
+    return df.withColumn(column, F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
 def _logged(spark, d):
     return search_log(spark, d), score_log(spark, d)
 
 
 def _search_rows(spark, d):
     rows = log.search_rows(requests(spark, d))
-    return rows.select("query", "timestamp", "user_id", "langsmith_run_id", "filter_applied",
+    return _as_text(rows, "timestamp").select("query", "timestamp", "user_id", "langsmith_run_id", "filter_applied",
                        "num_results", "search_type", "feedback_success",
                        F.length("search_id").alias("id_length"))
 
 
 def _score_rows(spark, d):
     asked = requests(spark, d).withColumn("search_id", F.col("langsmith_run_id"))
-    return log.score_rows(asked).drop("id", "metadata")
+    return _as_text(log.score_rows(asked).drop("id", "metadata"), "created_at")
 
 
 def _get_search(spark, d):
@@ -101,7 +106,8 @@ QUERIES = {
     "search_rows": _search_rows,
     "score_rows": _score_rows,
     "get_search": _get_search,
-    "searches_with_scores": lambda spark, d: log.searches_with_scores(*_logged(spark, d)),
+    "searches_with_scores": lambda spark, d: _as_text(
+        log.searches_with_scores(*_logged(spark, d)), "timestamp"),
     "daily_analytics": _daily,
     "top_entities": _top,
     "check_constraints": lambda spark, d: contracts.check_constraints(*flawed(spark, d)),
@@ -112,6 +118,7 @@ QUERIES = {
     "required_columns": _required,
 }
 
+_TIME = """strftime("timestamp", '%Y-%m-%d %H:%M:%S.%f')"""
 _VIEW = """s.id, s.search_id, s.query, s."timestamp", s.user_id, s.langsmith_run_id,
   s.filter_applied, s.num_results, s.search_type, s.feedback_success, s.feedback_reason,
   r.restaurant_id, r.restaurant_name, r.city, r.state, r.region, r.honor_roll, r.recommend,
@@ -189,7 +196,7 @@ _COLUMN_ROWS = ", ".join(f"('{t}', 'column', '{c}', '{k}')"
                          for t, columns in _COLUMNS.items() for c, k in columns.items())
 
 SQL = {
-    "search_rows": f"""WITH {SQL_REQUESTS} SELECT query, "timestamp", user_id, langsmith_run_id,
+    "search_rows": f"""WITH {SQL_REQUESTS} SELECT query, {_TIME} AS "timestamp", user_id, langsmith_run_id,
       filter_applied, found AS num_results, CASE WHEN article THEN 'summary' ELSE 'detailed' END
       AS search_type, NULL::VARCHAR AS feedback_success, 32 AS id_length FROM requests""",
     "score_rows": f"""WITH {SQL_REQUESTS} SELECT 'run-' || event_id AS search_id,
@@ -198,12 +205,12 @@ SQL = {
       coalesce("Recommend", 'n') AS recommend, NULL::VARCHAR AS relevant,
       NULL::DOUBLE AS adjusted_score, long AS longitude, lat AS latitude,
       coalesce(sig_item, '') AS sig_item, "URL" AS url, similarity_score, rank,
-      "timestamp" AS created_at FROM results""",
+      {_TIME} AS created_at FROM results""",
     "get_search": f"""WITH {SQL_LOG}, latest AS (
         SELECT * FROM search_log ORDER BY "timestamp" DESC, search_id DESC LIMIT 1)
       SELECT s.search_id, s.query, s.num_results, s.search_type, {_VIEW[_VIEW.index('r.rest'):]}
       FROM latest s LEFT JOIN score_log r ON s.search_id = r.search_id""",
-    "searches_with_scores": f"""WITH {SQL_LOG} SELECT {_VIEW} FROM search_log s
+    "searches_with_scores": f"""WITH {SQL_LOG} SELECT {_VIEW.replace('s."timestamp"', _TIME + ' AS "timestamp"')} FROM search_log s
       LEFT JOIN score_log r ON s.search_id = r.search_id""",
     "daily_analytics": f"""WITH {SQL_LOG} SELECT strftime("timestamp", '%Y-%m-%d') AS search_date,
       count(DISTINCT search_id) AS total_searches, count(DISTINCT query) AS unique_queries,
