@@ -10,7 +10,7 @@ from placesearch.functions.text import (
 
 RULE = "-" * 50
 # noncharacters: they never occur in interchanged text
-_STEP, _EDGE = "﷑", "﷒"
+_STEP, _EDGE = "\ufdd1", "\ufdd2"
 
 
 def _held(i: Column) -> Column:

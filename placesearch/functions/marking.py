@@ -41,7 +41,7 @@ FIELDS = ("title", "URL", "address", "phone", "hours", "cost", "content")
 
 _STATE = "(?:" + "|".join(BOOK_STATES) + ")"
 _CAP = r"\p{IsUppercase}\p{Nd}"
-_BREAK = "﷐"  # a noncharacter: never part of interchanged text
+_BREAK = "\ufdd0"  # a noncharacter: never part of interchanged text
 
 
 def tagged(field: str, value: str = "$1") -> str:

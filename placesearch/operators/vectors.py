@@ -50,13 +50,15 @@ def knn(docs: DataFrame, vector: list[float] | None, k: int = DEFAULT_K,
     query = F.array(*[F.lit(float(v)) for v in vector]).cast("array<double>")
     near = (docs.withColumn("distance", squared_distance(F.col("embedding"), query))
             .orderBy("distance", "doc_id").limit(k))
-    best = F.array_sort(F.collect_list(F.struct("distance", "doc_id", F.struct(
-        *[c for c in docs.columns if c not in ("doc_id", "embedding")] or [F.lit(0).alias("_")])
-        .alias("m"))))
-    ranked = near.agg(best.alias("hits")).select(F.posexplode("hits").alias("pos", "h"))
-    kept = [F.col(f"h.m.{c}").alias(c) for c in docs.columns if c not in ("doc_id", "embedding")]
+    others = [c for c in docs.columns if c not in ("doc_id", "embedding")]
+    metadata = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in others]).alias("m")
+    # at most k rows are left here
+    best = near.agg(F.array_sort(F.collect_list(F.struct("distance", "doc_id", metadata)))
+                    .alias("hits"))
+    ranked = best.select(F.posexplode("hits").alias("pos", "h"))
     return ranked.select((F.col("pos") + 1).alias("rank"), F.col("h.doc_id").alias("doc_id"),
-                         F.col("h.distance").alias("distance"), *kept)
+                         F.col("h.distance").alias("distance"),
+                         *[F.col(f"h.m.`{c}`").alias(c) for c in others])
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
