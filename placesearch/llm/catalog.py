@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("language_id", "exact_dedup")
+MODULES = ("language_id", "exact_dedup", "minhash", "decontaminate", "packing")
 
 
 def collect(attribute: str) -> dict:
