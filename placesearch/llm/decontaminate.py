@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from placesearch.llm.landing import land, table, text_of
+from placesearch.llm.landing import land, table, text_of, whole_rows
 
 MASKS = ((0, 1, 2, 4, 5, 6), (0, 1, 3, 5, 6, 7), (0, 2, 3, 6, 7, 8))   # positions compared
 REACH = 6             # tokens compared on either side of a hit
@@ -98,9 +98,9 @@ def _block_overlaps(texts: DataFrame, items: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without an overlap, with all their columns."""
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    bad = overlaps(docs, benchmark).select(key.alias("_key"), F.col("text_hash").alias("_hash")).distinct()
-    keyed = docs.withColumn("_key", key).withColumn("_hash", F.xxhash64(text_of()))
-    return keyed.join(bad, ["_key", "_hash"], "left_anti").select(*docs.columns)
+    bad = overlaps(docs, benchmark).select(key.alias("key"), F.col("text_hash").alias("hash")).distinct()
+    keyed = whole_rows(docs, key=key, hash=F.xxhash64(text_of()))
+    return keyed.join(bad, ["key", "hash"], "left_anti").select("row.*")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

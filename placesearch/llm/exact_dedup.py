@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from placesearch.llm.landing import SPACE, land, table, text_of
+from placesearch.llm.landing import SPACE, land, table, text_of, whole_rows
 
 BLOCK = 2048          # characters
 _ALONE = -1           # the partner of a last name without one
@@ -123,14 +123,11 @@ def _key(column: str) -> Column:
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns."""
-    judged = exact_duplicates(docs)
-    kept = (judged.filter("kept").select(_key("doc_id").alias("_kept_key"),
-                                         F.col("text_sha256").alias("_kept_sha")))
-    keyed = docs.withColumn("_kept_key", _key("doc_id")).withColumn(
-        "_kept_sha", F.sha2(normalised(), 256))
-    found = keyed.join(kept, ["_kept_key", "_kept_sha"], "left_semi")
+    kept = exact_duplicates(docs).filter("kept").select(_key("doc_id").alias("key"),
+                                                        F.col("text_sha256").alias("sha"))
+    keyed = whole_rows(docs, key=_key("doc_id"), sha=F.sha2(normalised(), 256))
     # rows that repeat an id and its text: one stays
-    return found.dropDuplicates(["_kept_key", "_kept_sha"]).select(*docs.columns)
+    return keyed.join(kept, ["key", "sha"], "left_semi").dropDuplicates(["key", "sha"]).select("row.*")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,3 +39,9 @@ def fold(buckets: int, column: str = "doc_id") -> Column:
 def held_out(buckets: int, column: str = "doc_id") -> Column:
     """True in fold 0, whose rows are not learned from; a row without an id counts as held out."""
     return F.coalesce(fold(buckets, column) == 0, F.lit(True))
+
+
+def whole_rows(docs: DataFrame, **more: Column) -> DataFrame:
+    """``row``, all columns as one struct, so that no name can clash with the columns ``more``."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    return docs.select(row, *[column.alias(name) for name, column in more.items()])

@@ -18,7 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from placesearch.llm.landing import fold, held_out, table, text_of
+from placesearch.llm.landing import fold, held_out, table, text_of, whole_rows
 
 FEATURES = 1 << 12           # hashed n-grams
 CENTROIDS = 4                # per language
@@ -232,9 +232,8 @@ def learnable(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:
     """The documents whose language is not rejected, with all their columns; no shuffle of texts."""
     model = train(learnable(docs if learn_from is None else learn_from))
-    packed = docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
-    judged = predict(packed.select("_row", "text"), model, "_row")
-    return judged.filter(~F.col("rejected")).select("_row.*")
+    judged = predict(whole_rows(docs, text=F.col("text")), model, "row")
+    return judged.filter(~F.col("rejected")).select("row.*")
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

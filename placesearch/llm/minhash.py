@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from placesearch.llm import words
 from placesearch.llm.components import components
-from placesearch.llm.landing import land, table
+from placesearch.llm.landing import land, table, whole_rows
 
 BANDS = 40           # with 5 rows each, a pair at 0.8 is missed once in 10 million
 ROWS = 5
@@ -289,7 +289,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """The documents that stay, with all their columns: one of each component."""
     gone = near_duplicates(docs, shingle, percent).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return whole_rows(docs, key=F.col("doc_id")).join(
+        gone.withColumnRenamed("doc_id", "key"), "key", "left_anti").select("row.*")
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
