@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("language_id", "exact_dedup", "minhash", "decontaminate", "packing")
+MODULES = ("language_id", "exact_dedup", "minhash", "decontaminate", "packing", "quality")
 
 
 def collect(attribute: str) -> dict:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from placesearch.llm.landing import land
+from placesearch.llm.landing import dealt_anew, land
 
 _MOST_ROUNDS = 60
 
@@ -35,13 +35,13 @@ def components(links: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Neighbours above a node go to the smallest of it and its neighbours."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+    least = dealt_anew(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
     return (both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .filter("u <> v").distinct())
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its neighbours below go to the smallest of them; rows have ``u > v``."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = dealt_anew(edges.groupBy("u").agg(F.min("v").alias("m")))
     moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return (moved.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())

@@ -45,3 +45,12 @@ def whole_rows(docs: DataFrame, **more: Column) -> DataFrame:
     """``row``, all columns as one struct, so that no name can clash with the columns ``more``."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     return docs.select(row, *[column.alias(name) for name, column in more.items()])
+
+
+def dealt_anew(df: DataFrame) -> DataFrame:
+    """``df``, not tied to the keys it was grouped by.
+
+    A join on these keys then deals out both sides itself, so that rows of a busy key can be split
+    over several tasks; only for small tables such as one row per key.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

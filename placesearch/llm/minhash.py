@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from placesearch.llm import words
 from placesearch.llm.components import components
-from placesearch.llm.landing import land, table, whole_rows
+from placesearch.llm.landing import dealt_anew, land, table, whole_rows
 
 BANDS = 40           # with 5 rows each, a pair at 0.8 is missed once in 10 million
 ROWS = 5
@@ -165,14 +165,15 @@ def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of the buckets that still hold several components."""
     marked = members.drop("label").join(labels, "node")
-    several = (marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-               .filter("lo < hi").select("key"))
+    several = dealt_anew(marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+                         .filter("lo < hi").select("key"))
     return marked.join(several, "key")
 
 
 def _likely_in_blocks(members: DataFrame, low: float, count: int, block: int) -> DataFrame:
     """Pairs of different components in one bucket that look similar enough, found block by block."""
-    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    sizes = dealt_anew(members.groupBy("key").agg(
+        F.ceil(F.count("*") / block).cast("int").alias("blocks")))
     cut = members.join(sizes, "key").withColumn(
         "block", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
     met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -208,8 +209,8 @@ def _node_labels(nodes: DataFrame, docs: DataFrame, shingle: int, percent: int,
                  rows: int, block: int) -> DataFrame:
     """``node, label`` of the nodes that share a bucket with another one."""
     buckets = nodes.select("node", F.explode("keys").alias("key"))
-    shared = (buckets.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
-              .filter("lo < hi").select("key"))
+    shared = dealt_anew(buckets.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
+                        .filter("lo < hi").select("key"))
     members = land(buckets.join(shared, "key").select("key", "node").distinct(), "members")
     met = members.select("node").distinct()
     bits = nodes.join(met, "node", "left_semi").select("node", "bits").dropDuplicates(["node"])
@@ -225,11 +226,11 @@ def _node_labels(nodes: DataFrame, docs: DataFrame, shingle: int, percent: int,
         # one member of each bucket meets the rest: first any, later one that is already connected
         fresh = ~F.array_contains("used", F.col("node"))
         known = F.array_contains("known", F.col("label")) if "known" in waiting.columns else F.lit(False)
-        centre = waiting.filter(fresh).groupBy("key").agg(F.min(F.struct(
-            (~known).alias("_new"), "node")).alias("_c"))
+        centre = dealt_anew(waiting.filter(fresh).groupBy("key").agg(F.min(F.struct(
+            (~known).alias("_new"), "node")).alias("_c")))
         chosen = (waiting.join(centre, "key")
                   .withColumn("centre", F.col("_c.node")).drop("_c"))
-        own = chosen.filter("node = centre").select(
+        own = dealt_anew(chosen.filter("node = centre")).select(
             "key", F.col("bits").alias("cbits"), F.col("label").alias("clabel"))
         pairs = (chosen.join(own, "key").filter("label <> clabel")
                  .filter(estimate(F.col("bits"), F.col("cbits"), count) >= low)
@@ -265,7 +266,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     sketches = land(sketch(docs, shingle, bands, rows), "sketches")
     real = sketches.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     # equal sets are one node, named by their smallest id
-    classes = real.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"))
+    classes = dealt_anew(real.groupBy("s1", "s2").agg(F.min("doc_id").alias("node")))
     placed = land(real.select("doc_id", "s1", "s2").distinct().join(classes, ["s1", "s2"])
                   .select("doc_id", "node").distinct(), "nodes")
     nodes = sketches.join(placed.filter("doc_id = node").select("doc_id"), "doc_id", "left_semi") \
