@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("language_id", "exact_dedup", "minhash", "decontaminate", "packing", "quality")
+MODULES = ("language_id", "exact_dedup", "minhash", "decontaminate", "packing", "quality",
+           "url_filter")
 
 
 def collect(attribute: str) -> dict:
