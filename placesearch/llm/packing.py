@@ -140,7 +140,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, piece: int = PIECE, g
     ``doc_id`` and ``text`` are read.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).ids
+        encode = encoder(path).encode
         next_id = TaskContext.get().partitionId() << _TASK_BITS
         rows: list[tuple] = []
         waiting: list[tuple] = []
@@ -167,8 +167,9 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, piece: int = PIECE, g
             return pa.RecordBatch.from_arrays(arrays, names)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data = encode(text.as_py() or "") + END.to_bytes(4, "little")
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for doc_id, data in zip(batch.column(0).to_pylist(), encode(texts)):
+                data += END.to_bytes(4, "little")
                 tokens = len(data) // 4
                 for start, length in cuts(tokens, window, piece, documents % FINE == 0):
                     part = data[4 * start:4 * (start + length)]

@@ -1,33 +1,35 @@
 """Token ids by a given tokenizer file, for use inside tasks.
 
 Blanks end every pre-token of the tokenizers used here and have no ids themselves, so the ids of a
-text are the ids of its blank-separated chunks in a row; chunks repeat, so their ids are kept.
+text are the ids of its blank-separated chunks in a row; chunks repeat, so their ids are kept, by
+each Python worker for all its tasks.
 """
 
 from __future__ import annotations
 
 import os
+import sys
+import types
+from collections.abc import Iterator
 
 import numpy as np
 
-KEPT = 600_000        # chunks remembered in one Python worker
+KEPT = 1_200_000      # chunks remembered in one Python worker: about 250 MB
 LONGEST_KEPT = 64     # bytes
-_encoders: dict[str, "Encoder"] = {}
+TOGETHER = 1 << 20    # characters of texts looked through for new chunks at once
+_JOINED = 2000        # new chunks encoded at once
 
 
 class _Chunks(dict):
+    """Ids by chunk; a chunk that was not learned is encoded alone."""
+
     def __init__(self, tokenizer):
         super().__init__()
         self.tokenizer = tokenizer
 
     def __missing__(self, chunk: bytes) -> bytes:
         ids = self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids
-        found = np.array(ids, dtype="<u4").tobytes()
-        if len(chunk) <= LONGEST_KEPT:
-            if len(self) >= KEPT:
-                self.clear()
-            self[chunk] = found
-        return found
+        return np.array(ids, dtype="<u4").tobytes()
 
 
 class Encoder:
@@ -38,15 +40,41 @@ class Encoder:
         from tokenizers import Tokenizer
         self.chunks = _Chunks(Tokenizer.from_file(path))
 
-    def ids(self, text: str) -> bytes:
-        return b"".join(map(self.chunks.__getitem__, text.encode().split()))
+    def learn(self, new: list[bytes]) -> None:
+        """Encode chunks together, which costs less than one by one, and cut at their bounds."""
+        if len(self.chunks) + len(new) > KEPT:
+            self.chunks.clear()
+        for at in range(0, len(new), _JOINED):
+            part = new[at:at + _JOINED]
+            texts = [c.decode() for c in part]
+            told = self.chunks.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+            data = np.array(told.ids, dtype="<u4").tobytes()
+            ends = np.cumsum([len(t) + 1 for t in texts])
+            cut = [0, *np.searchsorted([o[0] for o in told.offsets], ends).tolist()]
+            for i, chunk in enumerate(part):
+                self.chunks[chunk] = data[4 * cut[i]:4 * cut[i + 1]]
 
-    def count(self, text: str) -> int:
-        return sum(map(len, map(self.chunks.__getitem__, text.encode().split()))) // 4
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        at = 0
+        while at < len(texts):
+            split, size = [], 0
+            while at < len(texts) and size < TOGETHER:
+                split.append(texts[at].encode().split())
+                size += len(texts[at])
+                at += 1
+            kept = self.chunks
+            self.learn(sorted(c for c in set().union(*split) if c not in kept and len(c) <= LONGEST_KEPT))
+            for chunks in split:
+                yield b"".join(map(self.chunks.__getitem__, chunks))
 
 
 def encoder(path: str) -> Encoder:
-    """One encoder per file and Python worker."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """One encoder per file and Python worker.
+
+    Functions travel to tasks by value, with new globals each time; only what is among the worker's
+    modules stays.
+    """
+    kept = sys.modules.setdefault("_kept_encoders", types.ModuleType("_kept_encoders")).__dict__
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
