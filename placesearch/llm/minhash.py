@@ -9,7 +9,7 @@ confirmed on their full sets.
 Groups of any size are joined without forming all their pairs: documents with equal sets become
 one node at once; then every bucket compares its members with one of them, round after round, and
 only until all its members are known to be connected.  What is still open is compared in blocks
-whose tasks hand on the likely pairs only.
+whose tasks hand on confirmed links only.
 """
 
 from __future__ import annotations
@@ -29,7 +29,8 @@ BANDS = 40           # with 5 rows each, a pair at 0.8 is missed once in 10 mill
 ROWS = 5
 BITS = 4             # kept of each minimum
 SLACK = 5.5          # standard errors an estimate may lie below the threshold
-BLOCK = 512          # members of an open bucket that meet in one task
+BLOCK = 512          # nodes of a family, and
+BLOCK_ITEMS = 2_000_000   # items of their sets, on one side of a task
 STALL = 0.7          # another round of single comparisons must leave fewer members than this share
 _PER_LONG = 64 // BITS
 _LOW = 0x1111111111111111
@@ -105,10 +106,10 @@ def sketch(docs: DataFrame, shingle: int, bands: int = BANDS, rows: int = ROWS)
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """``node, n, items``: the full set of each document."""
+    """``node, n, items``: the full set of each document, sorted."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [found.view(np.int64) for found in _sets(batch.column(1), shingle)]
+            rows = [np.sort(found.view(np.int64)) for found in _sets(batch.column(1), shingle)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(r) for r in rows], pa.int64()), _lists(rows)],
                 ["node", "n", "items"])
@@ -170,15 +171,30 @@ def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
     return marked.join(several, "key")
 
 
-def _likely_in_blocks(members: DataFrame, low: float, count: int, block: int) -> DataFrame:
-    """Pairs of different components in one bucket that look similar enough, found block by block."""
-    sizes = dealt_anew(members.groupBy("key").agg(
-        F.ceil(F.count("*") / block).cast("int").alias("blocks")))
-    cut = members.join(sizes, "key").withColumn(
-        "block", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
-    met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("node", "label", "bits", "block", "key",
-                     F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+def _families(members: DataFrame) -> DataFrame:
+    """``node, family``: open nodes that share buckets, directly or through others."""
+    least = dealt_anew(members.groupBy("key").agg(F.min("node").alias("b")))
+    return components(members.join(least, "key").select(F.col("node").alias("a"), "b")).select(
+        "node", F.col("component").alias("family"))
+
+
+def _links_in_blocks(members: DataFrame, sets: DataFrame, low: float, count: int, percent: int,
+                     block: int) -> DataFrame:
+    """All links between different components of open nodes that share buckets.
+
+    Each family is cut into blocks of bounded numbers of nodes and set items.  Every two blocks meet
+    in one task, which drops pairs by their signatures, confirms the others on their full sets and
+    hands on confirmed links only, one for each node and component.
+    """
+    nodes = members.select("node", "label", "bits").dropDuplicates(["node"])
+    known = land(nodes.join(_families(members), "node").join(sets.dropDuplicates(["node"]), "node"), "open")
+    sizes = dealt_anew(known.groupBy("family").agg(F.ceil(F.greatest(
+        F.count("*") / block, F.sum("n") / BLOCK_ITEMS)).cast("int").alias("blocks")))
+    cut = known.join(sizes, "family").withColumn(
+        "block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "node", "label", "bits", "items", "block", "family",
+        F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     chance = 2.0 ** -BITS
     most_wrong = count * (1 - (low * (1 - chance) + chance))
 
@@ -186,23 +202,34 @@ def _likely_in_blocks(members: DataFrame, low: float, count: int, block: int) ->
         _, i, j = key
         bits = np.array(frame["bits"].tolist(), dtype=np.int64).view(_U)
         node, label = frame["node"].to_numpy(), frame["label"].to_numpy()
+        items = list(frame["items"])
+        size = np.array([len(x) for x in items])
         mine, theirs = np.flatnonzero(frame["block"] == i), np.flatnonzero(frame["block"] == j)
-        a, b = [], []
+        links = []
         for x in mine:
             d = bits[x] ^ bits[theirs]
             folded = d.copy()
             for shift in range(1, BITS):
                 folded |= d >> _U(shift)
             wrong = np.bitwise_count(folded & _U(_LOW)).sum(axis=1)
-            fit = theirs[(wrong <= most_wrong) & (label[theirs] != label[x])]
-            fit = fit[node[fit] > node[x]] if i == j else fit
-            a.append(np.full(len(fit), node[x]))
-            b.append(node[fit])
-        return pd.DataFrame({"a": np.concatenate(a) if a else [], "b": np.concatenate(b) if b else []},
-                            dtype="int64")
-
-    found = met.groupBy("key", "i", "j").applyInPandas(run, "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            near = np.minimum(size[x], size[theirs]) * 100 >= percent * np.maximum(size[x], size[theirs])
+            fit = near & (wrong <= most_wrong) & (label[theirs] != label[x])
+            if i == j:
+                fit &= node[theirs] > node[x]
+            joined = set()
+            # the likeliest first: one link joins all of a component
+            for y in theirs[fit][np.argsort(wrong[fit], kind="stable")]:
+                if label[y] in joined:
+                    continue
+                at = np.searchsorted(items[y], items[x])
+                at[at == size[y]] = 0
+                shared = int((items[y][at] == items[x]).sum())
+                if 100 * shared >= percent * (size[x] + size[y] - shared):
+                    joined.add(label[y])
+                    links.append((node[x], node[y]))
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    return met.groupBy("family", "i", "j").applyInPandas(run, "a long, b long")
 
 
 def _node_labels(nodes: DataFrame, docs: DataFrame, shingle: int, percent: int, bands: int,
@@ -249,8 +276,7 @@ def _node_labels(nodes: DataFrame, docs: DataFrame, shingle: int, percent: int,
         if left is not None and open_now > STALL * left:
             break
         left = open_now
-    pairs = _likely_in_blocks(waiting, low, count, block)
-    return _relabelled(labels, land(_confirmed(pairs, sets, percent), "links"))
+    return _relabelled(labels, land(_links_in_blocks(waiting, sets, low, count, percent, block), "links"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS,

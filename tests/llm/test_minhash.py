@@ -52,13 +52,20 @@ def test_against_brute_force(spark, size, block):
 
 
 def test_open_buckets_are_compared_in_blocks(spark):
-    """The block comparison alone finds every likely pair of different components, once."""
+    """The block comparison alone finds every link between different components."""
     draw = np.random.default_rng(1)
-    bits = draw.integers(-2**62, 2**62, (7, 13))
-    rows = [(1, n, n, [int(x) for x in bits[n // 2]]) for n in range(14)]
-    df = spark.createDataFrame(rows, "key long, node long, label long, bits array<long>")
-    found = M._likely_in_blocks(df, 0.64, 200, 2)
-    assert sorted(tuple(r) for r in found.collect()) == [(n, n + 1) for n in range(0, 14, 2)]
+    rows, sets = [], []
+    for n in range(14):
+        base = np.random.default_rng(n // 2).integers(0, 2**60, 300)
+        items = np.unique(np.append(base, draw.integers(0, 2**60, 20))).astype(np.int64)
+        bits = M._packed(M._minima(M.words.mix(items.view(np.uint64)), 200))
+        rows.append((n % 3, n, n, [int(x) for x in bits]))
+        sets.append((n, len(items), [int(x) for x in items]))
+    df = spark.createDataFrame(rows + [(n % 2 + 5, n, n, rows[n][3]) for n in range(14)],
+                               "key long, node long, label long, bits array<long>")
+    items = spark.createDataFrame(sets, "node long, n long, items array<long>")
+    found = M._links_in_blocks(df, items, 0.64, 200, 80, 3)
+    assert sorted(tuple(sorted(r)) for r in found.collect()) == [(n, n + 1) for n in range(0, 14, 2)]
 
 
 def test_defined_results(spark):
