@@ -69,15 +69,20 @@ def strip_question_prefix(text: Column) -> Column:
 
 
 def mark_urls(text: Column) -> Column:
-    """Tag the lines that are a web address."""
-    url = (rf"^{SPACE}*({NONSPACE}{{2,40}}\.(?:{URL_ENDINGS})"
-           rf"(?:/[\p{{L}}\p{{N}}_\-.#]+)*)/?{SPACE}*\z")
+    """Tag the lines that are a web address.
+
+    The path is one possessive run of characters that holds no double slash: a pattern that repeats
+    a group per segment would recurse once per segment, and a long path would end the JVM.
+    """
+    url = (rf"^{SPACE}*{NONSPACE}{{2,40}}\.(?:{URL_ENDINGS})"
+           rf"(?:/(?!{NONSPACE}*?//)(?!/)[\p{{L}}\p{{N}}_\-.#/]*+)?{SPACE}*\z")
 
     def rule(line: Column) -> Column:
         whole = F.concat(F.lit("|URL start| "), gsub(line, rf"{SPACE}+", ""),
                          F.lit(" |URL end|\n"))
+        address = F.concat(F.lit("|URL start| "), gsub(strip(line), r"/\z", ""), F.lit(" |URL end|\n"))
         return (F.when(F.contains(line, F.lit(ALWAYS_URL)), whole)
-                .otherwise(gsub(line, url, tagged("URL") + "\n")))
+                .when(F.rlike(line, F.lit(url)), address).otherwise(line))
 
     return each_line(text, rule)
 

@@ -9,9 +9,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from placesearch.functions.text import SPACE, gsub, strip
 
-# Derived columns, the answer's keys, rows per batch.
+# Derived columns and the answer's keys.
 DERIVED = {"sig_item": "signature_item", "summary_q": "summary_question"}
-MAX_ROWS = 1040
 
 PROMPT = """A guidebook says this about the restaurant "{name}":
 
@@ -30,10 +29,22 @@ def ensure_columns(records: DataFrame) -> DataFrame:
         for c in DERIVED})
 
 
-def pending_rows(records: DataFrame, limit: int = MAX_ROWS) -> DataFrame:
-    """The next batch: the first rows, in row order, that lack a derived field."""
-    lacking = (F.col("sig_item") == "") | (F.col("summary_q") == "")
-    return records.filter(lacking).orderBy("row_id").limit(limit)
+def pending_rows(records: DataFrame, limit: int | None = None,
+                 rejected: DataFrame | None = None) -> DataFrame:
+    """The rows that lack a derived field; with ``limit``, the next batch of so many.
+
+    ``rejected``: a ``row_id`` per answer that could not be read.  A batch takes the rows with the
+    fewest such answers first, then by row order, so bad answers never keep untried rows waiting.
+    """
+    lacking = records.filter((F.col("sig_item") == "") | (F.col("summary_q") == ""))
+    if limit is None:
+        return lacking
+    if rejected is None:
+        return lacking.orderBy("row_id").limit(limit)
+    failed = rejected.groupBy("row_id").agg(F.count("*").alias("_failed"))
+    tried = lacking.join(failed, "row_id", "left")
+    return (tried.orderBy(F.coalesce("_failed", F.lit(0)), "row_id").limit(limit)
+            .select(*records.columns))
 
 
 def build_prompts(records: DataFrame, template: str = PROMPT) -> DataFrame:

@@ -26,10 +26,11 @@ def derived_id(*parts: str | Column) -> Column:
 def search_rows(requests: DataFrame) -> DataFrame:
     """Finished requests -> log rows.
 
-    ``requests``: ``query, timestamp, user_id, langsmith_run_id, filter_applied,
-    article BOOLEAN, results ARRAY<STRUCT>``.
+    ``requests``: ``request_id, query, timestamp, user_id, langsmith_run_id, filter_applied,
+    article BOOLEAN, results ARRAY<STRUCT>``.  ``request_id`` is what the writer numbers its
+    requests by: two searches that agree in everything else are still two.
     """
-    search_id = derived_id("langsmith_run_id", "query", "timestamp", "user_id")
+    search_id = derived_id("request_id", "langsmith_run_id", "query", "timestamp", "user_id")
     return requests.select(
         derived_id(F.lit("search"), search_id).alias("id"), search_id.alias("search_id"),
         "query", "timestamp", "user_id", "langsmith_run_id", "filter_applied",
@@ -66,10 +67,12 @@ def score_rows(searches: DataFrame) -> DataFrame:
 
 
 def with_defaults(rows: DataFrame) -> DataFrame:
-    """Fill the declared defaults of whichever log table ``rows`` belongs to."""
-    keys = [c for c in ("search_id", "rank", "restaurant_id", "query", "timestamp")
-            if c in rows.columns]
-    defaults = {"id": derived_id(*keys), "timestamp": F.current_timestamp(),
+    """Fill the declared defaults of whichever log table ``rows`` belongs to.
+
+    A missing id is drawn at random, so rows that agree in everything still differ; write the
+    result before it is used twice.
+    """
+    defaults = {"id": F.uuid(), "timestamp": F.current_timestamp(),
                 "created_at": F.current_timestamp(), "honor_roll": F.lit("n"),
                 "recommend": F.lit("n")}
     return rows.withColumns({c: F.coalesce(F.col(c), value) for c, value in defaults.items()
@@ -86,11 +89,15 @@ def searches_with_scores(searches: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 def get_search(searches: DataFrame, scores: DataFrame, search_id: str) -> DataFrame:
-    """One search and its hits by rank; an unknown id gives no rows."""
+    """One search with all its columns and its hits by rank; an unknown id gives no rows.
+
+    Columns that both tables have carry ``hit_`` on the side of the hits.
+    """
     wanted = F.col("search_id") == search_id
-    return (searches.filter(wanted).select("search_id", "query", "num_results", "search_type")
-            .join(scores.filter(wanted).select("search_id", *VIEW_SCORE_COLUMNS), "search_id",
-                  "left")
+    hits = scores.filter(wanted).select("search_id", *[
+        F.col(c).alias(f"hit_{c}" if c in SEARCH_COLUMNS else c)
+        for c in SCORE_COLUMNS if c != "search_id"])
+    return (searches.filter(wanted).select(*SEARCH_COLUMNS).join(hits, "search_id", "left")
             .orderBy("rank"))
 
 

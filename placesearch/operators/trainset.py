@@ -18,7 +18,7 @@ ERRORS = ("unreadable_line", "data_type", "missing_messages_list", "message_miss
           "example_missing_assistant_message")
 
 SYSTEM_PROMPT = "You write for a road-trip food guide. Recommend the restaurants in its style."
-MESSAGES = "array<struct<role:string,content:string,name:string>>"
+MESSAGES = "array<map<string,string>>"    # every key of a message; nested values as JSON text
 
 
 def eligible_examples(rows: DataFrame, prompt: str = "summary_q",
@@ -149,7 +149,7 @@ def validate_format(lines: DataFrame) -> DataFrame:
 
 
 def typed_examples(lines: DataFrame) -> DataFrame:
-    """``example_id, messages`` of the lines that hold messages."""
+    """``example_id, messages`` of the lines that hold messages, with every key they have."""
     typed = F.from_json("value", f"struct<messages:{MESSAGES}>")["messages"]
     return lines.select("example_id", typed.alias("messages")).filter(
         F.col("messages").isNotNull())
@@ -175,17 +175,16 @@ def word_tokens(text: Column) -> Column:
 def token_lengths(examples: DataFrame, tokens: Callable[[Column], Column] = word_tokens,
                   *extra: Column) -> DataFrame:
     """Messages, tokens and assistant tokens of each example."""
-    def size(m: Column) -> Column:
-        name = F.when(m["name"].isNotNull(), tokens(m["name"]) + TOKENS_PER_NAME).otherwise(0)
-        return tokens(m["role"]) + tokens(m["content"]) + name + TOKENS_PER_MESSAGE
-
     def total(of: Column, start: int) -> Column:
         return F.aggregate(of, F.lit(start), lambda a, b: a + b)
 
-    messages = F.col("messages").cast(MESSAGES) if "name" in examples.select(
-        F.inline("messages")).columns else F.transform("messages", lambda m: F.struct(
-            m["role"].alias("role"), m["content"].alias("content"),
-            F.lit(None).cast("string").alias("name")))
+    def size(m: Column) -> Column:
+        # every value counts, whatever its key
+        values = F.transform(F.map_values(m), tokens)
+        name = F.when(m["name"].isNotNull(), TOKENS_PER_NAME).otherwise(0)
+        return total(values, TOKENS_PER_MESSAGE) + name
+
+    messages = F.transform("messages", lambda m: F.from_json(F.to_json(m), "map<string,string>"))
     said = F.filter(messages, lambda m: m["role"] == "assistant")
     return examples.select(
         "example_id", F.size(messages).alias("n_messages"),

@@ -14,6 +14,7 @@ from placesearch.operators.blocks import BLOCK_ROWS, compare_in_blocks, merge_be
 DEFAULT_K = 4          # fixed values: results per query
 MAX_K = 10
 BROADCAST_NUMBERS = 2_000_000     # query vectors are broadcast up to 16 MB of doubles
+BLOCK_BYTES = 64 << 20            # of the vectors on one side of a task
 _ROWS_AT_ONCE = 256
 _NUMBERS_AT_ONCE = 4_000_000
 _FOUND = "query_id long, doc_id long, distance double"
@@ -30,12 +31,24 @@ def squared_distance(a: Column, b: Column) -> Column:
                        F.lit(0.0), lambda total, d: total + d * d)
 
 
-def _usable(docs: DataFrame, where: Column | None = None) -> DataFrame:
-    """Documents the filter keeps; one without a vector is near to nothing."""
-    docs = docs.filter(F.col("embedding").isNotNull())
+def _whole(vector: str, dims: int) -> Column:
+    """The vector has this many numbers and no null or NaN among them."""
+    return (F.size(vector) == dims) & F.forall(
+        vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")))
+
+
+def _usable(docs: DataFrame, dims: int, where: Column | None = None) -> DataFrame:
+    """Documents the filter keeps whose vector can be compared; any other is near to nothing."""
+    docs = docs.filter(F.coalesce(_whole("embedding", dims), F.lit(False)))
     return docs if where is None else docs.filter(where)
 
 
+def _by_length(queries: DataFrame) -> list[tuple[int, DataFrame]]:
+    """Queries by the length of their vector; those that cannot be compared are left out."""
+    sizes = [r.n for r in queries.select(F.size("vector").alias("n")).distinct().filter("n > 0").collect()]
+    return [(n, queries.filter(F.coalesce(_whole("vector", n), F.lit(False)))) for n in sorted(sizes)]
+
+
 def knn(docs: DataFrame, vector: list[float] | None, k: int = DEFAULT_K,
         where: Column | None = None) -> DataFrame:
     """The ``k`` documents nearest to one query vector, with rank and distance.
@@ -44,9 +57,9 @@ def knn(docs: DataFrame, vector: list[float] | None, k: int = DEFAULT_K,
     distance is computed; each task keeps its own ``k`` best.
     """
     check_k(k)
-    docs = _usable(docs, where)
-    if not vector:
+    if not vector or any(x is None or x != x for x in vector):
         docs, vector = docs.filter(F.lit(False)), []
+    docs = _usable(docs, len(vector), where)
     query = F.array(*[F.lit(float(v)) for v in vector]).cast("array<double>")
     near = (docs.withColumn("distance", squared_distance(F.col("embedding"), query))
             .orderBy("distance", "doc_id").limit(k))
@@ -62,7 +75,7 @@ def knn(docs: DataFrame, vector: list[float] | None, k: int = DEFAULT_K,
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
-    return np.array(vectors.tolist(), dtype=np.float64)
+    return np.stack(vectors.to_numpy()).astype(np.float64) if len(vectors) else np.zeros((0, 0))
 
 
 def _nearest(query_ids: np.ndarray, queries: np.ndarray, docs: pd.DataFrame,
@@ -73,12 +86,20 @@ def _nearest(query_ids: np.ndarray, queries: np.ndarray, docs: pd.DataFrame,
     computed term by term, the same way in every block.
     """
     ids, vectors = docs["doc_id"].to_numpy(), _matrix(docs["embedding"])
-    lengths, found = (vectors ** 2).sum(axis=1), []
+    # a common shift changes no distance and keeps the rounding error of the product small
+    centre = vectors.mean(axis=0)
+    near_zero = vectors - centre
+    lengths, found = (near_zero ** 2).sum(axis=1), []
     last = min(k, len(ids)) - 1
     for at in range(0, len(queries), _ROWS_AT_ONCE):
         part = queries[at:at + _ROWS_AT_ONCE]
-        rough = (part ** 2).sum(axis=1)[:, None] + lengths - 2 * part @ vectors.T
-        limit = np.partition(rough, last, axis=1)[:, last] + 1e-9 * (1 + np.abs(rough).max(axis=1))
+        moved = part - centre
+        own = (moved ** 2).sum(axis=1)
+        rough = own[:, None] + lengths - 2 * moved @ near_zero.T
+        # rounding grows with the squared lengths and the number of terms
+        slack = 8 * np.finfo(float).eps * (vectors.shape[1] + 4) * (
+            own + lengths.max() + (np.abs(vectors).max() + np.abs(part).max()) ** 2)
+        limit = np.partition(rough, last, axis=1)[:, last] + 2 * slack
         # every row within the limit is looked at, however many share one distance
         most = int((rough <= limit[:, None]).sum(axis=1).max())
         near = np.argpartition(rough, most - 1, axis=1)[:, :most]
@@ -132,21 +153,38 @@ def _knn_blocks(docs: DataFrame, queries: DataFrame, keys: list[str], k: int,
     return _ranked(once, k)
 
 
+def _rows_of(dims: int, block_rows: int) -> int:
+    """Rows of a block: bounded in number and in the bytes of their vectors."""
+    return max(1, min(block_rows, BLOCK_BYTES // (8 * max(dims, 1))))
+
+
+def _together(parts: list[DataFrame], docs: DataFrame) -> DataFrame:
+    if not parts:
+        return docs.sparkSession.createDataFrame([], "query_id long, rank int, doc_id long, distance double")
+    found = parts[0]
+    for more in parts[1:]:
+        found = found.unionByName(more)
+    return found
+
+
 def knn_batch(docs: DataFrame, queries: DataFrame, k: int = DEFAULT_K,
               where: Column | None = None, broadcast_numbers: int = BROADCAST_NUMBERS,
               block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The ``k`` nearest documents of each query: ``query_id, rank, doc_id, distance``.
 
     ``queries``: ``query_id, vector``.  Queries are counted first: while their vectors are few
-    they are broadcast and documents are not moved; beyond that both sides meet in blocks.
+    they are broadcast and documents are not moved; beyond that both sides meet in blocks.  A
+    vector with a null or NaN, or of another length than the query's, is near to nothing.
     """
     check_k(k)
-    docs = _usable(docs, where).select("doc_id", "embedding")
-    queries = queries.filter(F.col("vector").isNotNull()).select("query_id", "vector")
-    numbers = queries.agg(F.sum(F.size("vector"))).first()[0] or 0
-    if numbers <= broadcast_numbers:
-        return _knn_broadcast(docs, queries, k)
-    return _knn_blocks(docs, queries, [], k, block_rows)
+    parts = []
+    for dims, asked in _by_length(queries.select("query_id", "vector")):
+        seen = _usable(docs, dims, where).select("doc_id", "embedding")
+        if asked.count() * dims <= broadcast_numbers:
+            parts.append(_knn_broadcast(seen, asked, k))
+        else:
+            parts.append(_knn_blocks(seen, asked, [], k, _rows_of(dims, block_rows)))
+    return _together(parts, docs)
 
 
 def knn_keyed(docs: DataFrame, queries: DataFrame, keys: list[str], k: int = DEFAULT_K,
@@ -156,9 +194,10 @@ def knn_keyed(docs: DataFrame, queries: DataFrame, keys: list[str], k: int = DEF
     Both sides may list a row under several keys.
     """
     check_k(k)
-    asked = queries.filter(F.col("vector").isNotNull()).select("query_id", "vector", *keys)
-    return _knn_blocks(_usable(docs).select("doc_id", "embedding", *keys), asked, keys, k,
-                       block_rows)
+    return _together([
+        _knn_blocks(_usable(docs, dims).select("doc_id", "embedding", *keys), asked, keys, k,
+                    _rows_of(dims, block_rows))
+        for dims, asked in _by_length(queries.select("query_id", "vector", *keys))], docs)
 
 
 def _bucket_keys(dims: int, tables: int, hashes: int, width: float, seed: int):
@@ -180,14 +219,13 @@ def knn_approx(docs: DataFrame, queries: DataFrame, k: int = DEFAULT_K, tables:
                block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Approximate ``knn_batch``: only rows in a common random-projection bucket are compared."""
     check_k(k)
-    first = queries.select(F.size("vector").alias("n")).filter("n > 0").first()
-    if first is None:
-        return _knn_broadcast(docs.select("doc_id", "embedding"), queries, k)
-    keys = _bucket_keys(first.n, tables, hashes, width, seed)
-    docs, queries = _usable(docs), queries.filter(F.col("vector").isNotNull())
-    return knn_keyed(docs.withColumn("bucket", F.explode(keys("embedding"))),
-                     queries.withColumn("bucket", F.explode(keys("vector"))), ["bucket"], k,
-                     block_rows)
+    parts = []
+    for dims, asked in _by_length(queries):
+        keys = _bucket_keys(dims, tables, hashes, width, seed)
+        parts.append(knn_keyed(
+            _usable(docs, dims).withColumn("bucket", F.explode(keys("embedding"))),
+            asked.withColumn("bucket", F.explode(keys("vector"))), ["bucket"], k, block_rows))
+    return _together(parts, docs)
 
 
 def recall(exact: DataFrame, approx: DataFrame) -> DataFrame:

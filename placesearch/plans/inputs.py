@@ -180,7 +180,7 @@ directory AS (
 # --- search log: events as searches ------------------------------------------------------------
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Finished search requests with 1 to 10 results each."""
+    """Finished search requests with 1 to 10 results each; ``request_id`` tells them apart."""
     key = F.col("event_id")
     found = F.col("found")
     events = table(spark, sf_dir, "events").select(
@@ -198,7 +198,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct("rank", *places.columns,
                  (F.abs("value") + F.col("rank") / 64).alias("similarity_score"))))
         .alias("results")))
-    return events.drop("value", "found").join(results, "event_id")
+    return events.drop("value", "found").join(results, "event_id").withColumn("request_id", key)
 
 
 SQL_REQUESTS = SQL_DIRECTORY + """,
@@ -271,7 +271,9 @@ score_log AS (
     l_orderkey, "ID"::VARCHAR AS restaurant_id, "Restaurant" AS restaurant_name, "City" AS city,
     "State" AS state, "Region" AS region, "Honor Roll" AS honor_roll, "Recommend" AS recommend,
     NULL::VARCHAR AS relevant, NULL::DOUBLE AS adjusted_score, long AS longitude, lat AS latitude,
-    sig_item, l_discount AS similarity_score, l_linenumber AS rank
+    sig_item, l_discount AS similarity_score, l_linenumber AS rank, "URL" AS url,
+    md5(concat_ws('-', l_orderkey, l_partkey, l_linenumber, l_extendedprice, l_shipdate::TIMESTAMP::VARCHAR)) AS hit_id,
+    strftime(l_shipdate::TIMESTAMP, '%Y-%m-%d %H:%M:%S.%f') AS hit_created_at
   FROM lineitem JOIN directory ON l_suppkey = "ID")
 """
 
@@ -407,6 +409,10 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 3 == 1, "n").when(key % 3 == 2, "y").alias("Crossout"))
 
 
+FULL_MESSAGE = ('{"role":"assistant","content":"Enjoy!","name":"bo","function_call":{"name":"f"},'
+                '"weight":1}')
+
+
 def chat_lines(spark: SparkSession, sf_dir: str, defects: bool = True) -> DataFrame:
     """One JSON line per turn: system, the turn and its successor; defects by key, or none."""
     def message(role, text):
@@ -424,8 +430,9 @@ def chat_lines(spark: SparkSession, sf_dir: str, defects: bool = True) -> DataFr
     messages = F.concat_ws(",", first, message(F.col("role"), F.col("summary_q")),
                            F.when(F.col("content").isNotNull(),
                                   message(F.col("next_role"), F.col("content"))),
-                           F.lit(None if defects else
-                                 '{"role":"assistant","content":"Enjoy!"}').cast("string"))
+                           F.lit(None).cast("string") if defects else
+                           F.when(F.col("example_id") % 2 == 0, FULL_MESSAGE).otherwise(
+                               '{"role":"assistant","content":"Enjoy!"}'))
     line = (F.when(kind == 4, '{"messages":[]}').when(kind == 5, "[1, 2]")
             .when(kind == 6, '{"message":"hi"}').when(kind == 11, '{"messages":')
             .otherwise(F.concat(F.lit('{"messages":['), messages, F.lit("]}"))))

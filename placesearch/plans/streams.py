@@ -24,8 +24,7 @@ def searches(spark, d):
 
 
 def _daily(spark, d):
-    closed = log.run_available(log.daily_analytics(searches(spark, d)), new_folder(spark))
-    return closed.withColumns({
+    return log.keep_daily(searches(spark, d), new_folder(spark)).withColumns({
         "search_date": F.date_format("search_date", "yyyy-MM-dd"),
         "avg_results_requested": F.round("avg_results_requested", 6)})
 
@@ -38,7 +37,6 @@ def _deduped(spark, d):
 QUERIES = {"stream_daily_analytics": _daily, "stream_search_log": _deduped}
 
 SQL = {
-    # days that end before the latest event less the lateness
     "stream_daily_analytics": f"""WITH {SQL_LOG}, r AS (
       SELECT date_trunc('day', "timestamp") AS day, count(*) AS total_searches,
         count(DISTINCT query) AS unique_queries, round(avg(num_results), 6) AS avg_results_requested,
@@ -47,8 +45,7 @@ SQL = {
         count(*) FILTER (WHERE feedback_success = 'y') AS successful_feedback,
         count(*) FILTER (WHERE feedback_success = 'n') AS unsuccessful_feedback
       FROM search_log GROUP BY 1)
-      SELECT strftime(day, '%Y-%m-%d') AS search_date, * EXCLUDE day FROM r
-      WHERE day + INTERVAL 1 DAY <= (SELECT max("timestamp") FROM search_log) - INTERVAL 2 DAY""",
+      SELECT strftime(day, '%Y-%m-%d') AS search_date, * EXCLUDE day FROM r""",
     "stream_search_log": f"""WITH {SQL_LOG} SELECT search_id, query, num_results, search_type
       FROM search_log""",
 }

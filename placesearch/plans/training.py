@@ -73,7 +73,8 @@ def _tokens(text: str) -> str:
 _LENGTHS = f"""WITH {SQL_TURNS}, lengths AS (
   SELECT example_id, role, next_role, CASE WHEN content IS NULL THEN 3 ELSE 4 END AS n_messages,
     3 + (3 + 1 + 5) + (3 + 1 + 2) + (3 + 1 + {_tokens('summary_q')})
-      + CASE WHEN content IS NULL THEN 0 ELSE 3 + 1 + {_tokens('content')} END AS n_tokens,
+      + CASE WHEN content IS NULL THEN 0 ELSE 3 + 1 + {_tokens('content')} END
+      + CASE WHEN example_id % 2 = 0 THEN 1 + 1 + 5 + 1 ELSE 0 END AS n_tokens,
     2 + CASE WHEN role = 'assistant' THEN {_tokens('summary_q')} ELSE 0 END
       + CASE WHEN next_role = 'assistant' THEN {_tokens('content')} ELSE 0 END AS n_assistant_tokens
   FROM turns)

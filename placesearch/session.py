@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -31,14 +29,15 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors can reach, as the cluster names it.
+    """The folder all executors can reach: ``spark.checkpoint.dir``, or the one set on the context.
 
-    Only a session without ``spark.checkpoint.dir`` (a test) gets a folder of its own.
+    A session that names neither, such as one of a test, uses a folder in its warehouse, which is
+    shared as well.  What jobs write there is scratch; whoever owns the folder empties it when no
+    job runs.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="placesearch-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
     return folder.rstrip("/")
 
 

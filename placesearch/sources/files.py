@@ -6,7 +6,7 @@ Multi-line CSV files cannot be cut: large inputs come as many files, or as Parqu
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 # Words a CSV cell may hold for "nothing".
 NOTHING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
@@ -31,14 +31,22 @@ def read_book_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_records_csv(spark: SparkSession, path: str, schema: str = RECORD_SCHEMA) -> DataFrame:
-    """CSV with a header and quoted line breaks; words for nothing become null."""
+    """CSV with a header and quoted line breaks; words for nothing become null.
+
+    Columns are found by the header's names, in any order; others are left out, and a column that
+    the file lacks is null.  The files of one folder have the same header.
+    """
     wanted = T.StructType.fromDDL(schema)
-    plain = T.StructType([T.StructField(f.name, T.StringType()) for f in wanted.fields])
-    rows = spark.read.csv(path, schema=plain, header=True, multiLine=True, quote='"', escape='"',
-                          enforceSchema=False)
-    return rows.select(*[
-        F.when(~F.col(f"`{f.name}`").isin(*NOTHING), F.col(f"`{f.name}`")).try_cast(f.dataType)
-        .alias(f.name) for f in wanted.fields])
+    rows = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', inferSchema=False)
+    there = set(rows.columns)
+
+    def cell(f: T.StructField) -> Column:
+        if f.name not in there:
+            return F.lit(None).cast(f.dataType)
+        text = F.col(f"`{f.name}`")
+        return F.when(~text.isin(*NOTHING), text).try_cast(f.dataType)
+
+    return rows.select(*[cell(f).alias(f.name) for f in wanted.fields])
 
 
 def read_directory(spark: SparkSession, path: str) -> DataFrame:
@@ -76,16 +84,19 @@ def write_reports(reports: DataFrame, path: str, mode: str = "error") -> None:
         mode).partitionBy("search_id").text(path)
 
 
-def append_search_log(searches: DataFrame, scores: DataFrame, folder: str) -> None:
-    """Hits first, then the searches by day, so a search that can be seen is whole."""
-    scores.write.mode("append").parquet(f"{folder}/result_scores")
-    (searches.withColumn("day", F.to_date("timestamp")).write.mode("append")
-     .partitionBy("day").parquet(f"{folder}/search_results"))
+def append_search_log(searches: DataFrame, scores: DataFrame, folder: str, batch: str) -> None:
+    """Hits first, then the searches by day, so a search that can be seen is whole.
+
+    Each batch has folders of its own: a job that is run again replaces its rows.
+    """
+    scores.write.mode("overwrite").parquet(f"{folder}/result_scores/batch={batch}")
+    (searches.withColumn("day", F.to_date("timestamp")).write.mode("overwrite")
+     .partitionBy("day").parquet(f"{folder}/search_results/batch={batch}"))
 
 
 def read_search_log(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    return (spark.read.parquet(f"{folder}/search_results").drop("day"),
-            spark.read.parquet(f"{folder}/result_scores"))
+    return (spark.read.parquet(f"{folder}/search_results").drop("batch", "day"),
+            spark.read.parquet(f"{folder}/result_scores").drop("batch"))
 
 
 def build_index_if_absent(documents: DataFrame, path: str) -> DataFrame:

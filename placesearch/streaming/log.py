@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
+
+from placesearch.operators import searchlog
 
 LATENESS = "2 days"
 
@@ -13,27 +15,35 @@ def dedupe_searches(searches: DataFrame, lateness: str = LATENESS) -> DataFrame:
             .dropDuplicatesWithinWatermark(["search_id"]))
 
 
-def daily_analytics(searches: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """The rollup of every day that is closed, with exact distinct counts.
+def keep_daily(searches: DataFrame, folder: str, lateness: str = LATENESS) -> DataFrame:
+    """Process what the source holds and return the rollup of every day, open days too.
 
-    Two aggregations follow each other: first per day and query, which spreads a busy day over
-    all tasks and makes the number of distinct queries a plain count, then per day.
+    New searches are added to ``folder/log`` by day; the days they fall on are then counted anew
+    from the log, with exact distinct counts, and replace their rows in ``folder/daily``.  A batch
+    that is run again writes the same files, so nothing is counted twice.
     """
-    once = dedupe_searches(searches, lateness)
-    per_query = once.groupBy(F.window("timestamp", "1 day"), "query").agg(
-        F.count("*").alias("n"), F.sum("num_results").alias("results"),
-        F.count("num_results").alias("counted"),
-        F.count_if(F.col("search_type") == "summary").alias("summary"),
-        F.count_if(F.col("search_type") == "detailed").alias("detailed"),
-        F.count_if(F.col("feedback_success") == "y").alias("good"),
-        F.count_if(F.col("feedback_success") == "n").alias("bad"))
-    per_day = per_query.groupBy(F.window(F.window_time("window"), "1 day")).agg(
-        F.sum("n").alias("total_searches"), F.count("query").alias("unique_queries"),
-        (F.sum("results") / F.sum("counted")).alias("avg_results_requested"),
-        F.sum("summary").alias("summary_searches"), F.sum("detailed").alias("detailed_searches"),
-        F.sum("good").alias("successful_feedback"), F.sum("bad").alias("unsuccessful_feedback"))
-    return per_day.select(F.col("window.start").alias("search_date"),
-                          *[c for c in per_day.columns if c != "window"])
+    spark = searches.sparkSession
+    day = T.StructField("day", T.DateType())
+    one = T.StructType([*searches.schema.fields, day])
+    every = T.StructType([*searches.schema.fields, T.StructField("batch", T.LongType()), day])
+
+    def update(batch: DataFrame, number: int) -> None:
+        own = f"{folder}/log/batch={number}"
+        (batch.withColumn("day", F.to_date("timestamp")).write.mode("overwrite")
+         .partitionBy("day").parquet(own))
+        session = batch.sparkSession
+        # one value per day of the batch
+        days = [r.day for r in session.read.schema(one).parquet(own).select("day").distinct().collect()]
+        logged = session.read.schema(every).parquet(f"{folder}/log").filter(F.col("day").isin(days))
+        (searchlog.daily_analytics(logged).withColumn("day", F.to_date("search_date")).write
+         .mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day")
+         .parquet(f"{folder}/daily"))
+
+    query = (dedupe_searches(searches, lateness).writeStream.foreachBatch(update)
+             .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start())
+    query.awaitTermination()
+    kept = searchlog.daily_analytics(spark.createDataFrame([], searches.schema))
+    return spark.read.schema(kept.schema).parquet(f"{folder}/daily").select(*kept.columns)
 
 
 def run_available(stream: DataFrame, folder: str) -> DataFrame:

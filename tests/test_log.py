@@ -97,17 +97,20 @@ def test_feedback(searches, spark):
 
 def test_ids_repeat_with_the_row(spark):
     results = [(1, "P", "C", "TX", "R", None, None, 1.0, 2.0, None, None, 0.5)]
-    df = spark.createDataFrame([("q", at(1), "u", "run", None, True, results)], (
-        "query string, timestamp timestamp, user_id string, langsmith_run_id string, "
+    df = spark.createDataFrame([(n, "q", at(1), "u", "run", None, True, results) for n in (1, 2)], (
+        "request_id long, query string, timestamp timestamp, user_id string, langsmith_run_id string, "
         "filter_applied string, article boolean, results array<struct<ID:long,Restaurant:string,"
         "City:string,State:string,Region:string,`Honor Roll`:string,Recommend:string,long:double,"
         "lat:double,sig_item:string,URL:string,similarity_score:double>>"))
     rows = log.search_rows(df)
-    assert rows.first().search_id == log.search_rows(df).first().search_id
+    ids = [r.search_id for r in rows.orderBy("search_id").collect()]
+    assert ids == [r.search_id for r in log.search_rows(df).orderBy("search_id").collect()]
+    assert len(set(ids)) == 2          # alike in all but the request
     assert (rows.first().num_results, rows.first().search_type) == (1, "summary")
     hit = log.score_rows(df.withColumn("search_id", F.lit("s"))).first()
     assert (hit["rank"], hit.honor_roll, hit.recommend, hit.url, hit.sig_item) == (1, "n", "n", "", "")
-    assert log.with_defaults(rows.withColumn("id", F.lit(None).cast("string"))).first().id
+    filled = log.with_defaults(rows.withColumn("id", F.lit(None).cast("string"))).collect()
+    assert len({r.id for r in filled}) == 2
 
 
 def test_documents(spark):
@@ -161,12 +164,33 @@ def test_stream_goes_on_and_drops_repeats(spark, folder):
     send(("a", "q", at(1, 5), 2, "summary", "y"), ("a", "q", at(1, 5), 2, "summary", "y"),
          ("b", "r", at(1, 6), 4, "detailed", "n"))
     rows = spark.readStream.schema(schema).parquet(source)
-    daily = stream.daily_analytics(rows)
-    assert stream.run_available(daily, f"{folder}/out").count() == 0        # the day is still open
+    opened = stream.keep_daily(rows, f"{folder}/out").collect()
+    assert [(r.search_date.day, r.total_searches) for r in opened] == [(1, 2)]      # the day is still open
     send(("b", "r", at(2, 5), 4, "detailed", "n"), ("c", "q", at(9), 1, "summary", None))
     send(("d", "q", at(10), 1, "summary", None))
-    got = stream.run_available(daily, f"{folder}/out").orderBy("search_date").collect()
+    got = stream.keep_daily(rows, f"{folder}/out").orderBy("search_date").collect()
     first = got[0]
+    assert [r.search_date.day for r in got] == [1, 9, 10]        # b came again
     assert (first.search_date.day, first.total_searches, first.unique_queries,
             first.avg_results_requested, first.summary_searches, first.successful_feedback,
             first.unsuccessful_feedback) == (1, 2, 2, 3.0, 1, 1, 1)
+
+
+def test_an_append_that_runs_again_adds_nothing(spark, folder):
+    searches = spark.createDataFrame([("s", at(1))], "search_id string, timestamp timestamp")
+    hits = spark.createDataFrame([("s", 1), ("s", 2)], "search_id string, rank int")
+    for batch in ("a", "a", "b"):
+        files.append_search_log(searches, hits, folder, batch)
+    stored, found = files.read_search_log(spark, folder)
+    assert (stored.count(), found.count(), stored.columns) == (2, 4, searches.columns)
+
+
+def test_csv_columns_are_found_by_name(spark, folder):
+    spark.createDataFrame([("c", "NA", "7", "x")], "cost string, URL string, ID string, more string").write.csv(
+        folder, header=True)
+    got = files.read_records_csv(spark, folder, "ID long, title string, cost string, URL string").collect()
+    assert [tuple(r) for r in got] == [(7, None, "c", None)]
+
+
+def test_shared_folder_needs_no_local_folder(spark):
+    assert shared_folder(spark).startswith(("file:", "hdfs:", spark.conf.get("spark.checkpoint.dir", "file:")))

@@ -134,3 +134,15 @@ def test_marking_needs_no_shuffle(spark):
     df = spark.createDataFrame([("d", "plain")], "doc_id string, text string")
     plan = rec.extract_records(rec.mark_texts(df))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+@pytest.mark.parametrize("segments", [3, 2_000, 100_000])
+def test_long_paths(spark, segments):
+    """A pattern that recursed once per segment would end the JVM."""
+    from pyspark.sql import functions as F
+    line = "www.place.com" + "/ab" * segments
+    df = spark.createDataFrame([(line,), (line + "/",), (line + "//x",)], "t string")
+    got = [r.u for r in df.select(m.mark_urls(F.col("t")).alias("u")).collect()]
+    tag = f"|URL start| {line} |URL end|\n"
+    assert got == [tag, tag, line + "//x"]
+    assert df.select(m.mark_document(F.col("t")).alias("m")).count() == 3

@@ -112,3 +112,18 @@ def test_batches_resume(spark):
     answers = first.select("row_id", F.lit('{"signature_item":"a","summary_question":"b"}').alias("answer"))
     after = en.merge_answers(rows, en.parse_answers(answers))
     assert [r.row_id for r in en.pending_rows(after, 2).collect()] == [2, 3]
+
+
+def test_bad_answers_do_not_keep_others_waiting(spark):
+    rows = en.ensure_columns(spark.range(7).select(F.col("id").alias("row_id")))
+    rejected = spark.createDataFrame([(n,) for n in (0, 1, 2, 3, 4, 0)], "row_id long")
+    assert [r.row_id for r in en.pending_rows(rows, 3, rejected).collect()] == [5, 6, 1]
+    assert en.pending_rows(rows).count() == 7
+
+
+def test_every_value_of_a_message_counts(spark):
+    lines = spark.createDataFrame([(1, '{"messages":[{"role":"user","content":"a b"}]}'), (
+        2, '{"messages":[{"role":"user","content":"a b","function_call":{"n":"one two"},"weight":1,"name":"x"}]}')],
+        "example_id long, value string")
+    sizes = {r.example_id: r.n_tokens for r in tr.token_lengths(tr.typed_examples(lines)).collect()}
+    assert sizes == {1: 3 + 3 + 3, 2: 9 + 6 + 1 + 2}

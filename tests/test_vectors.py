@@ -101,3 +101,28 @@ def test_plans(spark):
     assert "WindowGroupLimit" in batch
     for text in (plan.toString(), batch):
         assert "Cartesian" not in text and "NestedLoop" not in text
+
+
+BROKEN = [(900, [1.0, None, 0.0, 0.0, 0.0, 0.0], 0), (901, [float("nan")] * 6, 0), (902, [0.0] * 5, 0), (903, None, 0),
+          (904, [0.0] * 7, 0)]
+
+
+@pytest.mark.parametrize("options", [{}, {"broadcast_numbers": 0, "block_rows": 7}])
+def test_broken_vectors_are_near_to_nothing(spark, data, options):
+    docs, queries, d, q = data
+    bad = d.unionByName(spark.createDataFrame(BROKEN, "doc_id long, embedding array<float>, label int"))
+    asked = q.unionByName(spark.createDataFrame([(90, [None] * 6), (91, None), (92, [])],
+                                                "query_id long, vector array<float>"))
+    assert rows(v.knn_batch(bad, asked, 5, **options)) == brute(docs, queries, 5)
+    one = v.knn(bad, queries[7].tolist(), 5).collect()
+    assert {(7, r["rank"], r.doc_id) for r in one} == {x for x in brute(docs, queries, 5) if x[0] == 7}
+
+
+@pytest.mark.parametrize("options", [{}, {"broadcast_numbers": 0, "block_rows": 40}])
+def test_close_vectors_far_from_the_origin(spark, options):
+    rng = np.random.default_rng(8)
+    docs = 1000 + rng.normal(size=(150, 64)) * 1e-3
+    queries = 1000 + rng.normal(size=(20, 64)) * 1e-3
+    d = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(docs)], "doc_id long, embedding array<double>")
+    q = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(queries)], "query_id long, vector array<double>")
+    assert rows(v.knn_batch(d, q, 4, **options)) == brute(docs, queries, 4)
