@@ -130,14 +130,14 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
-def phrases(text: Column, longest: int) -> Column:
-    """All runs of 1 to ``longest`` words of a text, each once."""
+def phrases(text: Column, lengths: list[int]) -> Column:
+    """All runs of so many words of a text, each once."""
     def all_runs(w: Column) -> Column:
         def runs(n: int) -> Column:
             starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(w), F.lit(1))),
                               lambda i: i + (n - 1) <= F.size(w))
             return F.transform(starts, lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
 
-        return F.array_distinct(F.concat(*[runs(n) for n in range(1, longest + 1)]))
+        return F.array_distinct(F.concat(F.array().cast("array<string>"), *[runs(n) for n in lengths]))
 
     return bind(words(text), all_runs)

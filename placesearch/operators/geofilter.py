@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from placesearch.functions import geo
 from placesearch.operators.blocks import BLOCK_ROWS
 from placesearch.operators.rows import explode_once
-from placesearch.operators.vectors import DEFAULT_K, knn_keyed
+from placesearch.operators.vectors import DEFAULT_K, knn_batch, knn_keyed
 from placesearch.session import cut_lineage
 
 NO_FILTER = "*"
@@ -22,14 +22,16 @@ def city_lookup(queries: DataFrame, directory: DataFrame) -> DataFrame:
     """Directory cities a query names as whole words: ``query_id, City, State``.
 
     A name found in several states gives all of them, unless the query names some of them.
-    Texts are cut into word runs as long as the longest city name, so this is an equi-join.
+    Texts are cut into word runs of the lengths that city names have, so this is an equi-join.
     """
     cities = (directory.select("City", "State").dropna().distinct()
               .withColumn("phrase", F.array_join(geo.words(F.col("City")), " ")))
-    longest = cities.agg(F.max(F.size(geo.words(F.col("City")))).alias("n")).first().n or 1
+    # a few numbers, whatever the directory's size
+    lengths = sorted(r.n for r in cities.select(F.size(geo.words(F.col("City"))).alias("n"))
+                     .filter("n > 0").distinct().collect())
     # each text is read once, before its phrases become rows
     read = queries.select("query_id", geo.state_codes(F.col("text")).alias("named"), "text")
-    asked = explode_once(read, ["query_id", "named"], geo.phrases(F.col("text"), longest),
+    asked = explode_once(read, ["query_id", "named"], geo.phrases(F.col("text"), lengths),
                          "phrase").drop("pos")
     found = (asked.join(cities, "phrase").groupBy("query_id", "City", "named")
              .agg(F.collect_set("State").alias("states")))       # at most one per state
@@ -68,8 +70,7 @@ def clauses(filters: DataFrame) -> DataFrame:
 
 
 def _document_keys(docs: DataFrame) -> DataFrame:
-    keys = {"State": F.col("State"), "Region": F.col("Region"), "City": F.col("City"),
-            "City|State": F.concat("City", F.lit("|"), "State"), NO_FILTER: F.lit(NO_FILTER)}
+    keys = {"State": F.col("State"), "Region": F.col("Region"), "City|State": F.concat("City", F.lit("|"), "State")}
     listed = F.filter(F.array(*[F.struct(F.lit(k).alias("field"), v.alias("value"))
                                 for k, v in keys.items()]), lambda x: x["value"].isNotNull())
     return docs.select("doc_id", "embedding", F.inline(listed))
@@ -81,10 +82,12 @@ def filtered_search(queries: DataFrame, docs: DataFrame, k: int = DEFAULT_K,
 
     ``queries``: ``query_id, text, vector``; ``docs``: ``doc_id, embedding, City, State,
     Region``.  Queries and documents meet on the clause they share; queries that name no place
-    share the open clause with every document.
+    are compared with all documents, which stay where they are while such queries are few.
     """
     # texts are read once; counts and blocks then start from the short clause table
     asked = cut_lineage(clauses(query_filters(queries, docs)).select("query_id", "field", "value"))
     keyed = queries.select("query_id", "vector").join(asked, "query_id", "left").fillna(
         NO_FILTER, ["field", "value"])
-    return knn_keyed(_document_keys(docs), keyed, ["field", "value"], k, block_rows)
+    free = F.col("field") == NO_FILTER
+    named = knn_keyed(_document_keys(docs), keyed.filter(~free), ["field", "value"], k, block_rows)
+    return named.unionByName(knn_batch(docs, keyed.filter(free), k, block_rows=block_rows))

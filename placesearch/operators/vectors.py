@@ -11,6 +11,7 @@ from pyspark.sql.functions import pandas_udf
 
 from placesearch.operators.blocks import BLOCK_ROWS, compare_in_blocks, merge_best
 
+RECALL_FLOOR = 0.9     # of the approximate search
 DEFAULT_K = 4          # fixed values: results per query
 MAX_K = 10
 BROADCAST_NUMBERS = 2_000_000     # query vectors are broadcast up to 16 MB of doubles
@@ -214,7 +215,7 @@ def _bucket_keys(dims: int, tables: int, hashes: int, width: float, seed: int):
     return keys
 
 
-def knn_approx(docs: DataFrame, queries: DataFrame, k: int = DEFAULT_K, tables: int = 12,
+def knn_approx(docs: DataFrame, queries: DataFrame, k: int = DEFAULT_K, tables: int = 24,
                hashes: int = 2, width: float = 1.0, seed: int = 42,
                block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Approximate ``knn_batch``: only rows in a common random-projection bucket are compared."""
