@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -25,7 +26,7 @@ RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www
 ORDER = 4                 # longest context
 SMOOTH = 4.0              # weight of the next shorter context, in characters
 BUCKETS = 1 << 16         # per order and class; hashed, so the models stay under 11 MB
-CALIBRATE = 5             # one in so many examples is for calibration
+PARTS = 3                 # of the examples, for calibration
 _BIN = 0.01
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _START, _END = b"\x02" * ORDER, b"\x03"
@@ -156,17 +157,21 @@ def with_difference(rows: DataFrame, model: Model) -> DataFrame:
                              ).select("row.*", "difference")
 
 
-def calibrate(examples: DataFrame, model: Model) -> Model:
-    """Fit the odds of acceptance by difference, both classes weighing the same in total.
+def _cells(examples: DataFrame, model: Model) -> pd.DataFrame:
+    """Examples counted per cell of ``_BIN`` of their difference, a table of bounded size."""
+    cell = F.round(F.col("difference") / _BIN).cast("int").alias("cell")
+    return with_difference(examples, model).groupBy(cell, "accepted").agg(F.count("*").alias("n")).toPandas()
+
+
+def calibrate(rows: pd.DataFrame) -> tuple[float, float]:
+    """Slope and offset of the odds of acceptance by difference.
 
-    The examples are counted per cell of ``_BIN``, so the fit sees a bounded table.
+    ``rows``: ``cell, accepted, n``.  Both classes weigh the same in total.
     """
-    cell = F.round(F.col("difference") / _BIN).cast("int").alias("cell")
-    rows = with_difference(examples, model).groupBy(cell, "accepted").agg(F.count("*").alias("n")).toPandas()
     x = rows["cell"].to_numpy(float) * _BIN
     y, n = rows["accepted"].to_numpy(bool), rows["n"].to_numpy(float)
     if not len(rows) or y.all() or not y.any():
-        return model
+        return 1.0, 0.0
     weight = np.where(y, n / n[y].sum(), n / n[~y].sum())
     theta = np.array([1.0, 0.0])
     design = np.stack([x, np.ones_like(x)], axis=1)
@@ -179,13 +184,19 @@ def calibrate(examples: DataFrame, model: Model) -> Model:
         theta -= step / max(1.0, np.abs(step).max() / 5)
         if np.abs(step).max() < 1e-9:
             break
-    return Model(model.grams, model.contexts, float(theta[0]), float(theta[1]))
+    return float(theta[0]), float(theta[1])
 
 
 def train(examples: DataFrame) -> Model:
-    """``page_id, host, path, accepted``: most train the models, the others calibrate them."""
-    part = F.coalesce(fold(CALIBRATE, "page_id"), F.lit(0))
-    return calibrate(examples.filter(part == 0), count(examples.filter(part != 0)))
+    """``page_id, host, path, accepted``: all train the models.
+
+    For calibration each part of the examples is judged by models trained on the other parts.
+    """
+    part = F.coalesce(fold(PARTS, "page_id"), F.lit(0))
+    told = pd.concat([_cells(examples.filter(part == p), count(examples.filter(part != p)))
+                      for p in range(PARTS)])
+    model = count(examples)
+    return Model(model.grams, model.contexts, *calibrate(told))
 
 
 def filter_urls(pages: DataFrame, rules: tuple = RULES) -> DataFrame:

@@ -37,7 +37,7 @@ def test_parts_and_rules(spark):
 
 
 def test_models_learn_the_difference(spark):
-    examples = U.judged_by_rules(spark.read.parquet(f"{SMALL}/pages.parquet")).filter("ruled IS NOT NULL").withColumn(
+    examples = U.judged_by_rules(spark.read.parquet("/root/testdata/sf0.1/pages.parquet")).filter("ruled IS NOT NULL").withColumn(
         "accepted", F.col("ruled") == "allow")
     part = F.crc32(F.col("page_id").cast("string").cast("binary")) % 3
     model = U.train(examples.filter(part != 0))
