@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark import Broadcast, cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from placesearch.session import shared_folder
 
+TEXTS = 1000
 SPACE = r"[\x20\x09-\x0D]+"      # fixed value: what separates words
 
 
@@ -23,6 +26,22 @@ def land(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def map_texts(rows: DataFrame, function: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` in batches of at most ``TEXTS`` rows: texts are wide, and a Python worker's
+    memory follows the bytes of a batch.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark = rows.sparkSession
+    if int(spark.conf.get(name)) > TEXTS:
+        spark.conf.set(name, str(TEXTS))
+    return rows.mapInArrow(function, schema)
+
+
+def share(spark: SparkSession, value: object) -> Broadcast:
+    """Broadcast an object of this package as bytes; ``pickle.loads`` in a task needs no copy of it."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -10,6 +10,7 @@ rejected.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,7 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from placesearch.llm.landing import fold, held_out, table, text_of, whole_rows
+from placesearch.llm.landing import fold, held_out, map_texts, share, table, text_of, whole_rows
 
 FEATURES = 1 << 12           # hashed n-grams
 CENTROIDS = 4                # per language
@@ -108,7 +109,7 @@ def document_frequency(texts: DataFrame) -> tuple[int, np.ndarray]:
             [pa.array(np.arange(-1, FEATURES)), pa.array(np.concatenate([[total], seen]))],
             ["feature", "n"])
 
-    rows = (texts.mapInArrow(count, "feature long, n long")
+    rows = (map_texts(texts, count, "feature long, n long")
             .groupBy("feature").agg(F.sum("n").alias("n")).collect())
     n = np.zeros(FEATURES + 1, dtype=np.int64)
     for row in rows:
@@ -186,13 +187,13 @@ def predict(docs: DataFrame, model: Model, row_key: str = "doc_id") -> DataFrame
     rejected, and so are texts too far from every centroid.  Equal similarities go to the first
     language in sorted order.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
     kind = docs.schema[row_key].dataType
     rows = docs.select(F.col(row_key).alias("_id"), text_of().alias("_text"),
                        F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = pickle.loads(shared.value)
         names = np.array([*m.languages, UNKNOWN], dtype=object)
         for batch in batches:
             langs, scores, rejected = [], [], []
@@ -219,7 +220,7 @@ def predict(docs: DataFrame, model: Model, row_key: str = "doc_id") -> DataFrame
                  pa.array(np.concatenate(rejected) | (lang < 0))],
                 ["_id", "lang_pred", "score", "rejected"])
 
-    out = rows.mapInArrow(judge, f"_id {kind.simpleString()}, lang_pred string, score double, "
+    out = map_texts(rows, judge, f"_id {kind.simpleString()}, lang_pred string, score double, "
                                  "rejected boolean")
     return out.withColumnRenamed("_id", row_key)
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from placesearch.llm import words
 from placesearch.llm.components import components
-from placesearch.llm.landing import dealt_anew, land, table, whole_rows
+from placesearch.llm.landing import dealt_anew, land, map_texts, table, whole_rows
 
 BANDS = 40           # with 5 rows each, a pair at 0.8 is missed once in 10 million
 ROWS = 5
@@ -102,7 +102,7 @@ def sketch(docs: DataFrame, shingle: int, bands: int = BANDS, rows: int = ROWS)
                 [batch.column(0), pa.array(size, pa.int64()), *signed, _lists(keys), _lists(bits)],
                 ["doc_id", "n_shingles", "s1", "s2", "keys", "bits"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SKETCH)
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, _SKETCH)
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -114,8 +114,8 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
                 [batch.column(0), pa.array([len(r) for r in rows], pa.int64()), _lists(rows)],
                 ["node", "n", "items"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("node"), "text").mapInArrow(
-        run, "node long, n long, items array<long>")
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("node"), "text"), run,
+                     "node long, n long, items array<long>")
 
 
 def estimate(a: Column, b: Column, count: int) -> Column:

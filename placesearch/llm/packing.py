@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from placesearch.llm.landing import table
+from placesearch.llm.landing import map_texts, table
 from placesearch.llm.tokens import encoder
 
 WINDOW = 2048
@@ -193,7 +193,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, piece: int = PIECE, g
 
     schema = _COLUMNS + (", ids array<int>" if ids else "")
     names = [c.split()[0] for c in schema.split(", ")]
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, schema)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from the scores of a first model: it is the smallest ratio of mixture to good te
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from placesearch.llm import words
-from placesearch.llm.landing import fold, held_out, table
+from placesearch.llm.landing import fold, held_out, map_texts, share, table
 
 POSITIVES = 10_000        # trusted texts fitted on, in expectation
 UNLABELLED = 20_000       # unlabelled texts fitted on, in expectation
@@ -149,8 +150,8 @@ def features(docs: DataFrame) -> DataFrame:
                 [batch.column(0), pa.ListArray.from_arrays(pa.array(cut), pa.array(flat))],
                 ["doc_id", "features"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, features array<float>")
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run,
+                     "doc_id long, features array<float>")
 
 
 def _loss(z: np.ndarray) -> np.ndarray:
@@ -245,10 +246,10 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
     Without a model every score is 0.5.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = pickle.loads(shared.value)
         for batch in batches:
             found = [np.full(len(x), 0.5) if m is None else _sigmoid(
                 np.clip((x - m.mean) / m.scale, -8, 8) @ m.weights + m.bias)
@@ -257,8 +258,8 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
                 [batch.column(0), pa.array(np.concatenate(found) if found else np.zeros(0))],
                 ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, score double")
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run,
+                     "doc_id long, score double")
 
 
 def learnable(rows: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from placesearch.llm.landing import SPACE, land, table, text_of
+from placesearch.llm.landing import SPACE, land, map_texts, table, text_of
 from placesearch.llm.packing import tokenizer_path
 from placesearch.llm.tokens import encoder
 from placesearch.session import shared_folder
@@ -38,7 +38,7 @@ def count_subwords(docs: DataFrame, path: str) -> DataFrame:
     keep = [c for c in docs.columns if c != "text"]
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), "text")
     kind = packed.schema["row"].dataType.simpleString()
-    return packed.mapInArrow(run, f"row {kind}, tokens long").select("row.*", "tokens")
+    return map_texts(packed, run, f"row {kind}, tokens long").select("row.*", "tokens")
 
 
 def count_blank_words(docs: DataFrame) -> DataFrame:

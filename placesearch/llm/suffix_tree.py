@@ -14,6 +14,7 @@ join, and only rare words of a text look up their counts in the whole table.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,16 +25,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from placesearch.llm import words
-from placesearch.llm.landing import dealt_anew, fold, held_out, land, table
+from placesearch.llm.landing import dealt_anew, fold, held_out, land, map_texts, share, table
 
 FOLDS = 10
 DEPTH = 2                 # longest context
 SEEN = 32                 # occurrences from which a context is considered
-CONTEXTS = 200_000        # longer contexts considered, the most frequent ones
-STATES = 100_000          # contexts the tree may hold, those with the largest divergence
-FOLLOWERS = 1_500_000     # next symbols listed in all states together: 24 MB
+CONTEXTS = 100_000        # longer contexts considered, the most frequent ones
+STATES = 50_000          # contexts the tree may hold, those with the largest divergence
+FOLLOWERS = 600_000       # next symbols listed in all states together: 10 MB
 WEIGHT = 8.0              # symbols that the suffix's distribution counts for
-FREQUENT = 300_000        # words known by number in every task
+FREQUENT = 150_000        # words known by number in every task
 UNSEEN = 0.1              # fixed value: added count of the unigram model
 _BITS = 20                # of a word's number
 _HELD = 4 << 20           # counted keys a task keeps before it sends them on
@@ -139,7 +140,7 @@ def count_words(texts: DataFrame) -> DataFrame:
                     yield counter.take()
         yield counter.take()
 
-    return texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return map_texts(texts.select("text"), run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def count_followers(texts: DataFrame, known: Words, pairs: np.ndarray | None = None) -> DataFrame:
@@ -147,10 +148,10 @@ def count_followers(texts: DataFrame, known: Words, pairs: np.ndarray | None = N
 
     Contexts are the single symbols known by number, or, if given, the ``pairs`` (sorted).
     """
-    shared = texts.sparkSession.sparkContext.broadcast((known, pairs))
+    shared = share(texts.sparkSession, (known, pairs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, pairs = shared.value
+        known, pairs = pickle.loads(shared.value)
         counter = _Counter()
         for batch in batches:
             for first, different, which, _ in _texts(batch.column(0)):
@@ -175,7 +176,7 @@ def count_followers(texts: DataFrame, known: Words, pairs: np.ndarray | None = N
                     yield counter.take()
         yield counter.take()
 
-    counted = (texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    counted = (map_texts(texts.select("text"), run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
                .filter("n >= 2"))
     return counted.select(F.shiftright("key", _BITS).alias("context"),
                           F.col("key").bitwiseAND(F.lit((1 << _BITS) - 1)).alias("symbol"), "n")
@@ -229,8 +230,9 @@ def build(texts: DataFrame, known: Words, seen: int = SEEN, states: int = STATES
     spark = texts.sparkSession
     root = known.root()
     counts = np.append(known.counts, [0, known.ends])
-    numbered = F.broadcast(spark.createDataFrame(pd.DataFrame(      # bounded by FREQUENT
-        {"symbol": np.arange(len(root), dtype=np.int64), "q": root, "c": counts.astype(np.int64)})))
+    # bounded by FREQUENT, so it may go to every task
+    numbered = F.broadcast(land(spark.createDataFrame(pd.DataFrame(
+        {"symbol": np.arange(len(root), dtype=np.int64), "q": root, "c": counts.astype(np.int64)})), "numbers"))
     single = land(count_followers(texts, known), "followers")
     totals = numbered.select(F.col("symbol").alias("context"), F.col("c").alias("total"))
     first = land(_tested(single.join(F.broadcast(totals), "context").filter(F.col("total") >= seen)
@@ -240,9 +242,9 @@ def build(texts: DataFrame, known: Words, seen: int = SEEN, states: int = STATES
         (F.shiftleft("context", _BITS).bitwiseOR(F.col("symbol"))).alias("pair"), "n").toPandas()
     pairs = pairs.sort_values("pair")
     pair_keys = pairs["pair"].to_numpy(np.int64)
-    listed = F.broadcast(spark.createDataFrame(pd.DataFrame(        # bounded by CONTEXTS
+    listed = F.broadcast(land(spark.createDataFrame(pd.DataFrame(   # bounded by CONTEXTS
         {"context": np.arange(len(pairs), dtype=np.int64), "total": pairs["n"].to_numpy(np.int64),
-         "b": pair_keys & ((1 << _BITS) - 1)}), "context long, total long, b long"))
+         "b": pair_keys & ((1 << _BITS) - 1)}), "context long, total long, b long"), "pairs"))
     double = first.limit(0).select("context", F.lit(0).cast("long").alias("symbol"), F.col("kinds").alias("n"))
     second = first.limit(0)
     if len(pairs):
@@ -255,7 +257,7 @@ def build(texts: DataFrame, known: Words, seen: int = SEEN, states: int = STATES
     best = (first.select(F.lit(1).alias("depth"), "*").unionByName(second.select(F.lit(2).alias("depth"), "*"))
             .orderBy(F.desc(F.col("gain") / F.col("kinds")), "depth", "context").limit(states).toPandas())
     best = best[best["kinds"].cumsum() <= followers].sort_values(["depth", "context"])
-    kept = spark.createDataFrame(best[["depth", "context"]], "depth int, context long")
+    kept = land(spark.createDataFrame(best[["depth", "context"]], "depth int, context long"), "kept")
     rows = single.select(F.lit(1).alias("depth"), "*").unionByName(double.select(F.lit(2).alias("depth"), "*"))
     rows = rows.join(F.broadcast(kept), ["depth", "context"]).toPandas()   # bounded by STATES
     return _assembled(best, rows, pair_keys, root)
@@ -336,10 +338,10 @@ _ROWS = ("doc_id long, row long, n_tokens long, n_known long, base double, score
 
 def _scored(docs: DataFrame, tree: Tree, known: Words) -> DataFrame:
     """Per document its scores, without the chances of its rare words at the root."""
-    shared = docs.sparkSession.sparkContext.broadcast((tree, known))
+    shared = share(docs.sparkSession, (tree, known))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, known = shared.value
+        tree, known = pickle.loads(shared.value)
         root = known.root()
         at_root = root.copy()
         at_root[known.rare] = 1.0        # told by the table of all words
@@ -372,7 +374,7 @@ def _scored(docs: DataFrame, tree: Tree, known: Words) -> DataFrame:
                  *[pa.array(np.array(c, dtype=np.float64)) for c in columns[3:5]], *lists],
                 [c.split()[0] for c in _ROWS.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _ROWS)
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, _ROWS)
 
 
 def _root_of_rare(known: Words) -> Column:

@@ -8,16 +8,18 @@ each Python worker for all its tasks.
 from __future__ import annotations
 
 import os
+import re
 import sys
 import types
 from collections.abc import Iterator
 
 import numpy as np
 
-KEPT = 1_200_000      # chunks remembered in one Python worker: about 250 MB
+KEPT = 600_000        # chunks remembered in one Python worker: about 110 MB
 LONGEST_KEPT = 64     # bytes
 TOGETHER = 1 << 20    # characters of texts looked through for new chunks at once
 _JOINED = 2000        # new chunks encoded at once
+_SIGN = re.compile(rb"([.,])(?<=[A-Za-z].)(?=[ \n])")
 
 
 class _Chunks(dict):
@@ -38,7 +40,16 @@ class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        self.chunks = _Chunks(Tokenizer.from_file(path))
+        tokenizer = Tokenizer.from_file(path)
+        self.chunks = _Chunks(tokenizer)
+        # where the tokenizer itself takes no notice of case, or parts words from a point or comma
+        # behind them, chunks that differ only so are remembered once
+        letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+        normal = tokenizer.normalizer
+        self.caseless = normal is not None and normal.normalize_str(letters) == letters.lower()
+        parts = tokenizer.pre_tokenizer
+        self.parted = parts is not None and [x for x, _ in parts.pre_tokenize_str("Az. az,")] == [
+            "Az", ".", "az", ","]
 
     def learn(self, new: list[bytes]) -> None:
         """Encode chunks together, which costs less than one by one, and cut at their bounds."""
@@ -54,12 +65,20 @@ class Encoder:
             for i, chunk in enumerate(part):
                 self.chunks[chunk] = data[4 * cut[i]:4 * cut[i + 1]]
 
+    def _chunks(self, text: str) -> list[bytes]:
+        data = text.encode()
+        if self.caseless:
+            data = data.lower()
+        if self.parted:
+            data = _SIGN.sub(rb" \1", data)
+        return data.split()
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         at = 0
         while at < len(texts):
             split, size = [], 0
             while at < len(texts) and size < TOGETHER:
-                split.append(texts[at].encode().split())
+                split.append(self._chunks(texts[at]))
                 size += len(texts[at])
                 at += 1
             kept = self.chunks

@@ -9,6 +9,7 @@ not trained on.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from placesearch.llm import words
-from placesearch.llm.landing import fold, table
+from placesearch.llm.landing import fold, share, table
 
 # Fixed values: (verdict, host, path).
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
@@ -139,13 +140,14 @@ def _log_chances(model: Model, data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def with_difference(rows: DataFrame, model: Model) -> DataFrame:
     """Adds ``difference``: log-likelihood ratio per character, the end counted as one."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+    shared = share(rows.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = pickle.loads(shared.value)
         for batch in batches:
             data, owner = _symbols(batch.column(0))
             at = np.flatnonzero(owner >= 0)
-            logs = _log_chances(shared.value, data, at)
+            logs = _log_chances(model, data, at)
             found = np.bincount(owner[at], weights=logs[1] - logs[0], minlength=batch.num_rows)
             sizes = np.maximum(np.bincount(owner[at], minlength=batch.num_rows), 1)
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found / sizes)],
