@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from placesearch.llm.landing import SPACE, land, table, text_of, whole_rows
+from placesearch.llm.landing import SPACE, dealt_anew, land, table, text_of, whole_rows
 
 BLOCK = 2048          # characters
 _ALONE = -1           # the partner of a last name without one
@@ -107,8 +107,8 @@ def exact_duplicates(docs: DataFrame, block: int = BLOCK, bits: int = 64) -> Dat
     units = land(rows.groupBy(_key("_doc").alias("_doc"), "_sha")
                  .agg(F.count("*").alias("copies"), F.first("_doc").alias("doc_id"))
                  .join(named, _UNIT), "units")
-    groups = units.groupBy("blocks", "name").agg(
-        F.min("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
+    groups = dealt_anew(units.groupBy("blocks", "name").agg(
+        F.min("doc_id").alias("keep_id"), F.sum("copies").alias("group_size")))
     judged = units.join(groups, ["blocks", "name"])
     copy = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")
     return (judged.select("doc_id", "keep_id", "group_size", F.col("_sha").alias("text_sha256"), copy)
