@@ -30,11 +30,11 @@ from placesearch.llm.landing import dealt_anew, fold, held_out, land, map_texts,
 FOLDS = 10
 DEPTH = 2                 # longest context
 SEEN = 32                 # occurrences from which a context is considered
-CONTEXTS = 100_000        # longer contexts considered, the most frequent ones
-STATES = 50_000          # contexts the tree may hold, those with the largest divergence
-FOLLOWERS = 600_000       # next symbols listed in all states together: 10 MB
+CONTEXTS = 40_000         # longer contexts considered, the most frequent ones
+STATES = 20_000          # contexts the tree may hold, those with the largest divergence
+FOLLOWERS = 200_000       # next symbols listed in all states together: 3 MB
 WEIGHT = 8.0              # symbols that the suffix's distribution counts for
-FREQUENT = 150_000        # words known by number in every task
+FREQUENT = 100_000        # words known by number in every task
 UNSEEN = 0.1              # fixed value: added count of the unigram model
 _BITS = 20                # of a word's number
 _HELD = 4 << 20           # counted keys a task keeps before it sends them on
@@ -274,11 +274,14 @@ def _assembled(best: pd.DataFrame, rows: pd.DataFrame, pair_keys: np.ndarray, ro
     pairs = pair_keys[context[twos]]
     parents = np.full(len(best), -1, dtype=np.int64)
     parents[twos] = by_word[pairs & ((1 << _BITS) - 1)]
-    merged = rows.merge(best[["depth", "context"]].assign(state=np.arange(len(best))), on=["depth", "context"])
-    merged = merged.sort_values(["state", "symbol"])
-    state, symbol = merged["state"].to_numpy(np.int64), merged["symbol"].to_numpy(np.int64)
-    n = merged["n"].to_numpy(float)
-    keys = state << _BITS | symbol
+    # states are numbered in the order of depth and context
+    place = depth << (2 * _BITS) | context
+    state = np.searchsorted(place, rows["depth"].to_numpy(np.int64) << (2 * _BITS)
+                            | rows["context"].to_numpy(np.int64))
+    keys = state << _BITS | rows["symbol"].to_numpy(np.int64)
+    order = np.argsort(keys)
+    keys, n = keys[order], rows["n"].to_numpy(float)[order]
+    state, symbol = keys >> _BITS, keys & ((1 << _BITS) - 1)
     chances = np.zeros(len(keys))
     tree = Tree(by_word, pairs, twos, parents, np.zeros(len(best)), keys, chances)
     for level in (1, 2):

@@ -25,7 +25,7 @@ def base(rows, train):
                 sum(math.log10((c[t] + 0.1) / (n + 0.1 * (v + 1))) for t in tokens(x))) for i, x in rows}
 
 
-@pytest.mark.parametrize("frequent", [20, 150_000])
+@pytest.mark.parametrize("frequent", [20, 100_000])
 def test_base_scores(spark, frequent):
     """Also where most words are looked up in the table."""
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
