@@ -8,8 +8,10 @@ suffix, and at the root the words seen once tell how much is left for unknown on
 scored in the state of the longest suffix that was kept.
 
 Words are told apart by 64-bit hashes.  Counts of all words and contexts are summed in the tasks and
-then by key; frequent words are known to every task by number, so the busiest keys never meet in a
-join, and only rare words of a text look up their counts in the whole table.
+then by key.  The tree is a table of weights by gram that grows with the training texts: a text's
+score is the sum of the weights of its words, pairs and triples.  The hottest weights are known to
+every task, so the busiest keys never meet in a join; the others are joined by key.  ``build`` makes
+the same tree in memory, for small texts only.
 """
 
 from __future__ import annotations
@@ -30,16 +32,19 @@ from placesearch.llm.landing import dealt_anew, fold, held_out, land, map_texts,
 FOLDS = 10
 DEPTH = 2                 # longest context
 SEEN = 32                 # occurrences from which a context is considered
-CONTEXTS = 40_000         # longer contexts considered, the most frequent ones
-STATES = 20_000          # contexts the tree may hold, those with the largest divergence
-FOLLOWERS = 200_000       # next symbols listed in all states together: 3 MB
+CONTEXTS = 40_000         # of a tree in memory: longer contexts considered, the most frequent ones
+STATES = 20_000          # of a tree in memory: contexts it may hold, those with the largest divergence
+FOLLOWERS = 200_000       # of a tree in memory: next symbols listed in all states together: 3 MB
 WEIGHT = 8.0              # symbols that the suffix's distribution counts for
-FREQUENT = 100_000        # words known by number in every task
+HOT = 1 << 19             # weights known in every task, the most frequent ones: 12 MB
 UNSEEN = 0.1              # fixed value: added count of the unigram model
 _BITS = 20                # of a word's number
 _HELD = 4 << 20           # counted keys a task keeps before it sends them on
 _TASK_BITS = 40
+_TURNS = (17, 29)         # bits that the suffix of a gram of two and three symbols is turned by
+_MARKS = 1 << 26          # bits of the marks at most
 _U = np.uint64
+END = _U(0xD1B54A32D192ED03)    # stands for the end among the words' hashes
 
 
 @dataclass
@@ -333,49 +338,195 @@ def _states(tree: Tree, row: np.ndarray, end: int, begin: np.ndarray) -> np.ndar
     return found
 
 
+# --- the tree as a table ---------------------------------------------------------------------
+
+def _mixed(context: np.ndarray, suffix: np.ndarray, turn: int) -> np.ndarray:
+    """Key of a context and the symbol, or the shorter gram, that ends with the next symbol."""
+    return context ^ (suffix << _U(turn) | suffix >> _U(64 - turn))
+
+
+def _key(turn: int) -> Column:
+    """The same of the columns ``context`` and ``suffix``."""
+    return F.col("context").bitwiseXOR(F.shiftleft("suffix", turn).bitwiseOR(
+        F.shiftrightunsigned("suffix", 64 - turn)))
+
+
+def _grams(first: np.ndarray, hashed: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Symbols of all texts in a row, which of them begin a text, the symbol before each, and the
+    key of the two symbols that end with each.  Before a text stands an end.
+    """
+    row = np.insert(hashed, first[1:], END)
+    begin = np.zeros(len(row), dtype=bool)
+    begin[first[:-1] + np.arange(len(first) - 1)] = True
+    before = np.concatenate([np.array([END]), row[:-1]])
+    return row, begin, before, _mixed(before, row, _TURNS[0])
+
+
+def _marks(keys: DataFrame) -> np.ndarray:
+    """Bits by hash of all ``key``, at most 8 MB: only a key whose bit is set can be in the table."""
+    size = 1 << 16
+    most = 16 * keys.count()
+    while size < min(most, _MARKS):
+        size <<= 1
+    place = keys.select(F.col("key").bitwiseAND(F.lit(size - 1)).alias("k"))
+    cells = place.groupBy(F.shiftright("k", 6).alias("cell")).agg(
+        F.expr("bit_or(shiftleft(1L, cast(k & 63 as int)))").alias("bits")).toPandas()
+    found = np.zeros(size >> 6, dtype=_U)
+    found[cells["cell"].to_numpy(np.int64)] = cells["bits"].to_numpy(np.int64).view(_U)
+    return found
+
+
+def _marked(marks: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    place = keys & _U(len(marks) * 64 - 1)
+    return (marks[place >> _U(6)] >> (place & _U(63)) & _U(1)).astype(bool)
+
+
+def count_grams(texts: DataFrame, marks: np.ndarray, depth: int) -> DataFrame:
+    """``context, suffix, n`` of grams seen at least twice, for contexts of ``depth`` symbols.
+
+    ``suffix`` is the next symbol at depth 1; at depth 2 it is the key of the last symbol of the
+    context and the next one.  Contexts without a mark are left out.
+    """
+    shared = share(texts.sparkSession, marks)
+
+    def take(held: list) -> pa.RecordBatch:
+        context, suffix, n = (np.concatenate(c) for c in zip(*held)) if held else [np.zeros(0, np.int64)] * 3
+        key = _mixed(context.view(_U), suffix.view(_U), _TURNS[depth - 1])
+        order = np.argsort(key)
+        cut = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])) if len(key) else order
+        n = np.add.reduceat(n[order], cut) if len(cut) else n
+        return pa.RecordBatch.from_arrays([pa.array(context[order[cut]].view(np.int64)),
+                                           pa.array(suffix[order[cut]].view(np.int64)), pa.array(n)],
+                                          ["context", "suffix", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = pickle.loads(shared.value)
+        held, size = [], 0
+        for batch in batches:
+            for _, hashed, first in words.word_hashes(batch.column(0)):
+                row, begin, context, two = _grams(first, hashed)
+                suffix, real = row, True
+                if depth == 2:
+                    context, suffix, real = np.concatenate([two[:1], two[:-1]]), two, ~begin
+                at = np.flatnonzero(_marked(marks, context) & real)
+                _, one, n = np.unique(_mixed(context[at], suffix[at], _TURNS[depth - 1]),
+                                      return_index=True, return_counts=True)
+                held.append((context[at[one]], suffix[at[one]], n))
+                size += len(one)
+                if size > _HELD // 2:
+                    yield take(held)
+                    held, size = [], 0
+        yield take(held)
+
+    return (map_texts(texts.select("text"), run, "context long, suffix long, n long")
+            .groupBy("context", "suffix").agg(F.sum("n").alias("n")).filter("n >= 2"))
+
+
+def _kept(rows: DataFrame) -> DataFrame:
+    """``context, total, pooled`` of the contexts whose divergence pays.
+
+    ``rows``: as for ``_tested``, and ``own``, the chance that the tree gives the symbol after the
+    suffix.  ``pooled`` is the log10 factor on it for a symbol that is not listed.
+    """
+    mass = rows.groupBy("context").agg(F.sum("n").alias("listed"), F.sum("own").alias("mass"))
+    pool = F.greatest(F.col("total") - F.col("listed"), F.lit(0)) / F.greatest(1 - F.col("mass"), F.lit(1e-9))
+    return _tested(rows).join(mass, "context").select(
+        "context", "total", F.log10((pool + WEIGHT) / (F.col("total") + WEIGHT)).alias("pooled"))
+
+
+def gram_weights(texts: DataFrame, counts: DataFrame, known: Words, seen: int) -> DataFrame:
+    """``key, w, base, n``: what each occurrence of a symbol or gram adds to the scores.
+
+    A symbol's score is the root's, plus for each kept context before it the factor for what is not
+    listed, plus for a listed symbol the difference to its own chance.  All three hang on the symbol
+    or gram alone, so a text's score is the sum of the weights of its grams.  ``base`` is null but
+    for single symbols.  Every context seen ``seen`` times that pays is kept, and all of it stays a
+    table.
+    """
+    root = _root_of_rare(known)
+    often = counts.filter(F.col("n") >= seen)
+    single = land(count_grams(texts, _marks(often), 1), "grams")
+    q = counts.select(F.col("key").alias("suffix"), (F.pow(F.lit(10.0), root)).alias("q"))
+    pairs = land(single.join(often.select(F.col("key").alias("context"), F.col("n").alias("total")), "context")
+                 .join(q, "suffix").withColumn("own", F.col("q")), "pairs")
+    smooth = (F.col("n") + WEIGHT * F.col("own")) / (F.col("total") + WEIGHT)
+    first = land(_kept(pairs), "states")
+    pairs = land(pairs.join(first.select("context", "pooled"), "context", "left").select(
+        _key(_TURNS[0]).alias("key"), "suffix", "n", "q", "pooled", smooth.alias("smooth")), "pairs")
+    often = pairs.filter((F.col("n") >= seen) & (F.col("suffix") != F.lit(int(END.view(np.int64)))))
+    double = land(count_grams(texts, _marks(often), 2), "grams")
+    above = pairs.select(F.col("key").alias("suffix"), F.col("smooth").alias("q"),
+                         F.when(F.col("pooled").isNull(), F.col("q")).otherwise(F.col("smooth")).alias("own"))
+    triples = land(double.join(often.select(F.col("key").alias("context"), F.col("n").alias("total")), "context")
+                   .join(above, "suffix"), "triples")
+    second = land(_kept(triples), "states")
+    more = F.lit(None).cast("double").alias("base")
+    least = F.log10(F.lit(max(known.discount * known.distinct / max(known.total, 1), 1e-300)))
+    parts = [
+        counts.select("key", (root - least).alias("w"), F.log10((F.col("n") + UNSEEN) / UNSEEN).alias("base"), "n"),
+        first.select(F.col("context").alias("key"), F.col("pooled").alias("w"), more, F.col("total").alias("n")),
+        pairs.filter("pooled IS NOT NULL").select(
+            "key", (F.log10(F.col("smooth") / F.col("q")) - F.col("pooled")).alias("w"), more, "n"),
+        second.select(F.col("context").alias("key"), F.col("pooled").alias("w"), more, F.col("total").alias("n")),
+        triples.join(second.select("context", "pooled"), "context").select(
+            _key(_TURNS[1]).alias("key"), (F.log10(smooth / F.col("own")) - F.col("pooled")).alias("w"), more, "n")]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    return rows.groupBy("key").agg(F.sum("w").alias("w"), F.max("base").alias("base"), F.max("n").alias("n"))
+
+
 # --- scoring ---------------------------------------------------------------------------------
 
-_ROWS = ("doc_id long, row long, n_tokens long, n_known long, base double, score double, "
-         "rare array<long>, times array<long>")
+_ROWS = "doc_id long, row long, n_tokens long, n_known long, base double, score double, open array<long>"
 
 
-def _scored(docs: DataFrame, tree: Tree, known: Words) -> DataFrame:
-    """Per document its scores, without the chances of its rare words at the root."""
-    shared = share(docs.sparkSession, (tree, known))
+def _scored(docs: DataFrame, weights: DataFrame, hot: int) -> DataFrame:
+    """Per document the sums over its hottest grams, and the keys of those to look up in the table."""
+    top = weights.filter(F.col("n") >= _cut(weights, hot)).toPandas()
+    keys = top["key"].to_numpy(np.int64).view(_U)
+    order = np.argsort(keys)
+    shared = share(docs.sparkSession, (_marks(weights.select("key")), keys[order],
+                                       top["w"].to_numpy(float)[order], top["base"].to_numpy(float)[order]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, known = pickle.loads(shared.value)
-        root = known.root()
-        at_root = root.copy()
-        at_root[known.rare] = 1.0        # told by the table of all words
-        spare = known.total + UNSEEN * (known.distinct + 1)
-        base_of = np.log10((np.append(known.counts, [0, known.ends]) + UNSEEN) / spare)
-        base_of[known.rare] = 0
+        marks, known, w, base = pickle.loads(shared.value)
+        word = ~np.isnan(base)
+        base = np.where(word, base, 0.0)
         row_id = TaskContext.get().partitionId() << _TASK_BITS
         for batch in batches:
-            rows: list[tuple] = []
-            for first, different, which, _ in _texts(batch.column(1)):
-                numbers = _numbers(known, different)
-                row = _symbols(first, numbers[which], known.end)
-                begin = first[:-1] + np.arange(len(first) - 1)
-                state = _states(tree, row, known.end, begin)
-                score = np.add.reduceat(_chain(tree, state, row, at_root), begin)
-                base = np.add.reduceat(base_of[row], begin)
-                hits = np.add.reduceat(((row != known.rare) & (row != known.end)).astype(np.int64), begin)
-                for i in range(len(begin)):
-                    own = which[first[i]:first[i + 1]]
-                    rare, times = np.unique(own[numbers[own] == known.rare], return_counts=True)
-                    rows.append((row_id, len(own) + 1, hits[i] + (known.ends > 0), base[i], score[i],
-                                 different[rare].view(np.int64), times))
-                    row_id += 1
-            columns = list(zip(*rows)) or [()] * 7
-            cut = pa.array(np.concatenate([[0], np.cumsum([len(r) for r in columns[5]])]).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(cut, pa.array(
-                np.concatenate(c).astype(np.int64) if c else np.zeros(0, np.int64))) for c in columns[5:]]
+            texts, sums, opened = [], [], []
+            for first, hashed in ((f, h) for _, h, f in words.word_hashes(batch.column(1))):
+                row, begin, _, two = _grams(first, hashed)
+                n = len(first) - 1
+                of = np.repeat(np.arange(n), np.diff(first) + 1)
+                three = np.flatnonzero(~begin)
+                total, keys, owner = np.zeros((3, n)), [], []
+                for gram, text in ((row, of), (two, of), (_mixed(two[three - 1], two[three], _TURNS[1]), of[three])):
+                    told = _marked(marks, gram)
+                    gram, text = gram[told], text[told]
+                    at = np.searchsorted(known, gram)
+                    at[at == len(known)] = 0
+                    hit = known[at] == gram if len(known) else np.zeros(len(gram), bool)
+                    at = at[hit]
+                    for k, value in enumerate((w, base, word)):
+                        total[k] += np.bincount(text[hit], weights=value[at], minlength=n)
+                    keys.append(gram[~hit])
+                    owner.append(text[~hit])
+                owner, keys = np.concatenate(owner), np.concatenate(keys)
+                opened.append((np.bincount(owner, minlength=n), keys[np.argsort(owner, kind="stable")]))
+                texts.append(np.diff(first) + 1)
+                sums.append(total)
+            score, base_of, hits = np.concatenate([np.zeros((3, 0)), *sums], axis=1)
+            size = np.concatenate([np.zeros(0, np.int64), *texts])
+            cut = np.cumsum(np.concatenate([np.zeros(1, np.int64), *[o[0] for o in opened]])).astype(np.int32)
+            left = np.concatenate([np.zeros(0, _U), *[o[1] for o in opened]]).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[pa.array(np.array(c, dtype=np.int64)) for c in columns[:3]],
-                 *[pa.array(np.array(c, dtype=np.float64)) for c in columns[3:5]], *lists],
+                [batch.column(0), pa.array(row_id + np.arange(len(size))), pa.array(size.astype(np.int64)),
+                 pa.array(hits.astype(np.int64)), pa.array(base_of), pa.array(score),
+                 pa.ListArray.from_arrays(pa.array(cut), pa.array(left))],
                 [c.split()[0] for c in _ROWS.split(", ")])
+            row_id += len(size)
 
     return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, _ROWS)
 
@@ -389,35 +540,37 @@ def _root_of_rare(known: Words) -> Column:
     return F.when(F.col("n").isNull(), F.lit(float(np.log10(unknown)))).otherwise(seen)
 
 
-def score_texts(docs: DataFrame, learn_from: DataFrame, frequent: int = FREQUENT, seen: int = SEEN) -> DataFrame:
+def score_texts(docs: DataFrame, learn_from: DataFrame, frequent: int = HOT, seen: int = SEEN) -> DataFrame:
     """One row per document: ``doc_id, n_tokens, n_known, train_tokens, base_score, score``.
 
     Tokens are lower-cased words and one end per text.  ``base_score`` is the unigram log10
     probability, ``score`` that of the tree; for both, all words that training did not see are one
     symbol.  A null text counts as empty: it is its end alone.  Rows that repeat are scored each,
     and learned from each.  Without training texts nothing is known and a token's chance is a half.
-    Only ``doc_id`` and ``text`` are read.
+    The ``frequent`` hottest weights are known to every task, the others are joined; this changes
+    no score.  Only ``doc_id`` and ``text`` are read.
     """
-    if frequent + 2 > 1 << _BITS:
-        raise ValueError(f"at most {(1 << _BITS) - 2} frequent words")
     texts = learn_from.select("text")
     counts = land(count_words(texts), "words")
-    known = known_words(counts, texts.count(), frequent)
-    scored = land(_scored(docs, build(texts, known, seen), known), "scored")
-    rare = scored.filter(F.size("rare") > 0).select("row", F.explode(F.arrays_zip("rare", "times")).alias("w"))
-    told = rare.select("row", F.col("w.rare").alias("key"), F.col("w.times").alias("times")).join(
-        counts, "key", "left")
-    base = F.log10((F.coalesce("n", F.lit(0)) + UNSEEN) / (known.total + UNSEEN * (known.distinct + 1)))
-    sums = told.groupBy("row").agg(F.sum(F.col("times") * base).alias("rare_base"),
-                                   F.sum(F.col("times") * _root_of_rare(known)).alias("rare_score"),
-                                   F.sum(F.when(F.col("n").isNotNull(), F.col("times"))).alias("rare_known"))
-    found = scored.drop("rare", "times").join(dealt_anew(sums), "row", "left")
+    ends = texts.count()
+    known = known_words(counts, ends, 0)
+    if ends:
+        end = docs.sparkSession.createDataFrame([(int(END.view(np.int64)), ends)], counts.schema)
+        counts = land(counts.unionByName(end), "words")
+    weights = land(gram_weights(texts, counts, known, seen), "weights")
+    scored = land(_scored(docs, weights, frequent), "scored")
+    told = scored.filter(F.size("open") > 0).select("row", F.explode("open").alias("key")).join(weights, "key")
+    sums = told.groupBy("row").agg(F.sum("base").alias("more_base"), F.sum("w").alias("more_score"),
+                                   F.count("base").alias("more_known"))
+    found = scored.drop("open").join(dealt_anew(sums), "row", "left")
+    none = np.log10(UNSEEN / (known.total + UNSEEN * (known.distinct + 1)))
+    unknown = np.log10(max(known.discount * known.distinct / known.total, 1e-300) if known.total else 0.5)
     more = lambda c: F.coalesce(c, F.lit(0.0))
     return found.select(
-        "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
+        "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(known.total).cast("long").alias("train_tokens"),
-        (F.col("base") + more("rare_base")).alias("base_score"),
-        (F.col("score") + more("rare_score")).alias("score"))
+        (F.col("n_tokens") * float(none) + F.col("base") + more("more_base")).alias("base_score"),
+        (F.col("n_tokens") * float(unknown) + F.col("score") + more("more_score")).alias("score"))
 
 
 def op4_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

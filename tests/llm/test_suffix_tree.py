@@ -76,3 +76,20 @@ def test_odd_rows(spark):
     assert {r.train_tokens for r in got} == {4}
     assert S.score_texts(df.limit(0), learn).count() == 0
     assert all(r.score < 0 for r in S.score_texts(df, learn.limit(0)).collect())
+
+
+def test_no_context_is_lost_and_the_table_agrees_with_the_tree_in_memory(spark):
+    """However few weights a task knows, the scores are those of the whole tree."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    few, many = ({r.doc_id: r.score for r in S.score_texts(docs, docs, n, seen=8).collect()} for n in (20, 100_000))
+    assert few == pytest.approx(many, rel=1e-9)
+    texts = docs.select("text")
+    known = S.known_words(S.count_words(texts), texts.count(), 1_000_000)
+    tree, root = S.build(texts, known, seen=8, states=10**6, followers=10**7), known.root()
+    assert len(tree.pairs) and known.rare < 1 << 20
+    for r in docs.limit(30).collect():
+        row = [int(S._numbers(known, S.words.hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]),
+                                                    np.array([len(w.encode())])))[0]) for w in tokens(r.text)[:-1]]
+        row = np.array([*row, known.end])
+        state = S._states(tree, row, known.end, np.array([0]))
+        assert many[r.doc_id] == pytest.approx(S._chain(tree, state, row, root).sum(), rel=1e-6)
