@@ -36,13 +36,13 @@ CONTEXTS = 40_000         # of a tree in memory: longer contexts considered, the
 STATES = 20_000          # of a tree in memory: contexts it may hold, those with the largest divergence
 FOLLOWERS = 200_000       # of a tree in memory: next symbols listed in all states together: 3 MB
 WEIGHT = 8.0              # symbols that the suffix's distribution counts for
-HOT = 1 << 19             # weights known in every task, the most frequent ones: 12 MB
+HOT = 1 << 18             # weights known in every task, the most frequent ones: 6 MB
 UNSEEN = 0.1              # fixed value: added count of the unigram model
 _BITS = 20                # of a word's number
 _HELD = 4 << 20           # counted keys a task keeps before it sends them on
 _TASK_BITS = 40
 _TURNS = (17, 29)         # bits that the suffix of a gram of two and three symbols is turned by
-_MARKS = 1 << 26          # bits of the marks at most
+_MARKS = 1 << 25          # bits of the marks at most
 _U = np.uint64
 END = _U(0xD1B54A32D192ED03)    # stands for the end among the words' hashes
 
@@ -363,9 +363,9 @@ def _grams(first: np.ndarray, hashed: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _marks(keys: DataFrame) -> np.ndarray:
-    """Bits by hash of all ``key``, at most 8 MB: only a key whose bit is set can be in the table."""
+    """Bits by hash of all ``key``, at most 4 MB: only a key whose bit is set can be in the table."""
     size = 1 << 16
-    most = 16 * keys.count()
+    most = 8 * keys.count()
     while size < min(most, _MARKS):
         size <<= 1
     place = keys.select(F.col("key").bitwiseAND(F.lit(size - 1)).alias("k"))
