@@ -17,13 +17,13 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from placesearch.llm.landing import fold, held_out, map_texts, share, table, text_of, whole_rows
 
 FEATURES = 1 << 12           # hashed n-grams
 CENTROIDS = 4                # per language
-SAMPLE = 2000                # training texts clustered per language, in expectation
+SAMPLE = 2000                # different training texts clustered per language
 MAX_LANGUAGES = 1000         # keeps the model under 70 MB
 REJECT = 0.5                 # share of the lowest training similarity that is still accepted
 LOWEST = 0.001               # which quantile of the training similarities counts as the lowest
@@ -31,6 +31,7 @@ FOLDS = 5
 UNKNOWN = "und"
 _CELLS = 1 << 21             # code points or matrix cells handled at once
 _ROUNDS = 12
+_SALTS = 64
 _U = np.uint32
 _folded: list[np.ndarray] = []
 
@@ -137,25 +138,36 @@ def _cluster(vectors: np.ndarray, count: int) -> np.ndarray:
     return found / np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-12)
 
 
+def _sample(rows: DataFrame, sample: int) -> DataFrame:
+    """``lang, text``: of each language ``sample`` different texts, or all if it has fewer.
+
+    Texts are told apart and drawn by their hash.  Each is taken once, and copies only make it
+    likelier to be taken, so they neither crowd out other texts nor add rows.  Only hashes are
+    shuffled until the few texts are chosen.
+    """
+    hashed = rows.withColumn("h", F.xxhash64("text"))
+    # a text's turn comes after a time that is shorter the more copies it has
+    draw = (F.pmod("h", F.lit(1 << 40)) + 0.5) / F.lit(float(1 << 40))
+    near = hashed.groupBy("lang", "h").agg((-F.log(draw) / F.count("*")).alias("turn"))
+    for keys in (["lang", F.pmod(F.xxhash64("h"), F.lit(_SALTS))], ["lang"]):
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy("turn", "h"))
+        near = near.withColumn("_place", place).filter(F.col("_place") <= sample).drop("_place")
+    chosen = F.broadcast(near.drop("turn"))       # at most ``sample`` hashes of a language
+    return hashed.join(chosen, ["lang", "h"]).groupBy("lang", "h").agg(F.first("text").alias("text")).drop("h")
+
+
 def train(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Model:
     """Fit on ``text, lang, doc_id``: frequencies over all rows, centroids on a bounded sample.
 
-    The sample takes a row by the hash of its text, at a rate that gives ``sample`` rows of a
-    language; copies of one text are taken or left together.  Rows without text, letters or
-    language are not used.
+    The sample has ``sample`` different texts of each language, each once, see ``_sample``.  Rows
+    without text, letters or language are not used.
     """
     rows = labelled.select("text", "lang").filter(
         F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if len(sizes) > MAX_LANGUAGES:
+    if rows.select("lang").distinct().count() > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     total, seen = document_frequency(rows.select("text"))
     weights = np.log((1 + total) / (1 + seen)).astype(np.float32) + np.float32(0.05)
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    rate = F.lit(1.0)
-    for lang, n in sizes.items():
-        if n > sample:
-            rate = F.when(F.col("lang") == lang, F.lit(sample / n)).otherwise(rate)
 
     def describe(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         vectors = np.concatenate([_vectors(list(frame["text"][at:at + 256]), weights)
@@ -166,7 +178,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS)
                                                         for c in centres],
                              "floor": float(np.quantile(near, LOWEST)) * REJECT})
 
-    found = (rows.filter(draw < rate).groupBy("lang")
+    found = (_sample(rows, sample).groupBy("lang")
              .applyInPandas(describe, "lang string, centre binary, floor double").collect())
     found = sorted(found, key=lambda r: (r.lang, bytes(r.centre)))
     languages = sorted({r.lang for r in found})

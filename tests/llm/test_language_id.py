@@ -42,3 +42,24 @@ def test_a_language_keeps_several_centroids(spark):
     model = L.train(L.learnable(docs))
     assert sorted(set(model.owner)) == list(range(len(model.languages)))
     assert len(model.owner) == L.CENTROIDS * len(model.languages)
+
+
+def test_copies_do_not_crowd_out_a_language(spark):
+    other = [(f"zwei drei {k} vier und {k * 7} nicht das haus", "de") for k in range(60)]
+    rows = [("ein text der immer wieder kommt", "de")] * 6000 + other + [("the house is not that one", "en")] * 30
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id long, text string, lang string")
+    chosen = L._sample(df.select("text", "lang"), 20)
+    assert {r.lang: (r.n, r.kinds) for r in chosen.groupBy("lang").agg(
+        F.count("*").alias("n"), F.countDistinct("text").alias("kinds")).collect()} == {"de": (20, 20), "en": (1, 1)}
+    model = L.train(df, sample=20)
+    assert model.languages == ["de", "en"]
+    told = L.predict(df, model).join(df, "doc_id").groupBy("lang").agg(
+        F.avg((F.col("lang") == F.col("lang_pred")).cast("int")), F.sum(F.col("rejected").cast("int"))).collect()
+    assert sorted(tuple(r) for r in told) == [("de", 1.0, 0), ("en", 1.0, 0)]
+
+
+def test_a_language_of_mostly_copies_is_learned(spark):
+    """Drawn by row, none of these 31 different texts would be taken."""
+    rows = [("ein text", "de")] * 30_000 + [(f"haus nummer {k}", "de") for k in range(30)]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id long, text string, lang string")
+    assert L.train(df, sample=10).languages == ["de"]
