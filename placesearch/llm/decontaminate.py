@@ -3,7 +3,8 @@
 A seed is a window of tokens in which a fixed mask ignores some positions, so a substituted token
 there does not hide the rest.  Windows of the benchmark and of the documents that agree on the
 other positions are a hit; around it both token rows are compared in place, and the overlap counts
-when enough of the stretch agrees, whatever tokens were substituted.
+when enough of the stretch agrees, whatever tokens were substituted.  Where the near surroundings do
+not agree, as around a short passage within longer texts, the best stretch of any length decides.
 
 The document side is one narrow pass: tokens become numbers, windows are made and looked up
 without any shuffle, and only confirmed overlaps leave the task.  The benchmark is looked up in
@@ -71,9 +72,42 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
+    # windows whose near surroundings agree count; only where there is none, those with a longer stretch
+    told = {name: (how(F.when(F.col("sure"), F.col(name))), how(F.col(name))) for name, how in (
+        ("hits", F.sum), ("matched", F.max), ("first_token", F.min), ("last_token", F.max))}
     return out.groupBy("doc_id", "text_hash", "item_id").agg(
-        F.sum("hits").alias("hits"), F.max("matched").alias("matched"),
-        F.min("first_token").alias("first_token"), F.max("last_token").alias("last_token"))
+        *[F.coalesce(sure, every).alias(name) for name, (sure, every) in told.items()])
+
+
+def _longer() -> Column:
+    """Agreeing tokens of the best stretch around a hit, null if none is long enough and agrees.
+
+    A stretch has any number of tokens before and after the hit's start, and at least the shortest
+    window.  Each agreeing token scores above zero and each other one below it, so that a stretch of
+    no negative sum has the share ``AGREE``; the best one has the highest sum.
+    """
+    share, window = round(100 * AGREE), min(m[-1] for m in MASKS) + 1
+    before, after = F.least("_p", "_q"), F.least(F.size("_t") - F.col("_p"), F.size("_u") - F.col("_q"))
+    part = lambda c, at, n: F.slice(c, F.col(at) + 1, n)
+    left = F.zip_with(F.reverse(F.slice("_t", F.col("_p") - before + 1, before)),
+                      F.reverse(F.slice("_u", F.col("_q") - before + 1, before)), lambda a, b: (a == b).cast("int"))
+    right = F.zip_with(part("_t", "_p", after), part("_u", "_q", after), lambda a, b: (a == b).cast("int"))
+    cell = lambda s, m: F.struct(s.alias("s"), m.alias("m"))
+    sums = lambda same: F.aggregate(
+        same, F.array(cell(F.lit(0), F.lit(0))), lambda all_, x: F.concat(all_, F.array(cell(
+            F.element_at(all_, -1)["s"] + 100 * x - share, F.element_at(all_, -1)["m"] + x))))
+    need = F.least(F.lit(SHORTEST), F.size("_u"))
+    behind = lambda c, n: F.array_max(F.slice(c, n + 1, F.size(c)))
+    plus = lambda a, b: F.when(a.isNotNull() & b.isNotNull(), cell(a["s"] + b["s"], a["m"] + b["m"]))
+
+    def best(both: Column) -> Column:
+        far = max(SHORTEST - window, 1)      # from here on any window is long enough
+        tries = [plus(F.get(both["l"], F.lit(n)), behind(both["r"], F.greatest(need - n, F.lit(window))))
+                 for n in range(far)]
+        return F.greatest(*tries, plus(behind(both["l"], F.lit(far)), behind(both["r"], F.lit(window))))
+
+    found = F.transform(F.array(F.struct(sums(left).alias("l"), sums(right).alias("r"))), best)
+    return F.element_at(F.transform(found, lambda f: F.when(f["s"] >= 0, f["m"])), 1)
 
 
 def _block_overlaps(texts: DataFrame, items: DataFrame) -> DataFrame:
@@ -88,9 +122,10 @@ def _block_overlaps(texts: DataFrame, items: DataFrame) -> DataFrame:
         F.slice("_t", F.col("_p") - before + 1, F.col("_n")),
         F.slice("_u", F.col("_q") - before + 1, F.col("_n")), lambda a, b: (a == b).cast("int")))
     matched = F.aggregate("_same", F.lit(0), lambda total, x: total + x)
-    checked = stretch.withColumn("matched", matched).filter(
-        (F.col("_n") >= F.least(F.lit(SHORTEST), F.size("_u"))) & (F.col("matched") >= AGREE * F.col("_n")))
-    return checked.groupBy("doc_id", "text_hash", "item_id").agg(
+    sure = (F.col("_n") >= F.least(F.lit(SHORTEST), F.size("_u"))) & (F.col("matched") >= AGREE * F.col("_n"))
+    checked = stretch.withColumn("matched", matched).withColumn("sure", sure).withColumn(
+        "matched", F.when(F.col("sure"), F.col("matched")).otherwise(_longer())).filter("matched IS NOT NULL")
+    return checked.groupBy("doc_id", "text_hash", "item_id", "sure").agg(
         F.count("*").alias("hits"), F.max("matched").alias("matched"),
         F.min("_p").alias("first_token"), F.max(F.col("_p") + _SPAN - 1).alias("last_token"))
 

@@ -56,3 +56,18 @@ def test_empty_tables(planted):
 def test_no_python_in_the_plan(planted):
     plan = D.overlaps(*planted)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
+
+
+@pytest.mark.parametrize("length", [12, 14, 16])
+def test_a_short_passage_counts_wherever_it_stands(spark, length):
+    draw = random.Random(7)
+    item = [f"b{k}" for k in range(50)]
+    fill = lambda n: [f"c{draw.randrange(500)}" for _ in range(n)]
+    within = item[15:15 + length]
+    changed = [w if k != length // 2 else "zz" for k, w in enumerate(item[15:15 + length])]
+    rows = [(1, fill(80) + within + fill(80)), (2, within + fill(80)), (3, fill(80) + item[:length] + fill(80)),
+            (4, fill(40) + item[15:23] + fill(80)), (5, fill(200)), (6, fill(30) + changed + fill(30))]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    found = {r.doc_id: r.matched for r in D.overlaps(
+        docs, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()}
+    assert {1, 2, 3} <= set(found) <= {1, 2, 3, 6} and found[1] >= length
