@@ -15,12 +15,13 @@ def dedupe_searches(searches: DataFrame, lateness: str = LATENESS) -> DataFrame:
             .dropDuplicatesWithinWatermark(["search_id"]))
 
 
-def keep_daily(searches: DataFrame, folder: str, lateness: str = LATENESS) -> DataFrame:
+def keep_daily(searches: DataFrame, folder: str) -> DataFrame:
     """Process what the source holds and return the rollup of every day, open days too.
 
     New searches are added to ``folder/log`` by day; the days they fall on are then counted anew
-    from the log, with exact distinct counts, and replace their rows in ``folder/daily``.  A batch
-    that is run again writes the same files, so nothing is counted twice.
+    from the log, each search once and with exact distinct counts, and replace their rows in
+    ``folder/daily``.  No search is too late.  A batch that is run again writes the same files, so
+    nothing is counted twice.
     """
     spark = searches.sparkSession
     day = T.StructField("day", T.DateType())
@@ -34,12 +35,20 @@ def keep_daily(searches: DataFrame, folder: str, lateness: str = LATENESS) -> Da
         session = batch.sparkSession
         # one value per day of the batch
         days = [r.day for r in session.read.schema(one).parquet(own).select("day").distinct().collect()]
-        logged = session.read.schema(every).parquet(f"{folder}/log").filter(F.col("day").isin(days))
+        whole = session.read.schema(every).parquet(f"{folder}/log").filter("timestamp IS NOT NULL")
+        logged = whole.filter(F.col("day").isin(days))
+        # a search counts where it came first; later batches have higher numbers, so this stays
+        ids = logged.select(F.col("search_id").alias("_id")).distinct()
+        first = (whole.join(ids, F.col("search_id").eqNullSafe(F.col("_id")), "left_semi")
+                 .groupBy(F.col("search_id").alias("_id")).agg(F.min(F.struct("batch", "timestamp")).alias("_first")))
+        logged = logged.dropDuplicates(["search_id", "batch", "timestamp"]).join(
+            first, F.col("search_id").eqNullSafe(F.col("_id")) & (F.struct("batch", "timestamp") == F.col("_first")),
+            "left_semi")
         (searchlog.daily_analytics(logged).withColumn("day", F.to_date("search_date")).write
          .mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day")
          .parquet(f"{folder}/daily"))
 
-    query = (dedupe_searches(searches, lateness).writeStream.foreachBatch(update)
+    query = (searches.writeStream.foreachBatch(update)
              .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start())
     query.awaitTermination()
     kept = searchlog.daily_analytics(spark.createDataFrame([], searches.schema))

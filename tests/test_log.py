@@ -194,3 +194,16 @@ def test_csv_columns_are_found_by_name(spark, folder):
 
 def test_shared_folder_needs_no_local_folder(spark):
     assert shared_folder(spark).startswith(("file:", "hdfs:", spark.conf.get("spark.checkpoint.dir", "file:")))
+
+
+def test_a_late_search_counts_and_a_repeat_does_not(spark, folder):
+    def send(*rows):
+        full(spark.createDataFrame(list(rows), SEARCH)).write.mode("append").parquet(f"{folder}/in")
+
+    send(("a", "q", at(20), 2, "summary", "y"), ("b", "q", at(21), 2, "summary", "y"))
+    rows = spark.readStream.schema(spark.read.parquet(f"{folder}/in").schema).parquet(f"{folder}/in")
+    stream.keep_daily(rows, f"{folder}/out")
+    send(("late", "q", at(10), 1, "summary", None), ("a", "q", at(20), 2, "summary", "y"),
+         ("b", "q", at(22), 2, "summary", "y"))
+    got = stream.keep_daily(rows, f"{folder}/out").collect()
+    assert sorted((r.search_date.day, r.total_searches) for r in got) == [(10, 1), (20, 1), (21, 1)]
