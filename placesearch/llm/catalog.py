@@ -5,7 +5,8 @@ from __future__ import annotations
 import importlib
 
 MODULES = ("language_id", "exact_dedup", "minhash", "decontaminate", "packing", "quality",
-           "url_filter", "suffix_tree", "licenses", "rollups")
+           "url_filter", "suffix_tree", "licenses", "rollups", "quality_rules",
+           "lexical_search")
 
 
 def collect(attribute: str) -> dict:
