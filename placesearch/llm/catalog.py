@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = ("language_id", "exact_dedup", "minhash", "decontaminate", "packing", "quality",
-           "url_filter", "suffix_tree", "licenses", "rollups", "quality_rules",
+           "url_filter", "suffix_tree", "licenses", "rollups", "quality_rules", "prefix_trie",
            "lexical_search")
 
 
