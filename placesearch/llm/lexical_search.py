@@ -2,7 +2,7 @@
 
 Documents are dealt into blocks of about ``BLOCK`` texts of like length.  The index has one list per
 term and block: the block maximum of the term's impact, and the postings packed into integers.  For
-every query the blocks with the highest sums of maxima are scored first; the k-th best score found
+every query documents that its rarest terms point to are scored first; the k-th best score found
 there is a threshold that no result can be under.  Then
 
 * global bounds split the query's lists: those that even together stay under the threshold are not
@@ -25,7 +25,8 @@ from placesearch.llm.landing import land, table, text_of
 
 NO_TERM = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"     # fixed value: what separates terms
 BLOCK = 128               # documents in a block, on average
-SEEDS = 4                 # blocks scored first for each query
+RAREST = 12               # lists that point to the documents scored first
+SEEDS = 60                # documents scored first for each query
 SHARD = 1024              # blocks whose results are ranked together
 VOCABULARY = 50_000       # query terms looked up in one pass over the documents
 _BITS = 20                # of a packed posting: its impact, which is under 1,000,000
@@ -40,13 +41,13 @@ class Index:
     documents: int
 
 
-def _lowered(term: Column) -> Column:
+def _lowered(text: Column) -> Column:
     """A-Z lower-cased and no other letter."""
-    return F.when(F.octet_length(term) == F.length(term), F.lower(term)).otherwise(F.translate(term, _UPPER, _LOWER))
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
 
 
 def terms_of(text: Column) -> Column:
-    return F.transform(F.array_remove(F.split(text, NO_TERM), ""), _lowered)
+    return F.array_remove(F.split(_lowered(text), NO_TERM), "")
 
 
 def _each(value: Column, function) -> Column:
@@ -132,24 +133,45 @@ def weighted_terms(index: Index, queries: DataFrame) -> DataFrame:
             .select("q", "term", "weight", (F.col("weight") * F.col("most")).alias("bound")))
 
 
-def thresholds(index: Index, terms: DataFrame, bounds: DataFrame, k: int) -> DataFrame:
-    """``q, need``: the k-th best score in the query's most promising blocks, 1 if there are fewer."""
-    order = Window.partitionBy("q").orderBy(F.desc("bound"), "block")
-    seeds = bounds.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= SEEDS).select("q", "block")
-    scored = _sums(_unpacked(seeds.join(terms.select("q", "term", "weight"), "q").join(index.lists, ["block", "term"])))
+def _kth(index: Index, scored: DataFrame, terms: DataFrame, k: int) -> DataFrame:
+    """``q, need``: the k-th best score among the documents that score most in part, 1 if there are fewer.
+
+    ``scored``: ``q, block, slot, part``, the part of the score that lists outside ``terms`` add.
+    """
+    first = Window.partitionBy("q").orderBy(F.desc("part"), "block", "slot")
+    seeds = (scored.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= SEEDS)
+             .select("q", "block", "slot", "part"))
+    whole = seeds.unionByName(_looked_up(index, seeds, terms))
     best = Window.partitionBy("q").orderBy(F.desc("part"))
-    kth = scored.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k)
+    kth = _sums(whole).withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k)
     return kth.groupBy("q").agg(F.max(F.when(F.col("_r") == k, F.col("part"))).alias("need")).select(
         "q", F.greatest(F.coalesce("need", F.lit(0)), F.lit(1)).cast("long").alias("need"))
 
 
+def thresholds(index: Index, terms: DataFrame, k: int) -> DataFrame:
+    """``q, need`` from the documents that the query's ``RAREST`` lists of highest weight point to.
+
+    Lists are short where weights are high.
+    """
+    heavy = Window.partitionBy("q").orderBy(F.desc("weight"), "term")
+    ranked = terms.withColumn("_r", F.row_number().over(heavy))
+    rare = ranked.filter(F.col("_r") <= RAREST).select("q", "term", "weight")
+    part = _sums(_unpacked(rare.join(index.lists, "term")))
+    return _kth(index, part, ranked.filter(F.col("_r") > RAREST).select("q", "term", "weight"), k)
+
+
+def _looked_up(index: Index, rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """What ``terms`` add to the documents ``q, block, slot``; postings of other slots stay packed."""
+    slots = rows.groupBy("q", "block").agg(F.collect_list("slot").alias("slots"))
+    lists = slots.join(terms, "q").join(index.lists.drop("top"), ["block", "term"])
+    wanted = F.filter("postings", lambda p: F.array_contains("slots", F.shiftright(p, _BITS)))
+    return _unpacked(lists.select("q", "block", "weight", wanted.alias("postings")))
+
+
 def rank(index: Index, queries: DataFrame, k: int) -> DataFrame:
     """``q, term, times`` -> ``q, rank, doc_id, score``: the k best documents of every query."""
     terms = land(weighted_terms(index, queries), "weights")
-    meta = index.lists.select("block", "term", "top")
-    bounds = land(meta.join(terms, "term").groupBy("q", "block").agg(
-        F.sum(F.col("weight") * F.col("top")).alias("bound")), "bounds")
-    need = land(thresholds(index, terms, bounds, k), "need")
+    need = land(thresholds(index, terms, k), "need")
 
     # lists from the lowest global bound up, as long as all of them together stay under the threshold
     rising = Window.partitionBy("q").orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, 0)
@@ -157,21 +179,24 @@ def rank(index: Index, queries: DataFrame, k: int) -> DataFrame:
                  .select("q", "term", "weight", "essential"), "split")
     essential, other = split.filter("essential").drop("essential"), split.filter("NOT essential").drop("essential")
 
-    live = bounds.join(need, "q").filter("bound >= need").select("q", "block", "need")
+    # block maxima: of all lists for the blocks that can have a result, of the others for candidates
+    top = F.col("weight") * F.col("top")
+    bounds = (index.lists.select("block", "term", "top").join(split, "term").groupBy("q", "block")
+              .agg(F.sum(top).alias("bound"), F.sum(F.when(~F.col("essential"), top)).alias("rest"),
+                   F.max("essential").alias("reached")))
+    live = land(bounds.filter("reached").join(need, "q").filter("bound >= need").select(
+        "q", "block", "need", F.coalesce("rest", F.lit(0)).alias("rest")), "live")
     opened = live.select("q", "block").join(essential, "q").join(index.lists.drop("top"), ["block", "term"])
-    rest = (live.select("q", "block").join(other, "q").join(meta, ["block", "term"])
-            .groupBy("q", "block").agg(F.sum(F.col("weight") * F.col("top")).alias("rest")))
-    limits = live.join(rest, ["q", "block"], "left").select(
-        "q", "block", "need", F.coalesce("rest", F.lit(0)).alias("rest"))
-    candidates = land(_sums(_unpacked(opened)).join(limits, ["q", "block"]).filter("part + rest >= need")
-                      .select("q", "block", "slot", "part"), "candidates")
-
-    more = _unpacked(candidates.select("q", "block").distinct().join(other, "q")
-                     .join(index.lists.drop("top"), ["block", "term"]))
-    scored = (candidates.withColumn("found", F.lit(True))
-              .unionByName(more.withColumn("found", F.lit(None).cast("boolean")))
-              .groupBy("q", "block", "slot").agg(F.sum("part").alias("score"), F.max("found").alias("found"))
-              .filter("found").join(need, "q").filter("score >= need").select("q", "block", "slot", "score"))
+    candidates = land(_sums(_unpacked(opened)).join(live, ["q", "block"]).filter("part + rest >= need")
+                      .select("q", "block", "slot", "part", "rest"), "candidates")
+
+    # the best of the candidates raise the threshold before the other lists are unpacked
+    need = land(_kth(index, candidates.drop("rest"), other, k), "need")
+    candidates = land(candidates.join(need, "q").filter("part + rest >= need").select("q", "block", "slot", "part"),
+                      "candidates")
+    more = _looked_up(index, candidates, other)
+    scored = (candidates.unionByName(more).groupBy("q", "block", "slot").agg(F.sum("part").alias("score"))
+              .join(need, "q").filter("score >= need").select("q", "block", "slot", "score"))
     return _merged(named(index, land(scored, "scored")), k)
 
 
