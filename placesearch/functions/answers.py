@@ -2,63 +2,133 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+import unicodedata
+from collections.abc import Iterator
 
-from placesearch.functions.text import (
-    SPACE, as_replacement, bind, gsub, lines, quoted, strip, unlines,
-)
+import ahocorasick
+import pandas as pd
+from pyspark.sql import Column, functions as F, types as T
+
+from placesearch.functions.text import SPACE, WHITESPACE, bind, gsub, lines, strip, unlines
 
 RULE = "-" * 50
 # noncharacters: they never occur in interchanged text
 _STEP, _EDGE = "\ufdd1", "\ufdd2"
 
 
-def _held(i: Column) -> Column:
-    """What stands for the link of entry ``i`` while other names are still being marked."""
-    return F.concat(F.lit(_EDGE), F.repeat(F.lit(_STEP), i + 1), F.lit(_EDGE))
-
-
-def _entries(hits: Column) -> Column:
-    """One entry per name, longest names first, otherwise in the given order."""
-    named = F.filter(hits, lambda h: F.coalesce(strip(h["name"]), F.lit("")) != "")
-    ranked = F.array_sort(F.transform(named, lambda h, i: F.struct(
-        (-F.length(h["name"])).alias("size"), i.alias("at"), h["name"].alias("name"),
-        F.coalesce(h["url"], F.lit("")).alias("url"))))
-    return bind(ranked, lambda r: F.filter(r, lambda h, i: F.array_position(
-        F.transform(r, lambda x: x["name"]), h["name"]) == i + 1))
-
-
-def _pattern(name: Column) -> Column:
-    edge = F.when(F.size(F.split(strip(name), rf"{SPACE}+")) == 1, r"\b").otherwise("")
-    return F.concat(F.lit(r"(?<!\*\*)"), edge, quoted(name), edge, F.lit(r"(?!\*\*)"))
+# letters whose simple capital and small forms Python knows only as several letters
+_ODD = {"\u0130": "i"}
+# an automaton looks for more names than these at once
+_FEW_NAMES = 8
+
+
+class _Letters(dict):
+    """One letter for all its cases; filled as letters are met, so it is as small as the alphabet."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        capital = c.upper() if len(c.upper()) == 1 else c
+        small = capital.lower() if len(capital.lower()) == 1 else capital
+        self[code] = _ODD.get(c, small)
+        return self[code]
+
+
+class _Words(dict):
+    """Whether a letter belongs to a word."""
+
+    def __missing__(self, c: str) -> bool:
+        kind = unicodedata.category(c)
+        self[c] = c.isalpha() or kind in ("Nl", "Nd", "Mn", "Mc", "Me", "Pc") or c in "\u200c\u200d"
+        return self[c]
+
+
+_LETTERS, _WORDS = _Letters(), _Words()
+
+
+def _fold(text: str) -> str:
+    """The text without cases, letter by letter, so that places stay the same."""
+    return text.lower() if text.isascii() else text.translate(_LETTERS)
+
+
+def _mentions(text: str, folded: str, name: str, whole: bool, start: int = 0) -> Iterator[tuple[int, int]]:
+    """Places of a folded name outside bold marks; ``whole``: as a word of its own."""
+    def bound(at: int) -> bool:
+        return (at > 0 and _WORDS[text[at - 1]]) != (at < len(text) and _WORDS[text[at]])
+
+    at = folded.find(name, start)
+    while at >= 0:
+        end = at + len(name)
+        if (not (text.endswith("**", 0, at) or text.startswith("**", end))
+                and (not whole or (bound(at) and bound(end)))):
+            yield at, end
+            at = folded.find(name, end)
+        else:
+            at = folded.find(name, at + 1)
+
+
+def _present(folded: str, names: list[str]) -> set[str]:
+    """The folded names that occur in a text; many are looked for in one pass by an automaton."""
+    if len(names) <= _FEW_NAMES:
+        return {n for n in names if n in folded}
+    finder = ahocorasick.Automaton()
+    for n in names:
+        finder.add_word(n, n)
+    finder.make_automaton()
+    return {n for _, n in finder.iter(folded)}
+
+
+def link_names(text: str, hits: list[tuple[str, str]]) -> str:
+    """One text with the mentions of ``(name, url)`` marked; see ``link_entities``."""
+    first_url: dict[str, str] = {}
+    for name, url in hits:
+        if (name or "").strip(WHITESPACE):
+            first_url.setdefault(name, url or "")
+    entries = sorted(first_url.items(), key=lambda e: -len(e[0]))
+    folded = _fold(text)
+    # a name with a star may come to be by the marking itself
+    there = _present(folded, [_fold(n) for n, _ in entries])
+    held = {}
+    for i, (name, url) in enumerate(entries):
+        low = _fold(name)
+        if low not in there and "*" not in low:
+            continue
+        whole = not any(c in WHITESPACE for c in name.strip(WHITESPACE))
+        place = next(_mentions(text, folded, low, whole), None)
+        if place is None:
+            continue
+        bold = f"**{name}**"
+        first = bold
+        if url:
+            first = _EDGE + _STEP * (i + 1) + _EDGE
+            held[first] = f"[**{name}**]({url if url.startswith('http') else 'https://' + url})"
+        text = text[:place[0]] + first + text[place[1]:]
+        folded = _fold(text)
+        parts, done = [], 0
+        for at, end in _mentions(text, folded, low, whole, place[0] + len(first)):
+            parts += [text[done:at], bold]
+            done = end
+        if parts:
+            text = "".join([*parts, text[done:]])
+            folded = _fold(text)
+    for mark, link in held.items():
+        text = text.replace(mark, link)
+    return text
+
+
+@F.pandas_udf(T.StringType())
+def _linked(texts: pd.Series, names: pd.Series, urls: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None or n is None else link_names(t, list(zip(n, u)))
+                      for t, n, u in zip(texts, names, urls)], dtype=object)
 
 
 def link_entities(text: Column, hits: Column) -> Column:
     """First mention of each name becomes a bold link, or bold without a URL; later ones bold.
 
-    ``hits``: ``ARRAY<STRUCT<name, url>>``.  Case does not matter, bold text is left alone, and
-    nothing inside a new link is touched again.
+    ``hits``: ``ARRAY<STRUCT<name, url>>``.  Longer names go first.  Case does not matter, bold text
+    is left alone, and nothing inside a new link is touched again.  Names are looked for as they are,
+    all in one pass where there are many, so no pattern is made of a name.
     """
-    def mark(done: Column, i: Column, h: Column) -> Column:
-        bold = F.concat(F.lit("**"), as_replacement(h["name"]), F.lit("**"))
-        first = F.when(h["url"] == "", bold).otherwise(_held(i))
-        pattern = _pattern(h["name"])
-        once = F.regexp_replace(done, F.concat(F.lit("(?iuUs)^(.*?)"), pattern),
-                                F.concat(F.lit("$1"), first))
-        return F.regexp_replace(once, F.concat(F.lit("(?iuU)"), pattern), bold)
-
-    def link(done: Column, i: Column, h: Column) -> Column:
-        url = F.when(F.startswith(h["url"], F.lit("http")), h["url"]).otherwise(
-            F.concat(F.lit("https://"), h["url"]))
-        return F.replace(done, _held(i), F.concat(F.lit("[**"), h["name"], F.lit("**]("), url,
-                                                  F.lit(")")))
-
-    def both(entries: Column) -> Column:
-        numbered = F.transform(entries, lambda h, i: F.struct(i.alias("i"), h.alias("h")))
-        marked = F.aggregate(numbered, text, lambda t, e: mark(t, e["i"], e["h"]))
-        return F.aggregate(numbered, marked, lambda t, e: link(t, e["i"], e["h"]))
-
-    return bind(_entries(hits), both)
+    return _linked(text, F.transform(hits, lambda h: h["name"]), F.transform(hits, lambda h: h["url"]))
 
 
 def _clean_title(title: Column) -> Column:

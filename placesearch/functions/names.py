@@ -8,7 +8,7 @@ from pyspark.sql import Column, functions as F
 
 from placesearch.functions.text import SPACE, strip
 
-_BINS = 64
+_AT_ONCE = 64      # names of highest bound that are compared first
 
 
 def merge_key(name: Column) -> Column:
@@ -42,14 +42,6 @@ def _codes(names: list[str]) -> tuple[np.ndarray, dict[str, int]]:
     return rows, alphabet
 
 
-def _bags(names: list[str]) -> np.ndarray:
-    """How often each character (folded to a few bins) occurs in each name."""
-    bags = np.zeros((len(names), _BINS), dtype=np.uint16)
-    for i, name in enumerate(names):
-        np.add.at(bags[i], [ord(c) % _BINS for c in name], 1)
-    return bags
-
-
 def _common(name: str, codes: np.ndarray, alphabet: dict[str, int]) -> np.ndarray:
     """Longest common subsequence of ``name`` with many coded names, a column at a time."""
     wide = object if len(name) > 64 else np.uint64
@@ -69,30 +61,43 @@ def _common(name: str, codes: np.ndarray, alphabet: dict[str, int]) -> np.ndarra
     return len(name) - count.astype(np.int64)
 
 
-def closest(left: list[str], right: list[str], position: np.ndarray) -> pd.DataFrame:
-    """For each left name the most alike right name, ties to the lower position.
+def common_length(a: str, b: str) -> int:
+    """Longest common subsequence of two names, by one number of as many bits as ``a`` has letters."""
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    open_ = full
+    for c in b:
+        hit = open_ & places.get(c, 0)
+        open_ = (open_ + hit | open_ - hit) & full
+    return len(a) - open_.bit_count()
+
+
+def most_alike(left: list[str], left_bags: np.ndarray, floor: np.ndarray, right: list[str],
+               right_bags: np.ndarray, position: np.ndarray) -> pd.DataFrame:
+    """For each left name the most alike right name that scores its floor, ties to the lower position.
 
-    A right name is compared in full only while the characters it shares with the left name,
-    in any order, could still beat the best score so far.
+    ``row, name, position, lcs, length``.  Bags count letters, which bounds the score: a right name is
+    compared in full only while its bound reaches the best score so far, or the floor.
     """
     codes, alphabet = _codes(right)
-    bags, sizes = _bags(right), np.array([len(n) for n in right])
-    found = []
-    for name, bag in zip(left, _bags(left)):
+    sizes, found = np.array([len(n) for n in right]), []
+    for row, (name, bag, least) in enumerate(zip(left, left_bags, floor)):
         total = np.maximum(sizes + len(name), 1)
-        bound = np.minimum(bags, bag).sum(axis=1) / total
-        first = np.argsort(-bound, kind="stable")[:64]
-        best, seen = -1.0, np.zeros(len(right), dtype=bool)
-        chosen = (0, 0)
+        bound = 200.0 * np.minimum(right_bags, bag).sum(axis=1) / total
+        best, chosen, seen = least - 1e-9, None, np.zeros(len(right), dtype=bool)
+        first = np.argsort(-bound, kind="stable")[:_AT_ONCE]
+        first = first[bound[first] >= best]
         while len(first):
             seen[first] = True
             lcs = _common(name, codes[first], alphabet)
-            ratio = lcs / total[first]
+            ratio = 200.0 * lcs / total[first]
             top = np.lexsort((position[first], -ratio))[0]
-            better = ratio[top] > best or (ratio[top] == best
-                                           and position[first[top]] < position[chosen[0]])
-            if better:
+            if ratio[top] > best or (chosen is not None and ratio[top] == best
+                                     and position[first[top]] < position[chosen[0]]):
                 best, chosen = ratio[top], (first[top], int(lcs[top]))
             first = np.flatnonzero((bound >= best) & ~seen)
-        found.append((*chosen, sizes[chosen[0]] + len(name)))
-    return pd.DataFrame(found, columns=["at", "lcs", "length"])
+        if chosen is not None:
+            found.append((row, name, position[chosen[0]], chosen[1], sizes[chosen[0]] + len(name)))
+    return pd.DataFrame(found, columns=["row", "name", "position", "lcs", "length"])

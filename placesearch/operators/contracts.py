@@ -16,7 +16,6 @@ REQUIRED = {
     "result_scores": ("id", "search_id", "restaurant_id", "restaurant_name", "similarity_score",
                       "rank", "created_at"),
 }
-UNIQUE = {"search_results": ("id", "search_id"), "result_scores": ("id",)}
 DEFAULTS = {
     "search_results": {"id": "generated", "timestamp": "now", "created_at": "now"},
     "result_scores": {"id": "generated", "created_at": "now", "honor_roll": "n",
@@ -46,26 +45,40 @@ def _row_violations(rows: DataFrame, table: str) -> DataFrame:
     return counted.select(F.inline(report)).select(F.lit(table).alias("table"), "*")
 
 
-def _repeats(rows: DataFrame, table: str, column: str) -> DataFrame:
-    repeated = (rows.filter(F.col(column).isNotNull()).groupBy(column)
-                .agg(F.count("*").alias("n")).filter("n > 1"))
-    return repeated.agg(F.count("*").alias("violations")).select(
-        F.lit(table).alias("table"), F.lit("UNIQUE").alias("type"), F.lit(column).alias("rule"),
-        "violations")
+def _key_violations(searches: DataFrame, scores: DataFrame) -> DataFrame:
+    """Repeated ids and hits without a search, from one count of all keys of both tables.
+
+    Tasks count before keys move, so a search with very many hits is a row per task.
+    """
+    def keys(rows: DataFrame, table: str, columns: tuple[str, ...]) -> DataFrame:
+        each = F.array(*[F.struct(
+            F.lit("search" if c == "search_id" else f"{table}.{c}").alias("kind"), F.col(c).cast("string").alias("key"))
+            for c in columns])
+        return rows.select(F.inline(each), F.lit(table).alias("table")).filter("key IS NOT NULL")
+
+    every = keys(searches, "search_results", ("id", "search_id")).unionByName(
+        keys(scores, "result_scores", ("id", "search_id")))
+    owned, hits = (F.count_if(F.col("table") == t) for t in ("search_results", "result_scores"))
+    counts = every.groupBy("kind", "key").agg(owned.alias("owned"), hits.alias("hits"))
+    kind = F.col("kind")
+    found = counts.agg(
+        F.count_if((kind == "search_results.id") & (F.col("owned") > 1)).alias("a"),
+        F.count_if((kind == "search") & (F.col("owned") > 1)).alias("b"),
+        F.count_if((kind == "result_scores.id") & (F.col("hits") > 1)).alias("c"),
+        F.coalesce(F.sum(F.when((kind == "search") & (F.col("owned") == 0), F.col("hits"))), F.lit(0)).alias("d"))
+    return found.select(F.inline(F.array(*[
+        F.struct(F.lit(table).alias("table"), F.lit(kind_).alias("type"), F.lit(rule).alias("rule"),
+                 F.col(c).alias("violations"))
+        for c, (table, kind_, rule) in zip("abcd", (
+            ("search_results", "UNIQUE", "id"), ("search_results", "UNIQUE", "search_id"),
+            ("result_scores", "UNIQUE", "id"), ("result_scores", "FOREIGN KEY", "search_id")))])))
 
 
 def check_constraints(searches: DataFrame, scores: DataFrame) -> DataFrame:
-    """``table, type, rule, violations`` for every declared rule."""
+    """``table, type, rule, violations`` for every declared rule: each table's rows, then all keys."""
     tables = {"search_results": searches, "result_scores": scores}
     parts = [_row_violations(rows, name) for name, rows in tables.items()]
-    parts += [_repeats(tables[name], name, column)
-              for name, columns in UNIQUE.items() for column in columns]
-    orphans = (scores.select("search_id").filter(F.col("search_id").isNotNull())
-               .join(searches.select("search_id"), "search_id", "left_anti"))
-    parts.append(orphans.agg(F.count("*").alias("violations")).select(
-        F.lit("result_scores").alias("table"), F.lit("FOREIGN KEY").alias("type"),
-        F.lit("search_id").alias("rule"), "violations"))
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, [*parts, _key_violations(searches, scores)])
 
 
 def _columns(rows: DataFrame, table: str) -> DataFrame:

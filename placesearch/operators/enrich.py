@@ -5,9 +5,11 @@ The answers themselves come from outside and arrive as a column.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from placesearch.functions.text import SPACE, gsub, strip
+from placesearch.operators.selection import SMALL, first_rows
+from placesearch.session import cut_lineage
 
 # Derived columns and the answer's keys.
 DERIVED = {"sig_item": "signature_item", "summary_q": "summary_question"}
@@ -39,12 +41,27 @@ def pending_rows(records: DataFrame, limit: int | None = None,
     lacking = records.filter((F.col("sig_item") == "") | (F.col("summary_q") == ""))
     if limit is None:
         return lacking
-    if rejected is None:
-        return lacking.orderBy("row_id").limit(limit)
-    failed = rejected.groupBy("row_id").agg(F.count("*").alias("_failed"))
-    tried = lacking.join(failed, "row_id", "left")
-    return (tried.orderBy(F.coalesce("_failed", F.lit(0)), "row_id").limit(limit)
-            .select(*records.columns))
+    failed = F.lit(0)
+    if rejected is not None:
+        counts = rejected.groupBy("row_id").agg(F.count("*").alias("_failed"))
+        lacking, failed = lacking.join(counts, "row_id", "left"), F.coalesce("_failed", F.lit(0))
+    tried = lacking.withColumn("_failed", failed)
+    if limit <= SMALL or dict(records.dtypes)["row_id"] not in ("int", "bigint"):
+        return tried.orderBy("_failed", "row_id").limit(limit).select(*records.columns)
+    return tried.filter(_first_pending(tried.select("_failed", "row_id"), limit)).select(*records.columns)
+
+
+def _first_pending(tried: DataFrame, limit: int) -> Column:
+    """Whether a row is among the first ``limit``, by counts instead of a sort; ``row_id`` is unique."""
+    tried = cut_lineage(tried)
+    left = limit
+    # one row per number of unreadable answers
+    for level in sorted(tried.groupBy("_failed").count().collect()):
+        if left <= level["count"]:
+            own = first_rows(tried.filter(F.col("_failed") == level["_failed"]), "row_id", "row_id", left)
+            return (F.col("_failed") < level["_failed"]) | ((F.col("_failed") == level["_failed"]) & own)
+        left -= level["count"]
+    return F.lit(True)
 
 
 def build_prompts(records: DataFrame, template: str = PROMPT) -> DataFrame:

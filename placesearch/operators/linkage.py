@@ -9,11 +9,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from placesearch.functions.names import closest, extract_state, merge_key, score, token_sort
-from placesearch.operators.blocks import BLOCK_ROWS, compare_in_blocks, merge_best
+from placesearch.functions.names import extract_state, merge_key, token_sort
+from placesearch.operators.similar import BLOCK_NAMES, best_in_blocks, near_pairs
 from placesearch.session import cut_lineage
 
 # Thresholds, column order and flags of the linked table.
@@ -104,44 +103,29 @@ def blocked_candidates(directory: DataFrame) -> DataFrame:
                  F.max_by(fields, F.col("row_no")).alias("candidate")))
 
 
-_PAIR = "State string, left_key string, position long, lcs long, length long"
-
-
-def _closest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    if left.empty or right.empty:
-        return pd.DataFrame(columns=["State", "left_key", "position", "lcs", "length"])
-    position = right["position"].to_numpy()
-    best = closest(left["left_key"].tolist(), right["right_key"].tolist(), position)
-    return pd.DataFrame({"State": left["State"].to_numpy(), "left_key": left["left_key"].to_numpy(),
-                         "position": position[best["at"]], "lcs": best["lcs"],
-                         "length": best["length"]})
-
-
-def name_scores(names: DataFrame, candidates: DataFrame,
-                block_rows: int = BLOCK_ROWS) -> DataFrame:
+def name_scores(names: DataFrame, candidates: DataFrame, high: float = HIGH,
+                block_rows: int = BLOCK_NAMES) -> DataFrame:
     """Best candidate per distinct ``(State, left_key)``: ``position, score``.
 
-    Names equal up to word order score 100 and are settled by a plain join.  Only the others
-    are compared within their state, in bounded blocks.
+    Names equal up to word order score 100 and are settled by a plain join, and those with a
+    candidate at ``high`` by a similarity join.  Only the others are compared within their state,
+    block by block.
     """
     rights = (candidates.select("State", token_sort(F.col("name")).alias("right_key"), "position")
               .groupBy("State", "right_key").agg(F.min("position").alias("position")))
     # both are short tables of distinct names, read several times below
     rights, names = cut_lineage(rights), cut_lineage(names)
     same = names.join(rights.withColumnRenamed("right_key", "left_key"), ["State", "left_key"])
-    rest = names.join(rights.select("State", F.col("right_key").alias("left_key")),
-                      ["State", "left_key"], "left_anti")
-    found = compare_in_blocks(rest, rights, ["State"], "left_key", "right_key", _closest, _PAIR,
-                              block_rows)
-    scored = found.select("State", "left_key", "position",
-                          score(F.col("lcs"), F.col("length")).alias("score"))
-    best = merge_best(scored, ["State", "left_key"], [F.col("score").desc(), F.col("position")],
-                      "position")
-    return best.drop("rank").unionByName(same.withColumn("score", F.lit(100.0)))
-
-
-def best_match(unmatched: DataFrame, directory: DataFrame,
-               block_rows: int = BLOCK_ROWS) -> DataFrame:
+    other = names.join(rights.select("State", F.col("right_key").alias("left_key")),
+                       ["State", "left_key"], "left_anti")
+    near = cut_lineage(near_pairs(other, rights, high))
+    far = other.join(near, ["State", "left_key"], "left_anti")
+    best = near.unionByName(best_in_blocks(far, rights, block_rows))
+    return best.unionByName(same.withColumn("score", F.lit(100.0)))
+
+
+def best_match(unmatched: DataFrame, directory: DataFrame, high: float = HIGH,
+               block_rows: int = BLOCK_NAMES) -> DataFrame:
     """Highest-scoring candidate of its state for each row: ``row_id, score, candidate``.
 
     Rows without a state or a candidate give no row.
@@ -149,7 +133,7 @@ def best_match(unmatched: DataFrame, directory: DataFrame,
     rows = unmatched.select("row_id", "State", token_sort(F.lower("title")).alias("left_key")
                             ).filter(F.col("State").isNotNull() & F.col("left_key").isNotNull())
     candidates = blocked_candidates(directory)
-    best = name_scores(rows.select("State", "left_key").distinct(), candidates, block_rows)
+    best = name_scores(rows.select("State", "left_key").distinct(), candidates, high, block_rows)
     chosen = best.join(candidates.select("State", "position", "candidate"), ["State", "position"])
     return rows.join(chosen, ["State", "left_key"]).select(
         "row_id", "State", "score", "candidate")

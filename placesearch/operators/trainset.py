@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from placesearch.operators.selection import SMALL, first_rows
+from placesearch.session import cut_lineage
+
 # Sizes, allowed keys and roles, billing rules.
 SAMPLE_SIZE, TEST_SHARE, SEED = 250, 0.2, 42
 MESSAGE_KEYS = ("role", "content", "name", "function_call", "weight")
@@ -38,11 +41,23 @@ def hash_order(row_id: str, seed: int = SEED) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(row_id).cast("string")))
 
 
+def _ordered(rows: DataFrame, row_id: str, seed: int) -> DataFrame:
+    """``_order``, and its first 60 bits as a number."""
+    return rows.withColumn("_order", hash_order(row_id, seed)).withColumn(
+        "_key", F.conv(F.substring("_order", 1, 15), 16, 10).cast("long"))
+
+
 def seeded_sample(rows: DataFrame, row_id: str, n: int = SAMPLE_SIZE,
                   seed: int = SEED) -> DataFrame:
-    """``n`` random rows, or all if there are fewer."""
-    return (rows.withColumn("_order", hash_order(row_id, seed)).orderBy("_order").limit(n)
-            .drop("_order"))
+    """``n`` random rows, or all if there are fewer.
+
+    A small sample is each task's ``n`` first rows, merged; for a large one the last hash value that
+    belongs to it is found from counts, so rows are neither sorted nor gathered.
+    """
+    ordered = _ordered(rows, row_id, seed)
+    chosen = (ordered.orderBy("_order").limit(n) if n <= SMALL else
+              ordered.filter(first_rows(ordered.select("_key", "_order"), "_key", "_order", n)))
+    return chosen.drop("_order", "_key")
 
 
 def to_messages(rows: DataFrame, prompt: str = "summary_q", completion: str = "content",
@@ -57,22 +72,13 @@ def train_test_split(rows: DataFrame, row_id: str, test_share: float = TEST_SHAR
                      seed: int = SEED) -> DataFrame:
     """Add ``split``: exactly the rounded-up share is ``test``, the rest ``train``.
 
-    The cut is one hash value, so the rows themselves are neither sorted nor shuffled.  It is
-    found from counts per leading digits, of which there are at most 16^4.
+    The cut is one hash value, found from counts per range of values, so the rows themselves are
+    neither sorted nor shuffled.
     """
-    ordered = rows.withColumn("_order", hash_order(row_id, seed))
-    heads = ordered.groupBy(F.substring("_order", 1, 4).alias("head")).agg(F.count("*").alias("n"))
-    whole = Window.partitionBy(F.lit(1))
-    n_test = F.ceil(F.sum("n").over(whole) * F.lit(test_share))
-    counted = heads.select("head", (n_test - F.sum("n").over(whole.orderBy("head")) + F.col("n"))
-                           .alias("wanted"), "n")
-    at = counted.filter("wanted BETWEEN 1 AND n").first()
-    if at is None:
-        return ordered.withColumn("split", F.lit("train")).drop("_order")
-    inside = ordered.filter(F.startswith("_order", F.lit(at["head"]))).select("_order")
-    cut = inside.orderBy("_order").limit(at.wanted).agg(F.max("_order").alias("m")).first().m
-    return ordered.withColumn(
-        "split", F.when(F.col("_order") <= cut, "test").otherwise("train")).drop("_order")
+    ordered = _ordered(rows, row_id, seed)
+    n_test = ordered.agg(F.ceil(F.count("*") * F.lit(test_share)).alias("n")).first().n
+    test = first_rows(ordered.select("_key", "_order"), "_key", "_order", n_test)
+    return ordered.withColumn("split", F.when(test, "test").otherwise("train")).drop("_order", "_key")
 
 
 def split_counts_ok(split: DataFrame, expected: int, test_share: float = TEST_SHARE) -> DataFrame:
@@ -197,21 +203,51 @@ MEASURES = {"n_messages": "num_messages_per_example", "n_tokens": "num_total_tok
             "n_assistant_tokens": "num_assistant_tokens_per_example"}
 
 
-def _spread(column: str) -> Column:
-    shares = F.array(F.lit(0.5), F.lit(0.1), F.lit(0.9))
-    return F.struct(F.min(column).alias("min"), F.max(column).alias("max"),
-                    F.avg(column).alias("mean"), F.percentile(column, shares).alias("q"))
+SHARES = {"median": 0.5, "p10": 0.1, "p90": 0.9}
+
+
+def value_counts(lengths: DataFrame, *columns: str) -> DataFrame:
+    """``measure, value, n``: how often each value of a column occurs; tasks count before rows move."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("long").alias("value"))
+                               for c in columns]))
+    return (lengths.select(each.alias("m")).select("m.*").filter("value IS NOT NULL")
+            .groupBy("measure", "value").agg(F.count("*").alias("n")))
+
+
+def spread(counts: DataFrame) -> DataFrame:
+    """Extremes, mean and exact quantiles per measure, from running sums over its distinct values.
+
+    A quantile between two rows is weighted by its distance from them.
+    """
+    rising = Window.partitionBy("measure").orderBy("value")
+    whole = rising.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    summed = counts.withColumn("upto", F.sum("n").over(rising)).withColumn("rows", F.sum("n").over(whole))
+
+    def at(row: Column) -> Column:
+        return F.min(F.when(F.col("upto") > row, F.col("value")))
+
+    def quantile(share: float) -> Column:
+        place = F.lit(share) * (F.col("rows") - 1)
+        low, high = F.floor(place), F.ceil(place)
+        below, above = at(low), at(high)
+        distance = F.max(place - low)
+        return F.when(below == above, below.cast("double")).otherwise(
+            (F.max(high - place)) * below + distance * above)
+
+    return summed.groupBy("measure").agg(
+        F.max("rows").alias("rows"), F.min("value").alias("min"), F.max("value").alias("max"),
+        (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"),
+        *[quantile(share).alias(name) for name, share in SHARES.items()])
 
 
 def distribution(lengths: DataFrame) -> DataFrame:
     """Extremes, mean and quantiles of the three measures; nothing for an empty set."""
-    whole = lengths.agg(F.count("*").alias("n"), *[_spread(c).alias(c) for c in MEASURES])
-    rows = whole.filter("n > 0").select(F.inline(F.array(*[
-        F.struct(F.lit(label).alias("measure"), F.col(c).alias("s"))
-        for c, label in MEASURES.items()])))
-    return rows.select(
-        "measure", "s.min", "s.max", "s.mean", F.col("s.q")[0].alias("median"),
-        F.col("s.q")[1].alias("p10"), F.col("s.q")[2].alias("p90"))
+    label = F.create_map(*[F.lit(x) for pair in MEASURES.items() for x in pair])
+    kinds = dict(lengths.dtypes)
+    kind = "int" if all(kinds[c] == "int" for c in MEASURES) else "long"
+    return spread(value_counts(lengths, *MEASURES)).select(
+        label[F.col("measure")].alias("measure"), F.col("min").cast(kind).alias("min"),
+        F.col("max").cast(kind).alias("max"), "mean", *SHARES)
 
 
 def _is_too_long() -> Column:
@@ -243,24 +279,28 @@ def training_cost(lengths: DataFrame) -> DataFrame:
 
 
 def profile(examples: DataFrame, tokens: Callable[[Column], Column] = word_tokens) -> DataFrame:
-    """The whole profile as ``measure, value`` rows, in one pass."""
+    """The whole profile as ``measure, value`` rows, in one pass over the examples."""
+    flags = {"no_system": "missing_system", "no_user": "missing_user"}
     lengths = token_lengths(examples, tokens, _lacks("system").alias("no_system"),
                             _lacks("user").alias("no_user"))
-    whole = lengths.agg(
-        F.count("*").alias("examples"), _billable().alias("tokens"),
-        _is_too_long().alias("too_long"), F.count_if("no_system").alias("missing_system"),
-        F.count_if("no_user").alias("missing_user"), *[_spread(c).alias(c) for c in MEASURES],
-    ).filter("examples > 0").withColumn("epochs", _epochs(F.col("examples"))).withColumn(
+    # one row per measure and distinct value is all that is read on
+    counts = cut_lineage(value_counts(lengths, *MEASURES, *flags))
+    of = lambda measure, value: F.sum(F.when(F.col("measure") == measure, value))
+    n, value = F.col("n"), F.col("value")
+    whole = counts.agg(
+        of("n_tokens", n).alias("examples"), of("n_tokens", F.least(F.lit(MAX_TOKENS), value) * n).alias("tokens"),
+        of("n_tokens", F.when(value > MAX_TOKENS, n).otherwise(0)).alias("too_long"),
+        *[of(flag, value * n).alias(name) for flag, name in flags.items()]).filter("examples > 0")
+    whole = whole.withColumn("epochs", _epochs(F.col("examples"))).withColumn(
         "billed_tokens", F.col("epochs") * F.col("tokens"))
-    single = {c: F.col(c) for c in ("examples", "tokens", "epochs", "billed_tokens", "too_long",
-                                    "missing_system", "missing_user")}
-    for column, label in MEASURES.items():
-        s = F.col(column)
-        single |= {f"{label}/{c}": s[c] for c in ("min", "max", "mean")}
-        single |= {f"{label}/{c}": s["q"][i] for i, c in enumerate(("median", "p10", "p90"))}
-    return whole.select(F.inline(F.array(*[
-        F.struct(F.lit(name).alias("measure"), value.cast("double").alias("value"))
-        for name, value in single.items()])))
+    single = ("examples", "tokens", "epochs", "billed_tokens", "too_long", *flags.values())
+    found = whole.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value")) for c in single])))
+    label = F.create_map(*[F.lit(x) for pair in MEASURES.items() for x in pair])
+    spreads = spread(counts.filter(F.col("measure").isin(*MEASURES))).select(F.inline(F.array(*[
+        F.struct(F.concat(label[F.col("measure")], F.lit(f"/{c}")).alias("measure"),
+                 F.col(c).cast("double").alias("value")) for c in ("min", "max", "mean", *SHARES)])))
+    return found.unionByName(spreads)
 
 
 def gated_profile(lines: DataFrame, tokens: Callable[[Column], Column] = word_tokens) -> DataFrame:

@@ -7,7 +7,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.functions import pandas_udf
 
 from placesearch.operators.blocks import BLOCK_ROWS, compare_in_blocks, merge_best
 
@@ -79,14 +78,13 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
     return np.stack(vectors.to_numpy()).astype(np.float64) if len(vectors) else np.zeros((0, 0))
 
 
-def _nearest(query_ids: np.ndarray, queries: np.ndarray, docs: pd.DataFrame,
+def _nearest(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray,
              k: int) -> pd.DataFrame:
-    """The ``k`` nearest rows of one block of documents to each query.
+    """The ``k`` nearest rows of one block of documents to each query, nearest first.
 
     A matrix product finds the rows that can be among the nearest; their distances are then
     computed term by term, the same way in every block.
     """
-    ids, vectors = docs["doc_id"].to_numpy(), _matrix(docs["embedding"])
     # a common shift changes no distance and keeps the rounding error of the product small
     centre = vectors.mean(axis=0)
     near_zero = vectors - centre
@@ -120,6 +118,18 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return merge_best(found, ["query_id"], [F.col("distance"), F.col("doc_id")], "doc_id", k)
 
 
+def _kept_best(kept: pd.DataFrame | None, near: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The ``k`` nearest of each query among what was kept and what is new."""
+    if kept is None:
+        return near
+    both = pd.concat([kept, near], ignore_index=True)
+    order = np.lexsort((both["doc_id"].to_numpy(), both["distance"].to_numpy(), both["query_id"].to_numpy()))
+    ids = both["query_id"].to_numpy()[order]
+    first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    place = np.arange(len(ids)) - np.repeat(first, np.diff([*first, len(ids)]))
+    return both.iloc[order[place < k]]
+
+
 def _knn_broadcast(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Documents stay where they are; the few queries go to every task."""
     rows = queries.toPandas()
@@ -128,25 +138,35 @@ def _knn_broadcast(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, vectors = shared.value
-        kept = None
+        kept, held, size = None, [], 0
         for batch in batches:
-            if not len(batch) or not len(ids):
-                continue
-            near = _nearest(ids, vectors, batch, k)
-            kept = near if kept is None else pd.concat([kept, near]).sort_values(
-                ["query_id", "distance", "doc_id"]).groupby("query_id").head(k)
+            if len(batch) and len(ids):
+                held.append(batch)
+                size += len(batch)
+            # batches are taken together, so the merge is rare
+            if size >= BLOCK_ROWS:
+                kept, held, size = _merged(kept, held, ids, vectors, k), [], 0
+        if held:
+            kept = _merged(kept, held, ids, vectors, k)
         if kept is not None:
             yield kept
 
     return _ranked(docs.mapInPandas(best, _FOUND), k)
 
 
+def _merged(kept: pd.DataFrame | None, held: list[pd.DataFrame], ids: np.ndarray, vectors: np.ndarray,
+            k: int) -> pd.DataFrame:
+    docs = pd.concat(held, ignore_index=True)
+    return _kept_best(kept, _nearest(ids, vectors, docs["doc_id"].to_numpy(), _matrix(docs["embedding"]), k), k)
+
+
 def _knn_blocks(docs: DataFrame, queries: DataFrame, keys: list[str], k: int,
                 block_rows: int) -> DataFrame:
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"query_id": [], "doc_id": [], "distance": []})
-        return _nearest(left["query_id"].to_numpy(), _matrix(left["vector"]), right, k)
+        return _nearest(left["query_id"].to_numpy(), _matrix(left["vector"]), right["doc_id"].to_numpy(),
+                        _matrix(right["embedding"]), k)
 
     found = compare_in_blocks(queries, docs, keys, "query_id", "doc_id", best, _FOUND, block_rows)
     # one document may be reached by several keys of the same query
@@ -201,34 +221,6 @@ def knn_keyed(docs: DataFrame, queries: DataFrame, keys: list[str], k: int = DEF
         for dims, asked in _by_length(queries.select("query_id", "vector", *keys))], docs)
 
 
-def _bucket_keys(dims: int, tables: int, hashes: int, width: float, seed: int):
-    draw = np.random.default_rng(seed)
-    lines = draw.normal(size=(dims, tables * hashes))
-    shifts = draw.uniform(0, width, size=tables * hashes)
-
-    @pandas_udf("array<string>")
-    def keys(vectors: pd.Series) -> pd.Series:
-        cells = np.floor((_matrix(vectors) @ lines + shifts) / width).astype(int)
-        return pd.Series([[f"{t}:" + ",".join(map(str, row[t * hashes:(t + 1) * hashes]))
-                           for t in range(tables)] for row in cells])
-
-    return keys
-
-
-def knn_approx(docs: DataFrame, queries: DataFrame, k: int = DEFAULT_K, tables: int = 24,
-               hashes: int = 2, width: float = 1.0, seed: int = 42,
-               block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Approximate ``knn_batch``: only rows in a common random-projection bucket are compared."""
-    check_k(k)
-    parts = []
-    for dims, asked in _by_length(queries):
-        keys = _bucket_keys(dims, tables, hashes, width, seed)
-        parts.append(knn_keyed(
-            _usable(docs, dims).withColumn("bucket", F.explode(keys("embedding"))),
-            asked.withColumn("bucket", F.explode(keys("vector"))), ["bucket"], k, block_rows))
-    return _together(parts, docs)
-
-
 def recall(exact: DataFrame, approx: DataFrame) -> DataFrame:
     """Share of the exact neighbours that the approximate search found."""
     hit = approx.select("query_id", "doc_id", F.lit(1).alias("hit"))

@@ -1,17 +1,21 @@
-"""Reading and writing the tables and texts as files.
-
-Multi-line CSV files cannot be cut: large inputs come as many files, or as Parquet.
-"""
+"""Reading and writing the tables and texts as files."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from placesearch.operators import searchlog
+from placesearch.sources import commits, quotedcsv
+
 # Words a CSV cell may hold for "nothing".
 NOTHING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
            "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
+LOG_TABLES = ("search_results", "result_scores")
+
 RECORD_SCHEMA = "title string, URL string, address string, phone string, hours string, " \
                 "cost string, content string"
 DIRECTORY_SCHEMA = "ID long, Restaurant string, State string, City string, Address string, " \
@@ -34,10 +38,14 @@ def read_records_csv(spark: SparkSession, path: str, schema: str = RECORD_SCHEMA
     """CSV with a header and quoted line breaks; words for nothing become null.
 
     Columns are found by the header's names, in any order; others are left out, and a column that
-    the file lacks is null.  The files of one folder have the same header.
+    the file lacks is null.  The files of one folder have the same header.  A large file is read by
+    many tasks.
     """
     wanted = T.StructType.fromDDL(schema)
-    rows = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', inferSchema=False)
+    options = {"quote": '"', "escape": '"', "multiLine": "true"}
+    names = spark.read.csv(path, header=True, inferSchema=False, **{**options, "multiLine": True}).columns
+    cells = ", ".join(f"`{name.replace('`', '``')}` string" for name in names)
+    rows = quotedcsv.records(spark, path).select(F.from_csv("text", F.lit(cells), options).alias("r")).select("r.*")
     there = set(rows.columns)
 
     def cell(f: T.StructField) -> Column:
@@ -84,22 +92,120 @@ def write_reports(reports: DataFrame, path: str, mode: str = "error") -> None:
         mode).partitionBy("search_id").text(path)
 
 
+def _stored(spark: SparkSession, folder: str, table: str, manifest: dict, parts: list[dict],
+            days: list[str] | None = None) -> DataFrame:
+    """The rows of a log table that count, with ``day``; only the folders of ``days`` are read."""
+    root, fields = f"{folder}/{table}", T.StructType.fromJson(manifest["schemas"][table]).fields
+    named = [T.StructField("version", T.StringType()), T.StructField("day", T.DateType())]
+    rows = (spark.read.schema(T.StructType([*fields, *named])).option("basePath", root)
+            .parquet(*[f"{root}/version={p['version']}" for p in parts]))
+    day = F.coalesce(F.col("day").cast("string"), F.lit(""))
+    for part in parts:
+        if part["without"]:
+            rows = rows.filter(~((F.col("version") == part["version"]) & day.isin(part["without"])))
+    return (rows if days is None else rows.filter(day.isin(days))).drop("version")
+
+
+def _manifest(spark: SparkSession, folder: str) -> dict:
+    manifest = commits.current(spark, folder)
+    if not manifest.get("parts"):
+        raise FileNotFoundError(f"no batch was committed under {folder}")
+    return manifest
+
+
+def stored_log(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Searches and hits with the ``day`` of the search."""
+    manifest = _manifest(spark, folder)
+    return tuple(_stored(spark, folder, table, manifest, manifest["parts"]) for table in LOG_TABLES)
+
+
+def _write_log(searches: DataFrame, scores: DataFrame, folder: str, version: str) -> None:
+    """Hits and searches, which have ``day``, under one version."""
+    for table, rows in zip(reversed(LOG_TABLES), (scores, searches)):
+        rows.write.partitionBy("day").parquet(f"{folder}/{table}/version={version}")
+
+
 def append_search_log(searches: DataFrame, scores: DataFrame, folder: str, batch: str) -> None:
-    """Hits first, then the searches by day, so a search that can be seen is whole.
+    """Add a batch of searches and their hits, by day; a batch that is sent again replaces its rows.
 
-    Each batch has folders of its own: a job that is run again replaces its rows.
+    Both tables are written under a new version, and one manifest then lists it instead of the
+    batch's older version, so a reader sees a batch whole, old or new.
     """
-    scores.write.mode("overwrite").parquet(f"{folder}/result_scores/batch={batch}")
-    (searches.withColumn("day", F.to_date("timestamp")).write.mode("overwrite")
-     .partitionBy("day").parquet(f"{folder}/search_results/batch={batch}"))
+    spark, version = searches.sparkSession, commits.new_version()
+    dated = searches.withColumn("day", F.to_date("timestamp"))
+    days = dated.select("search_id", "day").dropDuplicates(["search_id"])
+    _write_log(dated, scores.join(days, "search_id", "left").select(*scores.columns, "day"), folder, version)
+    schemas = dict(zip(LOG_TABLES, (searches.schema.jsonValue(), scores.schema.jsonValue())))
+
+    def listed(manifest: dict) -> dict:
+        kept = [p for p in manifest.get("parts", []) if p["batch"] != batch]
+        return {"schemas": schemas, "parts": [*kept, {"version": version, "batch": batch, "without": []}]}
+
+    commits.commit(spark, folder, listed)
 
 
 def read_search_log(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    return (spark.read.parquet(f"{folder}/search_results").drop("batch", "day"),
-            spark.read.parquet(f"{folder}/result_scores").drop("batch"))
+    searches, scores = stored_log(spark, folder)
+    return searches.drop("day"), scores.drop("day")
+
+
+def _rewrite_days(spark: SparkSession, folder: str, touched: Callable[[DataFrame, DataFrame], DataFrame],
+                  change: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]) -> list[str]:
+    """Write the days anew that ``touched`` names; the files of all other days stay as they are.
+
+    A rewritten day of a batch is a new part of that batch, so a batch that is sent again still
+    replaces it.
+    """
+    manifest = _manifest(spark, folder)
+    parts = manifest["parts"]
+    found = touched(*stored_log(spark, folder)).select(F.coalesce(F.col("day").cast("string"), F.lit("")).alias("day"))
+    days = sorted(r.day for r in found.distinct().collect())      # one value per day
+    if not days:
+        return []
+    added = []
+    for batch in dict.fromkeys(p["batch"] for p in parts):
+        own, version = [p for p in parts if p["batch"] == batch], commits.new_version()
+        _write_log(*change(*(_stored(spark, folder, t, manifest, own, days) for t in LOG_TABLES)), folder, version)
+        added.append({"version": version, "batch": batch, "without": []})
+
+    def listed(now: dict) -> dict:
+        if now != manifest:
+            raise RuntimeError("the log changed while days were written anew; run it again")
+        return {**manifest, "parts": [{**p, "without": sorted({*p["without"], *days})} for p in parts] + added}
+
+    commits.commit(spark, folder, listed)
+    return days
+
+
+def feedback_into_log(spark: SparkSession, folder: str, feedback: DataFrame) -> list[str]:
+    """Put feedback into the stored log; only the days of the rated runs are written anew."""
+    runs = feedback.select(F.col("run_id").alias("langsmith_run_id")).distinct()
+
+    def change(searches: DataFrame, scores: DataFrame) -> tuple[DataFrame, DataFrame]:
+        return searchlog.feedback_merge(searches, feedback), scores
+
+    return _rewrite_days(spark, folder, lambda s, _: s.join(runs, "langsmith_run_id", "left_semi"), change)
+
+
+def delete_from_log(spark: SparkSession, folder: str, doomed: DataFrame) -> list[str]:
+    """Delete searches and their hits from the stored log; only their days are written anew."""
+    gone = doomed.select("search_id").distinct()
+
+    def touched(searches: DataFrame, scores: DataFrame) -> DataFrame:
+        return (searches.join(gone, "search_id", "left_semi").select("day")
+                .unionByName(scores.join(gone, "search_id", "left_semi").select("day")))
+
+    return _rewrite_days(spark, folder, touched, lambda s, h: searchlog.cascade_delete(s, h, gone))
 
 
 def build_index_if_absent(documents: DataFrame, path: str) -> DataFrame:
-    """The stored document table; ``documents`` are written only if there is none yet."""
-    documents.write.mode("ignore").parquet(path)
-    return documents.sparkSession.read.parquet(path)
+    """The stored document table; ``documents`` are written only if there is no whole one yet.
+
+    Of two builders at once the first to finish counts.
+    """
+    spark = documents.sparkSession
+    if "version" not in (found := commits.current(spark, path)):
+        version = commits.new_version()
+        documents.write.parquet(f"{path}/version={version}")
+        found = commits.commit(spark, path, lambda now: None if "version" in now else {"version": version})
+    return spark.read.parquet(f"{path}/version={found['version']}")

@@ -34,6 +34,27 @@ def test_link_entities(link, text, hits, wanted):
     assert link(text, hits) == wanted
 
 
+def test_many_names_are_found_in_one_pass():
+    names = [f"Place {chr(97 + i % 26)}{i}" for i in range(300)]
+    text = " ".join(f"see {n.upper()} or {n}." for n in names[::7])
+    hits = [(n, f"{i}.com" if i % 2 else None) for i, n in enumerate(names)]
+    assert a.link_names(text, hits) == " ".join(
+        f"see {f'[**{n}**](https://{i * 7}.com)' if i * 7 % 2 else f'**{n}**'} or **{n}**." for i, n in enumerate(names[::7]))
+    assert a.link_names(text, hits[:3] * 4) == a.link_names(text, hits[:3])
+
+
+@pytest.mark.parametrize("text, hits, wanted", [
+    ("a b cdef", [("a b", "x.com"), ("b cdef", "y.com")], "a [**b cdef**](https://y.com)"),
+    ("Joe XJoe X", [("Joe X", None)], "**Joe X**Joe X"),
+    ("Joe XJoe X", [("Joe X", "x.com")], "[**Joe X**](https://x.com)**Joe X**"),
+    ("Big Joe Inn", [("Joe", None), ("Big Joe Inn", None)], "**Big **Joe** Inn**"),
+    ("Stra\u00dfe stra\u00dfe", [("Stra\u00dfe", "s.com")], "[**Stra\u00dfe**](https://s.com) **Stra\u00dfe**"),
+    ("Joe's, joe", [("Joe", "a.com"), ("joe", "b.com")], "[**Joe**](https://a.com)'s, **Joe**"),
+    (None, [("a", "b")], None), ("a", None, None)])
+def test_names_that_touch_or_overlap(link, text, hits, wanted):
+    assert link(text, hits) == wanted
+
+
 @pytest.mark.parametrize("text, wanted", [
     ("# Title: Pie\nmore", "### Pie\nmore"), ("**Pie**\n# Sub\n## Two\n### Three\n # odd",
                                              "### Pie\n### Sub\n### Two\n### Three\n # odd"),

@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from placesearch.functions import geo
 from placesearch.functions.lexicon import BROAD_REGIONS, REGION_ALIASES, STATE_NAMES, state_aliases
@@ -82,7 +83,9 @@ def test_where_predicate(spark):
         geo.where_predicate({"State": {"$ne": "TX"}})
 
 
-def test_city_lookup(spark):
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_city_lookup(spark, monkeypatch, most):
+    monkeypatch.setattr(gf, "MOST_CITIES", most)
     cities = spark.createDataFrame([("St. Louis", "MO"), ("Springfield", "IL"), ("Springfield", "MA"),
                                     ("New York", "NY"), ("York", "PA"), (None, "TX")],
                                    "City string, State string")
@@ -94,7 +97,14 @@ def test_city_lookup(spark):
                    (3, "Springfield", "IL"), (4, "New York", "NY"), (4, "York", "PA")}
 
 
-def test_filtered_search_equals_filtering_by_hand(spark):
+def test_cities_are_found_by_walks_over_words():
+    trie = gf.city_trie([(["new", "york"], "New York", ["NY"]), (["york"], "York", ["PA"]), (["new"], "New", ["TX"])])
+    assert gf.cities_in("old new york new".split(), trie) == [("New", ["TX"]), ("New York", ["NY"]), ("York", ["PA"])]
+    assert gf.cities_in(["newyork"], trie) == gf.cities_in([], trie) == []
+
+
+@pytest.mark.parametrize("numbers", [2_000_000, 0])
+def test_filtered_search_equals_filtering_by_hand(spark, numbers):
     rows = [(i, [float(i), 0.0], f"Town{i % 3}", ["TX", "LA", None][i % 3],
              ["Midwest", "Deep South"][i % 2]) for i in range(30)]
     docs = spark.createDataFrame(
@@ -104,7 +114,7 @@ def test_filtered_search_equals_filtering_by_hand(spark):
          (3, "deep south or Texas", [20.0, 0.0]), (4, "ohio", [1.0, 0.0])],
         "query_id long, text string, vector array<float>")
     got = {}
-    for r in gf.filtered_search(asked, docs, 4, block_rows=4).orderBy("query_id", "rank").collect():
+    for r in gf.filtered_search(asked, docs, 4, block_rows=4, broadcast_numbers=numbers).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.doc_id)
 
     def nearest(x, keep):
@@ -115,3 +125,18 @@ def test_filtered_search_equals_filtering_by_hand(spark):
     assert got[2] == nearest(9.1, lambda r: True)
     assert got[3] == nearest(20.0, lambda r: r[3] == "TX" or r[4] == "Deep South")
     assert 4 not in got
+
+
+def test_documents_are_not_copied_per_clause(spark):
+    docs = spark.createDataFrame([(i, [float(i)], f"T{i % 3}", ["TX", None][i % 2], "Midwest") for i in range(20)],
+                                 "doc_id long, embedding array<float>, City string, State string, Region string")
+    asked = spark.createDataFrame([(1, "midwest or texas, t0", [1.0]), (2, "x", [2.0])], "query_id long, text string, vector array<float>")
+    assert gf.clustered(docs).count() == 20
+    assert "Generate" not in gf.clustered(docs)._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.query_id, r.cluster) for r in gf.clusters_asked(gf._asked(asked, docs), docs).collect())
+    assert got == [(1, ""), (1, "TX")]
+    odd = docs.withColumn("embedding", F.when(F.col("doc_id") != 1, F.col("embedding")))
+    for numbers in (2_000_000, 0):
+        found = gf.filtered_search(asked.unionByName(spark.createDataFrame([(3, "x", None), (4, None, [5.0])], asked.schema)), odd, 3, broadcast_numbers=numbers)
+        assert sorted((r.query_id, r["rank"], r.doc_id) for r in found.collect()) == [
+            (1, 1, 0), (1, 2, 2), (1, 3, 3), (2, 1, 2), (2, 2, 3), (2, 3, 0), (4, 1, 5), (4, 2, 4), (4, 3, 6)]

@@ -7,8 +7,8 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from placesearch.functions.names import closest, extract_state, merge_key, token_sort
-from placesearch.operators import linkage as ln
+from placesearch.functions.names import common_length, extract_state, merge_key, most_alike, token_sort
+from placesearch.operators import linkage as ln, similar
 
 GUIDE = "row_id long, title string, State string"
 SHEET = ("row_no long, ID long, Restaurant string, State string, City string, Address string, "
@@ -47,6 +47,14 @@ def test_keys(one):
 words = st.text(alphabet="abcdeé ", min_size=1, max_size=12)
 
 
+def bags(names):
+    return np.array([np.bincount([ord(c) % similar.BINS for c in n], minlength=similar.BINS) for n in names])
+
+
+def closest(left, right, position, floor=-1.0):
+    return most_alike(left, bags(left), np.full(len(left), floor), right, bags(right), position)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(words, min_size=1, max_size=5), st.lists(words, min_size=1, max_size=90))
 def test_closest_is_exact(left, right):
@@ -56,7 +64,12 @@ def test_closest_is_exact(left, right):
         scores = [(-lcs(name, r) / (len(name) + len(r)), p) for r, p in zip(right, position)]
         wanted = scores.index(min(scores))
         assert (got.lcs, got.length) == (lcs(name, right[wanted]), len(name) + len(right[wanted]))
-        assert position[got.at] == position[wanted]
+        assert got.position == position[wanted]
+        assert common_length(name, right[wanted]) == got.lcs
+    for got, low in ((best, 60.0),):
+        kept = closest(left, right, position, low)
+        assert set(kept["name"]) == {r.name_ for r in got.rename(columns={"name": "name_"}).itertuples()
+                                     if 200 * r.lcs / r.length >= low}
 
 
 def test_closest_with_long_names():
@@ -64,7 +77,7 @@ def test_closest_with_long_names():
     long = ["".join(rng.choice("abcd") for _ in range(n)) for n in (64, 65, 130)]
     right = ["".join(rng.choice("abcd") for _ in range(rng.randint(1, 150))) for _ in range(40)]
     for name, got in zip(long, closest(long, right, np.arange(40)).itertuples()):
-        assert got.lcs == lcs(name, right[got.at])
+        assert got.lcs == lcs(name, right[got.position])
         assert got.lcs / got.length == max(lcs(name, r) / (len(name) + len(r)) for r in right)
 
 
@@ -164,3 +177,53 @@ def test_edition_filter_without_the_column(spark):
     right = sheet(spark, [(1, "a", "TX", "n")])
     assert ln.edition_filter(right).count() == 0
     assert ln.edition_filter(right.drop("10th Ed.")).count() == 1
+
+
+def _names(spark, count, seed, letters="abcdefgh"):
+    rng = random.Random(seed)
+    base = ["".join(rng.choice(letters) for _ in range(rng.randint(2, 14))) for _ in range(count)]
+
+    def worn(name):
+        out = list(name)
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(out) + 1)
+            out[at:at + rng.randint(0, 1)] = rng.choice(["", "x", "a", "b"])
+        return "".join(out) or "q"
+
+    left = sorted({worn(n) for n in base} | {"a", "ab"})
+    return left, sorted(set(base) | {"ab", "abc"})
+
+
+@pytest.mark.parametrize("threshold", [85.0, 75.0])
+def test_similarity_join_misses_no_pair_and_compares_few(spark, threshold):
+    left, right = _names(spark, 150, 11)
+    names = spark.createDataFrame([("TX", n) for n in left], "State string, left_key string")
+    rights = spark.createDataFrame([("TX", n, i) for i, n in enumerate(right)], "State string, right_key string, position long")
+    pairs = [(r.left_key, r.right_key) for r in similar.candidate_pairs(names, rights, threshold).collect()]
+    assert len(pairs) == len(set(pairs)) and len(pairs) < len(left) * len(right) / (20 if threshold > 80 else 5)
+    near = {(a, b) for a in left for b in right if 200 * lcs(a, b) / (len(a) + len(b)) >= threshold}
+    joined = {a for a, _ in pairs}
+    assert {p for p in near if p[0] in joined} <= set(pairs)
+    if threshold == 85.0:
+        assert {p for p in near if p[0] != p[1]} <= set(pairs)
+    best = {r.left_key: (round(r.score, 9), r.position) for r in similar.near_pairs(names, rights, threshold).collect()}
+    for name, got in best.items():
+        scored = [(-200 * lcs(name, r) / (len(name) + len(r)), i) for i, r in enumerate(right)]
+        assert got == (round(-min(scored)[0], 9), min(scored)[1])
+
+
+def test_blocks_are_skipped_and_the_best_stays_exact(spark):
+    left, right = _names(spark, 200, 5)
+    names = spark.createDataFrame([("TX", n) for n in left], "State string, left_key string")
+    rights = spark.createDataFrame([("TX", n, i) for i, n in enumerate(right)], "State string, right_key string, position long")
+    got = {r.left_key: (round(r.score, 9), r.position) for r in similar.best_in_blocks(names, rights, 4).collect()}
+    assert set(got) == set(left)
+    for name, found in got.items():
+        scored = [(-200 * lcs(name, r) / (len(name) + len(r)), i) for i, r in enumerate(right)]
+        assert found == (round(-min(scored)[0], 9), min(scored)[1])
+    blocks = similar.blocked(rights, 4)
+    named = names.select("State", "left_key", F.length("left_key").alias("n"), similar.bag(F.col("left_key")).alias("bag"),
+                         F.lit(0).alias("left_no"))
+    bounds = similar.block_bounds(named, blocks).withColumn("_r", F.lit(2))
+    first = spark.createDataFrame([("TX", n, s[0]) for n, s in got.items()], "State string, left_key string, score double")
+    assert similar.open_blocks(bounds, first).count() < bounds.count() / 3

@@ -1,6 +1,8 @@
 """Search log, contracts, files and streams."""
 
+import csv
 import datetime as dt
+import io
 import uuid
 
 import pytest
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 
 from placesearch.operators import contracts, searchdocs, searchlog as log
 from placesearch.session import cut_lineage, shared_folder
-from placesearch.sources import files
+from placesearch.sources import commits, files, quotedcsv
 from placesearch.streaming import log as stream
 
 SEARCH = ("search_id string, query string, timestamp timestamp, num_results int, "
@@ -185,6 +187,100 @@ def test_an_append_that_runs_again_adds_nothing(spark, folder):
     assert (stored.count(), found.count(), stored.columns) == (2, 4, searches.columns)
 
 
+def test_a_reader_sees_a_batch_old_or_new(spark, folder, monkeypatch):
+    old = spark.createDataFrame([("s", at(1))], "search_id string, timestamp timestamp")
+    new = spark.createDataFrame([("s", at(1)), ("t", at(2))], old.schema)
+    hits = spark.createDataFrame([("s", 1), ("s", 2)], "search_id string, rank int")
+    read = lambda: tuple(t.count() for t in files.read_search_log(spark, folder))
+    with pytest.raises(FileNotFoundError):
+        read()
+    files.append_search_log(old, hits, folder, "a")
+    with monkeypatch.context() as stopped:          # all is written, the manifest is not
+        stopped.setattr(commits, "commit", lambda *_: (_ for _ in ()).throw(KeyboardInterrupt()))
+        with pytest.raises(KeyboardInterrupt):
+            files.append_search_log(new, hits.limit(0), folder, "a")
+    assert read() == (1, 2)
+    fs, _ = commits._files(spark, folder)
+    fs.create(commits._path(spark, folder, 2), False).close()      # a writer that was lost while it wrote
+    assert read() == (1, 2)
+    files.append_search_log(new, hits.limit(1), folder, "a")
+    assert read() == (2, 1)
+
+
+def test_of_two_writers_none_is_lost(spark, folder):
+    commits.commit(spark, folder, lambda now: {"n": 1})
+    calls = []
+
+    def change(now):
+        if not calls:
+            calls.append(commits.commit(spark, folder, lambda own: {**own, "m": 1}))
+        return {**now, "n": now["n"] + 1}
+
+    assert commits.commit(spark, folder, lambda now: None) == {"n": 1}
+    commits.commit(spark, folder, change)
+    assert commits.current(spark, folder)["n"] == 2
+
+
+def test_only_touched_days_are_written_anew(spark, folder):
+    rows = full(spark.createDataFrame([(f"s{i}", "q", at(1 + i % 4), 1, "summary", None) for i in range(12)], SEARCH)
+                ).withColumn("langsmith_run_id", F.concat(F.lit("run-"), "search_id"))
+    hits = rows.select("search_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("rank"))
+    files.append_search_log(rows.filter("search_id < 's4'"), hits.filter("search_id < 's4'"), folder, "a")
+    files.append_search_log(rows.filter("search_id >= 's4'"), hits.filter("search_id >= 's4'"), folder, "b")
+
+    def by_day(table):
+        stored = dict(zip(files.LOG_TABLES, files.stored_log(spark, folder)))[table]
+        return {(str(r.day), r.f) for r in stored.select("day", F.input_file_name().alias("f")).distinct().collect()}
+
+    before = by_day("search_results") | by_day("result_scores")
+    given = spark.createDataFrame([("run-s1", 1, "good", at(9)), ("run-none", 0, "bad", at(9))],
+                                  "run_id string, score int, comment string, at timestamp")
+    assert files.feedback_into_log(spark, folder, given) == ["2024-01-02"]
+    stored, found = files.read_search_log(spark, folder)
+    wanted = log.feedback_merge(rows, given)
+    assert sorted(map(str, stored.select(*rows.columns).collect())) == sorted(map(str, wanted.collect()))
+    assert files.delete_from_log(spark, folder, spark.createDataFrame([("s2",), ("x",)], "search_id string")) == ["2024-01-03"]
+    after = by_day("search_results") | by_day("result_scores")
+    assert {f for f in before if f[0] in ("2024-01-01", "2024-01-04")} == {f for f in after if f[0] in ("2024-01-01", "2024-01-04")}
+    stored, found = files.read_search_log(spark, folder)
+    assert (stored.count(), found.count(), stored.filter("feedback_success = 'y'").count()) == (11, 22, 1)
+    files.append_search_log(rows.filter("search_id < 's2'"), hits.limit(0), folder, "a")      # a batch again
+    stored, found = files.read_search_log(spark, folder)
+    again = sorted(r.search_id for r in rows.filter("search_id < 's2' or search_id >= 's4'").select("search_id").collect())
+    assert sorted(r.search_id for r in stored.select("search_id").collect()) == again
+
+
+def test_an_index_is_whole_or_absent(spark, folder):
+    docs = spark.range(5)
+    docs.write.parquet(f"{folder}/version=lost")          # by a builder that was lost
+    assert files.build_index_if_absent(docs, folder).count() == 5
+    assert files.build_index_if_absent(spark.range(9), folder).count() == 5
+
+
+@pytest.mark.parametrize("most", [50_000, 0])
+def test_one_quoted_file_is_read_by_many_tasks(spark, folder, monkeypatch, most):
+    monkeypatch.setattr(quotedcsv, "MOST_BROADCAST", most)
+    cell = lambda i: "line\n" * (i % 5) + f'say ""{i}""' + ("\r\n\n" if i % 7 == 0 else ", x")
+    lines = [f'"{i}","{cell(i) if i != 40 else "long " + chr(10) * 3000}",{i * 2}' for i in range(300)]
+    text = "ID,content,cost\r\n" + "\r\n".join(lines[:150]) + "\n\n" + "\n".join(lines[150:])
+    fs, _ = commits._files(spark, folder)
+    stream_ = fs.create(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/one.csv"), False)
+    stream_.write(bytearray(text.encode()))
+    stream_.close()
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        rows = files.read_records_csv(spark, f"{folder}/one.csv", "ID long, content string, cost string")
+        got = {r.ID: (r.content, r.cost) for r in rows.collect()}
+        assert quotedcsv._lines(spark, f"{folder}/one.csv").rdd.getNumPartitions() > 10
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    plain = [r for r in csv.reader(io.StringIO(text, newline="")) if r][1:]
+    assert got == {int(i): (content, cost) for i, content, cost in plain} and len(got) == 300
+
+
 def test_csv_columns_are_found_by_name(spark, folder):
     spark.createDataFrame([("c", "NA", "7", "x")], "cost string, URL string, ID string, more string").write.csv(
         folder, header=True)
@@ -207,3 +303,27 @@ def test_a_late_search_counts_and_a_repeat_does_not(spark, folder):
          ("b", "q", at(22), 2, "summary", "y"))
     got = stream.keep_daily(rows, f"{folder}/out").collect()
     assert sorted((r.search_date.day, r.total_searches) for r in got) == [(10, 1), (20, 1), (21, 1)]
+
+
+def test_three_batches_equal_the_batch_rollup(spark, folder):
+    """Late, repeated and null ids; days that a batch does not touch are not written again."""
+    rows = [[("a", "q", at(20), 2, "summary", "y"), ("b", "r", at(21), 2, "summary", "y"), (None, "n", at(20), 5, "detailed", None)],
+            [("late", "q", at(3), 1, "summary", None), ("a", "q", at(20), 2, "summary", "y"), (None, "n", at(20), 5, "detailed", None)],
+            [("b", "r", at(21), 2, "summary", "y"), ("c", "z", at(3), 4, "detailed", "n"), ("d", "z", None, 4, "detailed", "n")]]
+    schema = full(spark.createDataFrame([], SEARCH)).schema
+    stream_of = lambda: spark.readStream.schema(schema).parquet(f"{folder}/in")
+    names = []
+    for part in rows:
+        full(spark.createDataFrame(part, SEARCH)).write.mode("append").parquet(f"{folder}/in")
+        daily = stream.keep_daily(stream_of(), f"{folder}/daily")
+        table = stream.run_available(stream.dedupe_searches(stream_of()), f"{folder}/table")
+        names.append({(r.day, r.name) for r in spark.read.parquet(f"{folder}/daily/daily").select(
+            F.col("day"), F.input_file_name().alias("name")).collect()})
+    once = spark.createDataFrame([*rows[0], rows[1][0], rows[1][2], rows[2][1], rows[2][2]], SEARCH)
+    wanted = log.daily_analytics(full(once).filter("timestamp IS NOT NULL"))
+    assert sorted(map(tuple, daily.collect())) == sorted(map(tuple, wanted.collect()))
+    assert sorted((str(r.search_id), r.query) for r in table.collect()) == sorted(
+        (str(r.search_id), r.query) for r in once.collect())
+    kept = {n for d, n in names[1] if d.day == 20}
+    assert kept <= {n for _, n in names[2]}          # the third batch has nothing of day 20
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", "").find("RocksDB") < 0

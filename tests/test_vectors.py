@@ -83,13 +83,6 @@ def test_keys(data, spark):
     assert rows(got) == brute(docs, queries, 4, lambda q_, i: i % 4 in (q_ % 4, 1))
 
 
-def test_approximate_recall(data):
-    _, _, d, q = data
-    exact = v.knn_batch(d, q, 4)
-    got = v.recall(exact, v.knn_approx(d, q, 4, width=4.0)).first()
-    assert got.expected == 80 and got.recall > 0.8
-
-
 def test_plans(spark):
     path = "/root/testdata/sf0.001/embeddings.parquet"
     docs = spark.read.parquet(path).withColumnRenamed("vec_id", "doc_id")
