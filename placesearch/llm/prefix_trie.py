@@ -29,6 +29,7 @@ TURNS = 400_000           # packed into one double array
 CHUNK_BITS = 10           # member ids are joined to text in chunks of 2 to this power
 RANGE_TURNS = 32          # turns by which ranges are cut
 PATHS = 4_000             # paths folded in one task
+LEAST_ROWS = 16           # rows in a double array, however long they are
 KEYS = 200_000            # upper nodes that are broadcast to name parents
 TRIES = 256               # free cells looked at before a node's children go to the end
 _NONE = np.iinfo(np.int64).max
@@ -337,7 +338,8 @@ def folded(rows: DataFrame, paths: bool, last: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for row in read(batches):
-            if held and size > most and not last:
+            # a fold gives back two paths at most, so it pays from a few rows on
+            if size > most and len(held) >= LEAST_ROWS and not last:
                 yield from fold(held, False, paths)
                 held, size = [], 0
             held.append(row)
@@ -360,7 +362,7 @@ def trie(rows: DataFrame) -> DataFrame:
     nodes = found.filter("turns IS NULL")
     paths = found.filter("turns IS NOT NULL").select("turns", "marks")
     while (count := paths.count()) > PATHS:
-        found = land(folded(_sorted(paths, -(-2 * count // PATHS)), True, False), "trie")
+        found = land(folded(_sorted(paths, -(-count // max(PATHS // 2, LEAST_ROWS))), True, False), "trie")
         nodes = nodes.unionByName(found.filter("turns IS NULL"))
         if (left := found.filter("turns IS NOT NULL").count()) >= count:
             raise RuntimeError("open paths do not become fewer")

@@ -62,7 +62,7 @@ def test_a_very_long_text(spark):
             row.base_failed) == plain(docs.first().text)
 
 
-GOOD = " ".join(f"the word{i} of page and thing" for i in range(20))
+GOOD = " ".join(f"the word{i} of page{i} and thing{i}" for i in range(20))
 
 
 @pytest.mark.parametrize("text, broken", [
