@@ -96,20 +96,21 @@ def link_names(text: str, hits: list[tuple[str, str]]) -> str:
         place = next(_mentions(text, folded, low, whole), None)
         if place is None:
             continue
-        bold = f"**{name}**"
-        first = bold
+        bold, low_bold = f"**{name}**", f"**{low}**"
+        first, low_first = bold, low_bold
         if url:
-            first = _EDGE + _STEP * (i + 1) + _EDGE
+            first = low_first = _EDGE + _STEP * (i + 1) + _EDGE
             held[first] = f"[**{name}**]({url if url.startswith('http') else 'https://' + url})"
-        text = text[:place[0]] + first + text[place[1]:]
-        folded = _fold(text)
-        parts, done = [], 0
-        for at, end in _mentions(text, folded, low, whole, place[0] + len(first)):
+        at, end = place
+        text, folded = text[:at] + first + text[end:], folded[:at] + low_first + folded[end:]
+        parts, low_parts, done = [], [], 0
+        for at, end in _mentions(text, folded, low, whole, at + len(first)):
             parts += [text[done:at], bold]
+            low_parts += [folded[done:at], low_bold]
             done = end
         if parts:
             text = "".join([*parts, text[done:]])
-            folded = _fold(text)
+            folded = "".join([*low_parts, folded[done:]])
     for mark, link in held.items():
         text = text.replace(mark, link)
     return text

@@ -12,7 +12,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window, functions as F
 
 from placesearch.functions.names import extract_state, merge_key, token_sort
-from placesearch.operators.similar import BLOCK_NAMES, best_in_blocks, near_pairs
+from placesearch.operators.similar import (
+    BLOCK_NAMES, best_in_blocks, best_of_all, near_pairs, pairs_within,
+)
 from placesearch.session import cut_lineage
 
 # Thresholds, column order and flags of the linked table.
@@ -25,6 +27,7 @@ LINKED_ORDER = ("ID", "title", "Restaurant", "URL", "address_full", "Address", "
 PROFILED = ("City", "Address", "Region", "Crossout", "Honor Roll", "Recommend", "long", "lat",
             "geohash")
 EDITION = "10th Ed."
+PAIRS = 20_000_000        # names and candidates of one state that are compared without a join before
 
 
 def _col(name: str):
@@ -57,7 +60,11 @@ def link_columns(linked: DataFrame) -> DataFrame:
 
 
 def exact_link(guide: DataFrame, directory: DataFrame) -> DataFrame:
-    """Left join on name and state; nulls match nulls and repeated directory names fan out."""
+    """Left join on name and state; repeated directory names fan out.
+
+    A missing state matches a missing state; a missing name matches nothing, as all rows without a name
+    would else meet on one key.
+    """
     missing = missing_columns(guide, directory)
     if missing:
         raise ValueError("columns needed for linking are missing: " + ", ".join(missing))
@@ -65,7 +72,7 @@ def exact_link(guide: DataFrame, directory: DataFrame) -> DataFrame:
     right = directory.select(merge_key(F.col("Restaurant")).alias("_name"),
                              F.col("State").alias("_state"), "Restaurant",
                              *map(_col, DIRECTORY_COLUMNS))
-    joined = left.join(right, F.col("_key").eqNullSafe(F.col("_name"))
+    joined = left.join(right, (F.col("_key") == F.col("_name"))
                        & F.col("State").eqNullSafe(F.col("_state")), "left")
     return link_columns(joined.drop("_key", "_name", "_state"))
 
@@ -109,7 +116,7 @@ def name_scores(names: DataFrame, candidates: DataFrame, high: float = HIGH,
 
     Names equal up to word order score 100 and are settled by a plain join, and those with a
     candidate at ``high`` by a similarity join.  Only the others are compared within their state,
-    block by block.
+    block by block.  While a state's names and candidates are few pairs, all are compared at once.
     """
     rights = (candidates.select("State", token_sort(F.col("name")).alias("right_key"), "position")
               .groupBy("State", "right_key").agg(F.min("position").alias("position")))
@@ -118,9 +125,12 @@ def name_scores(names: DataFrame, candidates: DataFrame, high: float = HIGH,
     same = names.join(rights.withColumnRenamed("right_key", "left_key"), ["State", "left_key"])
     other = names.join(rights.select("State", F.col("right_key").alias("left_key")),
                        ["State", "left_key"], "left_anti")
-    near = cut_lineage(near_pairs(other, rights, high))
-    far = other.join(near, ["State", "left_key"], "left_anti")
-    best = near.unionByName(best_in_blocks(far, rights, block_rows))
+    if pairs_within(names, rights) <= PAIRS:
+        best = best_of_all(other, rights)
+    else:
+        near = cut_lineage(near_pairs(other, rights, high))
+        far = other.join(near, ["State", "left_key"], "left_anti")
+        best = near.unionByName(best_in_blocks(far, rights, block_rows))
     return best.unionByName(same.withColumn("score", F.lit(100.0)))
 
 

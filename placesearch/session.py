@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -42,11 +44,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder so later passes do not recompute it."""
+    """Write ``df`` to the shared folder and read it back, so later passes do not compute it again.
+
+    A written table is computed once, where a checkpoint computes it twice, and its size is known to
+    the joins that follow.  Every call has a folder of its own.
+    """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+    folder = f"{shared_folder(spark)}/placesearch-cut/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -104,8 +104,10 @@ def test_last_candidate_wins_at_first_position(spark):
     assert got == {"joe": (0, 3), "eoj": (1, 2)}
 
 
-def test_best_match_in_tiny_blocks_equals_brute_force(spark):
+@pytest.mark.parametrize("pairs", [0, ln.PAIRS])
+def test_best_match_in_tiny_blocks_equals_brute_force(spark, monkeypatch, pairs):
     """One state holds most rows and is cut into many blocks on both sides."""
+    monkeypatch.setattr(ln, "PAIRS", pairs)
     rng = random.Random(7)
 
     def name():
