@@ -87,9 +87,8 @@ def write_chat_jsonl(examples: DataFrame, path: str, mode: str = "error") -> Non
 
 
 def write_reports(reports: DataFrame, path: str, mode: str = "error") -> None:
-    """``search_id, report`` -> one folder per search."""
-    reports.select("search_id", F.col("report").alias("value")).write.mode(
-        mode).partitionBy("search_id").text(path)
+    """``search_id, report`` -> JSON lines, a few files whatever the number of searches."""
+    reports.select("search_id", "report").write.mode(mode).json(path)
 
 
 def _stored(spark: SparkSession, folder: str, table: str, manifest: dict, parts: list[dict],
