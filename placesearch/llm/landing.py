@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from weakref import WeakKeyDictionary
 
 from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from placesearch.session import shared_folder
 
 TEXTS = 1000
+_FOLDERS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 SPACE = r"[\x20\x09-\x0D]+"      # fixed value: what separates words
 
 
@@ -23,7 +25,18 @@ def land(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     folder = f"{shared_folder(spark)}/llm/{name}-{uuid.uuid4().hex}"
     df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    landed = spark.read.schema(df.schema).parquet(folder)
+    _FOLDERS[landed] = folder
+    return landed
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete landed tables that nothing reads any more.  Others, such as results, stay."""
+    for one in tables:
+        folder = _FOLDERS.pop(one, None)
+        if folder:
+            path = one.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(one.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def map_texts(rows: DataFrame, function: Callable, schema: str) -> DataFrame:

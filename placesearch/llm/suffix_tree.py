@@ -10,8 +10,8 @@ scored in the state of the longest suffix that was kept.
 Words are told apart by 64-bit hashes.  Counts of all words and contexts are summed in the tasks and
 then by key.  The tree is a table of weights by gram that grows with the training texts: a text's
 score is the sum of the weights of its words, pairs and triples.  The hottest weights are known to
-every task, so the busiest keys never meet in a join; the others are joined by key.  ``build`` makes
-the same tree in memory, for small texts only.
+every task, so the busiest keys never meet in a join; the others are joined by key.  Tables that the
+next step does not read are dropped as soon as it is written.
 """
 
 from __future__ import annotations
@@ -21,71 +21,38 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from placesearch.llm import words
-from placesearch.llm.landing import dealt_anew, fold, held_out, land, map_texts, share, table
+from placesearch.llm.landing import drop, fold, held_out, land, map_texts, share, table
 
 FOLDS = 10
-DEPTH = 2                 # longest context
 SEEN = 32                 # occurrences from which a context is considered
-CONTEXTS = 40_000         # of a tree in memory: longer contexts considered, the most frequent ones
-STATES = 20_000          # of a tree in memory: contexts it may hold, those with the largest divergence
-FOLLOWERS = 200_000       # of a tree in memory: next symbols listed in all states together: 3 MB
 WEIGHT = 8.0              # symbols that the suffix's distribution counts for
 HOT = 1 << 18             # weights known in every task, the most frequent ones: 6 MB
 UNSEEN = 0.1              # fixed value: added count of the unigram model
-_BITS = 20                # of a word's number
 _HELD = 4 << 20           # counted keys a task keeps before it sends them on
-_TASK_BITS = 40
 _TURNS = (17, 29)         # bits that the suffix of a gram of two and three symbols is turned by
-_MARKS = 1 << 25          # bits of the marks at most
+_CELLS = 1 << 20          # of 64 marks each, at most: 8 MB
+_KEYS_IN_CELL = 6         # keys that a cell is made for
+_PLACES = (34, 41, 48, 55)      # where a key has the numbers of its marks
 _U = np.uint64
 END = _U(0xD1B54A32D192ED03)    # stands for the end among the words' hashes
+_END = int(END.view(np.int64))
 
 
 @dataclass
-class Words:
-    hashes: np.ndarray    # of the frequent words, sorted; the place is the word's number
-    counts: np.ndarray
-    total: int            # tokens
+class Totals:
+    """Of the training texts, ends included."""
+    tokens: int
     distinct: int
-    ends: int             # how often the end occurs: once per text
     discount: float       # taken off each count at the root
 
     @property
-    def rare(self) -> int:
-        """The number that all other words share."""
-        return len(self.hashes)
-
-    @property
-    def end(self) -> int:
-        return len(self.hashes) + 1
-
-    def root(self) -> np.ndarray:
-        """Chances at the root by number; that of ``rare`` is of all other words together."""
-        if not self.total:
-            return np.full(len(self.hashes) + 2, 0.5)
-        own = (np.append(self.counts, [0, self.ends]) - self.discount) / self.total
-        own[self.rare] = 0
-        if not self.ends:
-            own[self.end] = 0
-        own[self.rare] = max(1 - own.sum(), 1e-300)
-        return own
-
-
-@dataclass
-class Tree:
-    by_word: np.ndarray   # state of each single symbol, -1 if it is none
-    pairs: np.ndarray     # sorted pairs of symbols that are states
-    pair_states: np.ndarray
-    parents: np.ndarray   # state of the suffix, -1 for the root
-    pooled: np.ndarray    # log10 factor on the suffix's chance of a symbol that is not listed
-    keys: np.ndarray      # sorted: state and listed symbol
-    chances: np.ndarray   # log10
+    def unknown(self) -> float:
+        """Chance at the root of all words that training did not see."""
+        return max(self.discount * self.distinct / self.tokens, 1e-300) if self.tokens else 0.5
 
 
 # --- counting --------------------------------------------------------------------------------
@@ -121,19 +88,6 @@ def _texts(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
         yield first, *np.unique(hashed, return_inverse=True, return_counts=True)
 
 
-def _numbers(known: Words, different: np.ndarray) -> np.ndarray:
-    """Number of each word."""
-    at = np.searchsorted(known.hashes, different)
-    at[at == len(known.hashes)] = 0
-    hit = known.hashes[at] == different if len(known.hashes) else np.zeros(len(different), bool)
-    return np.where(hit, at, known.rare)
-
-
-def _symbols(first: np.ndarray, numbers: np.ndarray, end: int) -> np.ndarray:
-    """All texts in a row, each closed by its end."""
-    return np.insert(numbers, first[1:], end)
-
-
 def count_words(texts: DataFrame) -> DataFrame:
     """``key, n`` of all words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,45 +102,6 @@ def count_words(texts: DataFrame) -> DataFrame:
     return map_texts(texts.select("text"), run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def count_followers(texts: DataFrame, known: Words, pairs: np.ndarray | None = None) -> DataFrame:
-    """``context, symbol, n`` of symbols seen at least twice after a context.
-
-    Contexts are the single symbols known by number, or, if given, the ``pairs`` (sorted).
-    """
-    shared = share(texts.sparkSession, (known, pairs))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, pairs = pickle.loads(shared.value)
-        counter = _Counter()
-        for batch in batches:
-            for first, different, which, _ in _texts(batch.column(0)):
-                row = _symbols(first, _numbers(known, different)[which], known.end)
-                if not len(row):
-                    continue
-                # before the first text of a run stands an end, as before every other
-                before = np.concatenate([[known.end], row[:-1]])
-                real = (before != known.rare) & (row != known.rare)
-                context = before
-                if pairs is not None:
-                    earlier = np.concatenate([[known.end], before[:-1]])
-                    real &= (earlier != known.rare) & (before != known.end)
-                    pair = earlier << _BITS | before
-                    at = np.searchsorted(pairs, pair)
-                    at[at == len(pairs)] = 0
-                    real &= pairs[at] == pair
-                    context = at
-                keys = context[real] << _BITS | row[real]
-                counter.add(*np.unique(keys, return_counts=True))
-                if counter.held > _HELD:
-                    yield counter.take()
-        yield counter.take()
-
-    counted = (map_texts(texts.select("text"), run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-               .filter("n >= 2"))
-    return counted.select(F.shiftright("key", _BITS).alias("context"),
-                          F.col("key").bitwiseAND(F.lit((1 << _BITS) - 1)).alias("symbol"), "n")
-
-
 def _cut(counts: DataFrame, most: int) -> int:
     """The lowest count such that at most ``most`` rows reach it."""
     taken, cut = 0, None
@@ -199,143 +114,12 @@ def _cut(counts: DataFrame, most: int) -> int:
     return cut if cut is not None else (1 << 62)
 
 
-def known_words(counts: DataFrame, ends: int, frequent: int) -> Words:
-    total, distinct, once = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"),
-                                       F.count_if(F.col("n") == 1)).first()
-    top = counts.filter(F.col("n") >= _cut(counts, frequent)).toPandas()
-    hashed = top["key"].to_numpy(np.int64).view(_U)
-    order = np.argsort(hashed)
+def totals(counts: DataFrame) -> Totals:
+    """``counts``: ``key, n`` of all words and the end."""
+    tokens, distinct, once = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"),
+                                        F.count_if((F.col("n") == 1) & (F.col("key") != _END))).first()
     # as much is left for unknown words as words seen once make up
-    discount = min(0.9, max(once, 1) / max(distinct + (ends > 0), 1))
-    return Words(hashed[order], top["n"].to_numpy(np.int64)[order], int(total + ends),
-                 int(distinct + (ends > 0)), int(ends), float(discount))
-
-
-# --- the tree --------------------------------------------------------------------------------
-
-def _tested(rows: DataFrame) -> DataFrame:
-    """``context, kinds, total, gain`` of the contexts whose divergence pays.
-
-    ``rows``: ``context, symbol, n, total, q`` with the suffix's chance ``q`` of the symbol; what
-    is not listed counts as one symbol.
-    """
-    summed = rows.groupBy("context").agg(
-        F.first("total").alias("total"), F.count("*").alias("kinds"), F.sum("n").alias("listed"),
-        F.sum("q").alias("mass"), F.sum(F.col("n") * F.log(F.col("n") / F.col("q"))).alias("part"))
-    pool = F.col("total") - F.col("listed")
-    rest = F.when(pool > 0, pool * F.log(pool / F.greatest(1 - F.col("mass"), F.lit(1e-9)))).otherwise(0.0)
-    gain = F.col("part") + rest - F.col("total") * F.log("total")
-    return (summed.withColumn("gain", gain).filter(F.col("gain") > 0.5 * F.col("kinds") * F.log("total"))
-            .select("context", "kinds", "total", "gain"))
-
-
-def build(texts: DataFrame, known: Words, seen: int = SEEN, states: int = STATES,
-          followers: int = FOLLOWERS) -> Tree:
-    """Grow the tree: single symbols first, then the frequent pairs."""
-    spark = texts.sparkSession
-    root = known.root()
-    counts = np.append(known.counts, [0, known.ends])
-    # bounded by FREQUENT, so it may go to every task
-    numbered = F.broadcast(land(spark.createDataFrame(pd.DataFrame(
-        {"symbol": np.arange(len(root), dtype=np.int64), "q": root, "c": counts.astype(np.int64)})), "numbers"))
-    single = land(count_followers(texts, known), "followers")
-    totals = numbered.select(F.col("symbol").alias("context"), F.col("c").alias("total"))
-    first = land(_tested(single.join(F.broadcast(totals), "context").filter(F.col("total") >= seen)
-                         .join(numbered.drop("c"), "symbol")), "tests")
-    often = single.filter((F.col("n") >= seen) & (F.col("symbol") != known.end))
-    pairs = often.filter(F.col("n") >= _cut(often, CONTEXTS)).select(
-        (F.shiftleft("context", _BITS).bitwiseOR(F.col("symbol"))).alias("pair"), "n").toPandas()
-    pairs = pairs.sort_values("pair")
-    pair_keys = pairs["pair"].to_numpy(np.int64)
-    listed = F.broadcast(land(spark.createDataFrame(pd.DataFrame(   # bounded by CONTEXTS
-        {"context": np.arange(len(pairs), dtype=np.int64), "total": pairs["n"].to_numpy(np.int64),
-         "b": pair_keys & ((1 << _BITS) - 1)}), "context long, total long, b long"), "pairs"))
-    double = first.limit(0).select("context", F.lit(0).cast("long").alias("symbol"), F.col("kinds").alias("n"))
-    second = first.limit(0)
-    if len(pairs):
-        double = land(count_followers(texts, known, pair_keys), "followers")
-        above = single.select(F.col("context").alias("b"), "symbol", F.col("n").alias("m"))
-        told = double.join(listed, "context").join(numbered.drop("c"), "symbol").join(above, ["b", "symbol"])
-        told = told.join(numbered.select(F.col("symbol").alias("b"), "c"), "b")
-        second = land(_tested(told.withColumn("q", (F.col("m") + WEIGHT * F.col("q"))
-                                              / (F.col("c") + WEIGHT))), "tests")
-    best = (first.select(F.lit(1).alias("depth"), "*").unionByName(second.select(F.lit(2).alias("depth"), "*"))
-            .orderBy(F.desc(F.col("gain") / F.col("kinds")), "depth", "context").limit(states).toPandas())
-    best = best[best["kinds"].cumsum() <= followers].sort_values(["depth", "context"])
-    kept = land(spark.createDataFrame(best[["depth", "context"]], "depth int, context long"), "kept")
-    rows = single.select(F.lit(1).alias("depth"), "*").unionByName(double.select(F.lit(2).alias("depth"), "*"))
-    rows = rows.join(F.broadcast(kept), ["depth", "context"]).toPandas()   # bounded by STATES
-    return _assembled(best, rows, pair_keys, root)
-
-
-def _assembled(best: pd.DataFrame, rows: pd.DataFrame, pair_keys: np.ndarray, root: np.ndarray) -> Tree:
-    """States with smoothed chances; ``best`` is sorted by depth and context."""
-    depth, context = best["depth"].to_numpy(np.int64), best["context"].to_numpy(np.int64)
-    total = best["total"].to_numpy(float)
-    ones = np.flatnonzero(depth == 1)
-    by_word = np.full(len(root), -1, dtype=np.int64)
-    by_word[context[ones]] = ones
-    twos = np.flatnonzero(depth == 2)
-    pairs = pair_keys[context[twos]]
-    parents = np.full(len(best), -1, dtype=np.int64)
-    parents[twos] = by_word[pairs & ((1 << _BITS) - 1)]
-    # states are numbered in the order of depth and context
-    place = depth << (2 * _BITS) | context
-    state = np.searchsorted(place, rows["depth"].to_numpy(np.int64) << (2 * _BITS)
-                            | rows["context"].to_numpy(np.int64))
-    keys = state << _BITS | rows["symbol"].to_numpy(np.int64)
-    order = np.argsort(keys)
-    keys, n = keys[order], rows["n"].to_numpy(float)[order]
-    state, symbol = keys >> _BITS, keys & ((1 << _BITS) - 1)
-    chances = np.zeros(len(keys))
-    tree = Tree(by_word, pairs, twos, parents, np.zeros(len(best)), keys, chances)
-    for level in (1, 2):
-        own = np.flatnonzero(depth[state] == level)
-        above = parents[state[own]]
-        q = root[symbol[own]] if level == 1 else 10 ** _chain(tree, above, symbol[own], root)
-        mass = np.bincount(state[own], weights=q, minlength=len(best))
-        listed = np.bincount(state[own], weights=n[own], minlength=len(best))
-        chances[own] = np.log10((n[own] + WEIGHT * q) / (total[state[own]] + WEIGHT))
-        here = np.flatnonzero(depth == level)
-        pool = np.maximum(total[here] - listed[here], 0) / np.maximum(1 - mass[here], 1e-9)
-        tree.pooled[here] = np.log10((pool + WEIGHT) / (total[here] + WEIGHT))
-    return tree
-
-
-def _chain(tree: Tree, state: np.ndarray, symbol: np.ndarray, root: np.ndarray) -> np.ndarray:
-    """log10 chance of each symbol in each state; -1 is the root."""
-    found = np.zeros(len(symbol))
-    state, open_ = state.copy(), np.ones(len(symbol), dtype=bool)
-    for _ in range(DEPTH):
-        at = np.flatnonzero(open_ & (state >= 0))
-        if not len(at):
-            break
-        key = state[at] << _BITS | symbol[at]
-        place = np.searchsorted(tree.keys, key)
-        place[place == len(tree.keys)] = 0
-        hit = tree.keys[place] == key
-        found[at[hit]] += tree.chances[place[hit]]
-        open_[at[hit]] = False
-        missed = at[~hit]
-        found[missed] += tree.pooled[state[missed]]
-        state[missed] = tree.parents[state[missed]]
-    found[open_] += np.log10(root[symbol[open_]])
-    return found
-
-
-def _states(tree: Tree, row: np.ndarray, end: int, begin: np.ndarray) -> np.ndarray:
-    """The state of the longest context before each symbol."""
-    before = np.concatenate([[end], row[:-1]])
-    found = tree.by_word[before]
-    if len(tree.pairs):
-        earlier = np.concatenate([[end], before[:-1]])
-        pair = earlier << _BITS | before
-        at = np.searchsorted(tree.pairs, pair)
-        at[at == len(tree.pairs)] = 0
-        hit = tree.pairs[at] == pair
-        hit[begin] = False
-        found = np.where(hit, tree.pair_states[at], found)
-    return found
+    return Totals(int(tokens), int(distinct), float(min(0.9, max(once, 1) / max(distinct, 1))))
 
 
 # --- the tree as a table ---------------------------------------------------------------------
@@ -363,22 +147,38 @@ def _grams(first: np.ndarray, hashed: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _marks(keys: DataFrame) -> np.ndarray:
-    """Bits by hash of all ``key``, at most 4 MB: only a key whose bit is set can be in the table."""
-    size = 1 << 16
-    most = 8 * keys.count()
-    while size < min(most, _MARKS):
+    """A Bloom filter of all ``key`` in cells of 64 marks: a key that is not marked is not in the table.
+
+    Each key has up to four marks in one cell.  The cells grow with the keys, up to 8 MB; with more
+    than about 6 million keys, more keys are looked up in vain, which changes no result.
+    """
+    size, rows = 1 << 10, keys.count()
+    while size < min(rows / _KEYS_IN_CELL, _CELLS):
         size <<= 1
-    place = keys.select(F.col("key").bitwiseAND(F.lit(size - 1)).alias("k"))
-    cells = place.groupBy(F.shiftright("k", 6).alias("cell")).agg(
-        F.expr("bit_or(shiftleft(1L, cast(k & 63 as int)))").alias("bits")).toPandas()
-    found = np.zeros(size >> 6, dtype=_U)
+    key = F.col("key")
+    marks = [F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {at}) & 63 as int))") for at in _PLACES]
+    bits = marks[0]
+    for mark in marks[1:_marks_of(rows, size)]:
+        bits = bits.bitwiseOR(mark)
+    cells = keys.select(key.bitwiseAND(F.lit(size - 1)).alias("cell"), bits.alias("bits")).groupBy("cell").agg(
+        F.bit_or("bits").alias("bits")).toPandas()
+    found = np.zeros(size + 1, dtype=_U)
     found[cells["cell"].to_numpy(np.int64)] = cells["bits"].to_numpy(np.int64).view(_U)
+    found[size] = _marks_of(rows, size)
     return found
 
 
+def _marks_of(keys: int, cells: int) -> int:
+    """Marks of each key: fewer where cells are full."""
+    return max(1, min(len(_PLACES), round(44 * cells / max(keys, 1))))
+
+
 def _marked(marks: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    place = keys & _U(len(marks) * 64 - 1)
-    return (marks[place >> _U(6)] >> (place & _U(63)) & _U(1)).astype(bool)
+    cells = marks[keys & _U(len(marks) - 2)]
+    found = np.ones(len(keys), dtype=bool)
+    for at in _PLACES[:int(marks[-1])]:
+        found &= (cells >> (keys >> _U(at) & _U(63)) & _U(1)).astype(bool)
+    return found
 
 
 def count_grams(texts: DataFrame, marks: np.ndarray, depth: int) -> DataFrame:
@@ -425,45 +225,55 @@ def count_grams(texts: DataFrame, marks: np.ndarray, depth: int) -> DataFrame:
 def _kept(rows: DataFrame) -> DataFrame:
     """``context, total, pooled`` of the contexts whose divergence pays.
 
-    ``rows``: as for ``_tested``, and ``own``, the chance that the tree gives the symbol after the
-    suffix.  ``pooled`` is the log10 factor on it for a symbol that is not listed.
+    ``rows``: ``context, symbol, n, total, q, own``, with the suffix's chance ``q`` of the symbol and
+    the one that the tree gives, ``own``; what is not listed counts as one symbol.  ``pooled`` is the
+    log10 factor on the suffix's chance for a symbol that is not listed.
     """
-    mass = rows.groupBy("context").agg(F.sum("n").alias("listed"), F.sum("own").alias("mass"))
-    pool = F.greatest(F.col("total") - F.col("listed"), F.lit(0)) / F.greatest(1 - F.col("mass"), F.lit(1e-9))
-    return _tested(rows).join(mass, "context").select(
-        "context", "total", F.log10((pool + WEIGHT) / (F.col("total") + WEIGHT)).alias("pooled"))
+    summed = rows.groupBy("context").agg(
+        F.first("total").alias("total"), F.count("*").alias("kinds"), F.sum("n").alias("listed"),
+        F.sum("q").alias("mass"), F.sum("own").alias("own"),
+        F.sum(F.col("n") * F.log(F.col("n") / F.col("q"))).alias("part"))
+    pool = F.col("total") - F.col("listed")
+    rest = F.when(pool > 0, pool * F.log(pool / F.greatest(1 - F.col("mass"), F.lit(1e-9)))).otherwise(0.0)
+    gain = F.col("part") + rest - F.col("total") * F.log("total")
+    left = F.greatest(pool, F.lit(0)) / F.greatest(1 - F.col("own"), F.lit(1e-9))
+    return summed.filter(gain > 0.5 * F.col("kinds") * F.log("total")).select(
+        "context", "total", F.log10((left + WEIGHT) / (F.col("total") + WEIGHT)).alias("pooled"))
 
 
-def gram_weights(texts: DataFrame, counts: DataFrame, known: Words, seen: int) -> DataFrame:
+def gram_weights(texts: DataFrame, counts: DataFrame, known: Totals, seen: int) -> DataFrame:
     """``key, w, base, n``: what each occurrence of a symbol or gram adds to the scores.
 
     A symbol's score is the root's, plus for each kept context before it the factor for what is not
     listed, plus for a listed symbol the difference to its own chance.  All three hang on the symbol
     or gram alone, so a text's score is the sum of the weights of its grams.  ``base`` is null but
-    for single symbols.  Every context seen ``seen`` times that pays is kept, and all of it stays a
-    table.
+    for single symbols.  A key that is a gram and a context has two rows, with the same ``n``.  Every
+    context seen ``seen`` times that pays is kept, and all of it stays a table.
     """
-    root = _root_of_rare(known)
+    root = _root(known)
     often = counts.filter(F.col("n") >= seen)
-    single = land(count_grams(texts, _marks(often), 1), "grams")
-    q = counts.select(F.col("key").alias("suffix"), (F.pow(F.lit(10.0), root)).alias("q"))
-    pairs = land(single.join(often.select(F.col("key").alias("context"), F.col("n").alias("total")), "context")
-                 .join(q, "suffix").withColumn("own", F.col("q")), "pairs")
+    q = counts.select(F.col("key").alias("suffix"), F.pow(F.lit(10.0), root).alias("q"))
+    listed = land(count_grams(texts, _marks(often), 1)
+                  .join(often.select(F.col("key").alias("context"), F.col("n").alias("total")), "context")
+                  .join(q, "suffix"), "pairs")
     smooth = (F.col("n") + WEIGHT * F.col("own")) / (F.col("total") + WEIGHT)
-    first = land(_kept(pairs), "states")
-    pairs = land(pairs.join(first.select("context", "pooled"), "context", "left").select(
-        _key(_TURNS[0]).alias("key"), "suffix", "n", "q", "pooled", smooth.alias("smooth")), "pairs")
-    often = pairs.filter((F.col("n") >= seen) & (F.col("suffix") != F.lit(int(END.view(np.int64)))))
-    double = land(count_grams(texts, _marks(often), 2), "grams")
+    first = land(_kept(listed.withColumn("own", F.col("q"))), "states")
+    # the columns that the others are made of repeat and take little room
+    pairs = land(listed.join(first.select("context", "pooled"), "context", "left"), "pairs")
+    drop(listed)
+    pairs = pairs.withColumn("own", F.col("q")).select(
+        _key(_TURNS[0]).alias("key"), "suffix", "n", "q", "pooled", smooth.alias("smooth"))
+    often = pairs.filter((F.col("n") >= seen) & (F.col("suffix") != _END))
     above = pairs.select(F.col("key").alias("suffix"), F.col("smooth").alias("q"),
                          F.when(F.col("pooled").isNull(), F.col("q")).otherwise(F.col("smooth")).alias("own"))
-    triples = land(double.join(often.select(F.col("key").alias("context"), F.col("n").alias("total")), "context")
+    triples = land(count_grams(texts, _marks(often), 2)
+                   .join(often.select(F.col("key").alias("context"), F.col("n").alias("total")), "context")
                    .join(above, "suffix"), "triples")
     second = land(_kept(triples), "states")
     more = F.lit(None).cast("double").alias("base")
-    least = F.log10(F.lit(max(known.discount * known.distinct / max(known.total, 1), 1e-300)))
     parts = [
-        counts.select("key", (root - least).alias("w"), F.log10((F.col("n") + UNSEEN) / UNSEEN).alias("base"), "n"),
+        counts.select("key", (root - float(np.log10(known.unknown))).alias("w"),
+                      F.log10((F.col("n") + UNSEEN) / UNSEEN).alias("base"), "n"),
         first.select(F.col("context").alias("key"), F.col("pooled").alias("w"), more, F.col("total").alias("n")),
         pairs.filter("pooled IS NOT NULL").select(
             "key", (F.log10(F.col("smooth") / F.col("q")) - F.col("pooled")).alias("w"), more, "n"),
@@ -473,17 +283,26 @@ def gram_weights(texts: DataFrame, counts: DataFrame, known: Words, seen: int) -
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)
-    return rows.groupBy("key").agg(F.sum("w").alias("w"), F.max("base").alias("base"), F.max("n").alias("n"))
+    weights = land(rows, "weights")
+    drop(first, pairs, triples, second)
+    return weights
 
 
 # --- scoring ---------------------------------------------------------------------------------
 
-_ROWS = "doc_id long, row long, n_tokens long, n_known long, base double, score double, open array<long>"
+_ROWS = 1 << 16           # looked up, in a batch
+_COLUMNS = ["doc_id", "hash", "key", "times", "own"]
+_OWN = "struct<tokens:long,known:long,base:double,score:double>"
+
 
+def _lookups(docs: DataFrame, weights: DataFrame, hot: int) -> DataFrame:
+    """``doc_id, hash, key, times, own`` of the grams of each text that are to be looked up.
 
-def _scored(docs: DataFrame, weights: DataFrame, hot: int) -> DataFrame:
-    """Per document the sums over its hottest grams, and the keys of those to look up in the table."""
-    top = weights.filter(F.col("n") >= _cut(weights, hot)).toPandas()
+    Besides them each document has one row with what its hottest grams add up to, ``own``; its key is
+    the document's hash, so that these rows are dealt out like the others.
+    """
+    top = weights.filter(F.col("n") >= _cut(weights, hot)).groupBy("key").agg(
+        F.sum("w").alias("w"), F.max("base").alias("base")).toPandas()
     keys = top["key"].to_numpy(np.int64).view(_U)
     order = np.argsort(keys)
     shared = share(docs.sparkSession, (_marks(weights.select("key")), keys[order],
@@ -493,15 +312,13 @@ def _scored(docs: DataFrame, weights: DataFrame, hot: int) -> DataFrame:
         marks, known, w, base = pickle.loads(shared.value)
         word = ~np.isnan(base)
         base = np.where(word, base, 0.0)
-        row_id = TaskContext.get().partitionId() << _TASK_BITS
         for batch in batches:
-            texts, sums, opened = [], [], []
-            for first, hashed in ((f, h) for _, h, f in words.word_hashes(batch.column(1))):
+            for at_row, hashed, first in words.word_hashes(batch.column(2)):
                 row, begin, _, two = _grams(first, hashed)
                 n = len(first) - 1
                 of = np.repeat(np.arange(n), np.diff(first) + 1)
                 three = np.flatnonzero(~begin)
-                total, keys, owner = np.zeros((3, n)), [], []
+                own, keys, owner = np.zeros((3, n)), [], []
                 for gram, text in ((row, of), (two, of), (_mixed(two[three - 1], two[three], _TURNS[1]), of[three])):
                     told = _marked(marks, gram)
                     gram, text = gram[told], text[told]
@@ -510,34 +327,36 @@ def _scored(docs: DataFrame, weights: DataFrame, hot: int) -> DataFrame:
                     hit = known[at] == gram if len(known) else np.zeros(len(gram), bool)
                     at = at[hit]
                     for k, value in enumerate((w, base, word)):
-                        total[k] += np.bincount(text[hit], weights=value[at], minlength=n)
+                        own[k] += np.bincount(text[hit], weights=value[at], minlength=n)
                     keys.append(gram[~hit])
                     owner.append(text[~hit])
                 owner, keys = np.concatenate(owner), np.concatenate(keys)
-                opened.append((np.bincount(owner, minlength=n), keys[np.argsort(owner, kind="stable")]))
-                texts.append(np.diff(first) + 1)
-                sums.append(total)
-            score, base_of, hits = np.concatenate([np.zeros((3, 0)), *sums], axis=1)
-            size = np.concatenate([np.zeros(0, np.int64), *texts])
-            cut = np.cumsum(np.concatenate([np.zeros(1, np.int64), *[o[0] for o in opened]])).astype(np.int32)
-            left = np.concatenate([np.zeros(0, _U), *[o[1] for o in opened]]).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(row_id + np.arange(len(size))), pa.array(size.astype(np.int64)),
-                 pa.array(hits.astype(np.int64)), pa.array(base_of), pa.array(score),
-                 pa.ListArray.from_arrays(pa.array(cut), pa.array(left))],
-                [c.split()[0] for c in _ROWS.split(", ")])
-            row_id += len(size)
-
-    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, _ROWS)
-
-
-def _root_of_rare(known: Words) -> Column:
-    """log10 chance at the root of a word that is not known by number, from its count ``n``."""
-    if not known.total:
-        return F.lit(float(np.log10(0.5)))
-    unknown = max(known.discount * known.distinct / known.total, 1e-300)
-    seen = F.log10(F.greatest(F.col("n") - known.discount, F.lit(0.05)) / known.total)
-    return F.when(F.col("n").isNull(), F.lit(float(np.log10(unknown)))).otherwise(seen)
+                order = np.lexsort((keys, owner))
+                owner, keys = owner[order], keys[order]
+                new = np.append(True, (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])) if len(keys) else order
+                cut = np.flatnonzero(new)
+                times = np.diff(np.append(cut, len(keys)))
+                here = batch.slice(at_row, n)
+                sums = pa.StructArray.from_arrays(
+                    [pa.array((np.diff(first) + 1).astype(np.int64)), pa.array(own[2].astype(np.int64)),
+                     pa.array(own[1]), pa.array(own[0])], ["tokens", "known", "base", "score"])
+                yield pa.RecordBatch.from_arrays(
+                    [here.column(0), here.column(1), here.column(1), pa.array(np.ones(n, np.int32)), sums], _COLUMNS)
+                for low in range(0, len(cut), _ROWS):
+                    part = cut[low:low + _ROWS]
+                    of_row = pa.array(owner[part])
+                    yield pa.RecordBatch.from_arrays(
+                        [here.column(0).take(of_row), here.column(1).take(of_row), pa.array(keys[part].view(np.int64)),
+                         pa.array(times[low:low + _ROWS].astype(np.int32)), pa.nulls(len(part), sums.type)], _COLUMNS)
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return map_texts(docs.select("doc_id", F.xxhash64("doc_id", "text").alias("hash"), "text"), run,
+                     f"doc_id {kind}, hash long, key long, times int, own {_OWN}")
+
+
+def _root(known: Totals) -> Column:
+    """log10 chance at the root of a symbol with the count ``n``."""
+    return F.log10(F.greatest(F.col("n") - known.discount, F.lit(0.05)) / max(known.tokens, 1))
 
 
 def score_texts(docs: DataFrame, learn_from: DataFrame, frequent: int = HOT, seen: int = SEEN) -> DataFrame:
@@ -548,29 +367,36 @@ def score_texts(docs: DataFrame, learn_from: DataFrame, frequent: int = HOT, see
     symbol.  A null text counts as empty: it is its end alone.  Rows that repeat are scored each,
     and learned from each.  Without training texts nothing is known and a token's chance is a half.
     The ``frequent`` hottest weights are known to every task, the others are joined; this changes
-    no score.  Only ``doc_id`` and ``text`` are read.
+    no score.  ``doc_id`` may have any type that can be grouped by and keeps it.  Only ``doc_id``
+    and ``text`` are read.
     """
     texts = learn_from.select("text")
-    counts = land(count_words(texts), "words")
     ends = texts.count()
-    known = known_words(counts, ends, 0)
-    if ends:
-        end = docs.sparkSession.createDataFrame([(int(END.view(np.int64)), ends)], counts.schema)
-        counts = land(counts.unionByName(end), "words")
-    weights = land(gram_weights(texts, counts, known, seen), "weights")
-    scored = land(_scored(docs, weights, frequent), "scored")
-    told = scored.filter(F.size("open") > 0).select("row", F.explode("open").alias("key")).join(weights, "key")
-    sums = told.groupBy("row").agg(F.sum("base").alias("more_base"), F.sum("w").alias("more_score"),
-                                   F.count("base").alias("more_known"))
-    found = scored.drop("open").join(dealt_anew(sums), "row", "left")
-    none = np.log10(UNSEEN / (known.total + UNSEEN * (known.distinct + 1)))
-    unknown = np.log10(max(known.discount * known.distinct / known.total, 1e-300) if known.total else 0.5)
-    more = lambda c: F.coalesce(c, F.lit(0.0))
-    return found.select(
-        "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(known.total).cast("long").alias("train_tokens"),
-        (F.col("n_tokens") * float(none) + F.col("base") + more("more_base")).alias("base_score"),
-        (F.col("n_tokens") * float(unknown) + F.col("score") + more("more_score")).alias("score"))
+    counts = land(count_words(texts), "words")
+    end = docs.sparkSession.createDataFrame([(_END, ends)] if ends else [], "key long, n long")
+    every = counts.unionByName(end)
+    known = totals(every)
+    weights = gram_weights(texts, every, known, seen)
+    drop(counts)
+    told = _lookups(docs, weights, frequent).join(weights.drop("n"), "key", "left")
+    own = F.col("own").isNotNull()
+    add = lambda name, c: F.sum(F.when(own, F.col(f"own.{name}")).otherwise(F.col("times") * c))
+    # rows with one id and one text have the same sums
+    sums = told.filter(own | F.col("w").isNotNull()).withColumn(
+        # a word may also be a context, and has two rows then: its base counts once
+        "_word", F.col("base").isNotNull().cast("long")).groupBy("doc_id", "hash").agg(
+        F.count_if(own).alias("copies"), F.sum("own.tokens").alias("n_tokens"),
+        add("known", F.col("_word")).alias("n_known"), add("base", F.col("base")).alias("base"),
+        add("score", F.col("w")).alias("score"))
+    each = lambda name: F.col(name) / F.col("copies")
+    none = float(np.log10(UNSEEN / (known.tokens + UNSEEN * (known.distinct + 1))))
+    tokens = each("n_tokens").cast("long")
+    found = sums.select(
+        "doc_id", "copies", tokens.alias("n_tokens"), each("n_known").cast("long").alias("n_known"),
+        F.lit(known.tokens).cast("long").alias("train_tokens"),
+        (tokens * none + each("base")).alias("base_score"),
+        (tokens * float(np.log10(known.unknown)) + each("score")).alias("score"))
+    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copies", "_copy")
 
 
 def op4_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
