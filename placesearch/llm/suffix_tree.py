@@ -35,6 +35,7 @@ UNSEEN = 0.1              # fixed value: added count of the unigram model
 _HELD = 4 << 20           # counted keys a task keeps before it sends them on
 _TURNS = (17, 29)         # bits that the suffix of a gram of two and three symbols is turned by
 _CELLS = 1 << 20          # of 64 marks each, at most: 8 MB
+_BLOCK = 1 << 14          # cells in one row of bytes
 _KEYS_IN_CELL = 6         # keys that a cell is made for
 _PLACES = (34, 41, 48, 55)      # where a key has the numbers of its marks
 _U = np.uint64
@@ -161,9 +162,20 @@ def _marks(keys: DataFrame) -> np.ndarray:
     for mark in marks[1:_marks_of(rows, size)]:
         bits = bits.bitwiseOR(mark)
     cells = keys.select(key.bitwiseAND(F.lit(size - 1)).alias("cell"), bits.alias("bits")).groupBy("cell").agg(
-        F.bit_or("bits").alias("bits")).toPandas()
+        F.bit_or("bits").alias("bits"))
+    block = min(size, _BLOCK)
+
+    def pack(rows: pa.Table) -> pa.Table:
+        cell = rows["cell"].to_numpy()
+        found = np.zeros(block, dtype=np.int64)
+        found[cell % block] = rows["bits"].to_numpy()
+        return pa.table({"at": [int(cell[0]) // block * block], "bits": [found.tobytes()]})
+
+    # the cells reach the driver as a few rows of bytes
+    packed = cells.groupBy(F.shiftright("cell", block.bit_length() - 1)).applyInArrow(pack, "at long, bits binary")
     found = np.zeros(size + 1, dtype=_U)
-    found[cells["cell"].to_numpy(np.int64)] = cells["bits"].to_numpy(np.int64).view(_U)
+    for row in packed.toLocalIterator():
+        found[row.at:row.at + block] = np.frombuffer(row.bits, dtype=_U)
     found[size] = _marks_of(rows, size)
     return found
 
@@ -302,11 +314,12 @@ def _lookups(docs: DataFrame, weights: DataFrame, hot: int) -> DataFrame:
     the document's hash, so that these rows are dealt out like the others.
     """
     top = weights.filter(F.col("n") >= _cut(weights, hot)).groupBy("key").agg(
-        F.sum("w").alias("w"), F.max("base").alias("base")).toPandas()
-    keys = top["key"].to_numpy(np.int64).view(_U)
+        F.sum("w").alias("w"), F.coalesce(F.max("base"), F.lit(float("nan"))).alias("base")).toArrow()
+    keys = top["key"].to_numpy().view(_U)
     order = np.argsort(keys)
     shared = share(docs.sparkSession, (_marks(weights.select("key")), keys[order],
-                                       top["w"].to_numpy(float)[order], top["base"].to_numpy(float)[order]))
+                                       top["w"].to_numpy()[order], top["base"].to_numpy()[order]))
+    del top, keys, order
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks, known, w, base = pickle.loads(shared.value)
