@@ -30,11 +30,11 @@ from placesearch.llm.landing import drop, fold, held_out, land, map_texts, share
 FOLDS = 10
 SEEN = 32                 # occurrences from which a context is considered
 WEIGHT = 8.0              # symbols that the suffix's distribution counts for
-HOT = 1 << 18             # weights known in every task, the most frequent ones: 6 MB
+HOT = 1 << 19             # weights known in every task, the most frequent ones: 12 MB
 UNSEEN = 0.1              # fixed value: added count of the unigram model
 _HELD = 4 << 20           # counted keys a task keeps before it sends them on
 _TURNS = (17, 29)         # bits that the suffix of a gram of two and three symbols is turned by
-_CELLS = 1 << 20          # of 64 marks each, at most: 8 MB
+_CELLS = 1 << 22          # of 64 marks each, at most: 32 MB
 _BLOCK = 1 << 14          # cells in one row of bytes
 _KEYS_IN_CELL = 6         # keys that a cell is made for
 _PLACES = (34, 41, 48, 55)      # where a key has the numbers of its marks
@@ -150,8 +150,8 @@ def _grams(first: np.ndarray, hashed: np.ndarray) -> tuple[np.ndarray, ...]:
 def _marks(keys: DataFrame) -> np.ndarray:
     """A Bloom filter of all ``key`` in cells of 64 marks: a key that is not marked is not in the table.
 
-    Each key has up to four marks in one cell.  The cells grow with the keys, up to 8 MB; with more
-    than about 6 million keys, more keys are looked up in vain, which changes no result.
+    Each key has up to four marks in one cell.  The cells grow with the keys, up to 32 MB; with more
+    than about 25 million keys, more keys are looked up in vain, which changes no result.
     """
     size, rows = 1 << 10, keys.count()
     while size < min(rows / _KEYS_IN_CELL, _CELLS):
