@@ -30,9 +30,10 @@ from placesearch.llm.landing import drop, fold, held_out, land, map_texts, share
 FOLDS = 10
 SEEN = 32                 # occurrences from which a context is considered
 WEIGHT = 8.0              # symbols that the suffix's distribution counts for
-HOT = 1 << 19             # weights known in every task, the most frequent ones: 12 MB
+HOT = 1 << 18             # weights known in every task, the most frequent ones: 6 MB
 UNSEEN = 0.1              # fixed value: added count of the unigram model
-_HELD = 4 << 20           # counted keys a task keeps before it sends them on
+_HELD = 1 << 20           # counted keys a task keeps before it sends them on
+_ROWS = 1 << 16           # of a batch that leaves a task's Python worker
 _TURNS = (17, 29)         # bits that the suffix of a gram of two and three symbols is turned by
 _CELLS = 1 << 22          # of 64 marks each, at most: 32 MB
 _BLOCK = 1 << 14          # cells in one row of bytes
@@ -81,6 +82,11 @@ class _Counter:
         return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
 
 
+def _parts(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for at in range(0, rows.num_rows, _ROWS):
+        yield rows.slice(at, _ROWS)
+
+
 def _texts(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Per run of texts: place of each text's first word, the different words' hashes, the number of
     each word among them, and how often they occur.
@@ -97,8 +103,8 @@ def count_words(texts: DataFrame) -> DataFrame:
             for _, different, _, times in _texts(batch.column(0)):
                 counter.add(different.view(np.int64), times)
                 if counter.held > _HELD:
-                    yield counter.take()
-        yield counter.take()
+                    yield from _parts(counter.take())
+        yield from _parts(counter.take())
 
     return map_texts(texts.select("text"), run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
@@ -225,10 +231,10 @@ def count_grams(texts: DataFrame, marks: np.ndarray, depth: int) -> DataFrame:
                                       return_index=True, return_counts=True)
                 held.append((context[at[one]], suffix[at[one]], n))
                 size += len(one)
-                if size > _HELD // 2:
-                    yield take(held)
+                if size > _HELD:
+                    yield from _parts(take(held))
                     held, size = [], 0
-        yield take(held)
+        yield from _parts(take(held))
 
     return (map_texts(texts.select("text"), run, "context long, suffix long, n long")
             .groupBy("context", "suffix").agg(F.sum("n").alias("n")).filter("n >= 2"))
@@ -302,7 +308,6 @@ def gram_weights(texts: DataFrame, counts: DataFrame, known: Totals, seen: int)
 
 # --- scoring ---------------------------------------------------------------------------------
 
-_ROWS = 1 << 16           # looked up, in a batch
 _COLUMNS = ["doc_id", "hash", "key", "times", "own"]
 _OWN = "struct<tokens:long,known:long,base:double,score:double>"
 
