@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable
 from weakref import WeakKeyDictionary
@@ -31,12 +32,18 @@ def land(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop(*tables: DataFrame) -> None:
-    """Delete landed tables that nothing reads any more.  Others, such as results, stay."""
+    """Delete landed tables that nothing reads any more.  Others, such as results, stay.
+
+    Spark deletes the shuffle files of finished jobs when the driver collects its garbage, which may
+    be late on a driver with little to do; so that is asked for here.
+    """
     for one in tables:
         folder = _FOLDERS.pop(one, None)
         if folder:
             path = one.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(one.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    gc.collect()
+    SparkSession.active()._jvm.System.gc()
 
 
 def map_texts(rows: DataFrame, function: Callable, schema: str) -> DataFrame:
