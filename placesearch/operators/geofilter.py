@@ -12,11 +12,12 @@ from placesearch.functions import geo
 from placesearch.operators.blocks import BLOCK_ROWS, compare_in_blocks
 from placesearch.operators.rows import explode_once
 from placesearch.operators.vectors import (
-    BROADCAST_NUMBERS, DEFAULT_K, _matrix, _nearest, _ranked, _rows_of, check_k, knn_batch,
+    DEFAULT_K, _first_places, _nearest_in_parts, _ranked, _rows_of, check_k, knn_batch,
 )
 from placesearch.session import cut_lineage
 
 MOST_CITIES = 100_000     # names in a trie that is broadcast: about 30 MB
+BROADCAST_NUMBERS = 16_000_000    # of documents that go to every task: 64 MB of floats
 
 
 def scope_gate(queries: DataFrame) -> DataFrame:
@@ -152,14 +153,6 @@ def _asked(queries: DataFrame, docs: DataFrame) -> DataFrame:
         F.coalesce("regions", none).alias("regions"), F.coalesce(cities, none).alias("cities")).alias("filter"))
 
 
-def allowed(states: np.ndarray, regions: np.ndarray, cities: np.ndarray, wanted: tuple) -> np.ndarray:
-    """Which documents a filter allows; one without any value allows all."""
-    if not any(wanted):
-        return np.ones(len(states), dtype=bool)
-    return (np.isin(states, list(wanted[0])) | np.isin(regions, list(wanted[1]))
-            | np.isin(cities, list(wanted[2])))
-
-
 def _place_columns(docs: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """States, regions and ``City|State``; a missing value is in no filter."""
     text = lambda c: docs[c].fillna("").to_numpy(dtype=str)
@@ -175,26 +168,44 @@ def _usable_vectors(vectors: pd.Series) -> np.ndarray:
 
 
 def _nearest_allowed(queries: pd.DataFrame, filters: list[tuple], docs: dict, k: int) -> Iterator[pd.DataFrame]:
-    """``docs``: per vector length the ids, the vectors and the place columns of a block."""
+    """``docs``: what ``_by_size`` gives of a block.
+
+    Queries meet the documents of each place their filters name, all queries of a place at once; a
+    document that stands under several places of a query counts once.
+    """
     sizes = _usable_vectors(queries["vector"])
-    groups: dict[tuple, list[int]] = {}
-    for row, key in enumerate(zip(sizes.tolist(), filters)):
-        groups.setdefault(key, []).append(row)
     ids, vectors = queries["query_id"].to_numpy(), queries["vector"].to_numpy()
-    for (size, wanted), rows in groups.items():
-        if size not in docs:
+    for size, (doc_ids, matrix, places) in docs.items():
+        rows = np.flatnonzero(sizes == size)
+        if not len(rows):
             continue
-        doc_ids, matrix, places = docs[size]
-        kept = np.flatnonzero(allowed(*places, wanted))
-        if len(kept):
-            yield _nearest(ids[rows], np.stack(vectors[rows]).astype(float), doc_ids[kept], matrix[kept], k)
+        own = np.stack(vectors[rows]).astype(float)
+        asking: dict[tuple | None, list[int]] = {}
+        for at, row in enumerate(rows.tolist()):
+            named = [(kind, value) for kind, values in enumerate(filters[row]) for value in dict.fromkeys(values)]
+            for place in named or [None]:
+                asking.setdefault(place, []).append(at)
+        parts = []
+        for place, at in asking.items():
+            kept = np.arange(len(doc_ids)) if place is None else places.get(place)
+            if kept is not None:
+                parts.append(_nearest_in_parts(own[at], matrix, kept, k))
+                parts[-1]["query_id"] = np.array(at)[parts[-1]["query_id"].to_numpy()]
+        if parts:
+            best = _first_places(pd.concat(parts, ignore_index=True), k)
+            yield pd.DataFrame({"query_id": ids[rows][best["query_id"].to_numpy()],
+                                "doc_id": doc_ids[best["doc_id"].to_numpy()], "distance": best["distance"].to_numpy()})
 
 
 def _by_size(docs: pd.DataFrame) -> dict:
+    """Per vector length the ids in order, the vectors as they come, and the rows of every place."""
     sizes, found = _usable_vectors(docs["embedding"]), {}
     for size in np.unique(sizes[sizes > 0]).tolist():
-        part = docs[sizes == size]
-        found[size] = (part["doc_id"].to_numpy(), _matrix(part["embedding"]), _place_columns(part))
+        part = docs[sizes == size].sort_values("doc_id", kind="stable")
+        places = {}
+        for kind, values in enumerate(_place_columns(part)):
+            places.update({(kind, value): rows for value, rows in pd.Series(values).groupby(values).indices.items() if value})
+        found[size] = (part["doc_id"].to_numpy(), np.stack(part["embedding"].to_numpy()), places)
     return found
 
 

@@ -15,6 +15,7 @@ DEFAULT_K = 4          # fixed values: results per query
 MAX_K = 10
 BROADCAST_NUMBERS = 2_000_000     # query vectors are broadcast up to 16 MB of doubles
 BLOCK_BYTES = 64 << 20            # of the vectors on one side of a task
+BLOCK_VECTORS = 131_072           # documents of a task, whose vectors are compared in parts
 _ROWS_AT_ONCE = 256
 _NUMBERS_AT_ONCE = 4_000_000
 _FOUND = "query_id long, doc_id long, distance double"
@@ -114,6 +115,27 @@ def _nearest(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vector
     return pd.DataFrame(dict(zip(("query_id", "doc_id", "distance"), columns)))
 
 
+def _first_places(found: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The ``k`` nearest of each query, a row that was found several times once."""
+    asked, doc, far = (found[c].to_numpy() for c in ("query_id", "doc_id", "distance"))
+    order = np.lexsort((doc, far, asked))
+    asked, doc = asked[order], doc[order]
+    new = np.concatenate([[True], (asked[1:] != asked[:-1]) | (doc[1:] != doc[:-1])])[:len(order)]
+    order, asked = order[new], asked[new]
+    first = np.flatnonzero(np.concatenate([[True], asked[1:] != asked[:-1]])[:len(order)])
+    place = np.arange(len(order)) - np.repeat(first, np.diff([*first, len(order)]))
+    return found.iloc[order[place < k]]
+
+
+def _nearest_in_parts(queries: np.ndarray, matrix: np.ndarray, rows: np.ndarray, k: int) -> pd.DataFrame:
+    """The ``k`` nearest of some rows of a large block: places of queries and of rows, and the distance."""
+    asked, kept = np.arange(len(queries)), None
+    for at in range(0, len(rows), BLOCK_ROWS):
+        part = rows[at:at + BLOCK_ROWS]
+        kept = _kept_best(kept, _nearest(asked, queries, part, matrix[part].astype(np.float64), k), k)
+    return pd.DataFrame({"query_id": asked[:0], "doc_id": rows[:0], "distance": []}) if kept is None else kept
+
+
 def _ranked(found: DataFrame, k: int) -> DataFrame:
     return merge_best(found, ["query_id"], [F.col("distance"), F.col("doc_id")], "doc_id", k)
 
@@ -161,17 +183,26 @@ def _merged(kept: pd.DataFrame | None, held: list[pd.DataFrame], ids: np.ndarray
 
 
 def _knn_blocks(docs: DataFrame, queries: DataFrame, keys: list[str], k: int,
-                block_rows: int) -> DataFrame:
+                block_rows: int, doc_rows: int | None = None) -> DataFrame:
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"query_id": [], "doc_id": [], "distance": []})
-        return _nearest(left["query_id"].to_numpy(), _matrix(left["vector"]), right["doc_id"].to_numpy(),
-                        _matrix(right["embedding"]), k)
+        right = right.sort_values("doc_id", kind="stable")
+        near = _nearest_in_parts(_matrix(left["vector"]), np.stack(right["embedding"].to_numpy()), np.arange(len(right)), k)
+        return _named(near, left, right)
+
+    return _best_once(compare_in_blocks(queries, docs, keys, "query_id", "doc_id", best, _FOUND, block_rows, doc_rows), k)
 
-    found = compare_in_blocks(queries, docs, keys, "query_id", "doc_id", best, _FOUND, block_rows)
-    # one document may be reached by several keys of the same query
-    once = found.groupBy("query_id", "doc_id").agg(F.min("distance").alias("distance"))
-    return _ranked(once, k)
+
+def _named(near: pd.DataFrame, queries: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
+    """Ids for places."""
+    return pd.DataFrame({"query_id": queries["query_id"].to_numpy()[near["query_id"].to_numpy()],
+                         "doc_id": docs["doc_id"].to_numpy()[near["doc_id"].to_numpy()], "distance": near["distance"].to_numpy()})
+
+
+def _best_once(found: DataFrame, k: int) -> DataFrame:
+    """The ``k`` nearest; one document may be reached by several keys of the same query."""
+    return _ranked(found.groupBy("query_id", "doc_id").agg(F.min("distance").alias("distance")), k)
 
 
 def _rows_of(dims: int, block_rows: int) -> int:
@@ -179,6 +210,11 @@ def _rows_of(dims: int, block_rows: int) -> int:
     return max(1, min(block_rows, BLOCK_BYTES // (8 * max(dims, 1))))
 
 
+def _doc_rows(dims: int, block_rows: int) -> int:
+    """Documents of a block: many, unless small blocks are asked for."""
+    return _rows_of(dims, BLOCK_VECTORS if block_rows >= BLOCK_ROWS else block_rows)
+
+
 def _together(parts: list[DataFrame], docs: DataFrame) -> DataFrame:
     if not parts:
         return docs.sparkSession.createDataFrame([], "query_id long, rank int, doc_id long, distance double")
@@ -204,7 +240,7 @@ def knn_batch(docs: DataFrame, queries: DataFrame, k: int = DEFAULT_K,
         if asked.count() * dims <= broadcast_numbers:
             parts.append(_knn_broadcast(seen, asked, k))
         else:
-            parts.append(_knn_blocks(seen, asked, [], k, _rows_of(dims, block_rows)))
+            parts.append(_knn_blocks(seen, asked, [], k, _rows_of(dims, block_rows), _doc_rows(dims, block_rows)))
     return _together(parts, docs)
 
 

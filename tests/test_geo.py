@@ -1,7 +1,10 @@
 """Places in query text."""
 
 import json
+import re
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,3 +143,23 @@ def test_documents_are_not_copied_per_clause(spark):
         found = gf.filtered_search(asked.unionByName(spark.createDataFrame([(3, "x", None), (4, None, [5.0])], asked.schema)), odd, 3, broadcast_numbers=numbers)
         assert sorted((r.query_id, r["rank"], r.doc_id) for r in found.collect()) == [
             (1, 1, 0), (1, 2, 2), (1, 3, 3), (2, 1, 2), (2, 2, 3), (2, 3, 0), (4, 1, 5), (4, 2, 4), (4, 3, 6)]
+
+
+def test_queries_meet_places_and_not_filters(spark, monkeypatch):
+    """Beside 32,000 documents nothing is moved, and a place is compared once for all queries that name it."""
+    calls, plain = [], gf._nearest_in_parts
+    monkeypatch.setattr(gf, "_nearest_in_parts", lambda q, m, rows, k: calls.append(len(q)) or plain(q, m, rows, k))
+    docs = pd.DataFrame({"doc_id": range(40), "embedding": [np.float32([i, 0]) for i in range(40)],
+                         "City": [f"T{i % 3}" for i in range(40)], "State": [["TX", "LA"][i % 2] for i in range(40)],
+                         "Region": ["Midwest"] * 40})
+    asked = pd.DataFrame({"query_id": range(30), "vector": [[float(i), 0.0] for i in range(30)]})
+    filters = [((["TX"], ["LA", "TX"], ["TX", "OH"])[i % 3], ["Midwest"][:i % 2], [f"T{i % 5}|TX"]) for i in range(30)]
+    found = pd.concat(gf._nearest_allowed(asked, filters, gf._by_size(docs), 3))
+    assert len(calls) == 6 and sum(calls) > 30
+    for i, (states, regions, cities) in enumerate(filters):
+        keep = [d for d in range(40) if docs.State[d] in states or docs.Region[d] in regions or f"{docs.City[d]}|{docs.State[d]}" in cities]
+        assert found[found.query_id == i].doc_id.tolist() == sorted(keep, key=lambda d: ((d - i) ** 2, d))[:3]
+    big = spark.range(32_000).select(F.col("id").alias("doc_id"), F.array_repeat(F.col("id").cast("float"), 64).alias("embedding"),
+                                     F.lit("T").alias("City"), F.lit("TX").alias("State"), F.lit("Midwest").alias("Region"))
+    one = spark.createDataFrame([(1, "texas", [5.0] * 64)], "query_id long, text string, vector array<float>")
+    assert "Exchange" not in gf.filtered_search(one, big, 2)._jdf.queryExecution().executedPlan().toString()
