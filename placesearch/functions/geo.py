@@ -14,15 +14,27 @@ from placesearch.functions.text import bind
 CITY = "struct<city:string,state:string>"
 
 
+def _either(phrases: list[str]) -> str:
+    """A pattern for any of the phrases, longer ones first; common beginnings are tried once."""
+    rests: dict[str, list[str]] = {}
+    for phrase in phrases:
+        if phrase:
+            rests.setdefault(phrase[0], []).append(phrase[1:])
+    parts = []
+    for letter, rest in sorted(rests.items()):
+        own = letter if letter in " -" else re.escape(letter)
+        parts.append(own + (_either(rest) if any(rest) else ""))
+    inner = parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+    return f"(?:{inner})?" if "" in phrases else inner
+
+
 def _mentions(text: Column, phrases) -> Column:
     """The phrases that stand in a text as whole words.
 
     The look-ahead tries every position, so phrases may overlap ("west virginia" also names
     "virginia").  Of two phrases that start alike the longer is reported.
     """
-    ordered = sorted(phrases, key=len, reverse=True)
-    either = "|".join(re.escape(p).replace(r"\ ", " ").replace(r"\-", "-") for p in ordered)
-    found = F.regexp_extract_all(F.lower(text), F.lit(rf"(?U)(?=\b({either})\b)"), F.lit(1))
+    found = F.regexp_extract_all(F.lower(text), F.lit(rf"(?U)(?=\b({_either(list(phrases))})\b)"), F.lit(1))
     return F.array_distinct(found)
 
 

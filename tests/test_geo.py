@@ -163,3 +163,12 @@ def test_queries_meet_places_and_not_filters(spark, monkeypatch):
                                      F.lit("T").alias("City"), F.lit("TX").alias("State"), F.lit("Midwest").alias("Region"))
     one = spark.createDataFrame([(1, "texas", [5.0] * 64)], "query_id long, text string, vector array<float>")
     assert "Exchange" not in gf.filtered_search(one, big, 2)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_common_beginnings_of_phrases_are_tried_once():
+    assert geo._either(["new york", "new jersey", "new", "ohio"]) == "(?:new(?: (?:jersey|york))?|ohio)"
+    for lexicon in map(list, (state_aliases(), REGION_ALIASES, BROAD_REGIONS)):
+        plain = "|".join(re.escape(p) for p in sorted(lexicon, key=len, reverse=True))
+        for phrase in lexicon:
+            text = f"x {phrase}, {phrase}s or a{phrase} {lexicon[0]}-{phrase} {phrase} {lexicon[-1]}"
+            assert re.findall(rf"(?=\b({geo._either(lexicon)})\b)", text) == re.findall(rf"(?=\b({plain})\b)", text)
