@@ -18,7 +18,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from placesearch.operators import vectors
-from placesearch.operators.blocks import BLOCK_ROWS
+from placesearch.operators.blocks import BLOCK_ROWS, compare_in_blocks
 
 SAMPLE_NUMBERS = 8_000_000    # of the sample that centres are trained on: 64 MB of doubles
 SAMPLE_PER_CELL = 64          # sampled vectors a cell, where the table has that many
@@ -159,8 +159,8 @@ def open_index(docs: DataFrame, folder: str) -> VectorIndex:
     return index
 
 
-def _probing(queries: DataFrame, centres: np.ndarray, numbers: np.ndarray, probes: int) -> DataFrame:
-    """Queries with the cells they read: ``query_id, vector, cell``."""
+def _probed(queries: DataFrame, centres: np.ndarray, numbers: np.ndarray, probes: int) -> DataFrame:
+    """Queries with the cells they read: ``query_id, vector, cells``."""
     shared = queries.sparkSession.sparkContext.broadcast((centres, numbers))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -168,13 +168,47 @@ def _probing(queries: DataFrame, centres: np.ndarray, numbers: np.ndarray, probe
         for batch in batches:
             if len(batch):
                 near = _nearest_cells(vectors._matrix(batch["vector"]), centres, min(probes, len(centres)))
-                batch["cell"] = list(numbers[near])
+                batch["cells"] = list(numbers[near])
                 yield batch
 
-    ids = queries.schema["query_id"].dataType.simpleString()
-    found = queries.select("query_id", "vector").mapInPandas(
-        run, f"query_id {ids}, vector array<double>, cell array<int>")
-    return found.withColumn("cell", F.explode("cell"))
+    kinds = [queries.schema[c].dataType.simpleString() for c in ("query_id", "vector")]
+    return queries.select("query_id", "vector").mapInPandas(
+        run, f"query_id {kinds[0]}, vector {kinds[1]}, cells array<int>")
+
+
+def _probing(queries: DataFrame, centres: np.ndarray, numbers: np.ndarray, probes: int) -> DataFrame:
+    """``query_id, vector, cell``: a row for every cell a query reads."""
+    return _probed(queries, centres, numbers, probes).select("query_id", "vector", F.explode("cells").alias("cell"))
+
+
+def _nearest_in_cells(queries: pd.DataFrame, docs: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The ``k`` nearest of a block of documents to each query, among those in the cells it reads."""
+    if queries.empty or docs.empty:
+        return pd.DataFrame({"query_id": [], "doc_id": [], "distance": []})
+    docs = docs.sort_values("doc_id", kind="stable")
+    asked, matrix = vectors._matrix(queries["vector"]), np.stack(docs["embedding"].to_numpy())
+    cells = queries["cells"].to_numpy()
+    asking = pd.Series(np.repeat(np.arange(len(cells)), [len(c) for c in cells])).groupby(np.concatenate(cells)).indices
+    reading = np.repeat(np.arange(len(cells)), [len(c) for c in cells])
+    parts = [pd.DataFrame({"query_id": [], "doc_id": [], "distance": []}).astype({"query_id": int, "doc_id": int})]
+    for cell, rows in docs.groupby("cell").indices.items():
+        if cell in asking:
+            at = reading[asking[cell]]
+            near = vectors._nearest_in_parts(asked[at], matrix, rows, k)
+            near["query_id"] = at[near["query_id"].to_numpy()]
+            parts.append(near)
+    return vectors._named(vectors._first_places(pd.concat(parts, ignore_index=True), k), queries, docs)
+
+
+def _search_parts(rows: DataFrame, probed: DataFrame, cells: int, k: int, block_rows: int, doc_rows: int) -> DataFrame:
+    """Cells are put together to parts of about ``doc_rows`` rows; a query goes once to a part, whatever it reads there."""
+    count = max(1, -(-rows.count() // doc_rows))
+    part = lambda cell: F.floor(cell * F.lit(min(count, cells)) / F.lit(cells)).cast("int")
+    asked = probed.withColumn("part", F.explode(F.array_distinct(F.transform("cells", part)))).withColumn(
+        "cells", F.filter("cells", lambda c: part(c) == F.col("part")))
+    found = compare_in_blocks(asked, rows.withColumn("part", part(F.col("cell"))), ["part"], "query_id", "doc_id",
+                              lambda left, right: _nearest_in_cells(left, right, k), vectors._FOUND, block_rows, doc_rows)
+    return vectors._best_once(found, k)
 
 
 def cells_read(index: VectorIndex, probing: DataFrame, dims: int) -> DataFrame:
@@ -195,13 +229,12 @@ def search(index: VectorIndex, queries: DataFrame, k: int = vectors.DEFAULT_K, w
         if dims not in by_dims:
             continue
         own = by_dims[dims]
-        probing = _probing(asked.withColumn("vector", F.col("vector").cast("array<double>")),
-                           np.array([r.centre for r in own]), np.array([r.cell for r in own], dtype=np.int32),
-                           probes or own[0].probes)
-        rows = cells_read(index, probing, dims)
+        probed = _probed(asked, np.array([r.centre for r in own]), np.array([r.cell for r in own], dtype=np.int32),
+                         probes or own[0].probes)
+        rows = cells_read(index, probed.select(F.explode("cells").alias("cell")), dims)
         rows = rows if where is None else rows.filter(where)
-        parts.append(vectors._knn_blocks(rows.select("doc_id", "embedding", "cell"), probing, ["cell"], k,
-                                         vectors._rows_of(dims, block_rows)))
+        parts.append(_search_parts(rows.select("doc_id", "embedding", "cell"), probed, len(own), k,
+                                   vectors._rows_of(dims, block_rows), vectors._doc_rows(dims, block_rows)))
     return vectors._together(parts, index.rows)
 
 

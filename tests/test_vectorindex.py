@@ -87,3 +87,17 @@ def test_odd_vectors_and_empty_tables(spark, stored, tmp_path):
     assert sorted(found) == [(-2, 9005), (0, 0)]
     ix.build(docs.limit(0), f"{tmp_path}/none")
     assert ix.search(ix.load(spark, f"{tmp_path}/none"), queries).count() == 0
+
+
+def test_a_query_goes_once_to_many_cells(spark, stored):
+    docs, folder = stored
+    index, queries = ix.load(spark, folder), asked(docs, 300)
+    centres = index.centres.orderBy("cell").collect()
+    probed = ix._probed(queries, np.array([c.centre for c in centres]), np.array([c.cell for c in centres], np.int32), len(centres))
+    rows = lambda df: sorted((r.query_id, r["rank"], r.doc_id) for r in df.collect())
+    cells = index.rows.select("doc_id", "embedding", "cell")
+    for doc_rows in (100, 10_000):
+        assert rows(ix._search_parts(cells, probed, len(centres), 5, 4, doc_rows)) == rows(v.knn_batch(docs, queries, 5))
+    plan = ix._search_parts(cells, probed, len(centres), 5, 8192, 10_000)
+    lefts = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_distinct" in lefts and probed.schema["vector"].dataType.elementType.simpleString() == "float"
