@@ -229,3 +229,18 @@ def test_blocks_are_skipped_and_the_best_stays_exact(spark):
     bounds = similar.block_bounds(named, blocks).withColumn("_r", F.lit(2))
     first = spark.createDataFrame([("TX", n, s[0]) for n, s in got.items()], "State string, left_key string, score double")
     assert similar.open_blocks(bounds, first).count() < bounds.count() / 3
+
+
+def test_parts_of_the_exact_pass_hold_its_rows(spark):
+    guide = spark.createDataFrame([(1, " JOE ", "TX"), (2, "joe", None), (3, "ann", "TX"), (4, None, None), (4, "joe", "TX"),
+                                   (5, "bo", "LA"), (6, "bo", "TX")], GUIDE)
+    right = sheet(spark, [(10, "Joe", "TX", "y"), (10, "joe ", "TX", "y"), (12, "Joe", None, "y"), (None, "Joe", "TX", "y"),
+                          (None, "Bo", "LA", "y"), (13, "zed", "TX", "y"), (14, None, None, "y")])
+    rows = lambda df: sorted(map(str, df.collect()))
+    whole, parts = ln.exact_link(guide, right), ln.exact_parts(guide, right)
+    assert parts.linked.columns == whole.columns and rows(parts.linked) == rows(whole)
+    assert rows(parts.open) == rows(ln.unmatched_rows(whole))
+    assert sorted(r.ID for r in parts.used.collect()) == [10, 12]
+    done = ln.link(guide, right)
+    assert rows(ln.unused_directory(right, done.used)) == rows(ln.unused_directory(right, done.final))
+    assert rows(ln.unmatched_rows(done.patched)) == rows(ln.unmatched_rows(done.final))
