@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from placesearch.operators.rows import explode_once
+
 SEARCH_COLUMNS = ("id", "search_id", "query", "timestamp", "user_id", "langsmith_run_id",
                   "filter_applied", "num_results", "search_type", "feedback_success",
                   "feedback_reason", "created_at")
@@ -46,7 +48,7 @@ def score_rows(searches: DataFrame) -> DataFrame:
 
     A result carries the document's metadata under the directory's own column names.
     """
-    hits = searches.select("search_id", "timestamp", F.posexplode("results").alias("pos", "r"))
+    hits = explode_once(searches, ["search_id", "timestamp"], F.col("results"), "r")
     r = F.col("r")
     return hits.select(
         derived_id("search_id", "pos").alias("id"), "search_id",

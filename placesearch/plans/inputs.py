@@ -134,27 +134,32 @@ places AS (
 
 # --- directory: suppliers as geocoded places ---------------------------------------------------
 
-def directory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The geocoded directory in the layout of the linked records."""
-    key = F.col("s_suppkey")
-    return table(spark, sf_dir, "supplier").select(
-        key.alias("ID"), F.col("s_name").alias("Restaurant"),
+def place_columns(key: Column, name: Column, nation: Column, balance: Column) -> list[Column]:
+    """The columns of the directory, from those of a supplier."""
+    return [
+        key.alias("ID"), name.alias("Restaurant"),
         F.concat(F.lit("www.place"), key, F.lit(".com")).alias("URL"),
         F.concat((key + 1).cast("string"), F.lit(" Main St.")).alias("Address"),
         F.concat(F.when(key % 4 == 0, "Port ").otherwise(""), F.lit("Town"),
                  (key % 40).cast("string")).alias("City"),
-        pick(STATES, F.col("s_nationkey")).alias("State"),
-        pick(REGIONS, F.col("s_nationkey") % 8).alias("Region"),
+        pick(STATES, nation).alias("State"),
+        pick(REGIONS, nation % 8).alias("Region"),
         F.when(key % 3 != 0, F.lit("555-010-0000")).alias("phone"),
         F.lit("LD").alias("hours"),
         F.when(key % 3 == 1, "n").when(key % 3 == 2, "y").alias("Crossout"),
         F.when(key % 5 == 0, "y").when(key % 5 == 1, "n").alias("Honor Roll"),
         F.when(key % 4 == 0, "y").when(key % 4 == 1, "n").alias("Recommend"),
-        (F.col("s_acctbal") / 64).alias("long"), (F.col("s_acctbal") / 128).alias("lat"),
+        (balance / 64).alias("long"), (balance / 128).alias("lat"),
         F.substring(F.md5(key.cast("string")), 1, 6).alias("geohash"),
         F.when(key % 6 != 0, F.concat(F.lit("dish no. "), key)).alias("sig_item"),
         F.concat(F.lit("Known for plate "), key, F.lit(".\nOpen since "), key + 1000)
-        .alias("content"))
+        .alias("content")]
+
+
+def directory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The geocoded directory in the layout of the linked records."""
+    return table(spark, sf_dir, "supplier").select(
+        *place_columns(*map(F.col, ("s_suppkey", "s_name", "s_nationkey", "s_acctbal"))))
 
 
 SQL_DIRECTORY = f"""
@@ -190,14 +195,20 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 3 == 0, '{"State":{"$in":["TX"]}}').alias("filter_applied"),
         (key % 2 == 0).alias("article"), "event_type", "value",
         (F.get_json_object("props", "$.k").cast("int") % 10 + 1).alias("found"))
-    places = directory(spark, sf_dir)
+    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
     hits = events.select(
         "event_id", "value", F.explode(F.sequence(F.lit(1), found)).alias("rank")).withColumn(
-        "ID", (key * 7 + F.col("rank") * 13) % places.count())
-    results = (hits.join(places, "ID").groupBy("event_id").agg(F.array_sort(F.collect_list(
-        F.struct("rank", *places.columns,
-                 (F.abs("value") + F.col("rank") / 64).alias("similarity_score"))))
-        .alias("results")))
+        "s_suppkey", (key * 7 + F.col("rank") * 13) % suppliers.count())
+
+    def result(hit: Column) -> Column:
+        place = place_columns(*(hit[c] for c in suppliers.columns))
+        return F.struct(hit["rank"].alias("rank"), *place,
+                        (F.abs(hit["value"]) + hit["rank"] / 64).alias("similarity_score"))
+
+    # hits move with the four columns a place is made of; the places are made where the lists are
+    results = (hits.join(suppliers, "s_suppkey").groupBy("event_id").agg(F.array_sort(F.collect_list(
+        F.struct("rank", *suppliers.columns, "value"))).alias("hits"))
+        .select("event_id", F.transform("hits", result).alias("results")))
     return events.drop("value", "found").join(results, "event_id").withColumn("request_id", key)
 
 
