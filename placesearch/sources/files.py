@@ -119,9 +119,9 @@ def stored_log(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _write_log(searches: DataFrame, scores: DataFrame, folder: str, version: str) -> None:
-    """Hits and searches, which have ``day``, under one version."""
+    """Hits and searches, which have ``day``, under one version; most of a row are ids in hex, which zstd halves."""
     for table, rows in zip(reversed(LOG_TABLES), (scores, searches)):
-        rows.write.partitionBy("day").parquet(f"{folder}/{table}/version={version}")
+        rows.write.option("compression", "zstd").partitionBy("day").parquet(f"{folder}/{table}/version={version}")
 
 
 def append_search_log(searches: DataFrame, scores: DataFrame, folder: str, batch: str) -> None:
