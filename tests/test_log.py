@@ -329,3 +329,18 @@ def test_three_batches_equal_the_batch_rollup(spark, folder):
     kept = {n for d, n in names[1] if d.day == 20}
     assert kept <= {n for _, n in names[2]}          # the third batch has nothing of day 20
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", "").find("RocksDB") < 0
+
+
+def test_hits_of_requests_move_without_the_places(spark, tmp_path):
+    from placesearch.plans import inputs
+    spark.sql("SELECT id AS event_id, timestamp'2024-01-01' AS ts, id AS user_id, 'view' AS event_type, 1.5D AS value, "
+              "'{\"k\": 2}' AS props FROM range(3)").write.parquet(f"{tmp_path}/events.parquet")
+    spark.sql("SELECT id AS s_suppkey, 'S' || id AS s_name, id AS s_nationkey, 64D * id AS s_acctbal FROM range(5)").write.parquet(
+        f"{tmp_path}/supplier.parquet")
+    made = inputs.requests(spark, str(tmp_path))
+    moved = [x for x in made._jdf.queryExecution().optimizedPlan().toString().splitlines() if "collect_list" in x]
+    assert moved and not any("content" in x for x in moved)
+    row = made.filter("event_id = 1").first()
+    assert [(r["rank"], r.ID, r.Restaurant, r.similarity_score) for r in row.results] == [
+        (i, (7 + 13 * i) % 5, f"S{(7 + 13 * i) % 5}", 1.5 + i / 64) for i in (1, 2, 3)]
+    assert row.results[0].content == "Known for plate 0.\nOpen since 1000" and row.results[0].long == 0.0
