@@ -16,6 +16,7 @@ from placesearch.operators.vectors import (
 )
 from placesearch.session import cut_lineage
 
+TASK_TEXTS = 50_000       # queries of a task that looks for places
 MOST_CITIES = 100_000     # names in a trie that is broadcast: about 30 MB
 BROADCAST_NUMBERS = 16_000_000    # of documents that go to every task: 64 MB of floats
 
@@ -119,7 +120,10 @@ def _with_filters(queries: DataFrame, directory: DataFrame) -> DataFrame:
 
 def query_filters(queries: DataFrame, directory: DataFrame) -> DataFrame:
     """Each query with everything its text names and the combined filter as JSON."""
-    found = _with_filters(queries.select("query_id", "text"), directory).drop("text")
+    texts = queries.select("query_id", "text")
+    # joins give tasks by bytes, which are few beside the work on a text
+    texts = texts.repartition(max(texts.sparkSession.sparkContext.defaultParallelism, -(-texts.count() // TASK_TEXTS)))
+    found = _with_filters(texts, directory).drop("text")
     conditions = geo.dedupe_conditions(F.array_compact(F.array(
         geo.in_condition("State", F.col("states")), geo.in_condition("Region", F.col("regions")),
         geo.in_condition("State", F.col("broad")), geo.city_condition(F.col("cities")))))

@@ -172,3 +172,11 @@ def test_common_beginnings_of_phrases_are_tried_once():
         for phrase in lexicon:
             text = f"x {phrase}, {phrase}s or a{phrase} {lexicon[0]}-{phrase} {phrase} {lexicon[-1]}"
             assert re.findall(rf"(?=\b({geo._either(lexicon)})\b)", text) == re.findall(rf"(?=\b({plain})\b)", text)
+
+
+def test_tasks_of_texts_grow_with_the_texts(spark, monkeypatch):
+    cities = spark.createDataFrame([("T1", "TX")], "City string, State string")
+    asked = spark.range(200).coalesce(1).select(F.col("id").alias("query_id"), F.lit("texas t1").alias("text"))
+    monkeypatch.setattr(gf, "TASK_TEXTS", 5)
+    found = gf.query_filters(asked, cities)
+    assert found.rdd.getNumPartitions() == 40 and found.count() == 200
