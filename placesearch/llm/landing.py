@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from weakref import WeakKeyDictionary
 
+import pyarrow as pa
 from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -46,15 +48,31 @@ def drop(*tables: DataFrame) -> None:
     SparkSession.active()._jvm.System.gc()
 
 
+def give_back() -> None:
+    """Return freed memory of this process to the system; elsewhere than on glibc, Arrow's alone."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def map_texts(rows: DataFrame, function: Callable, schema: str) -> DataFrame:
     """``mapInArrow`` in batches of at most ``TEXTS`` rows: texts are wide, and a Python worker's
-    memory follows the bytes of a batch.
+    memory follows the bytes of a batch.  What a task has freed goes back to the system at its end,
+    as its worker waits for later stages beside an executor that may need it.
     """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            give_back()
+
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     spark = rows.sparkSession
     if int(spark.conf.get(name)) > TEXTS:
         spark.conf.set(name, str(TEXTS))
-    return rows.mapInArrow(function, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def share(spark: SparkSession, value: object) -> Broadcast:
