@@ -14,6 +14,7 @@ from placesearch.session import spread
 STATES = tuple(BOOK_STATES)[:25]            # one per nation key
 REGIONS = ("Deep South", "Great Plains", "Mid-Atlantic", "Mid-South", "Midwest", "New England",
            "Southwest", "West Coast")
+EVERYWHERE = 500_000                        # suppliers that every task may have, at most: about 40 MB
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -196,18 +197,24 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         (key % 2 == 0).alias("article"), "event_type", "value",
         (F.get_json_object("props", "$.k").cast("int") % 10 + 1).alias("found"))
     suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
+    count = suppliers.count()
+    place_key = lambda rank: (key * 7 + rank * 13) % count
     hits = events.select(
         "event_id", "value", F.explode(F.sequence(F.lit(1), found)).alias("rank")).withColumn(
-        "s_suppkey", (key * 7 + F.col("rank") * 13) % suppliers.count())
+        "s_suppkey", place_key(F.col("rank")))
+    if count <= EVERYWHERE:
+        suppliers = F.broadcast(suppliers)
 
     def result(hit: Column) -> Column:
-        place = place_columns(*(hit[c] for c in suppliers.columns))
+        place = place_columns(place_key(hit["rank"]).cast(suppliers.schema["s_suppkey"].dataType),
+                              hit["s_name"], hit["s_nationkey"], hit["s_acctbal"])
         return F.struct(hit["rank"].alias("rank"), *place,
                         (F.abs(hit["value"]) + hit["rank"] / 64).alias("similarity_score"))
 
-    # hits move with the four columns a place is made of; the places are made where the lists are
+    # hits move with what their place is made of and their search does not tell, and once, as one list per
+    # search, while the suppliers fit in every task; the places are made where the lists are
     results = (hits.join(suppliers, "s_suppkey").groupBy("event_id").agg(F.array_sort(F.collect_list(
-        F.struct("rank", *suppliers.columns, "value"))).alias("hits"))
+        F.struct("rank", "s_name", "s_nationkey", "s_acctbal", "value"))).alias("hits"))
         .select("event_id", F.transform("hits", result).alias("results")))
     return events.drop("value", "found").join(results, "event_id").withColumn("request_id", key)
 
