@@ -30,7 +30,7 @@ from placesearch.llm.landing import drop, fold, held_out, land, map_texts, share
 FOLDS = 10
 SEEN = 32                 # occurrences from which a context is considered
 WEIGHT = 8.0              # symbols that the suffix's distribution counts for
-HOT = 1 << 18             # weights known in every task, the most frequent ones: 6 MB
+HOT = 1 << 21             # weights known in every task, the most frequent ones: 48 MB
 UNSEEN = 0.1              # fixed value: added count of the unigram model
 _HELD = 1 << 20           # counted keys a task keeps before it sends them on
 _ROWS = 1 << 16           # of a batch that leaves a task's Python worker
@@ -312,6 +312,28 @@ _COLUMNS = ["doc_id", "hash", "key", "times", "own"]
 _OWN = "struct<tokens:long,known:long,base:double,score:double>"
 
 
+def _starts(keys: np.ndarray) -> np.ndarray:
+    """Of the sorted ``keys``, the first one from each value of their upper bits on: one key each on average."""
+    bits = max(1, (len(keys) - 1).bit_length())
+    upper = keys >> _U(64 - bits)
+    return np.searchsorted(upper, np.arange(1 << bits, dtype=_U)).astype(np.int32)
+
+
+def _find(known: np.ndarray, starts: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each key among the sorted ``known``, and whether it is there."""
+    if not len(known):
+        return np.zeros(len(keys), dtype=np.int32), np.zeros(len(keys), dtype=bool)
+    at = starts[keys >> _U(64 - (len(starts) - 1).bit_length())]
+    last = len(known) - 1
+    np.minimum(at, last, out=at)
+    left = np.flatnonzero(known[at] < keys)
+    while len(left):
+        left = left[at[left] < last]
+        at[left] += 1
+        left = left[known[at[left]] < keys[left]]
+    return at, known[at] == keys
+
+
 def _lookups(docs: DataFrame, weights: DataFrame, hot: int) -> DataFrame:
     """``doc_id, hash, key, times, own`` of the grams of each text that are to be looked up.
 
@@ -320,16 +342,21 @@ def _lookups(docs: DataFrame, weights: DataFrame, hot: int) -> DataFrame:
     """
     top = weights.filter(F.col("n") >= _cut(weights, hot)).groupBy("key").agg(
         F.sum("w").alias("w"), F.coalesce(F.max("base"), F.lit(float("nan"))).alias("base")).toArrow()
-    keys = top["key"].to_numpy().view(_U)
+    keys, w, base = top["key"].to_numpy().view(_U), top["w"].to_numpy(), top["base"].to_numpy()
+    del top
     order = np.argsort(keys)
-    shared = share(docs.sparkSession, (_marks(weights.select("key")), keys[order],
-                                       top["w"].to_numpy()[order], top["base"].to_numpy()[order]))
-    del top, keys, order
+    keys, w, base = keys[order], w[order], base[order]
+    # the same few bases occur again and again; the last one, not a number, is that of what is no word
+    bases, of_base = np.unique(np.append(base, np.nan), return_inverse=True)
+    # plain arrays: a task has them once, and not their bytes as well
+    shared = docs.sparkSession.sparkContext.broadcast(
+        (_marks(weights.select("key")), keys, _starts(keys), w, bases, of_base[:-1].astype(np.int32)))
+    del keys, w, base, order, of_base
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks, known, w, base = pickle.loads(shared.value)
-        word = ~np.isnan(base)
-        base = np.where(word, base, 0.0)
+        marks, known, starts, w, bases, of_base = shared.value
+        word = ~np.isnan(bases)
+        bases = np.where(word, bases, 0.0)
         for batch in batches:
             for at_row, hashed, first in words.word_hashes(batch.column(2)):
                 row, begin, _, two = _grams(first, hashed)
@@ -340,12 +367,12 @@ def _lookups(docs: DataFrame, weights: DataFrame, hot: int) -> DataFrame:
                 for gram, text in ((row, of), (two, of), (_mixed(two[three - 1], two[three], _TURNS[1]), of[three])):
                     told = _marked(marks, gram)
                     gram, text = gram[told], text[told]
-                    at = np.searchsorted(known, gram)
-                    at[at == len(known)] = 0
-                    hit = known[at] == gram if len(known) else np.zeros(len(gram), bool)
-                    at = at[hit]
-                    for k, value in enumerate((w, base, word)):
-                        own[k] += np.bincount(text[hit], weights=value[at], minlength=n)
+                    at, hit = _find(known, starts, gram)
+                    at, of_hit = at[hit], text[hit]
+                    own[0] += np.bincount(of_hit, weights=w[at], minlength=n)
+                    at = of_base[at]
+                    for k, value in ((1, bases), (2, word)):
+                        own[k] += np.bincount(of_hit, weights=value[at], minlength=n)
                     keys.append(gram[~hit])
                     owner.append(text[~hit])
                 owner, keys = np.concatenate(owner), np.concatenate(keys)

@@ -4,6 +4,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,3 +143,14 @@ def test_odd_rows(spark):
     assert {r.train_tokens for r in got} == {4}
     assert S.score_texts(df.limit(0), learn).count() == 0
     assert all(r.score < 0 for r in S.score_texts(df, learn.limit(0)).collect())
+
+
+def test_keys_are_found_by_their_upper_bits():
+    draw = np.random.default_rng(4)
+    for size in (0, 1, 2, 3, 1000, 4097):
+        known = np.unique(draw.integers(0, 1 << 64, size, dtype=np.uint64))
+        if size > 3:
+            known[-1] = (1 << 64) - 1
+        keys = np.concatenate([known, draw.integers(0, 1 << 64, 500, dtype=np.uint64), np.array([0, (1 << 64) - 1], np.uint64)])
+        at, hit = S._find(known, S._starts(known), keys)
+        assert hit.tolist() == np.isin(keys, known).tolist() and (known[at[hit]] == keys[hit]).all()
