@@ -2,8 +2,9 @@
 
 Word windows over runs of lines are compared with the notices.  A sparse logistic regression over word n-grams tells the
 licence family, or that there is none.  It is trained on the notices below, on parts and variants of
-them, and on paragraphs of the corpus as the unknown class; its probabilities are calibrated on
-paragraphs it was not trained on, so that of unknown ones no more than a stated share passes.  What
+them, and on all paragraphs of the corpus as the unknown class, of which those with equal terms are one
+weighted row; its probabilities are calibrated on all of them, each judged by a model that was not
+trained on it, so that of unknown ones no more than a stated share passes.  What
 passes and repeats most of a notice, whatever stands around it, has the family of that notice.
 
 Everything is DataFrame work; texts are not shuffled.
@@ -12,13 +13,14 @@ Everything is DataFrame work; texts are not shuffled.
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from placesearch.llm.landing import land, table, text_of
+from placesearch.llm.landing import drop, land, table, text_of
 
 # Families and usual notices.
 NOTICES = (
@@ -63,8 +65,9 @@ UNKNOWN = "unknown"
 TERMS = ("license", "licensed", "licenses", "licensor", "licensee", "sublicense", "licence", "licensing", "copyright",
          "copyrighted", "copyleft", "spdx", "gnu", "warranty", "warranties", "merchantability", "noninfringement",
          "redistribute", "redistribution", "redistributions", "permission", "permissions", "unencumbered")
-FEATURES = 1 << 12        # hashed n-grams
-SAMPLE = 10_000           # unknown paragraphs trained on, in expectation, and as many to calibrate
+WEIGHT = 10_000.0         # of all unknown paragraphs together, at most
+UNLIKE = 0.3              # similarity to a notice below which a paragraph may be an unknown one
+STEPS = 10_000            # of the calibrated bound
 PASSING = 0.001           # share of unknown paragraphs that may pass the classifier
 SIMILAR = 0.6             # share of a notice's word pairs that a stretch must repeat
 COPIES = 20               # weight of a notice against an unknown paragraph
@@ -124,14 +127,24 @@ def _label(column: str) -> Column:
     return F.array_position(F.lit(_families()), F.col(column)).cast("double") - 1
 
 
-def _vectors(rows: DataFrame) -> DataFrame:
-    terms = rows.withColumn("_terms", _terms("words"))
-    return HashingTF(inputCol="_terms", outputCol="features", numFeatures=FEATURES, binary=True).transform(
-        terms).drop("_terms")
+def _vocabulary() -> list[str]:
+    """Words and pairs of the fixed notices: the terms that tell one family from another."""
+    told = [re.findall(r"[^\W_]+", notice.lower()) for _, notice in NOTICES]
+    return sorted({t for words in told for t in words}
+                  | {f"{a} {b}" for words in told for a, b in zip(["^", *words], [*words, "$"])})
+
 
+def _known(terms: Column) -> Column:
+    """The different ones of ``terms`` that occur in a notice."""
+    among = _vocabulary()
+    return F.array_sort(F.array_distinct(F.filter(terms, lambda t: t.isin(among))))
 
-def _draw(seed: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), "line"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+
+def _vectors(rows: DataFrame) -> DataFrame:
+    """Adds ``features`` of ``terms``, or of the terms of ``words``."""
+    rows = rows.withColumn("_terms", F.col("terms") if "terms" in rows.columns else _known(_terms("words")))
+    return CountVectorizerModel.from_vocabulary(_vocabulary(), inputCol="_terms", outputCol="features").setBinary(
+        True).transform(rows).drop("_terms")
 
 
 def similarity(words: str, notices: DataFrame) -> Column:
@@ -148,32 +161,61 @@ def similarity(words: str, notices: DataFrame) -> Column:
 
 def _unlike(lines: DataFrame) -> DataFrame:
     """The lines that are no licence text: unlike every notice, and without its usual words."""
-    return (lines.filter(~F.arrays_overlap("words", F.lit(list(TERMS))))
-            .withColumn("_near", similarity("words", _notices(lines.sparkSession)))
-            .filter(F.col("_near.similarity") < 0.3).drop("_near"))
+    notices = _notices(lines.sparkSession)
+    found = [r.pairs for r in notices.collect()]       # the fixed notices
+    every, least = sorted({p for pairs in found for p in pairs}), min(math.ceil(UNLIKE * len(p)) for p in found)
+    # a line with fewer pairs of any notice is unlike all of them
+    hits = F.size(F.array_distinct(F.filter(_pairs(F.col("words")), lambda p: p.isin(every))))
+    near = F.when(hits >= least, similarity("words", notices)["similarity"]).otherwise(0.0)
+    return lines.filter(~F.exists("words", lambda w: w.isin(list(TERMS)))).filter(near < UNLIKE)
+
+
+def unknown_terms(docs: DataFrame) -> DataFrame:
+    """``terms, n0, n1`` of all paragraphs that are no licence text, those with equal terms summed.
+
+    Each paragraph counts in one of two folds, by a hash of its words.
+    """
+    fold = F.pmod(F.xxhash64("words"), F.lit(2))
+    return (_unlike(paragraphs(docs)).select(_known(_terms("words")).alias("terms"), fold.alias("_fold"))
+            .groupBy("terms").agg(F.count_if(F.col("_fold") == 0).alias("n0"),
+                                  F.count_if(F.col("_fold") == 1).alias("n1")))
+
+
+def _fit(unknown: DataFrame, total: int) -> LogisticRegressionModel:
+    """``unknown``: ``terms, n``, with ``total`` paragraphs in all; together they weigh ``WEIGHT`` at most."""
+    known = _examples(unknown.sparkSession).select(
+        _known(_terms("words")).alias("terms"), "family", F.lit(float(COPIES)).alias("weight"))
+    others = unknown.filter("n > 0").select("terms", F.lit(UNKNOWN).alias("family"), (
+        F.col("n") * min(1.0, WEIGHT / max(total, 1))).alias("weight"))
+    return LogisticRegression(family="multinomial", maxIter=25, regParam=1e-4, elasticNetParam=0.0,
+                              weightCol="weight", aggregationDepth=2).fit(
+        _vectors(known.coalesce(1).unionByName(others)).withColumn("label", _label("family")))
 
 
 def train(docs: DataFrame) -> tuple[LogisticRegressionModel, float]:
     """The classifier, and the probability of a family from which it counts.
 
-    Unknown paragraphs are drawn by a hash of the line at a rate that gives ``SAMPLE`` of them;
-    those that repeat a notice, or read like other licence text, are left out.  Others, drawn in the same way, calibrate: the bound is
-    the highest probability that no more than the share ``PASSING`` of them exceeds, at least a half.
+    All paragraphs are learned from as unknown ones but those that repeat a notice, or read like other
+    licence text.  The bound is the lowest probability, in steps of ``1 / STEPS`` and at least a half,
+    that no more than the share ``PASSING`` of them reaches, each judged by a model of the other fold.
     """
-    spark = docs.sparkSession
-    lines = docs.agg(F.sum(F.size(F.split(text_of(), "\n")))).first()[0]
-    rate = min(1.0, SAMPLE / max(lines or 0, 1))
-    chosen = _lines(docs).select("line", (_draw(1) < rate).alias("_train"), (_draw(2) < rate).alias("_test"))
-    drawn = land(_in_words(chosen.filter("_train OR _test")), "paragraphs")
-    clean = _unlike(drawn)
-    known = _examples(spark).select("words", "family", F.lit(float(COPIES)).alias("weight"))
-    unknown = clean.filter("_train").select("words", F.lit(UNKNOWN).alias("family"), F.lit(1.0).alias("weight"))
-    fitted = LogisticRegression(family="multinomial", maxIter=25, regParam=1e-4, elasticNetParam=0.0,
-                                weightCol="weight", aggregationDepth=2).fit(
-        _vectors(known.unionByName(unknown)).withColumn("label", _label("family")))
-    best = _best(clean.filter("_test AND NOT _train").select("words"), fitted)
-    bound = best.agg(F.percentile_approx("probability", 1 - PASSING, 100_000)).first()[0]
-    return fitted, max(0.5, bound or 0.0)
+    unknown = land(unknown_terms(docs), "paragraphs")
+    n0, n1 = (int(n or 0) for n in unknown.agg(F.sum("n0"), F.sum("n1")).first())
+    fitted = _fit(unknown.select("terms", (F.col("n0") + F.col("n1")).alias("n")), n0 + n1)
+    judged = [_best(unknown.filter(f"{other} > 0").select("terms", F.col(other).alias("n")),
+                    _fit(unknown.select("terms", F.col(own).alias("n")), total))
+              for own, other, total in (("n0", "n1", n0), ("n1", "n0", n1))]
+    steps = (judged[0].unionByName(judged[1]).filter("probability >= 0.5")
+             .groupBy(F.floor(F.col("probability") * STEPS).alias("step")).agg(F.sum("n").alias("n")))
+    # at most STEPS / 2 + 1 rows
+    left, bound = PASSING * (n0 + n1), 0.5
+    for row in steps.orderBy(F.desc("step")).collect():
+        left -= row.n
+        if left < 0:
+            bound = (row.step + 1) / STEPS
+            break
+    drop(unknown)
+    return fitted, bound
 
 
 def _notices(spark: SparkSession) -> DataFrame:

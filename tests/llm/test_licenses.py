@@ -72,3 +72,25 @@ def test_other_licence_text_is_not_taught_as_unknown(spark):
     lines = spark.createDataFrame([("provided without warranty of any kind",), ("a plain line of prose",)], "line string")
     left = L._unlike(lines.withColumn("words", L.words_of("line"))).collect()
     assert [r.line for r in left] == ["a plain line of prose"]
+
+
+def test_all_paragraphs_are_learned_from_and_calibrate(spark, monkeypatch):
+    lines = [f"the plain line number {k} of a file" for k in range(30_000)] + ["Released under the MIT License."] * 5
+    docs = spark.createDataFrame([(k, "\n".join(lines[k::50])) for k in range(50)], "doc_id long, text string")
+    learned = []
+    fit = L.LogisticRegression.fit
+    monkeypatch.setattr(L.LogisticRegression, "fit", lambda self, rows: (
+        learned.append(rows.filter("family = 'unknown'").agg(L.F.sum("weight")).first()[0]), fit(self, rows))[1])
+    monkeypatch.setattr(L, "WEIGHT", 1e9, raising=False)
+    L.train(docs)
+    assert learned[0] == 30_000 and sum(learned[1:]) == 30_000
+
+
+def test_the_bound_lets_the_stated_share_pass(spark, monkeypatch):
+    told = spark.createDataFrame([(k, "a plain line") for k in range(1000)], "doc_id long, text string")
+    shares = spark.createDataFrame([(0.9, 2), (0.7, 3), (0.1, 995)], "probability double, n long")
+    monkeypatch.setattr(L, "_best", lambda rows, model: shares.select(
+        "probability", L.F.col("n").cast("long")) if rows.count() else shares.limit(0))
+    monkeypatch.setattr(L, "PASSING", 0.003)
+    # of 1000 paragraphs three may reach the bound: the two at 0.9, and not the three at 0.7
+    assert 0.7 < L.train(told)[1] <= 0.9
