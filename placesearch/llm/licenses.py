@@ -161,13 +161,20 @@ def similarity(words: str, notices: DataFrame) -> Column:
 
 def _unlike(lines: DataFrame) -> DataFrame:
     """The lines that are no licence text: unlike every notice, and without its usual words."""
-    notices = _notices(lines.sparkSession)
-    found = [r.pairs for r in notices.collect()]       # the fixed notices
+    found = [r.pairs for r in _notices(lines.sparkSession).collect()]       # the fixed notices
     every, least = sorted({p for pairs in found for p in pairs}), min(math.ceil(UNLIKE * len(p)) for p in found)
-    # a line with fewer pairs of any notice is unlike all of them
-    hits = F.size(F.array_distinct(F.filter(_pairs(F.col("words")), lambda p: p.isin(every))))
-    near = F.when(hits >= least, similarity("words", notices)["similarity"]).otherwise(0.0)
-    return lines.filter(~F.exists("words", lambda w: w.isin(list(TERMS)))).filter(near < UNLIKE)
+
+    def near(hits: Column) -> Column:
+        own = F.size(F.array_distinct(_pairs(F.col("words"))))
+        common = F.greatest(*[F.size(F.array_intersect(hits, F.lit(p))) / len(p) for p in found])
+        # a line with fewer pairs of any notice is unlike all of them
+        return F.when((F.size(hits) < least) | (common < UNLIKE) | (F.size(hits) / own < UNLIKE), 0.0).otherwise(
+            similarity("words", _notices(lines.sparkSession))["similarity"])
+
+    # in an array, the pairs are looked for once
+    hits = F.array(F.array_distinct(F.filter(_pairs(F.col("words")), lambda p: p.isin(every))))
+    return lines.filter(F.when(F.exists("words", lambda w: w.isin(list(TERMS))), False).otherwise(
+        F.element_at(F.transform(hits, near), 1) < UNLIKE))
 
 
 def unknown_terms(docs: DataFrame) -> DataFrame:
