@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from placesearch.llm.landing import dealt_anew, land
 
 _MOST_ROUNDS = 60
+_FEW = 1 << 17        # links of two numbers, 2 MB, that are not worth a shuffle
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -15,12 +16,14 @@ def components(links: DataFrame) -> DataFrame:
     Every round links the neighbours of a node to the smallest of them, first the larger ones, then
     the smaller ones, so long chains halve and a star of any size stays one row per node.  The
     smallest neighbour is an aggregate that each task prepares; rows of a busy node can be split.
+    A fixed small number of links stays in one partition instead, where a round needs hardly an exchange.
     """
     edges = land(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                  .filter("u <> v").distinct(), "edges")
-    before = None
+    before, rows = None, edges.count()
     for _ in range(_MOST_ROUNDS):
-        edges = land(_small_star(_large_star(edges)), "edges")
+        few = rows <= _FEW
+        edges = land(_small_star(_large_star(edges, few), few), "edges")
         # hashes of all rows, wrapped at 2^63, as a sign that nothing changed
         now = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")),
                               F.sum(F.xxhash64("v", "u") % 1_000_003)).first())
@@ -28,20 +31,26 @@ def components(links: DataFrame) -> DataFrame:
             return (edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
                     .unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))
                                  .distinct()))
-        before = now
+        before, rows = now, now[0]
     raise RuntimeError("components did not settle")
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, few: bool) -> DataFrame:
     """Neighbours above a node go to the smallest of it and its neighbours."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = dealt_anew(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
-    return (both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .filter("u <> v").distinct())
+    both = _placed(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), few)
+    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+    least = least if few else dealt_anew(least)
+    moved = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _placed(moved, few).filter("u <> v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, few: bool) -> DataFrame:
     """A node and its neighbours below go to the smallest of them; rows have ``u > v``."""
-    least = dealt_anew(edges.groupBy("u").agg(F.min("v").alias("m")))
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = least if few else dealt_anew(least)
     moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return (moved.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
+    return _placed(moved.unionByName(least.select("u", F.col("m").alias("v"))), few).filter("u <> v").distinct()
+
+
+def _placed(edges: DataFrame, few: bool) -> DataFrame:
+    return edges.coalesce(1) if few else edges

@@ -32,6 +32,7 @@ SLACK = 5.5          # standard errors an estimate may lie below the threshold
 BLOCK = 512          # nodes of a family, and
 BLOCK_ITEMS = 2_000_000   # items of their sets, on one side of a task
 STALL = 0.7          # another round of single comparisons must leave fewer members than this share
+_TOGETHER = 64       # nodes whose items are counted at once
 _PER_LONG = 64 // BITS
 _LOW = 0x1111111111111111
 _U, _V = np.uint64, np.uint32
@@ -157,7 +158,7 @@ def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     """``node, label`` after joining what ``links`` connect."""
     of = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"l{side}"))
     between = (links.join(of("a"), "a").join(of("b"), "b").filter("la <> lb")
-               .select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
+               .select(F.col("la").alias("a"), F.col("lb").alias("b")))
     merged = components(between)
     return land(labels.join(merged.withColumnRenamed("node", "label"), "label", "left")
                 .select("node", F.coalesce("component", "label").alias("label")), "labels")
@@ -204,6 +205,10 @@ def _links_in_blocks(members: DataFrame, sets: DataFrame, low: float, count: int
         node, label = frame["node"].to_numpy(), frame["label"].to_numpy()
         items = list(frame["items"])
         size = np.array([len(x) for x in items])
+        # items by number, so that those of a node are marked once and counted in all that may link
+        number = np.unique(np.concatenate(items), return_inverse=True)[1]
+        items = np.split(number, np.cumsum(size)[:-1])
+        marked = np.zeros(number.max() + 1, dtype=bool)
         mine, theirs = np.flatnonzero(frame["block"] == i), np.flatnonzero(frame["block"] == j)
         links = []
         for x in mine:
@@ -218,15 +223,19 @@ def _links_in_blocks(members: DataFrame, sets: DataFrame, low: float, count: int
                 fit &= node[theirs] > node[x]
             joined = set()
             # the likeliest first: one link joins all of a component
-            for y in theirs[fit][np.argsort(wrong[fit], kind="stable")]:
-                if label[y] in joined:
+            likely = theirs[fit][np.argsort(wrong[fit], kind="stable")]
+            marked[items[x]] = True
+            for at in range(0, len(likely), _TOGETHER):
+                some = [y for y in likely[at:at + _TOGETHER] if label[y] not in joined]
+                if not some:
                     continue
-                at = np.searchsorted(items[y], items[x])
-                at[at == size[y]] = 0
-                shared = int((items[y][at] == items[x]).sum())
-                if 100 * shared >= percent * (size[x] + size[y] - shared):
-                    joined.add(label[y])
-                    links.append((node[x], node[y]))
+                begin = np.cumsum([0, *size[some[:-1]]])
+                shared = np.add.reduceat(marked[np.concatenate([items[y] for y in some])], begin, dtype=np.int64)
+                for y in np.array(some)[100 * shared >= percent * (size[x] + size[some] - shared)]:
+                    if label[y] not in joined:
+                        joined.add(label[y])
+                        links.append((node[x], node[y]))
+            marked[items[x]] = False
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
     return met.groupBy("family", "i", "j").applyInPandas(run, "a long, b long")
@@ -293,7 +302,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     real = sketches.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     # equal sets are one node, named by their smallest id
     classes = dealt_anew(real.groupBy("s1", "s2").agg(F.min("doc_id").alias("node")))
-    placed = land(real.select("doc_id", "s1", "s2").distinct().join(classes, ["s1", "s2"])
+    placed = land(real.select("doc_id", "s1", "s2").join(classes, ["s1", "s2"])
                   .select("doc_id", "node").distinct(), "nodes")
     nodes = sketches.join(placed.filter("doc_id = node").select("doc_id"), "doc_id", "left_semi") \
         .filter("n_shingles > 0").select(F.col("doc_id").alias("node"), "keys", "bits")
