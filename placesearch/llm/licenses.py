@@ -12,8 +12,11 @@ Everything is DataFrame work; texts are not shuffled.
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 import re
+from collections.abc import Callable
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizerModel
@@ -85,20 +88,16 @@ def _pairs(words: Column) -> Column:
                       lambda a, b: F.concat(a, F.lit(" "), b))
 
 
-def _terms(words: str) -> Column:
-    """Single words and pairs."""
-    return F.concat(F.col(words), _pairs(F.col(words)))
-
-
 def _lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split(text_of(), r"\r\n|\n|\r")).alias("paragraph", "line"))
 
 
 def _in_words(lines: DataFrame) -> DataFrame:
     """``words`` instead of ``line``: only lines that have words; very long ones in several rows."""
-    told = lines.withColumn("_words", words_of("line")).filter(F.size("_words") > 0).drop("line")
-    parts = F.transform(F.sequence(F.lit(1), F.size("_words"), F.lit(_LONGEST)),
-                        lambda at: F.slice("_words", at, _LONGEST))
+    told = lines.withColumn("_words", words_of("line")).drop("line")
+    # not a filter, which Spark would move to the lines, whose words it would look for twice
+    parts = F.when(F.size("_words") > 0, F.transform(
+        F.sequence(F.lit(1), F.size("_words"), F.lit(_LONGEST)), lambda at: F.slice("_words", at, _LONGEST)))
     return told.withColumn("words", F.explode(parts)).drop("_words")
 
 
@@ -134,15 +133,25 @@ def _vocabulary() -> list[str]:
                   | {f"{a} {b}" for words in told for a, b in zip(["^", *words], [*words, "$"])})
 
 
-def _known(terms: Column) -> Column:
-    """The different ones of ``terms`` that occur in a notice."""
-    among = _vocabulary()
-    return F.array_sort(F.array_distinct(F.filter(terms, lambda t: t.isin(among))))
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with ``value`` made once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _known(words: Column) -> Column:
+    """The different single words and pairs of neighbouring ones that occur in a notice."""
+    pairs = [t for t in _vocabulary() if " " in t]
+    single = [t for t in _vocabulary() if " " not in t]
+    row = F.transform(F.concat(F.array(F.lit("^")), words, F.array(F.lit("$"))),
+                      lambda w: F.when(w.isin([*single, "^", "$"]), w))
+    told = _once(row, lambda r: F.concat(
+        F.filter(r, lambda w: w.isin(single)), F.filter(_inner(r), lambda p: p.isin(pairs))))
+    return F.sort_array(F.array_distinct(told))
 
 
 def _vectors(rows: DataFrame) -> DataFrame:
     """Adds ``features`` of ``terms``, or of the terms of ``words``."""
-    rows = rows.withColumn("_terms", F.col("terms") if "terms" in rows.columns else _known(_terms("words")))
+    rows = rows.withColumn("_terms", F.col("terms") if "terms" in rows.columns else _known(F.col("words")))
     return CountVectorizerModel.from_vocabulary(_vocabulary(), inputCol="_terms", outputCol="features").setBinary(
         True).transform(rows).drop("_terms")
 
@@ -162,7 +171,7 @@ def similarity(words: str, notices: DataFrame) -> Column:
 def _unlike(lines: DataFrame) -> DataFrame:
     """The lines that are no licence text: unlike every notice, and without its usual words."""
     found = [r.pairs for r in _notices(lines.sparkSession).collect()]       # the fixed notices
-    every, least = sorted({p for pairs in found for p in pairs}), min(math.ceil(UNLIKE * len(p)) for p in found)
+    least = min(math.ceil(UNLIKE * len(p)) for p in found)
 
     def near(hits: Column) -> Column:
         own = F.size(F.array_distinct(_pairs(F.col("words"))))
@@ -171,10 +180,10 @@ def _unlike(lines: DataFrame) -> DataFrame:
         return F.when((F.size(hits) < least) | (common < UNLIKE) | (F.size(hits) / own < UNLIKE), 0.0).otherwise(
             similarity("words", _notices(lines.sparkSession))["similarity"])
 
-    # in an array, the pairs are looked for once
-    hits = F.array(F.array_distinct(F.filter(_pairs(F.col("words")), lambda p: p.isin(every))))
+    known = F.col("terms") if "terms" in lines.columns else _known(F.col("words"))
+    hits = F.filter(known, lambda t: t.contains(" "))
     return lines.filter(F.when(F.exists("words", lambda w: w.isin(list(TERMS))), False).otherwise(
-        F.element_at(F.transform(hits, near), 1) < UNLIKE))
+        _once(hits, near) < UNLIKE))
 
 
 def unknown_terms(docs: DataFrame) -> DataFrame:
@@ -183,7 +192,10 @@ def unknown_terms(docs: DataFrame) -> DataFrame:
     Each paragraph counts in one of two folds, by a hash of its words.
     """
     fold = F.pmod(F.xxhash64("words"), F.lit(2))
-    return (_unlike(paragraphs(docs)).select(_known(_terms("words")).alias("terms"), fold.alias("_fold"))
+    # a row of its own, so that the filter stays behind it and the terms are looked for once
+    lines = paragraphs(docs).select(F.explode(F.array(F.struct(
+        "words", _known(F.col("words")).alias("terms")))).alias("_line")).select("_line.*")
+    return (_unlike(lines).select("terms", fold.alias("_fold"))
             .groupBy("terms").agg(F.count_if(F.col("_fold") == 0).alias("n0"),
                                   F.count_if(F.col("_fold") == 1).alias("n1")))
 
@@ -191,7 +203,7 @@ def unknown_terms(docs: DataFrame) -> DataFrame:
 def _fit(unknown: DataFrame, total: int) -> LogisticRegressionModel:
     """``unknown``: ``terms, n``, with ``total`` paragraphs in all; together they weigh ``WEIGHT`` at most."""
     known = _examples(unknown.sparkSession).select(
-        _known(_terms("words")).alias("terms"), "family", F.lit(float(COPIES)).alias("weight"))
+        _known(F.col("words")).alias("terms"), "family", F.lit(float(COPIES)).alias("weight"))
     others = unknown.filter("n > 0").select("terms", F.lit(UNKNOWN).alias("family"), (
         F.col("n") * min(1.0, WEIGHT / max(total, 1))).alias("weight"))
     return LogisticRegression(family="multinomial", maxIter=25, regParam=1e-4, elasticNetParam=0.0,
@@ -246,6 +258,20 @@ def _inner(words: Column) -> Column:
                       lambda a, b: F.concat(a, F.lit(" "), b))
 
 
+def _needed(notices: list[list[str]], least: list[int]) -> list[str]:
+    """Words of which one is in any ``least`` pairs of a notice; long words first, as they are rare."""
+    chosen: list[str] = []
+    for pairs, need in zip(notices, least):
+        left = [p.split() for p in pairs]
+        while len(left := [p for p in left if not set(p) & set(chosen)]) >= need:
+            chosen.append(max({w for p in left for w in p}, key=lambda w: (len(w), w)))
+    return chosen
+
+
+def _any(conditions: list[Column]) -> Column:
+    return functools.reduce(operator.or_, conditions)
+
+
 def stretches(docs: DataFrame) -> DataFrame:
     """Where a text repeats a notice: ``doc_id, paragraph, words, family, similarity``.
 
@@ -259,10 +285,13 @@ def stretches(docs: DataFrame) -> DataFrame:
                for r in _notices(docs.sparkSession).collect()]     # the fixed notices
     least = [math.ceil(SIMILAR * len(pairs) - 1e-9) for _, pairs in notices]
     every = F.lit(sorted({p for _, pairs in notices for p in pairs}))
+    # enough pairs of a notice hold one of a few words, which most texts do not have
+    low = F.lower("text")
+    texts = docs.select("doc_id", text_of().alias("text")).filter(_any([
+        low.contains(w) for w in _needed([pairs for _, pairs in notices], least)]))
     # what has fewer pairs of a notice in the whole text has them in no window either
-    hits = (docs.select("doc_id", text_of().alias("text")).withColumn("_own", words_of("text"))
-            .filter(F.size("_own") > 1).select("doc_id", "text", F.array_intersect(every, _inner(F.col("_own"))).alias("_hits"))
-            .filter(F.size("_hits") >= min(least)))
+    own = _once(words_of("text"), lambda w: F.when(F.size(w) > 1, F.array_intersect(every, _inner(w))))
+    hits = texts.select("doc_id", "text", own.alias("_hits")).filter(F.size("_hits") >= min(least))
     near = F.array_compact(F.array(*[
         F.when(F.size(F.array_intersect("_hits", F.lit(pairs))) >= need, F.lit(k))
         for k, ((_, pairs), need) in enumerate(zip(notices, least))]))

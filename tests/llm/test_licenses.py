@@ -94,3 +94,20 @@ def test_the_bound_lets_the_stated_share_pass(spark, monkeypatch):
     monkeypatch.setattr(L, "PASSING", 0.003)
     # of 1000 paragraphs three may reach the bound: the two at 0.9, and not the three at 0.7
     assert 0.7 < L.train(told)[1] <= 0.9
+
+
+def test_words_are_looked_for_once(spark):
+    docs = spark.createDataFrame([(1, "Released under the MIT License."), (2, "a plain line\n\n of prose"), (3, None)],
+                                 "doc_id long, text string")
+    plan = L.unknown_terms(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+    assert {tuple(r.terms) for r in L.unknown_terms(docs).collect()} == {("a",), ("of",)}
+
+
+def test_needed_words_are_in_all_that_may_repeat_a_notice(spark):
+    notices = [[p for p in r.pairs if "^" not in p and "$" not in p] for r in L._notices(spark).collect()]
+    least = [-(-len(p) * 6 // 10) for p in notices]
+    words = set(L._needed(notices, least))
+    for pairs, need in zip(notices, least):
+        assert sum(not words & set(p.split()) for p in pairs) < need
+    assert L._needed([["a bb", "bb c", "c d"]], [2]) == ["bb"]
