@@ -8,30 +8,19 @@ each Python worker for all its tasks.
 from __future__ import annotations
 
 import os
-import re
 import sys
 import types
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 KEPT = 600_000        # chunks remembered in one Python worker: about 110 MB
 LONGEST_KEPT = 64     # bytes
-TOGETHER = 1 << 20    # characters of texts looked through for new chunks at once
+TOGETHER = 1 << 22    # characters of texts looked through for new chunks at once
 _JOINED = 2000        # new chunks encoded at once
-_SIGN = re.compile(rb"([.,])(?<=[A-Za-z].)(?=[ \n])")
-
-
-class _Chunks(dict):
-    """Ids by chunk; a chunk that was not learned is encoded alone."""
-
-    def __init__(self, tokenizer):
-        super().__init__()
-        self.tokenizer = tokenizer
-
-    def __missing__(self, chunk: bytes) -> bytes:
-        ids = self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids
-        return np.array(ids, dtype="<u4").tobytes()
+_SIGNS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"      # an apostrophe may begin a part of its own
 
 
 class Encoder:
@@ -40,51 +29,92 @@ class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        tokenizer = Tokenizer.from_file(path)
-        self.chunks = _Chunks(tokenizer)
-        # where the tokenizer itself takes no notice of case, or parts words from a point or comma
-        # behind them, chunks that differ only so are remembered once
+        self.tokenizer = tokenizer = Tokenizer.from_file(path)
+        # ids by chunk; those not used since half of what is kept was new are forgotten
+        self.recent: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        # where the tokenizer itself takes no notice of case, or parts words from signs behind them,
+        # chunks that differ only so are remembered once
         letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
         normal = tokenizer.normalizer
         self.caseless = normal is not None and normal.normalize_str(letters) == letters.lower()
-        parts = tokenizer.pre_tokenizer
-        self.parted = parts is not None and [x for x, _ in parts.pre_tokenize_str("Az. az,")] == [
-            "Az", ".", "az", ","]
+        parts, signs = tokenizer.pre_tokenizer, [chr(s) * n for s in _SIGNS for n in (1, 2)] + [_SIGNS.decode()]
+        self.parted = parts is not None and all(
+            [x for x, _ in parts.pre_tokenize_str(f"Az{s} az{s}")] == ["Az", s, "az", s] for s in signs)
+
+    def _alone(self, chunk: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def learn(self, new: list[bytes]) -> None:
+    def _learn(self, new: list[bytes]) -> None:
         """Encode chunks together, which costs less than one by one, and cut at their bounds."""
-        if len(self.chunks) + len(new) > KEPT:
-            self.chunks.clear()
         for at in range(0, len(new), _JOINED):
             part = new[at:at + _JOINED]
             texts = [c.decode() for c in part]
-            told = self.chunks.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+            told = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
             data = np.array(told.ids, dtype="<u4").tobytes()
             ends = np.cumsum([len(t) + 1 for t in texts])
-            cut = [0, *np.searchsorted([o[0] for o in told.offsets], ends).tolist()]
-            for i, chunk in enumerate(part):
-                self.chunks[chunk] = data[4 * cut[i]:4 * cut[i + 1]]
-
-    def _chunks(self, text: str) -> list[bytes]:
-        data = text.encode()
-        if self.caseless:
-            data = data.lower()
-        if self.parted:
-            data = _SIGN.sub(rb" \1", data)
-        return data.split()
+            cut = [0, *(4 * np.searchsorted([o[0] for o in told.offsets], ends)).tolist()]
+            self.recent.update(zip(part, map(data.__getitem__, map(slice, cut, cut[1:]))))
+
+    def _add(self, chunks: list[bytes]) -> None:
+        """Remember ``chunks``; a word and the signs behind it are encoded apart."""
+        recent, new, parted = self.recent, set(), []
+
+        def need(chunk: bytes) -> None:
+            told = self.older.get(chunk)
+            if told is None:
+                new.add(chunk)
+            else:
+                recent[chunk] = told
+
+        for chunk in chunks:
+            head = chunk.rstrip(_SIGNS) if self.parted and chunk[-1:] in _SIGNS else chunk
+            if len(chunk) > LONGEST_KEPT or not chunk:
+                continue
+            if len(head) < len(chunk) and head[-1:].isalpha():
+                parted.append((chunk, head, chunk[len(head):]))
+                for part in parted[-1][1:]:
+                    if part not in recent:
+                        need(part)
+            else:
+                need(chunk)
+        self._learn(list(new))
+        for chunk, head, tail in parted:
+            recent[chunk] = recent[head] + recent[tail]
+
+    def _ids(self, chunks: list[bytes]) -> list[bytes]:
+        """Ids of each of different chunks."""
+        if len(self.recent) > KEPT // 2:
+            self.older, self.recent = self.recent, {}
+        told = list(map(self.recent.get, chunks))
+        if None in told:
+            self._add([c for c, t in zip(chunks, told) if t is None])
+            told = list(map(self.recent.get, chunks))
+        return [self._alone(c) if t is None else t for c, t in zip(chunks, told)] if None in told else told
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         at = 0
         while at < len(texts):
-            split, size = [], 0
+            together, size = [], 0
             while at < len(texts) and size < TOGETHER:
-                split.append(self._chunks(texts[at]))
+                together.append(texts[at])
                 size += len(texts[at])
                 at += 1
-            kept = self.chunks
-            self.learn(sorted(c for c in set().union(*split) if c not in kept and len(c) <= LONGEST_KEPT))
-            for chunks in split:
-                yield b"".join(map(self.chunks.__getitem__, chunks))
+            column = pa.array(together, pa.large_string())
+            split = pc.ascii_split_whitespace(pc.ascii_lower(column) if self.caseless else column)
+            chunks = split.flatten().dictionary_encode()
+            # the ids of the different chunks in a row, from which those of each text are taken
+            told = self._ids(chunks.dictionary.cast(pa.large_binary()).to_pylist())
+            row = np.frombuffer(b"".join(told), dtype="<u4")
+            length = np.fromiter(map(len, told), dtype=np.int64, count=len(told)) // 4
+            code = chunks.indices.to_numpy()
+            number = length[code]
+            end = np.cumsum(number)
+            start = (np.cumsum(length) - length)[code]
+            ids = row[np.repeat(start - (end - number), number) + np.arange(len(row) and int(number.sum()))]
+            cut = np.append(0, end)[split.offsets.to_numpy()].tolist()
+            for low, high in zip(cut, cut[1:]):
+                yield ids[low:high].tobytes()
 
 
 def encoder(path: str) -> Encoder:

@@ -74,3 +74,19 @@ def test_difference_of_two_parts_is_karmarkar_karp():
 def test_windows_rise_when_capacity_is_exceeded():
     place = P.divide([7, 7, 7], 10)       # 21 tokens would fill 2.1 windows, but no two fit together
     assert len(set(place)) == 3 and P.divide([3], 10).tolist() == [0]
+
+
+def test_ids_of_odd_chunks_and_what_is_forgotten(monkeypatch):
+    from placesearch.llm import tokens
+    monkeypatch.setattr(tokens, "KEPT", 60)
+    made = tokens.Encoder(P.tokenizer_path())
+    draw = random.Random(4)
+    texts = ["", "  ", "a.", "é. É,", "x" * 70 + "...", "a'. it's$$ 's.", "\x0b\x0c a\x1cb c_"] + [
+        "the " + "".join(draw.choice("aB .,'$12éñ \n\t_-S漢") for _ in range(40)) for _ in range(300)]
+    learned = []
+    monkeypatch.setattr(made, "_learn", lambda new, learn=made._learn: (learned.extend(new), learn(new)))
+    for at in range(0, len(texts), 10):
+        for text, ids in zip(texts[at:at + 10], made.encode(texts[at:at + 10])):
+            assert np.frombuffer(ids, "<u4").tolist() == made.tokenizer.encode(text, add_special_tokens=False).ids
+    # a word of every text is encoded once, whatever else is forgotten
+    assert learned.count(b"the") == 1 and len(made.older) < len(set(learned))
