@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from placesearch.llm.landing import dealt_anew, land
 
@@ -16,7 +16,7 @@ def components(links: DataFrame) -> DataFrame:
     Every round links the neighbours of a node to the smallest of them, first the larger ones, then
     the smaller ones, so long chains halve and a star of any size stays one row per node.  The
     smallest neighbour is an aggregate that each task prepares; rows of a busy node can be split.
-    A fixed small number of links stays in one partition instead, where a round needs hardly an exchange.
+    A fixed small number of links stays in one partition instead, where a round needs no exchange.
     """
     edges = land(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                  .filter("u <> v").distinct(), "edges")
@@ -37,19 +37,24 @@ def components(links: DataFrame) -> DataFrame:
 
 def _large_star(edges: DataFrame, few: bool) -> DataFrame:
     """Neighbours above a node go to the smallest of it and its neighbours."""
-    both = _placed(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), few)
-    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    least = least if few else dealt_anew(least)
-    moved = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return _placed(moved, few).filter("u <> v").distinct()
+    told = _with_least(_placed(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), few), few)
+    return (told.filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+            .filter("u <> v").distinct())
 
 
 def _small_star(edges: DataFrame, few: bool) -> DataFrame:
     """A node and its neighbours below go to the smallest of them; rows have ``u > v``."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    least = least if few else dealt_anew(least)
-    moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return _placed(moved.unionByName(least.select("u", F.col("m").alias("v"))), few).filter("u <> v").distinct()
+    told = _with_least(edges, few)
+    both = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
+                             F.struct("u", F.col("m").alias("v"))))
+    return told.select(both.alias("_e")).select("_e.*").filter("u <> v").distinct()
+
+
+def _with_least(edges: DataFrame, few: bool) -> DataFrame:
+    """Adds ``m``, the smallest ``v`` of each ``u``."""
+    if few:
+        return edges.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+    return edges.join(dealt_anew(edges.groupBy("u").agg(F.min("v").alias("m"))), "u")
 
 
 def _placed(edges: DataFrame, few: bool) -> DataFrame:

@@ -96,15 +96,14 @@ def test_components_of_a_chain_and_a_star(spark):
     assert found == {**{n: 10 for n in range(10, 41)}, **{n: 100 for n in range(100, 180)}}
 
 
-def test_few_links_meet_with_few_exchanges(spark, monkeypatch):
+def test_few_links_meet_without_an_exchange(spark, monkeypatch):
     from pyspark.sql import functions as F
 
     from placesearch.llm import components as C
     links = [(n, n + 1) for n in range(10, 30)] + [(100, n) for n in range(101, 140)]
     frame = spark.createDataFrame(links, "u long, v long").select(F.col("v").alias("u"), F.col("u").alias("v"))
-    exchanges = [C._small_star(C._large_star(frame.coalesce(1), few), few)._jdf.queryExecution().executedPlan()
-                 .toString().count("Exchange ") for few in (True, False)]
-    assert 3 * exchanges[0] < exchanges[1]
+    plan = C._small_star(C._large_star(frame.coalesce(1), True), True)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
     # more links are dealt out
     monkeypatch.setattr(C, "_FEW", 0)
     found = {r.node: r.component for r in C.components(frame.toDF("a", "b")).collect()}
