@@ -12,6 +12,7 @@ and a task that is run again gives the same windows.
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import zlib
 from collections.abc import Iterator
@@ -22,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from placesearch.llm.landing import map_texts, table
-from placesearch.llm.tokens import encoder
+from placesearch.llm.tokens import encoder, together
 
 WINDOW = 2048
 END = 1               # fixed value: id after each document
@@ -43,52 +44,49 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 def difference(sizes: list[int], windows: int) -> np.ndarray:
     """The window of each item: Karmarkar-Karp differencing of ``sizes`` into ``windows`` parts."""
-    count = len(sizes)
     # a part of a partial partition is a node: an item, or two parts put together
-    kids: list[np.ndarray] = []
-    made = count
-
-    def dense(cell: tuple) -> tuple[np.ndarray, np.ndarray]:
-        sums, nodes = cell
-        if isinstance(nodes, np.ndarray):
-            return sums, nodes
-        full, own = np.zeros(windows, dtype=np.int64), np.full(windows, -1, dtype=np.int64)
-        full[0], own[0] = sums, nodes
-        return full, own
-
+    kids: list[tuple[int, int]] = []
+    count = len(sizes)
+    # sums, negated, and nodes of the parts in use, the fullest first; other parts are empty
+    cells = {i: ([-size], [i]) for i, size in enumerate(sizes)}
     heap = [(-size, i) for i, size in enumerate(sizes)]
-    cells = {i: (size, i) for i, size in enumerate(sizes)}
     heapq.heapify(heap)
     number = count
     while len(heap) > 1:
-        first = dense(cells.pop(heapq.heappop(heap)[1]))
-        other = cells.pop(heapq.heappop(heap)[1])
-        if isinstance(other[1], np.ndarray):
-            # the fullest part of one with the emptiest of the other
-            added, theirs = other[0][::-1], other[1][::-1]
+        sums, nodes = cells.pop(heapq.heappop(heap)[1])
+        added, theirs = cells.pop(heapq.heappop(heap)[1])
+        if len(added) == 1:
+            # into the emptiest part, which then moves up to its place
+            total, node = added[0], theirs[0]
+            if len(sums) == windows:
+                total += sums.pop()
+                kids.append((nodes.pop(), node))
+                node = count + len(kids) - 1
+            at = bisect.bisect_right(sums, total)
+            sums.insert(at, total)
+            nodes.insert(at, node)
         else:
-            added, theirs = np.zeros(windows, dtype=np.int64), np.full(windows, -1, dtype=np.int64)
-            added[-1], theirs[-1] = other
-        sums, nodes = first[0] + added, first[1].copy()
-        both = np.flatnonzero((nodes >= 0) & (theirs >= 0))
-        kids.append(np.stack([nodes[both], theirs[both]], axis=1))
-        nodes = np.where(nodes < 0, theirs, nodes)
-        nodes[both] = made + np.arange(len(both))
-        made += len(both)
-        order = np.argsort(-sums, kind="stable")
-        sums, nodes = sums[order], nodes[order]
-        sums = sums - sums[-1]
+            # the fullest part of one with the emptiest of the other
+            alone = min(len(sums), windows - len(added))
+            shared = len(sums) - alone
+            added, theirs = added[::-1], theirs[::-1]
+            made = count + len(kids)
+            kids += zip(nodes[alone:], theirs)
+            sums = sums[:alone] + [a + b for a, b in zip(sums[alone:], added)] + added[shared:]
+            nodes = nodes[:alone] + list(range(made, made + shared)) + theirs[shared:]
+            order = sorted(range(len(sums)), key=sums.__getitem__)
+            sums, nodes = [sums[i] for i in order], [nodes[i] for i in order]
         cells[number] = (sums, nodes)
-        heapq.heappush(heap, (-int(sums[0]), number))
+        # the most uneven first
+        heapq.heappush(heap, (sums[0] - (sums[-1] if len(sums) == windows else 0), number))
         number += 1
-    _, nodes = dense(next(iter(cells.values())))
-    window = np.empty(made, dtype=np.int64)
-    used = np.flatnonzero(nodes >= 0)
-    window[nodes[used]] = used
-    pairs = np.concatenate(kids) if kids else np.zeros((0, 2), dtype=np.int64)
-    for node in range(len(pairs) - 1, -1, -1):
-        window[pairs[node]] = window[count + node]
-    return window[:count]
+    window = [0] * (count + len(kids))
+    for at, node in enumerate(next(iter(cells.values()))[1]):
+        window[node] = at
+    for node in range(len(kids) - 1, -1, -1):
+        one, other = kids[node]
+        window[one] = window[other] = window[count + node]
+    return np.array(window[:count], dtype=np.int64)
 
 
 def divide(sizes: list[int], capacity: int) -> np.ndarray:
@@ -166,9 +164,8 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, piece: int = PIECE, g
             rows.clear()
             return pa.RecordBatch.from_arrays(arrays, names)
 
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for doc_id, data in zip(batch.column(0).to_pylist(), encode(texts)):
+        for batch in together(batches):
+            for doc_id, data in zip(batch.column(0).to_pylist(), encode(batch.column(1).fill_null(""))):
                 data += END.to_bytes(4, "little")
                 tokens = len(data) // 4
                 for start, length in cuts(tokens, window, piece, documents % FINE == 0):

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from placesearch.llm.landing import SPACE, land, map_texts, table, text_of
 from placesearch.llm.packing import tokenizer_path
-from placesearch.llm.tokens import encoder
+from placesearch.llm.tokens import encoder, together
 from placesearch.session import shared_folder
 
 KEYS = ["source", "lang", "version"]
@@ -31,8 +31,8 @@ def count_subwords(docs: DataFrame, path: str) -> DataFrame:
     """``docs`` with ``tokens`` instead of ``text``: ids of the tokenizer file; a null text has none."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode
-        for batch in batches:
-            sizes = [len(data) // 4 for data in encode([t or "" for t in batch.column(1).to_pylist()])]
+        for batch in together(batches):
+            sizes = [len(data) // 4 for data in encode(batch.column(1).fill_null(""))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], ["row", "tokens"])
 
     keep = [c for c in docs.columns if c != "text"]

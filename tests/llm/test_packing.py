@@ -3,6 +3,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from placesearch.llm import packing as P
@@ -90,3 +91,69 @@ def test_ids_of_odd_chunks_and_what_is_forgotten(monkeypatch):
             assert np.frombuffer(ids, "<u4").tolist() == made.tokenizer.encode(text, add_special_tokens=False).ids
     # a word of every text is encoded once, whatever else is forgotten
     assert learned.count(b"the") == 1 and len(made.older) < len(set(learned))
+
+
+def plain_difference(sizes, windows):
+    """Karmarkar-Karp with whole rows of sums and of the items behind them."""
+    rows = [(size, -i, [(size, [i])] + [(0, [])] * (windows - 1)) for i, size in enumerate(sizes)]
+    number = len(sizes)
+    while len(rows) > 1:
+        rows.sort(key=lambda r: (r[0], r[1]))
+        first, other = rows.pop()[2], rows.pop()[2]
+        row = sorted([(a + b, x + y) for (a, x), (b, y) in zip(first, other[::-1])], key=lambda c: -c[0])
+        row = [(total - row[-1][0], items) for total, items in row]
+        rows.append((row[0][0], -number, row))
+        number += 1
+    return {i: at for at, (_, items) in enumerate(rows[0][2]) for i in items}
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_difference_is_the_plain_one(seed):
+    draw = random.Random(seed)
+    sizes = [draw.randint(1, draw.choice([2, 30, 512])) for _ in range(draw.randint(1, 60))]
+    windows = draw.randint(1, 20)
+    plain = plain_difference(sizes, windows)
+    assert P.difference(sizes, windows).tolist() == [plain[i] for i in range(len(sizes))]
+
+
+def test_ids_of_texts_with_added_tokens():
+    from placesearch.llm.tokens import Encoder
+    made = Encoder(P.tokenizer_path())
+    texts = ["<|endoftext|>", "a <|ENDOFTEXT|> b", "x<|endoftext|>.", "plain.",
+             "É<|startoftext|>é <|endoftext|>, <|endoftext"]
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in made.encode(texts)] == [
+        made.tokenizer.encode(text, add_special_tokens=False).ids for text in texts]
+
+
+def test_words_are_cut_off_signs_and_go_to_the_model(monkeypatch):
+    from placesearch.llm import tokens
+    made = tokens.Encoder(P.tokenizer_path())
+    whole, given = made.tokenizer, []
+
+    class Watched:
+        model = whole.model
+
+        def encode(self, text, **more):
+            given.append(text)
+            return whole.encode(text, **more)
+
+    made.tokenizer = Watched()
+    texts = ["Straße (naïve) well-known,", "", "Naïve. \"WELL\" 7 known?!", "it's"]
+    expected = [whole.encode(text, add_special_tokens=False).ids for text in texts]
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in made.encode(texts)] == expected
+    # signs, digits and what has an apostrophe need the whole tokenizer, words do not
+    assert [c for c in "".join(given) if c.isalpha()] == list("its")
+    # no part is new any more; slabs of one text, sliced input
+    given.clear()
+    monkeypatch.setattr(tokens, "TOGETHER", 1)
+    found = made.encode(pa.array(["x", *texts, "y"])[1:-1])
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in found] == expected and not given
+
+
+def test_batches_put_together(monkeypatch):
+    from placesearch.llm import tokens
+    batches = [pa.RecordBatch.from_pydict({"doc_id": [i], "text": ["x" * 100]}) for i in range(7)]
+    monkeypatch.setattr(tokens, "TOGETHER", 250)
+    found = list(tokens.together(iter(batches)))
+    assert [b.column(0).to_pylist() for b in found] == [[0, 1, 2], [3, 4, 5], [6]]
+    assert not list(tokens.together(iter([])))
