@@ -7,15 +7,16 @@ when enough of the stretch agrees, whatever tokens were substituted.  Where the
 not agree, as around a short passage within longer texts, the best stretch of any length decides.
 
 The document side is one narrow pass: tokens become numbers, windows are made and looked up
-without any shuffle, and only confirmed overlaps leave the task.  The benchmark is looked up in
-blocks of items of bounded size; each block is one more pass.
+without any shuffle, and only confirmed overlaps leave the task.  Items of equal text are looked up
+as one.  The benchmark is looked up in blocks of texts of bounded size; each block is one more pass,
+and is over before the next begins, so that no task ever has more than one block.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from placesearch.llm.landing import land, table, text_of, whole_rows
+from placesearch.llm.landing import drop, land, table, text_of, whole_rows
 
 MASKS = ((0, 1, 2, 4, 5, 6), (0, 1, 3, 5, 6, 7), (0, 2, 3, 6, 7, 8))   # positions compared
 REACH = 6             # tokens compared on either side of a hit
@@ -49,29 +50,48 @@ def _windows(rows: DataFrame) -> DataFrame:
     return placed.withColumn("_seed", F.explode(F.expr(_seeds()))).filter("_seed IS NOT NULL")
 
 
-def _item_blocks(items: DataFrame) -> int:
-    windows = items.agg(F.sum(F.size("_t"))).first()[0] or 0
+def _item_blocks(texts: DataFrame) -> int:
+    windows = texts.agg(F.sum(F.size("_t"))).first()[0] or 0
     return -(-windows * len(MASKS) // BLOCK_SEEDS)
 
 
+def _items(benchmark: DataFrame) -> DataFrame:
+    """``item_id, _t`` once each, landed; an item without an id or of too few tokens is left out."""
+    return land(benchmark.select("item_id", token_ids().alias("_t")).distinct()
+                .filter(F.col("item_id").isNotNull() & (F.size("_t") >= MIN_ITEM)), "items")
+
+
+def _item_texts(items: DataFrame) -> DataFrame:
+    """The different texts of the items under a number: ``_k, _t``, landed."""
+    return land(items.select("_t").distinct().withColumn("_k", F.monotonically_increasing_id()), "item-texts")
+
+
+def _text_overlaps(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Confirmed overlaps with the texts ``_k, _t``, those with sure windows and the others apart."""
+    blocks = _item_blocks(texts)
+    tokens = docs.select("doc_id", F.xxhash64(text_of()).alias("text_hash"), token_ids().alias("_t"))
+    if blocks <= 1:
+        return _block_overlaps(tokens, texts)
+    found = None
+    for b in range(blocks):
+        part = land(_block_overlaps(tokens, texts.filter(F.pmod(F.xxhash64("_t"), F.lit(blocks)) == b)), "overlaps")
+        drop()       # the block goes from the memory of every task before the next one comes
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Confirmed overlaps: ``doc_id, text_hash, item_id, hits, matched, first_token, last_token``.
 
     One row per document text and benchmark item.  ``hits`` are the confirmed windows, ``matched``
     the most agreeing tokens around one of them, and the tokens bound the document's windows.
-    Null and empty texts overlap with nothing, and so do items of fewer than ``MIN_ITEM`` tokens.
-    Rows that repeat an item count as one; rows that repeat a document add their hits.  Only
-    ``doc_id, text`` and ``item_id, text`` are read.
+    Null and empty texts overlap with nothing, and so do items without an id or of fewer than
+    ``MIN_ITEM`` tokens.  Rows that repeat an item count as one; rows that repeat a document add
+    their hits.  Only ``doc_id, text`` and ``item_id, text`` are read.
     """
-    items = land(benchmark.select("item_id", token_ids().alias("_t")).distinct()
-                 .filter(F.size("_t") >= MIN_ITEM), "items")
-    blocks = _item_blocks(items)
-    texts = docs.select("doc_id", F.xxhash64(text_of()).alias("text_hash"), token_ids().alias("_t"))
-    found = [_block_overlaps(texts, items.filter(F.pmod(F.xxhash64("_t"), F.lit(blocks)) == b)
-                             if blocks > 1 else items) for b in range(max(1, blocks))]
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
+    items = _items(benchmark)
+    texts = _item_texts(items)
+    out = _text_overlaps(docs, texts).join(items.join(texts, "_t").select("item_id", "_k"), "_k")
     # windows whose near surroundings agree count; only where there is none, those with a longer stretch
     told = {name: (how(F.when(F.col("sure"), F.col(name))), how(F.col(name))) for name, how in (
         ("hits", F.sum), ("matched", F.max), ("first_token", F.min), ("last_token", F.max))}
@@ -110,12 +130,11 @@ def _longer() -> Column:
     return F.element_at(F.transform(found, lambda f: F.when(f["s"] >= 0, f["m"])), 1)
 
 
-def _block_overlaps(texts: DataFrame, items: DataFrame) -> DataFrame:
-    seeds = _windows(items).select(F.col("_seed"), "item_id", F.col("_t").alias("_u"),
-                                   F.col("_p").alias("_q")).distinct()
+def _block_overlaps(tokens: DataFrame, texts: DataFrame) -> DataFrame:
+    seeds = _windows(texts).select("_seed", "_k", F.col("_p").alias("_q"))
     # the block's size is bounded by BLOCK_SEEDS, so it may go to every task
-    hits = _windows(texts).join(F.broadcast(seeds.drop("_u")), "_seed").join(
-        F.broadcast(items.select("item_id", F.col("_t").alias("_u"))), "item_id")
+    hits = _windows(tokens).join(F.broadcast(seeds), "_seed").join(
+        F.broadcast(texts.select("_k", F.col("_t").alias("_u"))), "_k")
     before = F.least("_p", "_q", F.lit(REACH))
     after = F.least(F.size("_t") - F.col("_p"), F.size("_u") - F.col("_q"), F.lit(_SPAN + REACH))
     stretch = hits.withColumn("_n", before + after).withColumn("_same", F.zip_with(
@@ -125,7 +144,7 @@ def _block_overlaps(texts: DataFrame, items: DataFrame) -> DataFrame:
     sure = (F.col("_n") >= F.least(F.lit(SHORTEST), F.size("_u"))) & (F.col("matched") >= AGREE * F.col("_n"))
     checked = stretch.withColumn("matched", matched).withColumn("sure", sure).withColumn(
         "matched", F.when(F.col("sure"), F.col("matched")).otherwise(_longer())).filter("matched IS NOT NULL")
-    return checked.groupBy("doc_id", "text_hash", "item_id", "sure").agg(
+    return checked.groupBy("doc_id", "text_hash", "_k", "sure").agg(
         F.count("*").alias("hits"), F.max("matched").alias("matched"),
         F.min("_p").alias("first_token"), F.max(F.col("_p") + _SPAN - 1).alias("last_token"))
 
