@@ -152,7 +152,8 @@ def _block_overlaps(tokens: DataFrame, texts: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without an overlap, with all their columns."""
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    bad = overlaps(docs, benchmark).select(key.alias("key"), F.col("text_hash").alias("hash")).distinct()
+    found = _text_overlaps(docs, _item_texts(_items(benchmark)))
+    bad = found.select(key.alias("key"), F.col("text_hash").alias("hash")).distinct()
     keyed = whole_rows(docs, key=key, hash=F.xxhash64(text_of()))
     return keyed.join(bad, ["key", "hash"], "left_anti").select("row.*")
 

@@ -104,3 +104,14 @@ def test_texts_under_one_id_are_each_compared_with_themselves(spark):
     alone = [D.overlaps(docs, spark.createDataFrame([(1, " ".join(t))], "item_id long, text string")).first()
              for t in (item, item[:30])]
     assert set(found) == {1} and found[1].hits == sum(r.hits for r in alone)
+
+
+def test_drop_looks_equal_items_up_as_one(planted, monkeypatch):
+    docs, bench = planted
+    many = bench.crossJoin(bench.sparkSession.range(20).toDF("c")).selectExpr("item_id + 10 * c AS item_id", "text")
+    made = []
+    monkeypatch.setattr(D, "_block_overlaps", lambda tokens, texts, f=D._block_overlaps: made.append(
+        texts.count()) or f(tokens, texts))
+    out = D.drop_contaminated(docs, many)
+    assert sorted(r.doc_id for r in out.collect()) == [1, 6, 8, 9, 10] and made == [2]
+    assert "item_id" not in out._jdf.queryExecution().toString()
