@@ -55,8 +55,7 @@ def _directory(spark, d):
 
 def _book_text(spark, d):
     path = new_folder(spark)
-    # a folder per book: tasks put theirs in place themselves, or the driver would move them one by one
-    books(spark, d).write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("doc_id").text(path)
+    files.write_book_text(books(spark, d), path)
     read = files.read_book_text(spark, path)
     number = F.regexp_extract("doc_id", r"doc_id=(\d+)", 1).cast("long")
     return read.select(number.alias("doc_id"), "text")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -15,6 +18,7 @@ NOTHING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
            "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
 LOG_TABLES = ("search_results", "result_scores")
+SHELVES = 256             # folders that books are put into, so that many are listed by many tasks
 
 RECORD_SCHEMA = "title string, URL string, address string, phone string, hours string, " \
                 "cost string, content string"
@@ -34,6 +38,55 @@ def read_book_text(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([(path, None)], "doc_id string, text string")
 
 
+def _put_whole(system: fs.FileSystem, folder: str, name: str, text: str) -> None:
+    """A file that is there whole or not at all, however often a task is tried; readers skip the hidden name."""
+    hidden = f"{folder}/_{uuid.uuid4().hex}"
+    with system.open_output_stream(hidden) as out:
+        out.write(text.encode())
+    try:
+        system.move(hidden, f"{folder}/{name}")
+    except OSError:
+        if system.get_file_info(f"{folder}/{name}").type != fs.FileType.File:
+            raise
+        system.delete_file(hidden)
+
+
+def write_book_text(books: DataFrame, path: str) -> None:
+    """``doc_id, text`` -> a file per book, named by its id, for ``read_book_text``.
+
+    Tasks write the files themselves, each with a few calls: Spark's writer makes a folder per book, and on a
+    local file system starts several processes for it.  Where Arrow does not know the file system, that writer is used.
+    """
+    spark = books.sparkSession
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(root).toString()
+    try:
+        fs.FileSystem.from_uri(whole)
+    except (pa.ArrowException, OSError):
+        # a folder per book: tasks put theirs in place themselves, or the driver would move them one by one
+        books.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("doc_id").text(path)
+        return
+    shelf = F.pmod(F.xxhash64("doc_id"), F.lit(SHELVES)).cast("int")
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, top = fs.FileSystem.from_uri(whole)
+        made: set[str] = set()
+        for batch in batches:
+            for number, doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
+                folder = f"{top}/shelf={number}"
+                if folder not in made:
+                    system.create_dir(folder, recursive=True)
+                    made.add(folder)
+                # a line break ends the file, as of any written line
+                _put_whole(system, folder, f"doc_id={'' if doc_id is None else doc_id}.txt", f"{text or ''}\n")
+            yield pa.RecordBatch.from_pydict({"n": pa.array([len(batch)], pa.int64())})
+
+    (books.select(shelf.alias("shelf"), "doc_id", "text").mapInArrow(put, "n long")
+     .write.format("noop").mode("overwrite").save())
+    system, top = fs.FileSystem.from_uri(whole)
+    system.create_dir(top, recursive=True)       # also when there is no book
+
+
 def read_records_csv(spark: SparkSession, path: str, schema: str = RECORD_SCHEMA) -> DataFrame:
     """CSV with a header and quoted line breaks; words for nothing become null.
 

@@ -4,6 +4,7 @@ import csv
 import datetime as dt
 import io
 import uuid
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -139,6 +140,40 @@ def test_missing_book_is_null(spark, folder):
     assert files.read_book_text(spark, folder).first().text is None
 
 
+def _books(spark, count):
+    return spark.range(count).selectExpr("id AS doc_id", "concat('BOOK ', id, '\\n  caf\u00e9 \u201cx\u201d\\n') AS text")
+
+
+def test_books_are_files_in_a_few_folders(spark, folder):
+    files.write_book_text(_books(spark, 400), folder)
+    got = files.read_book_text(spark, folder).collect()
+    assert sorted(r.text for r in got) == sorted(r.text + "\n" for r in _books(spark, 400).collect())
+    assert {r.doc_id.rsplit("/", 1)[1] for r in got} == {f"doc_id={i}.txt" for i in range(400)}
+    assert len({r.doc_id.rsplit("/", 1)[0] for r in got}) <= files.SHELVES < 400
+
+
+def test_a_book_that_is_written_again_is_there_once(spark, folder):
+    for _ in range(2):      # as when a task is tried again
+        files.write_book_text(_books(spark, 5), folder)
+    assert sorted(r.text for r in files.read_book_text(spark, folder).collect()) == [
+        r.text + "\n" for r in _books(spark, 5).collect()]
+
+
+def test_books_on_a_file_system_that_arrow_does_not_know(spark, folder, monkeypatch):
+    def unknown(uri):
+        raise files.pa.ArrowInvalid(uri)
+
+    monkeypatch.setattr(files, "fs", SimpleNamespace(FileSystem=SimpleNamespace(from_uri=unknown)))
+    files.write_book_text(_books(spark, 3), folder)
+    assert sorted(r.text for r in files.read_book_text(spark, folder).collect()) == [
+        r.text + "\n" for r in _books(spark, 3).collect()]
+
+
+def test_no_books(spark, folder):
+    files.write_book_text(_books(spark, 0), folder)
+    assert files.read_book_text(spark, folder).count() == 0
+
+
 def test_bad_json_lines_are_reported(spark, folder):
     spark.createDataFrame([("{}",), ("{",)], "value string").write.text(folder)
     assert {(r.value, r.readable) for r in files.read_chat_jsonl(spark, folder).collect()} == \
