@@ -45,6 +45,9 @@ def _nearest_cells(vectors_: np.ndarray, centres: np.ndarray, count: int) -> np.
     for at in range(0, len(vectors_), _ROWS_AT_ONCE):
         part = vectors_[at:at + _ROWS_AT_ONCE]
         far = own - 2 * part @ centres.T
+        if count == 1:
+            found[at:at + len(part), 0] = far.argmin(axis=1)
+            continue
         found[at:at + len(part)] = np.argsort(far, axis=1, kind="stable")[:, :count]
     return found
 
@@ -190,14 +193,22 @@ def _nearest_in_cells(queries: pd.DataFrame, docs: pd.DataFrame, k: int) -> pd.D
     cells = queries["cells"].to_numpy()
     asking = pd.Series(np.repeat(np.arange(len(cells)), [len(c) for c in cells])).groupby(np.concatenate(cells)).indices
     reading = np.repeat(np.arange(len(cells)), [len(c) for c in cells])
-    parts = [pd.DataFrame({"query_id": [], "doc_id": [], "distance": []}).astype({"query_id": int, "doc_id": int})]
+    # of each query the nearest so far: a cell need only give what is nearer
+    far, place = np.full((len(asked), k), np.inf), np.full((len(asked), k), len(docs))
     for cell, rows in docs.groupby("cell").indices.items():
         if cell in asking:
             at = reading[asking[cell]]
-            near = vectors._nearest_in_parts(asked[at], matrix, rows, k)
-            near["query_id"] = at[near["query_id"].to_numpy()]
-            parts.append(near)
-    return vectors._named(vectors._first_places(pd.concat(parts, ignore_index=True), k), queries, docs)
+            near = vectors._nearest_in_parts(asked[at], matrix, rows, k, far[at, -1])
+            who, first, count = np.unique(near["query_id"].to_numpy(), return_index=True, return_counts=True)
+            cells_ = np.repeat(np.arange(len(who)), count), np.arange(len(near)) - np.repeat(first, count)
+            new_far, new_place = np.full((len(who), k), np.inf), np.full((len(who), k), len(docs))
+            new_far[cells_], new_place[cells_] = near["distance"].to_numpy(), near["doc_id"].to_numpy()
+            both = [np.concatenate(x, axis=1) for x in ((far[at[who]], new_far), (place[at[who]], new_place))]
+            best = np.lexsort(both[::-1], axis=-1)[:, :k]
+            far[at[who]], place[at[who]] = (np.take_along_axis(x, best, 1) for x in both)
+    there = place < len(docs)
+    return vectors._named(pd.DataFrame({"query_id": np.nonzero(there)[0], "doc_id": place[there],
+                                        "distance": far[there]}), queries, docs)
 
 
 def _search_parts(rows: DataFrame, probed: DataFrame, cells: int, k: int, block_rows: int, doc_rows: int) -> DataFrame:

@@ -18,6 +18,7 @@ BLOCK_BYTES = 64 << 20            # of the vectors on one side of a task
 BLOCK_VECTORS = 131_072           # documents of a task, whose vectors are compared in parts
 _ROWS_AT_ONCE = 256
 _NUMBERS_AT_ONCE = 4_000_000
+_GROUP = 32               # columns of a rough product whose smallest is taken
 _FOUND = "query_id long, doc_id long, distance double"
 
 
@@ -79,39 +80,60 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
     return np.stack(vectors.to_numpy()).astype(np.float64) if len(vectors) else np.zeros((0, 0))
 
 
+def _bound(rough: np.ndarray, k: int) -> np.ndarray:
+    """At least the ``k``-th smallest number of each row: that of the smallest ones of groups of columns."""
+    groups = rough.shape[1] // _GROUP
+    if groups < k:
+        return np.partition(rough, min(k, rough.shape[1]) - 1, axis=1)[:, min(k, rough.shape[1]) - 1]
+    least = rough[:, :groups * _GROUP].reshape(len(rough), groups, _GROUP).min(axis=2)
+    return np.partition(least, k - 1, axis=1)[:, k - 1]
+
+
 def _nearest(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray,
-             k: int) -> pd.DataFrame:
+             k: int, limit: np.ndarray | None = None) -> pd.DataFrame:
     """The ``k`` nearest rows of one block of documents to each query, nearest first.
 
-    A matrix product finds the rows that can be among the nearest; their distances are then
-    computed term by term, the same way in every block.
+    A matrix product of short numbers finds the rows that can be among the nearest; their distances are
+    then computed term by term, the same way in every block.  ``limit``: distances beyond which a query
+    needs no row.
     """
     # a common shift changes no distance and keeps the rounding error of the product small
-    centre = vectors.mean(axis=0)
+    centre, dims = vectors.mean(axis=0), vectors.shape[1]
     near_zero = vectors - centre
     lengths, found = (near_zero ** 2).sum(axis=1), []
-    last = min(k, len(ids)) - 1
-    for at in range(0, len(queries), _ROWS_AT_ONCE):
-        part = queries[at:at + _ROWS_AT_ONCE]
+    # numbers whose squares short ones cannot hold are multiplied as they are
+    short = 1e-10 < np.abs(near_zero).max() < 1e15 and np.abs(queries - centre).max(initial=0) < 1e15
+    kind = np.float32 if short else np.float64
+    # the product with a last column of squared lengths is the squared distance less the query's own length
+    right = np.ascontiguousarray(np.column_stack([near_zero, lengths]).astype(kind).T)
+    rows = max(_ROWS_AT_ONCE, _ROWS_AT_ONCE * BLOCK_ROWS // len(ids))
+    for at in range(0, len(queries), rows):
+        part = queries[at:at + rows]
         moved = part - centre
         own = (moved ** 2).sum(axis=1)
-        rough = own[:, None] + lengths - 2 * moved @ near_zero.T
+        rough = np.column_stack([-2 * moved, np.ones(len(part))]).astype(kind) @ right
         # rounding grows with the squared lengths and the number of terms
-        slack = 8 * np.finfo(float).eps * (vectors.shape[1] + 4) * (
-            own + lengths.max() + (np.abs(vectors).max() + np.abs(part).max()) ** 2)
-        limit = np.partition(rough, last, axis=1)[:, last] + 2 * slack
-        # every row within the limit is looked at, however many share one distance
-        most = int((rough <= limit[:, None]).sum(axis=1).max())
-        near = np.argpartition(rough, most - 1, axis=1)[:, :most]
-        step = max(1, _NUMBERS_AT_ONCE // (most * vectors.shape[1]))
-        for row in range(0, len(part), step):
-            cells = near[row:row + step]
-            exact = ((vectors[cells] - part[row:row + step, None, :]) ** 2).sum(axis=-1)
-            first = np.lexsort((ids[cells], exact), axis=-1)[:, :k]
-            found.append((np.repeat(query_ids[at + row:at + row + len(cells)], first.shape[1]),
-                          np.take_along_axis(ids[cells], first, 1).ravel(),
-                          np.take_along_axis(exact, first, 1).ravel()))
-    columns = [np.concatenate(c) for c in zip(*found)] or [[], [], []]
+        slack = 8 * (dims + 4) * (np.finfo(kind).eps * (own + lengths.max()) + np.finfo(float).eps * (
+            np.abs(vectors).max() + np.abs(part).max()) ** 2)
+        known = np.full(len(part), np.inf) if limit is None else limit[at:at + len(part)]
+        most = known - own + slack
+        if np.isinf(known).any():
+            most = np.minimum(most, _bound(rough, k) + 2 * slack)
+        # rounded up; every row within the limit is looked at, however many share one distance
+        near = np.flatnonzero(~(rough > np.nextafter(most.astype(kind), kind(np.inf))[:, None]))
+        row, doc = near // len(ids), near % len(ids)
+        if not len(near):
+            continue
+        step = max(1, _NUMBERS_AT_ONCE // dims)
+        exact = np.concatenate([((vectors[doc[i:i + step]] - part[row[i:i + step]]) ** 2).sum(axis=-1)
+                                for i in range(0, len(near), step)])
+        order = np.lexsort((ids[doc], exact, row))
+        row = row[order]
+        first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+        kept = np.arange(len(row)) - np.repeat(first, np.diff([*first, len(row)])) < k
+        order = order[kept]
+        found.append((query_ids[at + row[kept]], ids[doc[order]], exact[order]))
+    columns = [np.concatenate(c) for c in zip(*found)] or [query_ids[:0], ids[:0], np.zeros(0)]
     return pd.DataFrame(dict(zip(("query_id", "doc_id", "distance"), columns)))
 
 
@@ -127,15 +149,30 @@ def _first_places(found: pd.DataFrame, k: int) -> pd.DataFrame:
     return found.iloc[order[place < k]]
 
 
-def _nearest_in_parts(queries: np.ndarray, matrix: np.ndarray, rows: np.ndarray, k: int) -> pd.DataFrame:
-    """The ``k`` nearest of some rows of a large block: places of queries and of rows, and the distance."""
-    asked, kept = np.arange(len(queries)), None
+def _nearest_in_parts(queries: np.ndarray, matrix: np.ndarray, rows: np.ndarray, k: int,
+                      known: np.ndarray | float = np.inf) -> pd.DataFrame:
+    """The ``k`` nearest of some rows of a large block: places of queries and of rows, and the distance.
+
+    ``known``: distances beyond which a query needs no row.
+    """
+    asked, kept, limit = np.arange(len(queries)), None, np.broadcast_to(known, len(queries))
     for at in range(0, len(rows), BLOCK_ROWS):
         part = rows[at:at + BLOCK_ROWS]
-        kept = _kept_best(kept, _nearest(asked, queries, part, matrix[part].astype(np.float64), k), k)
+        kept = _kept_best(kept, _nearest(asked, queries, part, matrix[part].astype(np.float64), k, limit), k)
+        limit = np.minimum(known, _last_of(kept, len(queries), k))
     return pd.DataFrame({"query_id": asked[:0], "doc_id": rows[:0], "distance": []}) if kept is None else kept
 
 
+def _last_of(kept: pd.DataFrame, queries: int, k: int) -> np.ndarray:
+    """The distance of the ``k``-th row of each query, infinite where there are fewer; rows stand by query, nearest first."""
+    asked = kept["query_id"].to_numpy()
+    ends = np.searchsorted(asked, np.arange(queries), side="right")
+    full = ends - np.searchsorted(asked, np.arange(queries)) >= k
+    limit = np.full(queries, np.inf)
+    limit[full] = kept["distance"].to_numpy()[ends[full] - 1]
+    return limit
+
+
 def _ranked(found: DataFrame, k: int) -> DataFrame:
     return merge_best(found, ["query_id"], [F.col("distance"), F.col("doc_id")], "doc_id", k)
 

@@ -1,6 +1,7 @@
 """The stored inverted-file index: recall, what is read, stored once, odd vectors."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,3 +102,27 @@ def test_a_query_goes_once_to_many_cells(spark, stored):
     plan = ix._search_parts(cells, probed, len(centres), 5, 8192, 10_000)
     lefts = plan._jdf.queryExecution().optimizedPlan().toString()
     assert "array_distinct" in lefts and probed.schema["vector"].dataType.elementType.simpleString() == "float"
+
+
+def test_nearest_in_cells_are_those_of_a_plain_search():
+    draw = np.random.default_rng(8)
+    rows = draw.integers(0, 3, (900, 4)).astype(np.float32)
+    docs = pd.DataFrame({"doc_id": draw.permutation(900), "embedding": list(rows), "cell": draw.integers(0, 30, 900)})
+    asked = pd.DataFrame({"query_id": draw.permutation(200), "vector": list(rows[:200]),
+                          "cells": [draw.choice(30, 6, replace=False) for _ in range(200)]})
+    found = ix._nearest_in_cells(asked, docs, 4)
+    ids, cells = docs["doc_id"].to_numpy(), docs["cell"].to_numpy()
+    for query_id, vector, own in asked.itertuples(index=False, name=None):
+        seen = np.flatnonzero(np.isin(cells, own))
+        far = ((rows[seen].astype(float) - vector) ** 2).sum(axis=1)
+        want = sorted(zip(far, ids[seen]))[:4]
+        got = found[found["query_id"] == query_id]
+        assert sorted(zip(got["distance"], got["doc_id"])) == want
+    looked_at = []
+    told = v._nearest_in_parts
+    try:
+        v._nearest_in_parts = lambda *a: looked_at.append(a[4]) or told(*a)
+        ix._nearest_in_cells(asked, docs, 4)
+    finally:
+        v._nearest_in_parts = told
+    assert np.isinf(looked_at[0]).all() and np.isfinite(looked_at[-1]).all()

@@ -119,3 +119,33 @@ def test_close_vectors_far_from_the_origin(spark, options):
     d = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(docs)], "doc_id long, embedding array<double>")
     q = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(queries)], "query_id long, vector array<double>")
     assert rows(v.knn_batch(d, q, 4, **options)) == brute(docs, queries, 4)
+
+
+def _plain(queries, matrix, k):
+    """Places of the nearest rows, one query after another."""
+    found = []
+    for q, vector in enumerate(queries):
+        far = ((matrix - vector) ** 2).sum(axis=1)
+        found += [(q, d, far[d]) for d in np.lexsort((np.arange(len(far)), far))[:k]]
+    return found
+
+
+@pytest.mark.parametrize("kind", ["plain", "ties", "offset", "tiny", "huge", "same", "few", "mixed"])
+def test_rough_product_loses_no_row(kind):
+    draw = np.random.default_rng(5)
+    rows = {"plain": lambda: draw.normal(size=(9000, 8)), "ties": lambda: draw.integers(0, 2, (9000, 6)).astype(float),
+            "offset": lambda: 1e6 + draw.normal(size=(9000, 8)), "tiny": lambda: 1e-30 * draw.normal(size=(9000, 8)),
+            "huge": lambda: 1e30 * draw.normal(size=(9000, 8)), "same": lambda: np.ones((9000, 4)),
+            "few": lambda: draw.normal(size=(3, 5)),
+            "mixed": lambda: draw.normal(size=(9000, 8)) * 10.0 ** draw.integers(-20, 12, (9000, 1))}[kind]()
+    found = v._nearest_in_parts(rows[:40], rows, np.arange(len(rows)), 5)
+    assert list(found.itertuples(index=False, name=None)) == _plain(rows[:40], rows, 5)
+
+
+def test_rows_beyond_a_known_distance_are_not_looked_at():
+    draw = np.random.default_rng(6)
+    rows = draw.normal(size=(500, 8))
+    near = v._nearest_in_parts(rows[:30], rows, np.arange(500), 4)
+    third = near["distance"].to_numpy().reshape(30, 4)[:, 2]
+    some = v._nearest_in_parts(rows[:30], rows, np.arange(500), 4, third)
+    assert list(some.groupby("query_id").size()) == [3] * 30
