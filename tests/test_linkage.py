@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from placesearch.functions.names import common_length, extract_state, merge_key, most_alike, token_sort
 from placesearch.operators import linkage as ln, similar
+from placesearch.plans import linking
 
 GUIDE = "row_id long, title string, State string"
 SHEET = ("row_no long, ID long, Restaurant string, State string, City string, Address string, "
@@ -244,3 +245,14 @@ def test_parts_of_the_exact_pass_hold_its_rows(spark):
     done = ln.link(guide, right)
     assert rows(ln.unused_directory(right, done.used)) == rows(ln.unused_directory(right, done.final))
     assert rows(ln.unmatched_rows(done.patched)) == rows(ln.unmatched_rows(done.final))
+
+
+def test_pairs_of_one_split_are_made_by_all_tasks(spark, tmp_path):
+    parts = spark.range(2000).selectExpr(
+        "id AS p_partkey", "concat('red ', id % 3) AS p_name", "'Brand#11' AS p_brand", "'SMALL TIN' AS p_type",
+        "cast(id % 50 AS int) AS p_size", "cast(id AS double) AS p_retailprice")
+    parts.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    linked = linking.QUERIES["exact_link"](spark, str(tmp_path))
+    rows = linked.groupBy(F.spark_partition_id()).count().collect()
+    assert len(rows) >= spark.sparkContext.defaultParallelism
+    assert max(r["count"] for r in rows) < 2 * min(r["count"] for r in rows)
